@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, decontaminate, license_scan, quality_mil, quality_rules, secret_scan, token_counts, url_filter
+from . import bpe_codec, decontaminate, license_scan, ngram_lm, quality_mil, quality_rules, secret_scan, token_counts, url_filter
 from .common import documents
 
 MAX_TOKENS = 1024
@@ -74,8 +74,13 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op10_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False)))
+    return ngram_lm.apply(docs, ~F.col("held_out"), keep=("doc_id", "held_out"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_secret_scan, op4_license_scan, op6_url_filter, op7_bpe_codec, op8_quality_mil, op9_decontamination)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_secret_scan, op4_license_scan, op6_url_filter, op7_bpe_codec, op8_quality_mil, op9_decontamination, op10_ngram_lm)}
 
 
 def oracle_sql() -> dict[str, str]:
