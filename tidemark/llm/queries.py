@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, decontaminate, license_scan, ngram_lm, quality_mil, quality_rules, secret_scan, token_counts, url_filter
+from . import bpe_codec, decontaminate, jaccard_join, license_scan, ngram_lm, quality_mil, quality_rules, secret_scan, token_counts, url_filter
 from .common import documents
 
 MAX_TOKENS = 1024
@@ -53,6 +53,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.apply(documents(spark, sf_dir))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.apply(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", F.round("score", 6).alias("score"))
 
@@ -80,7 +84,7 @@ def op10_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_secret_scan, op4_license_scan, op6_url_filter, op7_bpe_codec, op8_quality_mil, op9_decontamination, op10_ngram_lm)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_secret_scan, op4_license_scan, op5_jaccard_join, op6_url_filter, op7_bpe_codec, op8_quality_mil, op9_decontamination, op10_ngram_lm)}
 
 
 def oracle_sql() -> dict[str, str]:
