@@ -35,7 +35,7 @@ class Rule:
 
 
 def _share(part: str, whole: str) -> Column:
-    return F.col(part) / F.col(whole)
+    return F.try_divide(F.col(part), F.col(whole))
 
 
 def default_rules() -> list[Rule]:
