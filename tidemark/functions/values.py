@@ -14,15 +14,16 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space that JavaScript's trim() strips, as a character class.
-JS_BLANK = r"[\s\x0B   -     　﻿]"
+#: White space that JavaScript's trim() strips (fixed value), as text and as a character class.
+JS_BLANKS = "\t\n\x0b\x0c\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+JS_BLANK = f"[{JS_BLANKS}]"
 #: Placeholder texts that count as empty.
 PLACEHOLDERS = ("", "n/a", "na", "none", "unknown", "-")
 NULL_JSON = "null"
 
 
 def js_trim(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{JS_BLANK}+|{JS_BLANK}+$", "")
+    return F.btrim(text, F.lit(JS_BLANKS))
 
 
 def json_of(value: Column, numeric: bool = False) -> Column:

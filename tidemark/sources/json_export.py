@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from .snapshot import Snapshot
+from .snapshot import Snapshot, settled
 
 #: Names under which exports state their dates.
 DATE_ALIASES = {"Refreshed": ("Refreshed", "refreshed", "RefreshedAt"), "Created": ("Created", "created", "CreatedAt")}
@@ -56,7 +56,7 @@ def fields_of(rows: DataFrame) -> list[str]:
 def snapshot(rows: DataFrame, fields: Sequence[str] | None = None, normalise: bool = True) -> Snapshot:
     names = list(fields or fields_of(rows))
     cols = [V.json_of_variant(F.variant_get("body", _path(f), "variant")).alias(f"f{i}") for i, f in enumerate(names)]
-    return Snapshot(rows.select("idx", *cols), tuple(names), normalise)
+    return Snapshot(settled(rows.select("idx", *cols)), tuple(names), normalise)
 
 
 def load(spark: SparkSession, path: str, collection: str = "$") -> Snapshot:

@@ -52,4 +52,9 @@ def from_table(df: DataFrame, order: str, fields: Sequence[str] | None = None, n
     names = [c for c in (fields or df.columns) if c != order]
     kinds = dict(df.dtypes)
     cols = [V.json_of(F.col(f"`{c}`"), kinds[c].split("(")[0] in ("double", "float", "decimal")).alias(f"f{i}") for i, c in enumerate(names)]
-    return Snapshot(df.select(F.col(order).cast("long").alias("idx"), *cols), tuple(names), normalise)
+    return Snapshot(settled(df.select(F.col(order).cast("long").alias("idx"), *cols)), tuple(names), normalise)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows behind a one-element generator: later expressions then read finished columns, where the optimiser would else copy the JSON rendering into every use."""
+    return df.select(F.inline(F.array(F.struct(*[F.col(c) for c in df.columns]))))
