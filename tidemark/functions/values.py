@@ -13,6 +13,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: White space that JavaScript's trim() strips (fixed value), as text and as a character class.
 JS_BLANKS = "\t\n\x0b\x0c\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
@@ -84,7 +85,7 @@ def same_value(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _normalised(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     import unicodedata
     from urllib.parse import quote, urlsplit
