@@ -9,6 +9,7 @@ from tidemark.functions import values as V
 from tidemark.operators import decisions, documents, drift, export, matching, qa, recovery, views
 from tidemark.plans import policy as P
 from tidemark.sources import json_export as J
+from tidemark.sources.scratch import written
 
 BEFORE = {
     "Refreshed": "2024-01-10T08:00:00Z",
@@ -57,8 +58,8 @@ def j(value):
 
 def test_emptiness(spark):
     cases = [(None, 1, 1), ("", 1, 1), ("   ", 1, 1), ("N/A", 0, 1), (" none ", 0, 1), ("x", 0, 0), ([], 0, 1), ({}, 0, 0), (0, 0, 0), (False, 0, 0)]
-    for value, blank, empty in cases:
-        assert (one(spark, V.is_blank(j(value))), one(spark, V.is_empty(j(value)))) == (bool(blank), bool(empty)), value
+    got = spark.range(1).select(*[f(j(v)).alias(f"x{i}{n}") for i, (v, _, _) in enumerate(cases) for n, f in enumerate((V.is_blank, V.is_empty))]).first()
+    assert list(got) == [bool(x) for _, *want in cases for x in want]
     assert one(spark, V.is_blank(F.lit(None).cast("string"))) and not one(spark, V.is_empty(j([]), allow_empty_array=True)) and one(spark, V.is_empty(j("TBD"), placeholders=("tbd",)))
 
 
@@ -105,7 +106,7 @@ def test_loading(spark, pair, sides):
 
 def test_drift(spark, sides):
     b, a = sides
-    diff = drift.compared(b, a, ("Code",), POLICY.quality)
+    diff = written(drift.compared(b, a, ("Code",), POLICY.quality), "diff")
     rows = {r["id"]: r for r in diff.collect()}
     assert {k: r["status"] for k, r in rows.items()} == {'["A-1"]': "changed", '["B-2"]': "removed", '["C-3"]': "added", '["D-4"]': "changed", "$unkeyed:latest:4": "added"}
     kinds = {c["path"]: c["kind"] for c in rows['["A-1"]']["changes"]}
@@ -118,19 +119,19 @@ def test_drift(spark, sides):
     assert stats["Meta"]["latest_types"] == {"object": 1} and stats["Status"]["latest_types"] == {"string": 3, "object": 1}
     kinds = {r["kind"]: r["severity"] for r in drift.quality_issues(b, a, ("Code",), POLICY.quality).collect()}
     assert kinds["duplicate-record-keys"] == "critical" and kinds["unkeyed-records"] == "warning"
-    issues = drift.quality_issues(b, a, ("Code",), POLICY.quality)
+    issues = written(drift.quality_issues(b, a, ("Code",), POLICY.quality), "issues")
     assert drift.gate(issues).first()["gate"] == "Quarantined" and drift.promoted(diff, issues).count() == 5
     assert len(drift.narrative({"gate": "Pass"}, [], [])) == 3
 
 
 def test_matching_and_recovery(spark, sides):
     ref, cand = sides
-    m = matching.match(ref, cand, POLICY)
+    m = written(matching.match(ref, cand, POLICY), "m")
     got = {(r["candidate_idx"], r["reference_idx"]): r["status"] for r in m.collect()}
     assert got == {(0, 0): "matched_primary", (1, None): "candidate_only", (2, None): "ambiguous_primary", (3, None): "ambiguous_primary", (4, None): "invalid_identity", (None, 1): "reference_only", (None, 2): "ambiguous_primary"}
     s = matching.summary(m, POLICY).first()
     assert s["match_rate"] == pytest.approx(0.2) and not s["meets_minimum"]
-    found = qa.findings(ref, cand, POLICY, m)
+    found = written(qa.findings(ref, cand, POLICY, m), "found")
     by = {}
     for r in found.collect():
         by.setdefault(r["category"], []).append(r)
@@ -138,7 +139,7 @@ def test_matching_and_recovery(spark, sides):
     assert {r["action"] for r in by["field_regression"]} == {"backfill_allowed"} and len({r["id"] for v in by.values() for r in v}) == found.count()
     counts = {(r["dimension"], r["name"]): r["n"] for r in qa.counts(found).collect()}
     assert counts["total", "total"] == found.count() and counts["severity", "low"] == 0
-    rec = recovery.recover(m, ref, cand, POLICY)
+    rec = written(recovery.recover(m, ref, cand, POLICY), "rec")
     rows = {r["candidate_idx"]: r for r in rec.collect()}
     assert rows[0]["backfilled"] == ["Status", "Title"] and [rows[i]["excluded"] for i in (0, 1, 2, 4)] == [None, None, "ambiguous_identity", "invalid_identity"]
     out = recovery.output(rec, cand, POLICY)
@@ -148,7 +149,7 @@ def test_matching_and_recovery(spark, sides):
     d = recovery.dedupe(rec, cand, POLICY)
     assert {r["candidate_idx"]: r["outcome"] for r in d.collect()} == {0: "retained", 1: "retained", 2: "carried_excluded", 3: "removed", 4: "carried_excluded"}
     assert recovery.dedupe_summary(d).first()["accounted_for"]
-    cells = decisions.lanes(found, prov, POLICY)
+    cells = written(decisions.lanes(found, prov, POLICY), "cells")
     assert decisions.lane_counts(cells).first().asDict() == {"auto": 2, "review": 2, "ineligible": 0}
     log = decisions.bulk(cells, POLICY, "backfill", "looked at", "t", first=5, acknowledged=True)
     assert sorted(r["sequence"] for r in log.collect()) == [5, 6, 7, 8] and decisions.pending(cells, log).first()["resolved"]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import values as V
+from .scratch import written
 from .snapshot import Snapshot, settled
 
 #: Names under which exports state their dates.
@@ -60,7 +61,9 @@ def snapshot(rows: DataFrame, fields: Sequence[str] | None = None, normalise: bo
 
 
 def load(spark: SparkSession, path: str, collection: str = "$") -> Snapshot:
-    return snapshot(records(parse(read_text(spark, path)), collection))
+    """A snapshot of an export, parsed once and written: each later pass would else parse the whole file again."""
+    side = snapshot(records(parse(read_text(spark, path)), collection))
+    return Snapshot(written(side.df, "snapshot"), side.fields, side.normalise)
 
 
 def lines(spark: SparkSession, path: str, order: str) -> Snapshot:
