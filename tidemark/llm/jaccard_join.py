@@ -3,10 +3,12 @@
 A text's set holds the distinct hashes of its k-word shingles. Texts with equal sets are one
 class, and only classes are compared.
 
-Signatures. A counter over hashed buckets, summed over all texts, tells rare shingles from
-frequent ones; the global order puts rare ones first. A set of n shingles can miss at most
+Signatures. A counter over hashed buckets, summed over all texts, grades shingles by how
+often they occur, and the global order puts the rarest first; the top grades are the
+frequent ones. A set of n shingles can miss at most
 ``n - ceil(t * n)`` of them in any partner, so a prefix longer than that shares a shingle
-with each partner. Rare shingles of the prefix are signatures themselves. Where rare ones
+with each partner. Rare shingles of the prefix are signatures themselves, but for those alone in
+their bucket, which nothing can share. Where rare ones
 don't suffice, the prefix is extended into the frequent ones: these are dealt into
 subclasses, the signatures are the pairs within a subclass, and as a subclass of c shingles
 is sure of a shared pair only once two are shared, it counts c - 1. The number of subclasses
@@ -14,7 +16,8 @@ follows the size of the set, in bands a factor 1/t apart; a set takes its own ba
 next one's, so that any two sets that can link have a band in common. Whatever the counter
 calls frequent, no link is lost; it only steers how many candidates there are.
 
-Candidates. Classes that share a signature are candidates. Each class is first compared
+Candidates. Classes that share a signature are candidates, unless their sizes differ too
+much or too few shingles stand behind a rare signature for it to be the first shared one. Each class is first compared
 with the least class of its signatures that it meets most often, then linked classes are one
 component, and only pairs of different components that still share a signature go on: by
 stars around other classes while there are many, and at last all such pairs. So a group of
@@ -36,7 +39,7 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, python_tasks
@@ -44,7 +47,7 @@ from .components import components
 from .rolling import Words, mix
 
 #: Buckets of the shingle counter (a power of two) and the pieces it is summed in.
-BUCKETS, PIECES = 1 << 20, 64
+BUCKETS, PIECES = 1 << 22, 256
 #: Parts of a frequent signature's group in the first round, so that no task holds it whole.
 SALTS = 8
 #: A document filter of so many slots picks the texts whose sets are needed.
@@ -64,16 +67,31 @@ def class_key(s: np.ndarray) -> int | None:
     return int(mix(np.array([one.sum()]) ^ mix(np.array([two.sum()]))).astype(np.int64)[0])
 
 
-def signatures(s: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rare shingles and pairs of frequent ones that any partner shares at least one of."""
+def grades_of(counts: np.ndarray) -> np.ndarray:
+    """One byte a bucket: eighths of a binary logarithm."""
+    return np.minimum(8 * np.log2(counts + 1.0), 255).astype(np.uint8)
+
+
+#: The grade of a bucket with one shingle in all texts.
+ALONE = 8
+
+
+def signatures(s: np.ndarray, grades: np.ndarray, often_from: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rare shingles and pairs of frequent ones that any partner shares at least one of; between them, how many shingles stand from each rare one to the end of the order."""
     n = len(s)
     need = n + 1 - -(-percent * n // 100)
-    often = frequent[(s & np.uint64(BUCKETS - 1)).astype(np.int64)]
-    rare = s[~often][:need]
+    grade = grades[(s & np.uint64(BUCKETS - 1)).astype(np.int64)]
+    order = np.argsort(grade, kind="stable")  # by grade, then by hash
+    s, grade = s[order], grade[order]
+    n_rare = int(np.searchsorted(grade, often_from))
+    own = s[n_rare:]
+    rare = s[: min(n_rare, need)]
     need -= len(rare)
+    shared = grade[: len(rare)] != ALONE
+    rare, rest = rare[shared], n - np.flatnonzero(shared)
     if need <= 0:
-        return rare, s[:0]
-    own, pairs = s[often], []
+        return rare, rest, s[:0]
+    pairs = []
     band = int(log(n) / log(100 / percent) + 1e-9) if n > 1 else 0
     for b in (band, band + 1):
         # the least size of the band bounds the subclasses; a set of the band below holds enough too
@@ -88,7 +106,7 @@ def signatures(s: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.nd
         for d in range(1, int(np.bincount(part).max(initial=0))):
             same = part[d:] == part[:-d]
             pairs.append(mix(head[:-d][same] * np.uint64(0x9FB21C651E98DF25) + head[d:][same] + np.uint64(b)))
-    return rare, np.concatenate(pairs) if pairs else s[:0]
+    return rare, rest, np.unique(np.concatenate(pairs)) if pairs else s[:0]
 
 
 def packed(s: np.ndarray) -> bytes:
@@ -106,26 +124,20 @@ def _census(k: int):
     """One row a text (doc_id, node, n) and, behind the last, the task's counter in pieces."""
 
     def census(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, held, n_held = np.zeros(BUCKETS, np.int64), [], 0
+        counts = np.zeros(BUCKETS, np.uint32)
         empty = lambda n, kind: pa.nulls(n, kind)
         for batch in batches:
             nodes, sizes = [], []
-            for t in batch.column(1).to_pylist():
-                s = shingles(t, k)
+            for t in batch.column(1):
+                s = shingles(t.as_py(), k)
                 nodes.append(class_key(s))
                 sizes.append(len(s))
-                held.append(s)
-                n_held += len(s)
-                if n_held > 1_000_000:
-                    counts += np.bincount((np.concatenate(held) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-                    held, n_held = [], 0
+                np.add.at(counts, (s & np.uint64(BUCKETS - 1)).astype(np.int64), np.uint32(1))
             n = len(nodes)
             yield pa.record_batch([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), empty(n, pa.int32()), empty(n, pa.binary())], ["doc_id", "node", "n", "piece", "data"])
             doc_type = batch.column(0).type
-        if held:
-            counts += np.bincount((np.concatenate(held) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
         if counts.any():
-            parts = [zlib.compress(p.astype("<u4").tobytes(), 1) for p in counts.reshape(PIECES, -1)]
+            parts = [zlib.compress(p.astype("<u4", copy=False).tobytes(), 1) for p in counts.reshape(PIECES, -1)]
             yield pa.record_batch([empty(PIECES, doc_type), empty(PIECES, pa.int64()), empty(PIECES, pa.int64()), pa.array(range(PIECES), pa.int32()), pa.array(parts, pa.binary())], ["doc_id", "node", "n", "piece", "data"])
 
     return census
@@ -136,35 +148,37 @@ def _add(table: pa.Table) -> pa.Table:
     return pa.table([pa.array([table["piece"][0].as_py()], pa.int32()), pa.array([zlib.compress(np.minimum(total, 2**32 - 1).astype("<u4").tobytes(), 1)], pa.binary())], names=["piece", "data"])
 
 
-def _frequent(counter: DataFrame, n_tokens: int) -> np.ndarray:
-    """Flags of the buckets well above the mean; BUCKETS flags whatever the corpus."""
+def _grades(counter: DataFrame, n_tokens: int) -> tuple[np.ndarray, int]:
+    """Grades of all buckets (BUCKETS bytes whatever the corpus) and the first grade of frequent ones, well above the mean."""
     counter = counter.withColumn("part", F.pmod(F.xxhash64("data"), F.lit(32)))
     some = counter.groupBy("piece", "part").applyInArrow(_add, "piece int, data binary")
+    out = np.zeros((PIECES, BUCKETS // PIECES), np.uint8)
+    for r in some.groupBy("piece").applyInArrow(_add, "piece int, data binary").toLocalIterator():
+        out[r["piece"]] = grades_of(np.frombuffer(zlib.decompress(bytes(r["data"])), "<u4"))
     mean = n_tokens / BUCKETS
-    out = np.zeros((PIECES, BUCKETS // PIECES), bool)
-    for r in some.groupBy("piece").applyInArrow(_add, "piece int, data binary").collect():
-        out[r["piece"]] = np.frombuffer(zlib.decompress(bytes(r["data"])), "<u4") > mean + 8 * mean**0.5 + 32
-    return out.ravel()
+    return out.ravel(), int(grades_of(np.array([2 * mean + 8 * mean**0.5 + 64]))[0])
 
 
-def _signed(k: int, percent: int, frequent):
+def _signed(k: int, percent: int, grades, often_from: int):
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags, seen = np.unpackbits(np.frombuffer(frequent.value, np.uint8)).astype(bool), set()
+        table, seen = np.frombuffer(grades.value, np.uint8), set()
         for batch in batches:
-            nodes, kinds, lists = [], [], []
-            for t in batch.column(0).to_pylist():
-                s = shingles(t, k)
+            nodes, kinds, lists, facts = [], [], [], []
+            for t in batch.column(0):
+                s = shingles(t.as_py(), k)
                 node = class_key(s)
                 if len(s) > 1 and node not in seen:  # a set of one shingle links with its copies only
                     seen.add(node)
-                    for kind, sigs in enumerate(signatures(s, flags, percent)):
+                    rare, rest, pairs = signatures(s, table, often_from, percent)
+                    for kind, sigs, left in ((False, rare, rest), (True, pairs, np.full(len(pairs), len(s)))):
                         if len(sigs):
                             nodes.append(node)
-                            kinds.append(bool(kind))
-                            lists.append(np.unique(sigs).astype(np.int64))
-            values = np.concatenate(lists) if lists else np.zeros(0, np.int64)
+                            kinds.append(kind)
+                            lists.append(sigs.astype(np.int64))
+                            facts.append(left.astype(np.int64) << 32 | len(s))
             ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
-            yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(kinds, pa.bool_()), pa.ListArray.from_arrays(ends, values)], ["node", "often", "sigs"])
+            arrays = [pa.ListArray.from_arrays(ends, np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (lists, facts)]
+            yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(kinds, pa.bool_()), *arrays], ["node", "often", "sigs", "facts"])
 
     return signed
 
@@ -209,15 +223,22 @@ def _bitmap(slots: DataFrame) -> np.ndarray:
     return np.packbits(out)
 
 
+def _may_link(x: Column, y: Column, percent: int) -> Column:
+    """Whether two classes that share a signature can link by it: the smaller set is large enough, and if this is the first shingle that they share, enough stand behind it in both orders."""
+    n_x, n_y = x.bitwiseAND(0xFFFFFFFF), y.bitwiseAND(0xFFFFFFFF)
+    least = F.least(F.shiftright(x, 32), F.shiftright(y, 32))
+    return (100 * F.least(n_x, n_y) >= percent * F.greatest(n_x, n_y)) & (least * (100 + percent) >= percent * (n_x + n_y))
+
+
 def _best(pairs: DataFrame) -> DataFrame:
-    """Of each class ``a`` the partner that it shares most signatures with."""
-    return pairs.groupBy("a", "b").count().groupBy("a").agg(F.max_by("b", F.struct("count", -F.col("b"))).alias("b"))
+    """Of each class ``a`` the partner that it shares most signatures with (``count``)."""
+    return pairs.groupBy("a").agg(F.max_by("b", F.struct("count", -F.col("b"))).alias("b"))
 
 
 def apply(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = 5, percent: int = 75, rounds: int = 5) -> DataFrame:
     """One row a document: ``doc_id``, ``n_shingles`` and ``component_id`` (the least doc_id reachable by links)."""
     spark = docs.sparkSession
-    python_tasks(spark)
+    python_tasks(spark, 100)
     own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = own.schema["doc_id"].dataType.simpleString()
     census = materialize(own.mapInArrow(_census(k), f"doc_id {kind}, node long, n long, piece int, data binary"), "census")
@@ -225,20 +246,22 @@ def apply(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int =
     n_rows, n_tokens = rows.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"))
 
-    flags = spark.sparkContext.broadcast(np.packbits(_frequent(census.where("piece is not null").select("piece", "data"), n_tokens)).tobytes())  # BUCKETS bits
-    signed = own.select("text").mapInArrow(_signed(k, percent, flags), "node long, often boolean, sigs array<long>")
-    signed = signed.select("node", "often", F.explode("sigs").alias("sig")).withColumn("salt", F.when(F.col("often"), F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("byte")).otherwise(F.lit(0).cast("byte")))
+    table, often_from = _grades(census.where("piece is not null").select("piece", "data"), n_tokens)
+    grades = spark.sparkContext.broadcast(table.tobytes())  # BUCKETS bytes
+    signed = own.select("text").mapInArrow(_signed(k, percent, grades, often_from), "node long, often boolean, sigs array<long>, facts array<long>")
+    signed = signed.select("node", "often", F.explode(F.arrays_zip("sigs", "facts")).alias("x")).select("node", "often", F.col("x.sigs").alias("sig"), F.col("x.facts").alias("facts")).withColumn("salt", F.when(F.col("often"), F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("byte")).otherwise(F.lit(0).cast("byte")))
     group = Window.partitionBy("sig", "salt")
-    met = signed.withColumns({"low": F.min("node").over(group), "high": F.max("node").over(group)}).where("often or low < high")
-    met = materialize(met.select("sig", "node", "low"), "signatures")
+    met = signed.withColumns({"low": F.min(F.struct("node", "facts")).over(group), "high": F.max("node").over(group)}).where("often or low.node < high")
+    met = materialize(met.select("sig", "node", "facts", "low"), "signatures")
 
-    links = _verified_links(own, met, nodes, n_rows, k, percent, rounds)
-    roots = nodes.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    labels = _linked_classes(own, met, nodes, n_rows, k, percent, rounds)
+    roots = nodes.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = roots.join(roots.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("node", "component_id")
     return rows.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _verified_links(own: DataFrame, met: DataFrame, nodes: DataFrame, n_rows: int, k: int, percent: int, rounds: int) -> DataFrame:
+def _linked_classes(own: DataFrame, met: DataFrame, nodes: DataFrame, n_rows: int, k: int, percent: int, rounds: int) -> DataFrame:
+    """``(node, root)`` of the classes that have a verified link."""
     spark = own.sparkSession
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
     needed = nodes.join(met.select("node").distinct(), "node").select(F.pmod(F.xxhash64("low"), F.lit(SLOTS)).alias("slot"))
@@ -250,23 +273,32 @@ def _verified_links(own: DataFrame, met: DataFrame, nodes: DataFrame, n_rows: in
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("data").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("data").alias("y")), "b")
         return materialize(both.select("a", "b", "x", "y").mapInArrow(_linked(percent), "a long, b long"), "verified")
 
-    pairs = _best(met.where("low < node").select(F.col("node").alias("a"), F.col("low").alias("b")))
-    links, checked = verify(pairs), pairs
+    pairs = met.where("low.node < node").where(_may_link(F.col("facts"), F.col("low.facts"), percent)).groupBy(F.col("node").alias("a"), F.col("low.node").alias("b")).count()
+    pairs = materialize(_best(pairs), "pairs")
+    checked, labels = pairs, components(verify(pairs))
     for turn in range(rounds + 1):
-        labelled = met.select("sig", "node").join(components(links), "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
-        apart = labelled.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"), F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(turn))).alias("star")).where("low < high")
+        labelled = met.select("sig", "node", "facts").join(labels, "node", "left").select("sig", "node", "facts", F.coalesce("root", "node").alias("root"))
+        apart = labelled.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"), F.min_by(F.struct("node", "root", "facts"), F.xxhash64("node", F.lit(turn))).alias("star")).where("low < high")
         open_ = materialize(labelled.join(apart.select("sig", "size", "star"), "sig"), "open")
         total = open_.agg(F.sum(F.col("size").cast("double"))).first()[0] or 0.0  # the squares of the sizes, summed over signatures
         if not total:
             break
-        last = turn == rounds or total <= 4 * n_rows
+        last = turn == rounds or total <= 2 * n_rows
         if last:
-            x, y = (open_.select("sig", F.col("node").alias(n), F.col("root").alias(f"root_{n}")) for n in "ab")
-            pairs = x.join(y, "sig").where("root_a < root_b").select("a", "b").distinct()
+            x, y = (open_.select("sig", F.col("node").alias(c), F.col("facts").alias(f"facts_{c}"), F.col("root").alias(f"root_{c}")) for c in "ab")
+            near = _may_link(F.col("facts_a"), F.col("facts_b"), percent)
+            pairs = x.join(y.withColumnRenamed("sig", "sig_b"), (F.col("sig") == F.col("sig_b")) & (F.col("root_a") < F.col("root_b")) & near).select("a", "b").distinct()
         else:
-            pairs = _best(open_.where("root <> star.root").select(F.col("node").alias("a"), F.col("star.node").alias("b")))
+            star = open_.select(F.col("node").alias("a"), "facts", "root", F.col("star.node").alias("b"), F.col("star.facts").alias("facts_b"), F.col("star.root").alias("root_b"))
+            pairs = _best(star.where("root <> root_b").where(_may_link(F.col("facts"), F.col("facts_b"), percent)).groupBy("a", "b").count())
         fresh = materialize(pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
-        links, checked = links.unionByName(verify(fresh)), checked.unionByName(fresh)
+        new = verify(fresh)
+        checked = checked.unionByName(fresh)
+        if new.isEmpty():
+            if last:
+                break
+            continue
+        labels = components(labels.where("node <> root").unionByName(new.toDF("node", "root")))
         if last:
             break
-    return links
+    return labels
