@@ -159,6 +159,16 @@ def test_jaccard_join(docs, texts, no_docs):
     assert jaccard_join.apply(no_docs).count() == 0
 
 
+def test_parity_maps():
+    r = np.random.default_rng(5)
+    for n, m, both in ((1, 1, 1), (1, 1, 0), (40, 50, 38), (700, 700, 610), (700, 900, 690), (3000, 40, 40), (9000, 9000, 8999), (500, 500, 0)):
+        s = np.unique(r.integers(0, 1 << 64, n + m - both, dtype=np.uint64))
+        x, y = np.sort(s[:n]), np.sort(s[n - both :])
+        least = jaccard_join.least_difference(jaccard_join.parity(x), jaccard_join.parity(y))
+        assert least <= n + m - 2 * both and (least > 0) == (n + m > 2 * both)
+        assert least == jaccard_join.least_difference(jaccard_join.parity(y), jaccard_join.parity(x))
+
+
 def test_jaccard_near_copies(spark, monkeypatch):
     """Groups of near copies, chains of edits and a shared passage, with frequent shingles from few texts on."""
     r, pairs = random.Random(9), []

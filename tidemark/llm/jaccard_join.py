@@ -20,11 +20,14 @@ Candidates. Classes that share a signature are candidates, unless their sizes di
 much or too few shingles stand behind a rare signature for it to be the first shared one. Each class is first compared
 with the least class of its signatures that it meets most often, then linked classes are one
 component, and only pairs of different components that still share a signature go on: by
-stars around other classes while there are many, and at last all such pairs. So a group of
+stars around other classes while that lessens their number well, and at last all such pairs. So a group of
 near copies costs its size, not its square, and every link between components is tested.
 
-Verifying compares the whole sets (40 bits a shingle). The only errors possible are clashes
-of 64-bit class keys and of 40-bit shingles within one pair.
+Verifying first compares parity maps: of each set, which of 2n to 4n hash values an odd number of
+its shingles has. Two maps differ in no more bits than the sets do in shingles, so pairs whose
+maps differ too much have no link and the others alone meet the whole sets (40 bits a
+shingle). The only errors possible are clashes of 64-bit class keys and of 40-bit shingles
+within one pair.
 
 Null and empty texts have the empty set, no links, and are their own component. Documents
 that repeat a doc_id count as documents; a null doc_id is the component's id only if all
@@ -50,6 +53,8 @@ from .rolling import Words, mix
 BUCKETS, PIECES = 1 << 22, 256
 #: Parts of a frequent signature's group in the first round, so that no task holds it whole.
 SALTS = 8
+#: A round of stars that leaves a larger share of the possible pairs is the last.
+PAYS = 0.75
 #: A document filter of so many slots picks the texts whose sets are needed.
 SLOTS = 1 << 22
 
@@ -120,6 +125,23 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(data, "<u4", n).astype(np.uint64) | np.frombuffer(data, np.uint8, n, 4 * n).astype(np.uint64) << np.uint64(32)
 
 
+def parity(s: np.ndarray) -> bytes:
+    """Bits that tell which hash values an odd number of the set's shingles has: a power of two of them, twice the set's size or more."""
+    bits = max(64, 1 << (2 * len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """In how many shingles two sets differ at least, from their parity maps; the longer one is folded to the other's length."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    if len(a) > len(b):
+        a, b = b, a
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def _census(k: int):
     """One row a text (doc_id, node, n) and, behind the last, the task's counter in pieces."""
 
@@ -187,7 +209,7 @@ def _sets(k: int, wanted):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags, seen = np.unpackbits(np.frombuffer(wanted.value, np.uint8)).astype(bool), set()
         for batch in batches:
-            nodes, data = [], []
+            nodes, sizes, maps, data = [], [], [], []
             for slot, t in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if flags[slot]:
                     s = shingles(t.as_py(), k)
@@ -195,12 +217,25 @@ def _sets(k: int, wanted):
                     if node is not None and node not in seen:
                         seen.add(node)
                         nodes.append(node)
+                        sizes.append(len(s))
+                        maps.append(parity(s))
                         data.append(packed(s))
-            yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(data, pa.binary())], ["node", "data"])
+            yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(maps, pa.binary()), pa.array(data, pa.binary())], ["node", "n", "map", "data"])
 
     return sets
 
 
+def _near(percent: int):
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n, m, x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist()):
+                keep.append((100 + percent) * (n + m - least_difference(x, y)) >= 2 * percent * (n + m))
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], ["a", "b"])
+
+    return near
+
+
 def _linked(percent: int):
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -266,16 +301,18 @@ def _linked_classes(own: DataFrame, met: DataFrame, nodes: DataFrame, n_rows: in
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
     needed = nodes.join(met.select("node").distinct(), "node").select(F.pmod(F.xxhash64("low"), F.lit(SLOTS)).alias("slot"))
     wanted = spark.sparkContext.broadcast(_bitmap(needed).tobytes())  # SLOTS bits
-    sets = own.select(slot.alias("slot"), "text").mapInArrow(_sets(k, wanted), "node long, data binary")
+    sets = own.select(slot.alias("slot"), "text").mapInArrow(_sets(k, wanted), "node long, n long, map binary, data binary")
     sets = materialize(sets.dropDuplicates(["node"]), "sets")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("data").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("data").alias("y")), "b")
+        a, b = (sets.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("map").alias(f"map_{c}")) for c in "ab")
+        near = pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "map_a", "map_b").mapInArrow(_near(percent), "a long, b long")
+        both = near.join(sets.select(F.col("node").alias("a"), F.col("data").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("data").alias("y")), "b")
         return materialize(both.select("a", "b", "x", "y").mapInArrow(_linked(percent), "a long, b long"), "verified")
 
     pairs = met.where("low.node < node").where(_may_link(F.col("facts"), F.col("low.facts"), percent)).groupBy(F.col("node").alias("a"), F.col("low.node").alias("b")).count()
     pairs = materialize(_best(pairs), "pairs")
-    checked, labels = pairs, components(verify(pairs))
+    checked, labels, before = pairs, components(verify(pairs)), None
     for turn in range(rounds + 1):
         labelled = met.select("sig", "node", "facts").join(labels, "node", "left").select("sig", "node", "facts", F.coalesce("root", "node").alias("root"))
         apart = labelled.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"), F.min_by(F.struct("node", "root", "facts"), F.xxhash64("node", F.lit(turn))).alias("star")).where("low < high")
@@ -283,7 +320,8 @@ def _linked_classes(own: DataFrame, met: DataFrame, nodes: DataFrame, n_rows: in
         total = open_.agg(F.sum(F.col("size").cast("double"))).first()[0] or 0.0  # the squares of the sizes, summed over signatures
         if not total:
             break
-        last = turn == rounds or total <= 2 * n_rows
+        last = turn == rounds or total <= 2 * n_rows or (before is not None and total > PAYS * before)
+        before = total
         if last:
             x, y = (open_.select("sig", F.col("node").alias(c), F.col("facts").alias(f"facts_{c}"), F.col("root").alias(f"root_{c}")) for c in "ab")
             near = _may_link(F.col("facts_a"), F.col("facts_b"), percent)
