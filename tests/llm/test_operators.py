@@ -60,6 +60,18 @@ def test_quality_model_prefers_good():
     assert odds((1, 1, 1)) > 0 > odds((-1, -1, 1)) and odds((0, 0, 0)) == pytest.approx(math.log(m.prior / (1 - m.prior)))
 
 
+def test_quality_model_can_blame_a_rule(spark):
+    usual = [((1, 1, 1, 1), 8000), ((1, -1, 1, 1), 700), ((1, 1, -1, 1), 200), ((1, 1, -1, -1), 300), ((-1, 1, 1, 1), 200)]
+    for times in (1, 100):
+        hot = [((1, 1, 1, -1), 5000 * times)]  # a third of all texts, blamed by one rule only
+        seen = spark.createDataFrame([v for v, _ in usual + hot], "a int, b int, c int, d int")
+        judged = lambda patterns: {tuple(r[:4]): r[4] for r in seen.select("*", quality_rules.posterior([F.col(c) for c in "abcd"], quality_rules.fit(patterns, 4))).collect()}
+        many = judged([(v, c * times) for v, c in usual] + hot)
+        assert many[1, 1, 1, -1] > 0.9 and many[1, 1, 1, 1] > 0.9 and max(many[1, -1, 1, 1], many[1, 1, -1, 1], many[1, 1, -1, -1]) < 0.5
+        few = judged([(v, c * times) for v, c in usual])
+        assert few[1, 1, 1, 1] > 0.9 and max(few[1, -1, 1, 1], few[1, 1, -1, -1]) < 0.5
+
+
 def test_token_counts(docs, texts, no_docs, tokenizer):
     path = queries.vocabulary_path()
     same(token_counts.apply(docs, path), texts, lambda t: (len(t.encode()), len(tokenizer.encode(t, add_special_tokens=False).ids)), "n_bytes", "n_tokens")

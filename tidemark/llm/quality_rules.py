@@ -1,9 +1,9 @@
 """Weak supervision over quality rules, in DataFrame functions only.
 
 Every rule looks at counts of one text and votes good (1), bad (-1) or abstains (0).
-Expectation maximisation over the table of vote patterns estimates each rule's accuracy
-and the share of good texts; the posterior probability of "good" replaces a filter that
-asks every rule to pass. The pattern table has at most ``3 ** len(rules)`` rows whatever
+Expectation maximisation over the table of vote patterns estimates several kinds of texts
+and how each rule votes on them, and tells which kinds are good; the posterior probability
+of "good" replaces a filter that asks every rule to pass. The pattern table has at most ``3 ** len(rules)`` rows whatever
 the corpus, so only that table reaches the driver.
 
 Null text counts as the empty text: all counts 0, every ratio rule abstains. An empty
@@ -17,6 +17,7 @@ import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,57 +107,98 @@ def vote(rule: Rule) -> Column:
 
 @dataclass(frozen=True)
 class LabelModel:
-    """``right_good``: how often a rule's vote is good on a good text; ``right_bad``: how often it is bad on a bad one."""
+    """Kinds of texts: each one's share of all texts, how often each rule's vote on it is bad, and whether it is good."""
 
-    prior: float
-    right_good: tuple[float, ...]
-    right_bad: tuple[float, ...]
+    kinds: tuple[tuple[float, tuple[float, ...], bool], ...]
+
+    @property
+    def prior(self) -> float:
+        return sum(share for share, _, good in self.kinds if good)
+
+    def rate(self, rule: int, good: bool) -> float:
+        """How often a rule's vote is bad on all good texts, or on all bad ones."""
+        own = [(share, rates[rule]) for share, rates, is_good in self.kinds if is_good == good]
+        return sum(share * rate for share, rate in own) / sum(share for share, _ in own)
 
     def weight(self, rule: int, cast: int) -> float:
-        """What a vote adds to the log odds of "good"."""
-        g, b = self.right_good[rule], self.right_bad[rule]
-        return math.log(g / (1 - b)) if cast > 0 else math.log((1 - g) / b) if cast < 0 else 0.0
+        """What a vote that stands alone adds to the log odds of "good"."""
+        g, b = self.rate(rule, True), self.rate(rule, False)
+        return math.log((1 - g) / (1 - b)) if cast > 0 else math.log(g / b) if cast < 0 else 0.0
 
 
-def fit(patterns: Sequence[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = 200) -> LabelModel:
-    """EM over (votes, count) with accuracies apart for good and bad texts; votes that abstain say nothing.
+#: What is held of texts and rules before any vote, worth a fixed number of texts or votes whatever the corpus:
+#: the share of good texts; how often a rule blames them, sees some kind of bad text, and sees the kind it knows best.
+GOOD_SHARE, HELD_SHARE = 0.85, 200.0
+BLAMES, SEES, KNOWS, HELD_RATE = 0.005, 0.3, 0.95, 20.0
 
-    Rules are taken to hardly ever blame a good text and to know one kind of bad text each.
-    The estimates start there; priors worth a tenth of the votes, and 20 more, hold them near,
-    those on good texts a hundred times as firmly: else EM takes a kind of bad text that only
-    one rule knows for good texts that the rule often blames.
-    """
-    model = LabelModel(0.85, (0.995,) * n_rules, (0.3,) * n_rules)
-    held = 20 + 0.1 * sum(count for _, count in patterns)
+
+def _held(held: float, x: float) -> float:
+    return held * math.log(x / held) + (1 - held) * math.log((1 - x) / (1 - held))
+
+
+def _belief(kinds: Sequence[tuple[float, tuple[float, ...], bool]]) -> float:
+    """Log prior of which kinds are good: by the share of good texts and by how often rules blame them."""
+    m = LabelModel(tuple(kinds))
+    return HELD_SHARE * _held(GOOD_SHARE, m.prior) + HELD_RATE * sum(_held(BLAMES, m.rate(j, True)) for j in range(len(kinds[0][1])))
+
+
+def _kinds(cast: np.ndarray, bad: np.ndarray, counts: np.ndarray, blamed: Sequence[int], rounds: int) -> list[tuple[float, tuple[float, ...], bool]]:
+    """EM over kinds of texts: none minds (first), all may mind (second), and one for each rule, good if the rule is ``blamed``."""
+    n_rules = cast.shape[1]
+    rules = np.arange(n_rules)
+    held = np.full((n_rules + 2, n_rules), SEES)
+    good = np.isin(np.arange(n_rules + 2), [0, *(j + 2 for j in blamed)])
+    held[good] = BLAMES
+    held[rules + 2, rules] = KNOWS
+    fixed = np.repeat(good[:, None], n_rules, 1)
+    fixed[1] = fixed[rules + 2, rules] = True  # else kinds trade places
+    held_share = np.array([GOOD_SHARE, *[(1 - GOOD_SHARE) / (n_rules + 1)] * (n_rules + 1)])
+    rates, share = held, held_share
     for _ in range(rounds):
-        good = total = 0.0
-        hits = [[0.0] * n_rules for _ in range(4)]  # good votes and votes on good texts, bad votes and votes on bad ones
-        for votes, count in patterns:
-            logit = math.log(model.prior / (1 - model.prior)) + sum(model.weight(j, v) for j, v in enumerate(votes))
-            p = 1 / (1 + math.exp(-max(-500.0, min(500.0, logit))))
-            good, total = good + p * count, total + count
-            for j, v in enumerate(votes):
-                if v:
-                    hits[0][j] += count * p * (v > 0)
-                    hits[1][j] += count * p
-                    hits[2][j] += count * (1 - p) * (v < 0)
-                    hits[3][j] += count * (1 - p)
-        new = LabelModel(
-            (good + 0.85 * held) / (total + held),
-            tuple((a + 99.5 * held) / (b + 100 * held) for a, b in zip(hits[0], hits[1])),
-            tuple((a + 0.3 * held) / (b + held) for a, b in zip(hits[2], hits[3])),
-        )
-        if abs(new.prior - model.prior) + sum(abs(x - y) for x, y in zip(new.right_good + new.right_bad, model.right_good + model.right_bad)) < 1e-7:
-            return new
-        model = new
-    return model
+        logs = np.log(share) + bad @ np.log(rates).T + (cast - bad) @ np.log1p(-rates).T
+        p = np.exp(logs - logs.max(axis=1, keepdims=True))
+        p *= (counts / p.sum(axis=1))[:, None]
+        before = np.concatenate([share, rates.ravel()])
+        share = (p.sum(axis=0) + HELD_SHARE * held_share) / (counts.sum() + HELD_SHARE)
+        rates = np.where(fixed, held, (p.T @ bad + HELD_RATE * held) / (p.T @ cast + HELD_RATE))
+        if np.abs(np.concatenate([share, rates.ravel()]) - before).sum() < 1e-7:
+            break
+    return list(zip(share.tolist(), map(tuple, rates.tolist()), good.tolist()))
+
+
+def fit(patterns: Sequence[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = 500) -> LabelModel:
+    """EM over (votes, count) with several kinds of texts; votes that abstain say nothing.
+
+    Within a kind rules vote apart; across kinds they depend on each other. Votes can't tell
+    a kind of bad text that only one rule knows from good texts that this rule blames: both
+    explain them alike. So each rule has a kind, and what is held beforehand tells whether it
+    is good, the largest first: few such texts are bad ones, but where they would make bad
+    texts too common, the rule is blamed. As both answers fit the votes alike, what is held
+    has a fixed weight and still tells at every size of the corpus.
+    """
+    votes = np.array([v for v, _ in patterns], float).reshape(len(patterns), n_rules)
+    counts = np.array([c for _, c in patterns], float)
+    cast, bad = (votes != 0).astype(float), (votes < 0).astype(float)
+    blamed: list[int] = []
+    while True:
+        kinds = _kinds(cast, bad, counts, blamed, rounds)
+        rest = [j for j in range(n_rules) if j not in blamed]
+        if not rest:
+            return LabelModel(tuple(kinds))
+        most = max(rest, key=lambda j: kinds[j + 2][0])
+        if _belief([(s, r, good or k == most + 2) for k, (s, r, good) in enumerate(kinds)]) <= _belief(kinds):
+            return LabelModel(tuple(kinds))
+        blamed.append(most)
 
 
 def posterior(votes: Sequence[Column], model: LabelModel) -> Column:
-    logit = F.lit(math.log(model.prior / (1 - model.prior)))
-    for j, v in enumerate(votes):
-        logit = logit + F.when(v > 0, model.weight(j, 1)).when(v < 0, model.weight(j, -1)).otherwise(0.0)
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-logit))
+    likelihood = {True: F.lit(0.0), False: F.lit(0.0)}
+    for share, rates, good in model.kinds:
+        log = F.lit(math.log(share))
+        for v, rate in zip(votes, rates):
+            log = log + F.when(v > 0, math.log1p(-rate)).when(v < 0, math.log(rate)).otherwise(0.0)
+        likelihood[good] = likelihood[good] + F.exp(log)
+    return likelihood[True] / (likelihood[True] + likelihood[False])
 
 
 def apply(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",), rules: Sequence[Rule] | None = None, threshold: float = 0.5) -> DataFrame:
