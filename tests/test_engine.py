@@ -235,3 +235,11 @@ def test_same_as_sql(spark, name):
     want = sorted((tuple(dict(zip(names, r))[c] for c in sorted(names)) for r in cur.fetchall()), key=repr)
     df = QUERIES[name](spark, folder)
     assert sorted((tuple(r[c] for c in sorted(df.columns)) for r in df.collect()), key=repr) == want
+
+
+def test_tracked_values_tell_what_they_leave_out(spark, tmp_path):
+    (tmp_path / "many.json").write_text(json.dumps([{"v": f"x{i % 70}", "w": f"y{i % 3}"} for i in range(140)] + [{"v": None}]), encoding="utf-8")
+    side = J.load(spark, str(tmp_path / "many.json"))
+    facts = lambda f: {(r["populated"], r["distinct"], r["lower_bound"], r["groupable"]) for r in views.tracked_distribution(side, f).collect()}
+    assert views.tracked_distribution(side, "v").count() == 64
+    assert facts("v") == {(140, 70, True, False)} and facts("w") == {(140, 3, False, True)}

@@ -24,10 +24,17 @@ def distribution(side: Snapshot, field: str) -> DataFrame:
 
 
 def tracked_distribution(side: Snapshot, field: str) -> DataFrame:
-    """A11 with the feature's cap: counts of the first TRACKED_VALUES distinct values in record order; one row of ``more`` tells whether others exist."""
+    """A11 with the feature's cap: counts of the first TRACKED_VALUES distinct values in record order.
+
+    Each row has the facts of all values beside it: ``populated`` and ``distinct``, whether
+    that is a ``lower_bound`` for the feature (which tracks no more values), and whether the
+    field is ``groupable``.
+    """
     v = side.col(field)
     values = side.df.where(~V.is_blank(v)).groupBy(V.text_of(v).alias("value")).agg(F.count("*").alias("count"), F.min("idx").alias("first"))
-    return values.orderBy("first").limit(TRACKED_VALUES).withColumn("groupable", F.lit(True))
+    whole = values.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("populated"), F.count("*").alias("distinct"))
+    whole = whole.withColumns({"lower_bound": F.col("distinct") > TRACKED_VALUES, "groupable": F.col("distinct").between(1, GROUPABLE)})
+    return values.orderBy("first").limit(TRACKED_VALUES).crossJoin(F.broadcast(whole))
 
 
 def evidence(matched: DataFrame, reference: Snapshot, candidate: Snapshot, fields: Sequence[str]) -> DataFrame:
