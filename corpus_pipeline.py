@@ -26,15 +26,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of the n-gram Jaccard join the document with the least doc_id stays; a null doc_id stays too.
+    """Of each component of the n-gram Jaccard join one row stays: the one with the least doc_id (nulls last), then the least digest of the row.
 
-    Rows that repeat that doc_id are reduced to one: the least text.
+    Rows are told apart by all their columns, so rows that share a doc_id or have none go
+    only if their texts are linked; rows without shingles have no links and stay.
     """
-    joined = jaccard_join.apply(docs)
-    kept = joined.where("doc_id = component_id").select("doc_id").distinct()
-    first = docs.select(*COLUMNS).join(kept, "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("d"))
-    alone = docs.where("doc_id is null").select(*COLUMNS)
-    return first.select("doc_id", "d.*").select(*COLUMNS).unionByName(alone)
+    no_id = F.lit("0").cast(docs.schema["doc_id"].dataType)
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", no_id).alias("doc_id"), F.md5(F.to_json(F.struct(*COLUMNS))).alias("digest"))
+    named = docs.select(row.alias("row"), *COLUMNS)
+    joined = jaccard_join.apply(named, doc_id="row")
+    kept = joined.where("doc_id = component_id").groupBy(F.col("doc_id").alias("row")).agg(F.max("n_shingles").alias("n"))
+    left = named.join(kept, "row")
+    first = left.where("n > 0").groupBy("row").agg(F.min(F.struct(*COLUMNS)).alias("d"))
+    return first.select("d.*").unionByName(left.where("n = 0").select(*COLUMNS))
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -340,3 +340,12 @@ def test_queries_registered(spark):
     import __spark_entry__ as entry
 
     assert {f"op{n}" for n in range(1, 11)} <= {x.split("_")[0] for x in entry.queries()} and "pipeline" in entry.queries()
+
+
+def test_rows_without_a_link_stay(spark):
+    import corpus_pipeline
+
+    rows = [(3, prose(80, 3)), (7, prose(80, 3)), (7, prose(80, 4)), (8, prose(80, 5)), (8, prose(80, 5)), (None, prose(80, 6)), (None, prose(80, 6)), (None, prose(80, 3)), (None, ""), (9, None)]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert sorted(got, key=repr) == sorted([rows[0], rows[2], rows[3], rows[5], rows[8], rows[9]], key=repr)
