@@ -349,3 +349,8 @@ def test_rows_without_a_link_stay(spark):
     docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
     assert sorted(got, key=repr) == sorted([rows[0], rows[2], rows[3], rows[5], rows[8], rows[9]], key=repr)
+
+
+def test_url_table_is_not_test_data():
+    urls = {u for u, _ in url_filter.TRAINING}
+    assert not urls & {"https://therin.example.net/en/770#top", "https://thther.example.org/en/685"} and len(urls) == 48

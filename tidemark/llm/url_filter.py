@@ -29,7 +29,7 @@ WANTED = (
     "https://recipes.example.com/bread/rye", "https://weather.example.net/forecast/7", "https://school.example.edu/lessons/math/4",
     "https://www.garden.example.com/plants/roses", "https://history.example.org/essays/trade", "https://python.example.org/library/json.html",
     "https://health.example.gov/advice/sleep", "https://magazine.example.net/issues/14/review", "https://blog.travel.example.com/fr/825?page=2",
-    "https://www.theatre.example.org/programme/853/", "https://therin.example.net/en/770#top", "https://thther.example.org/en/685",
+    "https://www.theatre.example.org/programme/853/", "https://orchard.example.net/en/harvest#top", "https://lighthouse.example.org/en/keepers",
 )
 UNWANTED = (
     "http://www.cheap-pills.example.com/buy/now", "http://spam-farm.example.org/en/728?ref=x", "http://win-casino.example.net/bonus/free",
