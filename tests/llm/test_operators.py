@@ -354,3 +354,14 @@ def test_rows_without_a_link_stay(spark):
 def test_url_table_is_not_test_data():
     urls = {u for u, _ in url_filter.TRAINING}
     assert not urls & {"https://therin.example.net/en/770#top", "https://thther.example.org/en/685"} and len(urls) == 48
+
+
+def test_quality_training_sees_single_passages(spark, monkeypatch):
+    seen = []
+    train = quality_mil.train
+    monkeypatch.setattr(quality_mil, "train", lambda bags, labels: seen.extend((y, np.array(b)) for b, y in zip(bags, labels)) or train(bags, labels))
+    long = prose(20_000, 7)
+    table = spark.createDataFrame([(1, long, 1), (2, "buy " * 200, 0)], "doc_id long, text string, quality int")
+    quality_mil.fit(table.select("doc_id", "text"), table.select("doc_id", "quality"))
+    assert {y: len(b) for y, b in seen} == {1: 313, 0: 4}
+    assert np.array_equal(dict(seen)[1], quality_mil.passages(long).astype(np.float16))

@@ -6,9 +6,9 @@ sigmoid branch) weighs the passages; the weighted sum is scored by a logistic la
 weights are learned together from labels of whole documents.
 
 Training takes at most ``sample`` labelled documents (those with the smallest hashes), a
-documented bound, whose passage features reach the driver; scoring covers every passage of
-every text in one pass without a shuffle. A training document of over ``bag`` passages is
-described by ``bag`` even stretches of them; scoring uses all.
+documented bound, and all their passages, whose features reach a file of the driver's and are
+read from there one batch of documents at a time; scoring covers every passage of every text
+in one pass without a shuffle.
 
 Null and empty texts are one passage without words. Labels that are null, or documents with
 both labels, teach nothing. Without labels of both kinds every score is the share of label 1
@@ -17,6 +17,7 @@ both labels, teach nothing. Without labels of both kinds every score is the shar
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -78,7 +79,7 @@ class Model:
 
 
 def train(bags: Sequence[np.ndarray], labels: Sequence[int], hidden: int = 24, attention: int = 12, epochs: int = 15, rate: float = 0.01, seed: int = 5) -> Model:
-    """Adam over mini-batches of bags; the loss weighs both labels alike in sum, softened by a square root."""
+    """Adam over mini-batches of bags, of which one at a time is in memory as 32-bit numbers; the loss weighs both labels alike in sum, softened by a square root."""
     y_all = np.array(labels, float)
     share = float(y_all.mean()) if len(y_all) else 0.5
     rng = np.random.default_rng(seed)
@@ -86,16 +87,17 @@ def train(bags: Sequence[np.ndarray], labels: Sequence[int], hidden: int = 24, a
     w = {"encode": np.vstack([init(N_FEATURES, hidden), np.zeros((1, hidden), np.float32)]), "tanh": init(hidden, attention), "gate": init(hidden, attention), "attend": init(attention, 1)[:, 0], "score": np.zeros(hidden + 1, np.float32)}
     if share in (0.0, 1.0) or not len(y_all):
         return Model(np.zeros(N_FEATURES, np.float32), np.ones(N_FEATURES, np.float32), *w.values(), share=share)
-    rows = np.vstack(bags)
-    mean, scale = rows.mean(0), 1 / (rows.std(0) + 0.02)
-    bags = [((b - mean) * scale).astype(np.float32) for b in bags]
+    n = sum(map(len, bags))
+    mean = sum(b.sum(0, dtype=float) for b in bags) / n
+    spread = np.sqrt(sum(((b - mean) ** 2).sum(0) for b in bags) / n)
+    mean, scale = mean.astype(np.float32), (1 / (spread + 0.02)).astype(np.float32)
     weight = np.where(y_all == 1, 1 / np.sqrt(share), 1 / np.sqrt(1 - share))
     m, v, step = {k: np.zeros_like(x) for k, x in w.items()}, {k: np.zeros_like(x) for k, x in w.items()}, 0
     for _ in range(epochs):
         order = rng.permutation(len(bags))
         for at in range(0, len(order), 64):
             own = order[at : at + 64]
-            x = np.vstack([bags[i] for i in own])
+            x = (np.vstack([bags[i] for i in own]).astype(np.float32) - mean) * scale
             sizes = np.array([len(bags[i]) for i in own])
             heads = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             bag = np.repeat(np.arange(len(own)), sizes)
@@ -123,27 +125,31 @@ def train(bags: Sequence[np.ndarray], labels: Sequence[int], hidden: int = 24, a
     return Model(mean, scale, *w.values())
 
 
-def _shortened(x: np.ndarray, bag: int) -> np.ndarray:
-    return x if len(x) <= bag else np.vstack([p.mean(0) for p in np.array_split(x, bag)])
-
-
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality", sample: int = 3000, bag: int = 16) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality", sample: int = 3000) -> Model:
     """Learns from at most ``sample`` documents of ``docs`` that ``labels`` marks."""
+    python_tasks(docs.sparkSession, 100)
     marks = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("y")).where("y in (0, 1)")
     marks = marks.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("high")).where("y = high").select("doc_id", "y")
     chosen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(marks, "doc_id")
     # the hash order of ids picks the sample before texts move
     ids = docs.select(F.col(doc_id).alias("doc_id")).join(marks, "doc_id", "left_semi").distinct().orderBy(F.xxhash64("doc_id")).limit(sample)
-    chosen = chosen.join(F.broadcast(ids), "doc_id", "left_semi")  # at most ``sample`` ids
+    chosen = chosen.join(F.broadcast(ids), "doc_id", "left_semi").repartition(32)  # at most ``sample`` ids; spread, as the driver takes a task's result at once
 
     @F.pandas_udf("binary")
     def described(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in parts:
-            yield pd.Series([_shortened(passages(t), bag).astype(np.float16).tobytes() for t in texts], dtype=object)
+            yield pd.Series([passages(t).astype(np.float16).tobytes() for t in texts], dtype=object)
 
     got = chosen.select("doc_id", "y", F.xxhash64(text_key(F.col("doc_id"), F.col("text"))).alias("o"), described("text").alias("x")).toLocalIterator()
-    rows = sorted(((r["o"], r["y"], bytes(r["x"])) for r in got), key=lambda r: (r[0], r[1]))[:sample]
-    return train([np.frombuffer(x, np.float16).reshape(-1, N_FEATURES).astype(np.float32) for _, _, x in rows], [y for _, y, _ in rows])
+    with tempfile.TemporaryFile() as file:
+        rows, end = [], 0
+        for r in got:  # a text at a time
+            rows.append((r["o"], r["y"], end // (2 * N_FEATURES), len(r["x"]) // (2 * N_FEATURES)))
+            end += file.write(r["x"])
+        file.flush()
+        rows = sorted(rows)[:sample]
+        data = np.memmap(file, np.float16, "r", 0, (end // (2 * N_FEATURES), N_FEATURES)) if end else np.zeros((0, N_FEATURES), np.float16)
+        return train([data[at : at + n] for _, _, at, n in rows], [y for _, y, _, _ in rows])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
