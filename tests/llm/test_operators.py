@@ -171,44 +171,65 @@ def test_jaccard_join(docs, texts, no_docs):
     assert jaccard_join.apply(no_docs).count() == 0
 
 
-def test_parity_maps():
-    r = np.random.default_rng(5)
-    for n, m, both in ((1, 1, 1), (1, 1, 0), (40, 50, 38), (700, 700, 610), (700, 900, 690), (3000, 40, 40), (9000, 9000, 8999), (500, 500, 0)):
-        s = np.unique(r.integers(0, 1 << 64, n + m - both, dtype=np.uint64))
-        x, y = np.sort(s[:n]), np.sort(s[n - both :])
-        least = jaccard_join.least_difference(jaccard_join.parity(x), jaccard_join.parity(y))
-        assert least <= n + m - 2 * both and (least > 0) == (n + m > 2 * both)
-        assert least == jaccard_join.least_difference(jaccard_join.parity(y), jaccard_join.parity(x))
-
-
-def test_jaccard_near_copies(spark, monkeypatch):
-    """Groups of near copies, chains of edits and a shared passage, with frequent shingles from few texts on."""
+def near_copies(groups: int, each: int, passages: int) -> list[tuple[int, str]]:
+    """Groups of near copies that are chains of edits, and texts around a shared passage."""
     r, pairs = random.Random(9), []
-    for g in range(6):
+    for g in range(groups):
         words = prose(r.randint(12, 120), 100 + g).split()
-        for _ in range(25):
+        for _ in range(each):
             for _ in range(r.randint(0, 2)):
                 words[r.randrange(len(words))] = f"w{r.randrange(10**6)}"
             pairs.append((len(pairs), " ".join(words)))
     passage = prose(40, 77)
-    pairs += [(len(pairs) + i, f"{passage} {prose(r.randint(4, 30), 500 + i)}") for i in range(60)]
+    return pairs + [(len(pairs) + i, f"{passage} {prose(r.randint(4, 30), 500 + i)}") for i in range(passages)]
+
+
+@pytest.mark.parametrize("frequent", [(64, 1024), (1, 4)])
+def test_jaccard_near_copies(spark, monkeypatch, frequent):
+    pairs = near_copies(6, 25, 60)
+    monkeypatch.setattr(jaccard_join, "CHUNK", 3000)
     df = spark.createDataFrame(pairs, "doc_id long, text string").repartition(3)
-    monkeypatch.setattr(jaccard_join, "_grades", lambda counter, n: (np.full(jaccard_join.BUCKETS, 200, np.uint8), 100))
-    assert rows(jaccard_join.apply(df, rounds=2), "n_shingles", "component_id") == brute_components(pairs)
+    assert rows(jaccard_join.apply(df, frequent=frequent, rounds=2), "n_shingles", "component_id") == brute_components(pairs)
+
+
+def test_jaccard_without_broadcast(spark, monkeypatch):
+    pairs = near_copies(3, 6, 5)
+    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 0)
+    df = spark.createDataFrame(pairs, "doc_id long, text string").repartition(2)
+    assert rows(jaccard_join.apply(df), "n_shingles", "component_id") == brute_components(pairs)
+
+
+def met(x, y, counts, frequent):
+    """Whether two sets meet by an index signature of the smaller one and pass the filter on what stands behind it."""
+    if (len(x), x.tobytes()) > (len(y), y.tobytes()):
+        x, y = y, x
+    a, b = (jaccard_join.signatures(s, counts(s), 75, frequent) for s in (x, y))
+    behind = {int(s): int(r) for s, r in zip(b[0], b[1])}
+    return any(i and int(s) in behind and min(int(r), behind[int(s)]) * 175 >= 75 * (len(x) + len(y)) for s, r, i in zip(*a))
 
 
 def test_signatures_lose_no_link():
-    r = random.Random(6)
-    for trial in range(120):
+    r, linked = random.Random(6), 0
+    for trial in range(400):
         n = r.randint(2, 200)
         x = np.unique(np.array([r.randrange(2**64) for _ in range(n)], np.uint64))
-        keep = sorted(r.sample(range(len(x)), -(-6 * len(x) // 7)))
-        y = np.unique(np.concatenate([x[keep], np.array([r.randrange(2**64) for _ in range(len(x) // 8)], np.uint64)]))
-        both = len(np.intersect1d(x, y))
-        grades = np.random.default_rng(trial).choice([10, 20, 100, 120], jaccard_join.BUCKETS, p=r.choice([[0.5, 0.5, 0, 0], [0.4, 0.3, 0.2, 0.1], [0.05, 0.05, 0.4, 0.5], [0, 0, 0.5, 0.5]])).astype(np.uint8)
-        if 100 * both >= 75 * (len(x) + len(y) - both):
-            a, b = ({*np.concatenate(jaccard_join.signatures(s, grades, 100, 75)[::2]).tolist()} for s in (x, y))
-            assert a & b or np.array_equal(x, y)
+        keep = sorted(r.sample(range(len(x)), -(-r.choice([6, 7, 8, 9]) * len(x) // 10)))
+        y = np.unique(np.concatenate([x[keep], np.array([r.randrange(2**64) for _ in range(r.randint(0, len(x) // 4))], np.uint64)]))
+        both = np.intersect1d(x, y)
+        shares = r.choice([[1, 0, 0], [0.7, 0.2, 0.1], [0.1, 0.4, 0.5], [0, 1, 0], [0, 0, 1], [0.15, 0.85, 0]])
+        drawn = dict(zip(both.tolist(), np.random.default_rng(trial).choice([2, 100, 2000], len(both), p=shares)))
+        counts = lambda s: np.array([drawn.get(v, 1 + (v % 3 == 0) * 80) for v in s.tolist()])
+        if 100 * len(both) >= 75 * (len(x) + len(y) - len(both)) and not np.array_equal(x, y):
+            linked += 1
+            assert met(x, y, counts, jaccard_join.FREQUENT)
+    assert linked > 100
+
+
+def test_sets_without_a_partner_sign_nothing():
+    s = np.arange(1, 201, dtype=np.uint64)
+    assert not len(jaccard_join.signatures(s, np.where(np.arange(200) < 51, 1, 5000), 75)[0])
+    sigs, rest, index = jaccard_join.signatures(s, np.where(np.arange(200) < 45, 1, 5000), 75)  # may have smaller partners, of which it can't be the smaller one
+    assert len(sigs) and not index.any() and set(rest) == {155}
 
 
 def test_components(spark):

@@ -73,7 +73,12 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def python_tasks(spark: SparkSession, rows: int = 500) -> None:
-    """Readies Python workers: the package at hand, and Arrow batches of few rows, so that long texts stay small beside an executor's memory."""
+#: Most rows and bytes of an Arrow batch, for all operators alike; a longer text is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
+
+
+def python_tasks(spark: SparkSession) -> None:
+    """Readies Python workers: the package at hand, and Arrow batches that stay small beside an executor's memory."""
     ship_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

@@ -1,47 +1,50 @@
 """Exact n-gram Jaccard join by token-combination prefixes, and the components of its links.
 
-A text's set holds the distinct hashes of its k-word shingles. Texts with equal sets are one
-class, and only classes are compared.
-
-Signatures. A counter over hashed buckets, summed over all texts, grades shingles by how
-often they occur, and the global order puts the rarest first; the top grades are the
-frequent ones. A set of n shingles can miss at most
-``n - ceil(t * n)`` of them in any partner, so a prefix longer than that shares a shingle
-with each partner. Rare shingles of the prefix are signatures themselves, but for those alone in
-their bucket, which nothing can share. Where rare ones
-don't suffice, the prefix is extended into the frequent ones: these are dealt into
-subclasses, the signatures are the pairs within a subclass, and as a subclass of c shingles
-is sure of a shared pair only once two are shared, it counts c - 1. The number of subclasses
-follows the size of the set, in bands a factor 1/t apart; a set takes its own band's and the
-next one's, so that any two sets that can link have a band in common. Whatever the counter
-calls frequent, no link is lost; it only steers how many candidates there are.
-
-Candidates. Classes that share a signature are candidates, unless their sizes differ too
-much or too few shingles stand behind a rare signature for it to be the first shared one. Each class is first compared
-with the least class of its signatures that it meets most often, then linked classes are one
-component, and only pairs of different components that still share a signature go on: by
-stars around other classes while that lessens their number well, and at last all such pairs. So a group of
-near copies costs its size, not its square, and every link between components is tested.
-
-Verifying first compares parity maps: of each set, which of 2n to 4n hash values an odd number of
-its shingles has. Two maps differ in no more bits than the sets do in shingles, so pairs whose
-maps differ too much have no link and the others alone meet the whole sets (40 bits a
-shingle). The only errors possible are clashes of 64-bit class keys and of 40-bit shingles
-within one pair.
-
-Null and empty texts have the empty set, no links, and are their own component. Documents
-that repeat a doc_id count as documents; a null doc_id is the component's id only if all
-are null.
+A text's set holds the distinct 64-bit hashes of its k-word shingles. Texts with equal sets
+are one class, and only classes are compared. A set of n shingles can miss at most
+``n - ceil(t * n)`` of them in any partner.
+
+Sample. All shingles below a fixed hash value (``SAMPLE`` of all) are shuffled with their
+class; a class that has more of them for itself than it may miss has no partner and is out.
+Texts of unrelated content end here, at the price of a third of their shingles.
+
+Counts. The shingles of the other classes are counted exactly, over all these classes. The
+global order is by count, then by hash. Both shuffles add up each task's rows first, so a
+shingle costs as many rows as there are chunks of texts that hold it, not as there are texts.
+
+Signatures. The first shared shingle of two linked sets stands within the prefix of each
+that it may miss, plus one. Rare shingles of the prefix are signatures alone. Where
+rare ones don't suffice, the prefix is extended into the frequent ones, which stand behind
+them: those of the middle class are signed in pairs, the hottest in triples. They are
+dealt into subclasses, and as a subclass of c shingles is sure of a shared combination of k
+only once k are shared, it counts c - k + 1. The number of subclasses follows the size of
+the set, in bands a factor 1/t apart; a set signs in its own band, and for larger partners in the
+next one, so that any two sets that can link have a band in common. Of two linked sets the
+smaller shares so much of itself that its signature stands in a shorter prefix (``index``); only such
+signatures meet others. So sets with much of their own beside a common passage meet nothing.
+
+Candidates. Classes that share a signature are candidates unless sizes, or what stands
+behind the signature, leave too little to share. Each class is compared with one class, the
+hub, of those signatures whose hub it meets most often; linked classes become one component, and
+only signatures that still join different components go on: around other hubs while that
+lessens their pairs well, and at last all such pairs. So a group of near copies costs its size, not its
+square, and every link between components is tested, on the whole sets.
+
+The only errors possible are clashes of 64-bit hashes. Null and empty texts have the empty
+set, no links, and are their own component. Documents that repeat a doc_id count as
+documents; a null doc_id is the component's id only if all are null. A text is hashed
+as a whole whatever its length; one text's set is the least unit of memory.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
-from math import log
+from itertools import combinations
+from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,14 +52,16 @@ from .common import materialize, python_tasks
 from .components import components
 from .rolling import Words, mix
 
-#: Buckets of the shingle counter (a power of two) and the pieces it is summed in.
-BUCKETS, PIECES = 1 << 22, 256
-#: Parts of a frequent signature's group in the first round, so that no task holds it whole.
-SALTS = 8
-#: A round of stars that leaves a larger share of the possible pairs is the last.
-PAYS = 0.75
-#: A document filter of so many slots picks the texts whose sets are needed.
-SLOTS = 1 << 22
+#: Shingle hashes below this value are the sample: 35 in 100.
+SAMPLE = int(0.35 * 2**64)
+#: Shingles that a task adds up at a time.
+CHUNK = 1 << 20
+#: Above so many classes a shingle is frequent (pairs), and above so many hot (triples).
+FREQUENT = (64, 1024)
+#: Sides of at most so many rows of a few numbers are broadcast; larger ones are shuffled.
+BROADCAST_ROWS = 1_000_000
+#: A round of hubs that leaves a larger share of the possible pairs is the last.
+PAYS = 0.5
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
@@ -72,168 +77,176 @@ def class_key(s: np.ndarray) -> int | None:
     return int(mix(np.array([one.sum()]) ^ mix(np.array([two.sum()]))).astype(np.int64)[0])
 
 
-def grades_of(counts: np.ndarray) -> np.ndarray:
-    """One byte a bucket: eighths of a binary logarithm."""
-    return np.minimum(8 * np.log2(counts + 1.0), 255).astype(np.uint8)
+def least_shared(n: int, percent: int) -> int:
+    """How many shingles a set of n shares at least with any partner."""
+    return -(-percent * n // 100)
 
 
-#: The grade of a bucket with one shingle in all texts.
-ALONE = 8
+def least_of_smaller(n: int, percent: int) -> int:
+    """How many it shares at least with a partner that is not smaller."""
+    return -(-2 * percent * n // (100 + percent))
 
 
-def signatures(s: np.ndarray, grades: np.ndarray, often_from: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rare shingles and pairs of frequent ones that any partner shares at least one of; between them, how many shingles stand from each rare one to the end of the order."""
+def band_of(n: int, percent: int) -> int:
+    """Linked sets are of one band or of neighbouring ones."""
+    return int(log(n) / log(100 / percent) + 1e-9)
+
+
+def subclasses(band: int, percent: int) -> int:
+    """Into how many subclasses a band deals pairs, and triples; 0: its sets are so small that every shingle is signed alone."""
+    smallest = (percent / 100) * (100 / percent) ** band * 0.999999  # a smaller partner may be of the band below
+    return max(0, ceil(2 * percent / (100 + percent) * smallest) - 1) // 3
+
+
+def _combined(own: np.ndarray, count: np.ndarray, misses: int, band: int, percent: int, frequent: tuple[int, int]) -> np.ndarray:
+    """Signatures of a band over frequent shingles in global order, of which any partner lacks ``misses`` at most."""
+    parts = subclasses(band, percent)
+    if not parts:
+        return mix(own[: misses + 1] ^ np.uint64(band + 1))
+    hot = count > frequent[1]
+    part = (mix(own ^ np.uint64(band)) % np.uint64(parts)).astype(np.int64) + parts * hot
+    order = np.argsort(part, kind="stable")
+    heads = np.concatenate([[0], np.flatnonzero(np.diff(part[order])) + 1])
+    rank = np.empty(len(own), np.int64)  # place within the subclass
+    rank[order] = np.arange(len(own)) - np.repeat(heads, np.diff(np.append(heads, len(own))))
+    size = int(np.searchsorted(np.cumsum(rank >= 1 + hot), misses + 1)) + 1
+    out = []
+    part, own = part[:size], own[:size]
+    for p in np.unique(part):
+        k = 3 if p >= parts else 2
+        places = np.array(list(combinations(range(int((part == p).sum())), k)), np.int64).reshape(-1, k)
+        key = np.full(len(places), band * 4 + k, np.uint64)
+        for column in places.T:
+            key = mix(key * np.uint64(0x9FB21C651E98DF25) + own[part == p][column])
+        out.append(key)
+    return np.unique(np.concatenate(out)) if out else own[:0]
+
+
+def signatures(s: np.ndarray, counts: np.ndarray, percent: int, frequent: tuple[int, int] = FREQUENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of a set whose shingles occur in ``counts`` sets; how many shingles a pair that first meets by it can share at most; whether it may be the smaller set's."""
     n = len(s)
-    need = n + 1 - -(-percent * n // 100)
-    grade = grades[(s & np.uint64(BUCKETS - 1)).astype(np.int64)]
-    order = np.argsort(grade, kind="stable")  # by grade, then by hash
-    s, grade = s[order], grade[order]
-    n_rare = int(np.searchsorted(grade, often_from))
-    own = s[n_rare:]
-    rare = s[: min(n_rare, need)]
-    need -= len(rare)
-    shared = grade[: len(rare)] != ALONE
-    rare, rest = rare[shared], n - np.flatnonzero(shared)
-    if need <= 0:
-        return rare, rest, s[:0]
-    pairs = []
-    band = int(log(n) / log(100 / percent) + 1e-9) if n > 1 else 0
-    for b in (band, band + 1):
-        # the least size of the band bounds the subclasses; a set of the band below holds enough too
-        parts = max(1, int((100 / percent) ** (b - 1) * 0.25))
-        part = (mix(own ^ np.uint64(b)) % np.uint64(parts)).astype(np.int64)
-        new = np.zeros(len(own), np.int64)
-        new[np.unique(part, return_index=True)[1]] = 1
-        size = int(np.searchsorted(np.arange(1, len(own) + 1) - np.cumsum(new), need)) + 1
-        head, part = own[:size], part[:size]
-        order = np.argsort(part, kind="stable")
-        head, part = head[order], part[order]
-        for d in range(1, int(np.bincount(part).max(initial=0))):
-            same = part[d:] == part[:-d]
-            pairs.append(mix(head[:-d][same] * np.uint64(0x9FB21C651E98DF25) + head[d:][same] + np.uint64(b)))
-    return rare, rest, np.unique(np.concatenate(pairs)) if pairs else s[:0]
-
-
-def packed(s: np.ndarray) -> bytes:
-    """A set as sorted 40-bit values: low words, then high bytes."""
-    x = np.unique(s >> np.uint64(24))
-    return x.astype("<u4").tobytes() + (x >> np.uint64(32)).astype(np.uint8).tobytes()
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    n = len(data) // 5
-    return np.frombuffer(data, "<u4", n).astype(np.uint64) | np.frombuffer(data, np.uint8, n, 4 * n).astype(np.uint64) << np.uint64(32)
-
-
-def parity(s: np.ndarray) -> bytes:
-    """Bits that tell which hash values an odd number of the set's shingles has: a power of two of them, twice the set's size or more."""
-    bits = max(64, 1 << (2 * len(s) - 1).bit_length())
-    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8)).tobytes()
-
-
-def least_difference(x: bytes, y: bytes) -> int:
-    """In how many shingles two sets differ at least, from their parity maps; the longer one is folded to the other's length."""
-    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-    if len(a) > len(b):
-        a, b = b, a
-    while len(b) > len(a):
-        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
-    return int(np.bitwise_count(a ^ b).sum())
+    shared, smaller = least_shared(n, percent), least_of_smaller(n, percent)
+    order = np.lexsort((s, counts))
+    s, counts = s[order], counts[order]
+    n_rare = int(np.searchsorted(counts, frequent[0], "right"))
+    alone = int(np.searchsorted(counts, 1, "right"))
+    sigs, rests = [s[alone : min(n_rare, n - shared + 1)]], [n - np.arange(alone, max(alone, min(n_rare, n - shared + 1)))]
+    often = n - n_rare
+    for band, least in ((band_of(n, percent), shared), (band_of(n, percent) + 1, smaller)):
+        if often >= least:  # else a partner shares a rare shingle
+            sigs.append(_combined(s[n_rare:], counts[n_rare:], often - least, band, percent, frequent))
+            rests.append(np.full(len(sigs[-1]), often))
+    rest = np.concatenate(rests)
+    return np.concatenate(sigs), rest, rest >= smaller
 
 
 def _census(k: int):
-    """One row a text (doc_id, node, n) and, behind the last, the task's counter in pieces."""
-
     def census(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(BUCKETS, np.uint32)
-        empty = lambda n, kind: pa.nulls(n, kind)
         for batch in batches:
-            nodes, sizes = [], []
-            for t in batch.column(1):
+            nodes, sizes, sampled = [], [], []
+            for t in batch.column(2):
                 s = shingles(t.as_py(), k)
                 nodes.append(class_key(s))
                 sizes.append(len(s))
-                np.add.at(counts, (s & np.uint64(BUCKETS - 1)).astype(np.int64), np.uint32(1))
-            n = len(nodes)
-            yield pa.record_batch([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), empty(n, pa.int32()), empty(n, pa.binary())], ["doc_id", "node", "n", "piece", "data"])
-            doc_type = batch.column(0).type
-        if counts.any():
-            parts = [zlib.compress(p.astype("<u4", copy=False).tobytes(), 1) for p in counts.reshape(PIECES, -1)]
-            yield pa.record_batch([empty(PIECES, doc_type), empty(PIECES, pa.int64()), empty(PIECES, pa.int64()), pa.array(range(PIECES), pa.int32()), pa.array(parts, pa.binary())], ["doc_id", "node", "n", "piece", "data"])
+                sampled.append(int(np.searchsorted(s, np.uint64(SAMPLE))))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sampled, pa.int64())], ["doc_id", "row", "node", "n", "m"])
 
     return census
 
 
-def _add(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(zlib.decompress(x), "<u4").astype(np.int64) for x in table["data"].to_pylist())
-    return pa.table([pa.array([table["piece"][0].as_py()], pa.int32()), pa.array([zlib.compress(np.minimum(total, 2**32 - 1).astype("<u4").tobytes(), 1)], pa.binary())], names=["piece", "data"])
-
-
-def _grades(counter: DataFrame, n_tokens: int) -> tuple[np.ndarray, int]:
-    """Grades of all buckets (BUCKETS bytes whatever the corpus) and the first grade of frequent ones, well above the mean."""
-    counter = counter.withColumn("part", F.pmod(F.xxhash64("data"), F.lit(32)))
-    some = counter.groupBy("piece", "part").applyInArrow(_add, "piece int, data binary")
-    out = np.zeros((PIECES, BUCKETS // PIECES), np.uint8)
-    for r in some.groupBy("piece").applyInArrow(_add, "piece int, data binary").toLocalIterator():
-        out[r["piece"]] = grades_of(np.frombuffer(zlib.decompress(bytes(r["data"])), "<u4"))
-    mean = n_tokens / BUCKETS
-    return out.ravel(), int(grades_of(np.array([2 * mean + 8 * mean**0.5 + 64]))[0])
-
-
-def _signed(k: int, percent: int, grades, often_from: int):
-    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, seen = np.frombuffer(grades.value, np.uint8), set()
+def _sampled(k: int):
+    """(sig, node, met): sampled shingles, of each at most two classes in a chunk; how many more of a class's were met in the chunk stands under the class's own key."""
+
+    def added(sets: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
+        all_, own = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        order = np.argsort(all_, kind="stable")
+        all_, own = all_[order], own[order]
+        third = np.zeros(len(all_), bool)
+        third[2:] = all_[2:] == all_[:-2]
+        met = np.bincount(own[third], minlength=len(nodes))
+        keys, some = np.array(nodes, np.int64), np.flatnonzero(met)
+        sig = np.concatenate([all_[~third].astype(np.int64), keys[some]])
+        node = np.concatenate([keys[own[~third]], keys[some]])
+        more = np.concatenate([np.zeros(len(all_) - third.sum(), np.int64), met[some]])
+        return pa.record_batch([pa.array(sig), pa.array(node), pa.array(more)], ["sig", "node", "met"])
+
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, sets, nodes, size = set(), [], [], 0
         for batch in batches:
-            nodes, kinds, lists, facts = [], [], [], []
             for t in batch.column(0):
                 s = shingles(t.as_py(), k)
                 node = class_key(s)
                 if len(s) > 1 and node not in seen:  # a set of one shingle links with its copies only
                     seen.add(node)
-                    rare, rest, pairs = signatures(s, table, often_from, percent)
-                    for kind, sigs, left in ((False, rare, rest), (True, pairs, np.full(len(pairs), len(s)))):
-                        if len(sigs):
-                            nodes.append(node)
-                            kinds.append(kind)
-                            lists.append(sigs.astype(np.int64))
-                            facts.append(left.astype(np.int64) << 32 | len(s))
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
-            arrays = [pa.ListArray.from_arrays(ends, np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (lists, facts)]
-            yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(kinds, pa.bool_()), *arrays], ["node", "often", "sigs", "facts"])
+                    sets.append(s[: np.searchsorted(s, np.uint64(SAMPLE))])
+                    nodes.append(node)
+                    size += len(sets[-1])
+                    if size > CHUNK:
+                        yield added(sets, nodes)
+                        sets, nodes, size = [], [], 0
+        if nodes:
+            yield added(sets, nodes)
+
+    return sampled
 
-    return signed
 
+def _sets(k: int):
+    """(chunk, node, data): whole sets, in chunks of a task."""
 
-def _sets(k: int, wanted):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags, seen = np.unpackbits(np.frombuffer(wanted.value, np.uint8)).astype(bool), set()
+        seen, chunk, size = set(), TaskContext.get().partitionId() << 24, 0
         for batch in batches:
-            nodes, sizes, maps, data = [], [], [], []
-            for slot, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if flags[slot]:
-                    s = shingles(t.as_py(), k)
-                    node = class_key(s)
-                    if node is not None and node not in seen:
-                        seen.add(node)
-                        nodes.append(node)
-                        sizes.append(len(s))
-                        maps.append(parity(s))
-                        data.append(packed(s))
-            yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(maps, pa.binary()), pa.array(data, pa.binary())], ["node", "n", "map", "data"])
+            chunks, nodes, data = [], [], []
+            for t in batch.column(0):
+                s = shingles(t.as_py(), k)
+                node = class_key(s)
+                if node is not None and node not in seen:
+                    seen.add(node)
+                    if size > CHUNK:
+                        chunk, size = chunk + 1, 0
+                    size += len(s)
+                    chunks.append(chunk)
+                    nodes.append(node)
+                    data.append(s.astype("<u8").tobytes())
+            yield pa.record_batch([pa.array(chunks, pa.int64()), pa.array(nodes, pa.int64()), pa.array(data, pa.binary())], ["chunk", "node", "data"])
 
     return sets
 
 
-def _near(percent: int):
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for n, m, x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist()):
-                keep.append((100 + percent) * (n + m - least_difference(x, y)) >= 2 * percent * (n + m))
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], ["a", "b"])
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, chunk, count): how many sets of the chunk have a shingle."""
+
+    def added(chunk: int, data: list[bytes]) -> pa.RecordBatch:
+        tokens, counts = np.unique(np.frombuffer(b"".join(data), "<u8"), return_counts=True)
+        return pa.record_batch([pa.array(tokens.astype(np.int64)), pa.array(np.full(len(tokens), chunk, np.int64)), pa.array(counts.astype(np.int64))], ["token", "chunk", "count"])
+
+    now, data = None, []
+    for batch in batches:
+        for chunk, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+            if chunk != now and data:
+                yield added(now, data)
+                data = []
+            now = chunk
+            data.append(x.as_py())
+    if data:
+        yield added(now, data)
+
+
+def _signed(percent: int, frequent: tuple[int, int]):
+    def signed(sets: pa.Table, counted: pa.Table) -> pa.Table:
+        tokens, totals = counted["token"].to_numpy().astype(np.uint64), counted["total"].to_numpy()
+        order = np.argsort(tokens)
+        tokens, totals = np.append(tokens[order], np.uint64(2**64 - 1)), np.append(totals[order], 1)
+        columns: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]]
+        for node, x in zip(sets["node"].to_pylist(), sets["data"]):
+            s = np.frombuffer(x.as_py(), "<u8").astype(np.uint64)
+            at = np.searchsorted(tokens, s)
+            sigs, rest, index = signatures(s, np.where(tokens[at] == s, totals[at], 1), percent, frequent)
+            for c, v in zip(columns, (sigs.astype(np.int64), np.full(len(sigs), node), np.full(len(sigs), len(s)), rest, index)):
+                c.append(v)
+        return pa.table([np.concatenate(c) for c in columns], names=["sig", "node", "n", "rest", "index"])
 
-    return near
+    return signed
 
 
 def _linked(percent: int):
@@ -241,7 +254,7 @@ def _linked(percent: int):
         for batch in batches:
             keep = []
             for a, b in zip(batch.column(2), batch.column(3)):
-                x, y = unpacked(a.as_py()), unpacked(b.as_py())
+                x, y = (np.frombuffer(v.as_buffer(), "<u8") for v in (a, b))
                 if len(x) > len(y):
                     x, y = y, x
                 both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
@@ -251,92 +264,81 @@ def _linked(percent: int):
     return linked
 
 
-def _bitmap(slots: DataFrame) -> np.ndarray:
-    """Bit flags of the distinct slots; SLOTS bits whatever the corpus."""
-    out = np.zeros(SLOTS, bool)
-    out[slots.distinct().toPandas().iloc[:, 0].to_numpy(np.int64)] = True
-    return np.packbits(out)
-
+def _may_link(n: Column, rest: Column, n_b: Column, rest_b: Column, percent: int) -> Column:
+    """Whether the smaller set is large enough, and enough can be shared from the signature on in both."""
+    return (100 * F.least(n, n_b) >= percent * F.greatest(n, n_b)) & (F.least(rest, rest_b) * (100 + percent) >= percent * (n + n_b))
 
-def _may_link(x: Column, y: Column, percent: int) -> Column:
-    """Whether two classes that share a signature can link by it: the smaller set is large enough, and if this is the first shingle that they share, enough stand behind it in both orders."""
-    n_x, n_y = x.bitwiseAND(0xFFFFFFFF), y.bitwiseAND(0xFFFFFFFF)
-    least = F.least(F.shiftright(x, 32), F.shiftright(y, 32))
-    return (100 * F.least(n_x, n_y) >= percent * F.greatest(n_x, n_y)) & (least * (100 + percent) >= percent * (n_x + n_y))
 
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
-def _best(pairs: DataFrame) -> DataFrame:
-    """Of each class ``a`` the partner that it shares most signatures with (``count``)."""
-    return pairs.groupBy("a").agg(F.max_by("b", F.struct("count", -F.col("b"))).alias("b"))
 
-
-def apply(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = 5, percent: int = 75, rounds: int = 5) -> DataFrame:
-    """One row a document: ``doc_id``, ``n_shingles`` and ``component_id`` (the least doc_id reachable by links)."""
-    spark = docs.sparkSession
-    python_tasks(spark, 100)
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+def apply(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = 5, percent: int = 75, frequent: tuple[int, int] = FREQUENT, rounds: int = 5) -> DataFrame:
+    """One row a document: ``doc_id``, ``n_shingles`` and ``component_id`` (the least doc_id reachable by links). ``percent`` is below 100."""
+    if not 0 < percent < 100:
+        raise ValueError("percent must be from 1 to 99")
+    python_tasks(docs.sparkSession)
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id, text).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = own.schema["doc_id"].dataType.simpleString()
-    census = materialize(own.mapInArrow(_census(k), f"doc_id {kind}, node long, n long, piece int, data binary"), "census")
-    rows = census.where("piece is null").select("doc_id", "node", "n")
-    n_rows, n_tokens = rows.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"))
-
-    table, often_from = _grades(census.where("piece is not null").select("piece", "data"), n_tokens)
-    grades = spark.sparkContext.broadcast(table.tobytes())  # BUCKETS bytes
-    signed = own.select("text").mapInArrow(_signed(k, percent, grades, often_from), "node long, often boolean, sigs array<long>, facts array<long>")
-    signed = signed.select("node", "often", F.explode(F.arrays_zip("sigs", "facts")).alias("x")).select("node", "often", F.col("x.sigs").alias("sig"), F.col("x.facts").alias("facts")).withColumn("salt", F.when(F.col("often"), F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("byte")).otherwise(F.lit(0).cast("byte")))
-    group = Window.partitionBy("sig", "salt")
-    met = signed.withColumns({"low": F.min(F.struct("node", "facts")).over(group), "high": F.max("node").over(group)}).where("often or low.node < high")
-    met = materialize(met.select("sig", "node", "facts", "low"), "signatures")
-
-    labels = _linked_classes(own, met, nodes, n_rows, k, percent, rounds)
-    roots = nodes.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = materialize(own.mapInArrow(_census(k), f"doc_id {kind}, row long, node long, n long, m long"), "census")
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"), F.min("row").alias("row"), F.max("n").alias("n"), F.max("m").alias("m"))
+
+    sampled = own.select("text").mapInArrow(_sampled(k), "sig long, node long, met long")
+    same = Window.partitionBy("sig")
+    sampled = sampled.withColumn("met", F.col("met") + (F.min("node").over(same) < F.max("node").over(same)).cast("long"))
+    met = sampled.where("met > 0").groupBy("node").agg(F.sum("met").alias("met"))
+    misses = F.col("n") - F.ceil(percent * F.col("n") / 100)
+    open_ = nodes.where("n > 1").join(met, "node", "left").where(F.col("m") - F.coalesce("met", F.lit(0)) <= misses)
+    open_ = materialize(open_.select("node", "row"), "open")
+
+    whole = own.join(_small(open_.select("row"), open_.count()), "row", "left_semi").select("text")
+    sets = materialize(whole.mapInArrow(_sets(k), "chunk long, node long, data binary"), "sets")
+    counted = sets.select("chunk", "data").mapInArrow(_tally, "token long, chunk long, count long")
+    counted = counted.withColumn("total", F.sum("count").over(Window.partitionBy("token"))).where("total > 1").select("chunk", "token", "total")
+    signed = sets.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(_signed(percent, frequent), "sig long, node long, n long, rest long, index boolean")
+
+    labels = _linked_classes(materialize(signed, "signatures"), sets.select("node", "data"), percent, rounds)
+    roots = nodes.select("node", "low").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = roots.join(roots.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("node", "component_id")
     return rows.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _linked_classes(own: DataFrame, met: DataFrame, nodes: DataFrame, n_rows: int, k: int, percent: int, rounds: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the written pairs (a, b) whose sets link."""
+    few = _small(pairs, pairs.count())
+    x = sets.select(F.col("node").alias("a"), F.col("data").alias("x")).join(few, "a")
+    hubs = sets.join(_small(pairs.select(F.col("b").alias("node")), pairs.count()), "node", "left_semi").dropDuplicates(["node"])
+    both = x.join(hubs.select(F.col("node").alias("b"), F.col("data").alias("y")), "b")
+    return materialize(both.select("a", "b", "x", "y").mapInArrow(_linked(percent), "a long, b long").distinct(), "verified")
+
+
+def _linked_classes(signed: DataFrame, sets: DataFrame, percent: int, rounds: int) -> DataFrame:
     """``(node, root)`` of the classes that have a verified link."""
-    spark = own.sparkSession
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
-    needed = nodes.join(met.select("node").distinct(), "node").select(F.pmod(F.xxhash64("low"), F.lit(SLOTS)).alias("slot"))
-    wanted = spark.sparkContext.broadcast(_bitmap(needed).tobytes())  # SLOTS bits
-    sets = own.select(slot.alias("slot"), "text").mapInArrow(_sets(k, wanted), "node long, n long, map binary, data binary")
-    sets = materialize(sets.dropDuplicates(["node"]), "sets")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        a, b = (sets.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("map").alias(f"map_{c}")) for c in "ab")
-        near = pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "map_a", "map_b").mapInArrow(_near(percent), "a long, b long")
-        both = near.join(sets.select(F.col("node").alias("a"), F.col("data").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("data").alias("y")), "b")
-        return materialize(both.select("a", "b", "x", "y").mapInArrow(_linked(percent), "a long, b long"), "verified")
-
-    pairs = met.where("low.node < node").where(_may_link(F.col("facts"), F.col("low.facts"), percent)).groupBy(F.col("node").alias("a"), F.col("low.node").alias("b")).count()
-    pairs = materialize(_best(pairs), "pairs")
-    checked, labels, before = pairs, components(verify(pairs)), None
+    links, labels, before = None, signed.sparkSession.createDataFrame([], "node long, root long"), None
     for turn in range(rounds + 1):
-        labelled = met.select("sig", "node", "facts").join(labels, "node", "left").select("sig", "node", "facts", F.coalesce("root", "node").alias("root"))
-        apart = labelled.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"), F.min_by(F.struct("node", "root", "facts"), F.xxhash64("node", F.lit(turn))).alias("star")).where("low < high")
-        open_ = materialize(labelled.join(apart.select("sig", "size", "star"), "sig"), "open")
-        total = open_.agg(F.sum(F.col("size").cast("double"))).first()[0] or 0.0  # the squares of the sizes, summed over signatures
-        if not total:
+        labelled = signed.select("sig", "node", "n", "rest", "index").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        hub = F.min_by(F.struct("node", "n", "rest", "root"), F.struct(~F.col("index"), F.xxhash64("node", F.lit(turn))))
+        groups = labelled.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"), F.max("index").alias("any"), hub.alias("hub")).where("low < high and any")
+        # a signature whose classes are one component stays so
+        signed = materialize(labelled.join(groups.select("sig", "size", "hub"), "sig"), "open")
+        n_rows, total = signed.agg(F.count("*"), F.sum(F.when(F.col("index"), F.col("size")).cast("double"))).first()
+        if not n_rows:
             break
-        last = turn == rounds or total <= 2 * n_rows or (before is not None and total > PAYS * before)
+        last = turn == rounds or total <= 4 * n_rows or (before is not None and total > PAYS * before)
         before = total
         if last:
-            x, y = (open_.select("sig", F.col("node").alias(c), F.col("facts").alias(f"facts_{c}"), F.col("root").alias(f"root_{c}")) for c in "ab")
-            near = _may_link(F.col("facts_a"), F.col("facts_b"), percent)
-            pairs = x.join(y.withColumnRenamed("sig", "sig_b"), (F.col("sig") == F.col("sig_b")) & (F.col("root_a") < F.col("root_b")) & near).select("a", "b").distinct()
+            x = signed.where("index").select("sig", F.col("node").alias("a"), "n", "rest", "root")
+            y = signed.select(F.col("sig").alias("sig_b"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("rest").alias("rest_b"), F.col("root").alias("root_b"))
+            smaller = (F.col("n") < F.col("n_b")) | (F.col("n") == F.col("n_b")) & (F.col("a") < F.col("b"))
+            pairs = x.join(y, (F.col("sig") == F.col("sig_b")) & (F.col("root") != F.col("root_b")) & smaller & _may_link(F.col("n"), F.col("rest"), F.col("n_b"), F.col("rest_b"), percent)).select("a", "b").distinct()
         else:
-            star = open_.select(F.col("node").alias("a"), "facts", "root", F.col("star.node").alias("b"), F.col("star.facts").alias("facts_b"), F.col("star.root").alias("root_b"))
-            pairs = _best(star.where("root <> root_b").where(_may_link(F.col("facts"), F.col("facts_b"), percent)).groupBy("a", "b").count())
-        fresh = materialize(pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
-        new = verify(fresh)
-        checked = checked.unionByName(fresh)
-        if new.isEmpty():
-            if last:
-                break
-            continue
-        labels = components(labels.where("node <> root").unionByName(new.toDF("node", "root")))
+            near = (F.col("root") != F.col("hub.root")) & _may_link(F.col("n"), F.col("rest"), F.col("hub.n"), F.col("hub.rest"), percent)
+            pairs = signed.where(near).groupBy(F.col("node").alias("a"), F.col("hub.node").alias("b")).count()
+            pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("count", -F.col("b"))).alias("b"))
+        new = _verified(materialize(pairs, "pairs"), sets, percent)
+        if not new.isEmpty():
+            links = new if links is None else links.unionByName(new)
+            labels = components(labels.where("node <> root").unionByName(new.toDF("node", "root")))
         if last:
             break
     return labels

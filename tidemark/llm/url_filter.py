@@ -97,7 +97,7 @@ def train(table: Sequence[tuple[str, int]] = TRAINING, bits: int = 15, rounds: i
 
 def apply(pages: DataFrame, rules: Sequence[tuple[str, str, str]], url: str = "url", keep: Sequence[str] = ("page_id",), table: Sequence[tuple[str, int]] = TRAINING, bits: int = 15, threshold: float = 0.5) -> DataFrame:
     """Columns of ``keep``, ``host``, ``path``, ``rule``, ``score`` (probability of a wanted page) and ``verdict`` (the rule's, else the model's)."""
-    python_tasks(pages.sparkSession, 5000)
+    python_tasks(pages.sparkSession)
     weights, bias = train(table, bits)
     sent = pages.sparkSession.sparkContext.broadcast(weights.astype(np.float32))  # 2 ** bits floats
 
