@@ -24,10 +24,11 @@ smaller shares so much of itself that its signature stands in a shorter prefix (
 signatures meet others. So sets with much of their own beside a common passage meet nothing.
 
 Candidates. Classes that share a signature are candidates unless sizes, or what stands
-behind the signature, leave too little to share. Each class is compared with one class, the
-hub, of those signatures whose hub it meets most often; linked classes become one component, and
-only signatures that still join different components go on: around other hubs while that
-lessens their pairs well, and at last all such pairs. So a group of near copies costs its size, not its
+behind the signature, leave too little to share. A few classes of each signature are its
+hubs, and each class is compared with the hubs that it meets most often and those of its
+rarest signatures; linked classes become one component, and
+only signatures that still join different components go on: around other hubs while these
+find links, and at last all pairs of different components. So a group of near copies costs its size, not its
 square, and every link between components is tested, on the whole sets.
 
 The only errors possible are clashes of 64-bit hashes. Null and empty texts have the empty
@@ -60,8 +61,10 @@ CHUNK = 1 << 20
 FREQUENT = (64, 1024)
 #: Sides of at most so many rows of a few numbers are broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 1_000_000
-#: A round of hubs that leaves a larger share of the possible pairs is the last.
-PAYS = 0.5
+#: Hubs of a signature in a round, and of a class by either order.
+HUBS = 4
+#: After a round of hubs that links a smaller share of what it compared, all pairs left are compared.
+LINKS = 0.02
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
@@ -273,7 +276,7 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def apply(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = 5, percent: int = 75, frequent: tuple[int, int] = FREQUENT, rounds: int = 5) -> DataFrame:
+def apply(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = 5, percent: int = 75, frequent: tuple[int, int] = FREQUENT, rounds: int = 8) -> DataFrame:
     """One row a document: ``doc_id``, ``n_shingles`` and ``component_id`` (the least doc_id reachable by links). ``percent`` is below 100."""
     if not 0 < percent < 100:
         raise ValueError("percent must be from 1 to 99")
@@ -314,30 +317,36 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _linked_classes(signed: DataFrame, sets: DataFrame, percent: int, rounds: int) -> DataFrame:
     """``(node, root)`` of the classes that have a verified link."""
-    links, labels, before = None, signed.sparkSession.createDataFrame([], "node long, root long"), None
+    labels, found, tested = signed.sparkSession.createDataFrame([], "node long, root long"), 1, 1
     for turn in range(rounds + 1):
         labelled = signed.select("sig", "node", "n", "rest", "index").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        hub = F.min_by(F.struct("node", "n", "rest", "root"), F.struct(~F.col("index"), F.xxhash64("node", F.lit(turn))))
-        groups = labelled.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"), F.max("index").alias("any"), hub.alias("hub")).where("low < high and any")
+        # first those with the least of their own before the signature, as an original among its copies; then any
+        central = [F.col("n") - F.col("rest"), F.floor((F.col("n") - F.col("rest")) / 4), *[F.lit(0)] * (HUBS - 2)]
+        hubs = [F.min(F.struct(~F.col("index"), own.alias("own"), F.xxhash64("node", F.lit(turn * HUBS + i)).alias("order"), "node", "n", "rest", "root")).alias(f"hub{i}") for i, own in enumerate(central)]
+        parts = labelled.groupBy("sig", "root").agg(F.count("*").alias("size"), F.count_if("index").alias("few"), *hubs)
+        hubs = F.array_distinct(F.transform(F.array(*[F.min(f"hub{i}") for i in range(HUBS)]), lambda h: F.struct(h["node"].alias("node"), h["n"].alias("n"), h["rest"].alias("rest"), h["root"].alias("root"))))
+        groups = parts.groupBy("sig").agg((F.sum("few") * F.sum("size") - F.sum(F.col("few") * F.col("size"))).alias("pairs"), F.sum("size").alias("size"), hubs.alias("hubs"))
         # a signature whose classes are one component stays so
-        signed = materialize(labelled.join(groups.select("sig", "size", "hub"), "sig"), "open")
-        n_rows, total = signed.agg(F.count("*"), F.sum(F.when(F.col("index"), F.col("size")).cast("double"))).first()
+        signed = materialize(labelled.join(groups.where("pairs > 0").select("sig", "size", (F.col("pairs") / F.col("size")).alias("share"), "hubs"), "sig"), "open")
+        n_rows, pairs = signed.agg(F.count("*"), F.coalesce(F.sum("share"), F.lit(0.0))).first()
         if not n_rows:
             break
-        last = turn == rounds or total <= 4 * n_rows or (before is not None and total > PAYS * before)
-        before = total
+        last = turn == rounds or pairs <= n_rows or found < LINKS * tested
         if last:
             x = signed.where("index").select("sig", F.col("node").alias("a"), "n", "rest", "root")
             y = signed.select(F.col("sig").alias("sig_b"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("rest").alias("rest_b"), F.col("root").alias("root_b"))
             smaller = (F.col("n") < F.col("n_b")) | (F.col("n") == F.col("n_b")) & (F.col("a") < F.col("b"))
-            pairs = x.join(y, (F.col("sig") == F.col("sig_b")) & (F.col("root") != F.col("root_b")) & smaller & _may_link(F.col("n"), F.col("rest"), F.col("n_b"), F.col("rest_b"), percent)).select("a", "b").distinct()
+            near = x.join(y, (F.col("sig") == F.col("sig_b")) & (F.col("root") != F.col("root_b")) & smaller & _may_link(F.col("n"), F.col("rest"), F.col("n_b"), F.col("rest_b"), percent)).select("a", "b").distinct()
         else:
-            near = (F.col("root") != F.col("hub.root")) & _may_link(F.col("n"), F.col("rest"), F.col("hub.n"), F.col("hub.rest"), percent)
-            pairs = signed.where(near).groupBy(F.col("node").alias("a"), F.col("hub.node").alias("b")).count()
-            pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("count", -F.col("b"))).alias("b"))
-        new = _verified(materialize(pairs, "pairs"), sets, percent)
-        if not new.isEmpty():
-            links = new if links is None else links.unionByName(new)
+            near = signed.withColumn("hub", F.explode("hubs")).where((F.col("root") != F.col("hub.root")) & _may_link(F.col("n"), F.col("rest"), F.col("hub.n"), F.col("hub.rest"), percent))
+            near = near.groupBy(F.col("node").alias("a"), F.col("hub.node").alias("b")).agg(F.count("*").alias("met"), F.min("size").alias("size"))
+            # a class meets at most HUBS hubs a signature
+            first = lambda *by: F.transform(F.slice(F.sort_array(F.collect_list(F.struct(*by, "b"))), 1, HUBS), lambda x: x["b"])
+            near = near.groupBy("a").agg(F.array_union(first(-F.col("met")), first("size", -F.col("met"))).alias("b")).withColumn("b", F.explode("b"))
+        near = materialize(near, "pairs")
+        new = _verified(near, sets, percent)
+        tested, found = near.count(), new.count()
+        if found:
             labels = components(labels.where("node <> root").unionByName(new.toDF("node", "root")))
         if last:
             break
