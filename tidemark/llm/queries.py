@@ -39,7 +39,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = secret_scan.BASE_RULES + secret_scan.MORE_RULES
     found = secret_scan.apply(documents(spark, sf_dir), rules)
-    counts = [F.size(F.filter("spans", lambda s, n=n: s["kind"] == n)).cast("long").alias(f"n_{r.kind}") for n, r in enumerate(secret_scan.BASE_RULES)]
+    counts = [F.size(F.array_remove(F.transform("spans", lambda s: (s["kind"] == kind).cast("int")), 0)).cast("long").alias(f"n_{r.kind}") for kind, r in enumerate(secret_scan.BASE_RULES)]
     return found.select("doc_id", *counts, F.sha2(secret_scan.joined(F.col("spans"), rules, len(secret_scan.BASE_RULES)), 256).alias("base_sha256"), secret_scan.joined(F.col("spans"), rules).alias("spans"))
 
 
