@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, text_key
+from .common import lower_ascii, text_key, unclashed
 
 try:  # the parser's public name changed in Python 3.11
     from re import _constants as sre, _parser as sre_parse
@@ -127,6 +127,10 @@ def _deeper(op, arg) -> set[frozenset]:
     return {frozenset()}
 
 
+#: Matches that are walked along at a time.
+PART = 256
+
+
 def trigram_query(pattern: str) -> list[list[str]]:
     """Sorted disjunction of conjunctions of lower-case trigrams; [] if the pattern has no mandatory trigram.
 
@@ -158,16 +162,26 @@ def _spans(text: Column, n: int, rule: Rule) -> Column:
     steps = F.filter(steps, lambda x: x["len"].isNotNull())  # the gap behind the last match
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     one = lambda at, x: F.struct((at + x["gap"]).alias("start"), F.lit(n).alias("kind"), (at + x["gap"] + x["len"]).alias("end"))
-    walked = F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("at"), none.alias("out")),
+    walked = lambda part, at: F.aggregate(
+        part,
+        F.struct(at.alias("at"), none.alias("out")),
         lambda acc, x: F.struct((acc["at"] + x["gap"] + x["len"]).alias("at"), F.when(x["held"] >= rule.least, F.concat(acc["out"], F.array(one(acc["at"], x)))).otherwise(acc["out"]).alias("out")),
-    )
-    return F.when(text.rlike(rule.pattern), walked["out"]).otherwise(none)
+    )["out"]
+    parts = _parts(steps)
+    widths = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda acc, x: acc + x["gap"] + x["len"]))
+    heads = F.aggregate(widths, F.array(F.lit(0)), lambda acc, w: F.concat(acc, F.array(F.element_at(acc, -1) + w)))
+    out = F.flatten(F.zip_with(parts, F.slice(heads, 1, F.size(parts)), walked))
+    return F.when(text.rlike(rule.pattern), out).otherwise(none)
+
+
+def _parts(items: Column) -> Column:
+    """An array in stretches of PART: what is appended to while walking along stays short, however many matches a text has."""
+    return F.when(F.size(items) == 0, F.transform(F.array(F.lit(0)), lambda i: items)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size(items), F.lit(1)), F.lit(PART)), lambda i: F.slice(items, i, PART)))
 
 
 def apply(docs: DataFrame, rules: Sequence[Rule] = BASE_RULES + MORE_RULES, text: str = "text", doc_id: str = "doc_id", keep: Sequence[str] = ()) -> DataFrame:
     """``doc_id``, columns of ``keep``, ``text`` (never null) and ``spans``: array of (start, kind, end) by start, then rule; kind is the rule's number."""
+    keep = unclashed(keep, "doc_id", "text", "spans")
     own = docs.select(F.col(doc_id).alias("doc_id"), *[F.col(c).alias(f"k_{c}") for c in keep], F.coalesce(F.col(text), F.lit("")).alias("text"))
     own = own.withColumn("key", text_key(F.col("doc_id"), F.col("text")))
     found = own.join(candidates(own, rules), "key", "left")
@@ -181,15 +195,19 @@ def apply(docs: DataFrame, rules: Sequence[Rule] = BASE_RULES + MORE_RULES, text
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     """The text with each span replaced by ``mark``; overlapping spans become one."""
-    done = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+    piece = lambda part, at: F.aggregate(
+        part,
+        F.struct(at.alias("at"), F.lit("").alias("out")),
         lambda acc, s: F.struct(
             F.greatest(acc["at"], s["end"]).alias("at"),
             F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"),
         ),
-    )
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
+    )["out"]
+    parts = _parts(spans)
+    ends = F.transform(parts, lambda p: F.coalesce(F.array_max(F.transform(p, lambda s: s["end"])), F.lit(0)))
+    heads = F.aggregate(ends, F.array(F.lit(0)), lambda acc, e: F.concat(acc, F.array(F.greatest(F.element_at(acc, -1), e))))
+    pieces = F.array_join(F.zip_with(parts, F.slice(heads, 1, F.size(parts)), piece), "")
+    return F.when(F.size(spans) == 0, text).otherwise(F.concat(pieces, F.substring(text, F.array_max(F.transform(spans, lambda s: s["end"])) + 1, F.length(text))))
 
 
 def joined(spans: Column, rules: Sequence[Rule], only: int | None = None) -> Column:
