@@ -5,11 +5,13 @@ characters. The automaton runs over word numbers, so one step a word scans a tex
 its keys are all windows of ``window`` consecutive item words (a shorter item is one
 window). Hits are mapped back to code points of the original text.
 
-The items are held in blocks of at most ``block_words`` words, a bound on what is broadcast;
-a larger benchmark adds passes over the text, in the same task and without a shuffle.
+The items are held in blocks of about ``block_words`` words, a bound on what is broadcast and
+on a worker's automaton. A larger benchmark adds passes over the texts, one block after
+the other; between passes the texts and their hits so far are written to the shared folder. No shuffle.
 
 Null or empty texts have no words; null items and items without words have no window; items
-with a null id mark words but are not listed. Equal windows of several items list each.
+with a null id mark words but are not listed. Equal windows of several items list each. A very
+long text is scanned as a whole; a worker holds its word numbers at once.
 """
 
 from __future__ import annotations
@@ -20,10 +22,11 @@ from collections.abc import Iterator, Sequence
 
 import ahocorasick
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NON_WORD, python_tasks, lower_ascii, words_of
+from .common import NON_WORD, held, lower_ascii, materialize, python_tasks, unclashed, words_of
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 #: Separators become blanks, A-Z lower case; bytes of non-ASCII characters stay.
@@ -65,40 +68,49 @@ class Windows:
         return stretches, items
 
 
-_built: dict[str, list[Windows]] = {}
-
-
 def apply(docs: DataFrame, items: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",), item_id: str = "item_id", item_text: str = "text", window: int = 10, block_words: int = 2_000_000) -> DataFrame:
-    """Columns of ``keep``, ``n_words``, ``n_hit``, ``items`` (ids as strings, sorted) and ``spans`` (start, end in code points of the original, by place)."""
+    """Columns of ``keep``, ``n_words``, ``n_hit``, ``items`` (ids as strings, sorted) and ``spans`` (start, end in code points of the original, by place).
+
+    A column of ``keep`` with the name of one of these is replaced by it.
+    """
     spark = docs.sparkSession
     python_tasks(spark)
     own = items.select(F.col(item_id).cast("string").alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
     n_words = own.agg(F.sum(F.size(words_of(lower_ascii(F.col("text")), NON_WORD)))).first()[0] or 0
     n_blocks = n_words // block_words + 1
     own = own.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)))
-    sent = [spark.sparkContext.broadcast([(r["item"], r["text"]) for r in own.where(F.col("block") == b).toLocalIterator()]) for b in range(n_blocks)]
+    keep = unclashed(keep, "n_words", "n_hit", "items", "spans")
+    found = docs.select(*[F.col(c).alias(f"k_{i}") for i, c in enumerate(keep)], F.coalesce(F.col(text), F.lit("")).alias("text"), F.lit(None).cast(_FOUND).alias("found"))
+    for b in range(n_blocks):
+        if b:
+            found = materialize(found, f"hits-{b - 1}")
+        block = [(r["item"], r["text"]) for r in own.where(F.col("block") == b).toLocalIterator()]
+        found = found.withColumn("found", _scan(spark.sparkContext.broadcast(block), window)("text", "found"))
+    return found.select(*[F.col(f"k_{i}").alias(c) for i, c in enumerate(keep)], "found.n_words", "found.n_hit", "found.items", "found.spans")
+
+
+_FOUND = "struct<n_words:bigint,n_hit:bigint,items:array<string>,spans:array<struct<start:int,end:int>>,hit:array<int>>"
+
+
+def _scan(block: Broadcast, window: int):
+    """UDF of a text and what earlier blocks found."""
     name = uuid.uuid4().hex
 
-    @F.pandas_udf("n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>")
-    def scan(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        if name not in _built:
-            _built.clear()
-            _built[name] = [Windows(b.value, window) for b in sent]
-        blocks = _built[name]
-        for texts in parts:
+    @F.pandas_udf(_FOUND)
+    def scan(parts: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
+        windows = held(("windows", name), lambda: Windows(block.value, window))
+        for texts, before in parts:
             rows = []
-            for t in texts:
+            for t, old_items, old_hit in zip(texts, before["items"], before["hit"]):
                 words = normalised(t)
-                hit, found = set(), set()
-                for b in blocks:
-                    stretches, ids = b.find(words)
-                    hit.update(i for lo, hi in stretches for i in range(lo, hi))
-                    found |= ids
-                rows.append((len(words), len(hit), sorted(x for x in found if x is not None), _places(t, sorted(hit)) if hit else []))
-            yield pd.DataFrame(rows, columns=["n_words", "n_hit", "items", "spans"])
-
-    found = docs.select(*keep, scan(F.coalesce(F.col(text), F.lit(""))).alias("found"))
-    return found.select(*keep, "found.n_words", "found.n_hit", "found.items", "found.spans")
+                stretches, ids = windows.find(words)
+                hit = {i for lo, hi in stretches for i in range(lo, hi)}.union(old_hit if old_hit is not None else ())
+                found = sorted({x for x in ids if x is not None}.union(old_items if old_items is not None else ()))
+                order = sorted(hit)
+                rows.append((len(words), len(hit), found, _places(t, order) if hit else [], order))
+            yield pd.DataFrame(rows, columns=["n_words", "n_hit", "items", "spans", "hit"])
+
+    return scan
 
 
 def _places(text: str, hit: list[int]) -> list[dict[str, int]]:
