@@ -18,7 +18,7 @@ both labels, teach nothing. Without labels of both kinds every score is the shar
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,16 +26,24 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import python_tasks, text_key
+from .common import python_tasks, row_key
 
 PASSAGE = 64
+#: Passages of a text that are described at a time.
+STRETCH = 512
 PAIRS = 256
 N_FEATURES = 256 + PAIRS + 6
 
 
-def passages(text: str | None, size: int = PASSAGE) -> np.ndarray:
-    """One row of features a passage of ``size`` words."""
+def passages(text: str | None, size: int = PASSAGE, stretch: int = STRETCH) -> Iterator[np.ndarray]:
+    """One row of features a passage of ``size`` words, for ``stretch`` passages at a time."""
     words = (text or "").encode("utf-8", "surrogatepass").split()
+    distinct = len(set(words)) / max(1, len(words))
+    for at in range(0, max(1, len(words)), size * stretch):
+        yield _described(words[at : at + size * stretch], size, distinct)
+
+
+def _described(words: list[bytes], size: int, distinct: float) -> np.ndarray:
     n = max(1, -(-len(words) // size))
     raw = np.frombuffer(b" ".join(words) or b" ", np.uint8)
     blanks = np.flatnonzero(raw == 32)
@@ -53,7 +61,7 @@ def passages(text: str | None, size: int = PASSAGE) -> np.ndarray:
         part = number[i * size : (i + 1) * size]
         if len(part):
             u = len(np.unique(part))
-            rest[i] = u / len(part), np.log1p(len(part)), (part[1:] == part[:-1]).mean() if len(part) > 1 else 0, total[i, 0] / len(part) / 10, len(ids) / len(words), 1
+            rest[i] = u / len(part), np.log1p(len(part)), (part[1:] == part[:-1]).mean() if len(part) > 1 else 0, total[i, 0] / len(part) / 10, distinct, 1
     return np.hstack([single, double, rest]).astype(np.float32)
 
 
@@ -68,10 +76,11 @@ class Model:
     score: np.ndarray  # hidden + bias
     share: float | None = None
 
-    def __call__(self, x: np.ndarray) -> float:
+    def __call__(self, x: np.ndarray | Iterable[np.ndarray]) -> float:
+        """The score of a text from the features of its passages, in one array or by stretches."""
         if self.share is not None:
             return self.share
-        h = np.tanh(((x - self.mean) * self.scale) @ self.encode[:-1] + self.encode[-1])
+        h = np.vstack([np.tanh(((b - self.mean) * self.scale) @ self.encode[:-1] + self.encode[-1]) for b in ([x] if isinstance(x, np.ndarray) else x)])
         a = (np.tanh(h @ self.tanh) / (1 + np.exp(-(h @ self.gate)))) @ self.attend
         a = np.exp(a - a.max())
         z = (a / a.sum()) @ h
@@ -131,29 +140,30 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     marks = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("y")).where("y in (0, 1)")
     marks = marks.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("high")).where("y = high").select("doc_id", "y")
     chosen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(marks, "doc_id")
-    # the hash order of ids picks the sample before texts move
-    ids = docs.select(F.col(doc_id).alias("doc_id")).join(marks, "doc_id", "left_semi").distinct().orderBy(F.xxhash64("doc_id")).limit(sample)
-    chosen = chosen.join(F.broadcast(ids), "doc_id", "left_semi").repartition(32)  # at most ``sample`` ids; spread, as the driver takes a task's result at once
+    # the hash order of rows picks the sample before texts move; equal rows count once
+    chosen = chosen.withColumn("row", row_key(F.col("doc_id"), F.col("text")))
+    ids = chosen.select("row").distinct().orderBy("row.a", "row.b").limit(sample)
+    chosen = chosen.join(F.broadcast(ids), "row", "left_semi").dropDuplicates(["row"]).repartition(32)  # at most ``sample`` rows; spread, as the driver takes a task's result at once
 
     @F.pandas_udf("binary")
     def described(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in parts:
-            yield pd.Series([passages(t).astype(np.float16).tobytes() for t in texts], dtype=object)
+            yield pd.Series([b"".join([x.astype(np.float16).tobytes() for x in passages(t)]) for t in texts], dtype=object)
 
-    got = chosen.select("doc_id", "y", F.xxhash64(text_key(F.col("doc_id"), F.col("text"))).alias("o"), described("text").alias("x")).toLocalIterator()
+    got = chosen.select("row.*", "y", described("text").alias("x")).toLocalIterator()
     with tempfile.TemporaryFile() as file:
         rows, end = [], 0
         for r in got:  # a text at a time
-            rows.append((r["o"], r["y"], end // (2 * N_FEATURES), len(r["x"]) // (2 * N_FEATURES)))
+            rows.append((r["a"], r["b"], r["y"], end // (2 * N_FEATURES), len(r["x"]) // (2 * N_FEATURES)))
             end += file.write(r["x"])
         file.flush()
-        rows = sorted(rows)[:sample]
+        rows.sort()
         data = np.memmap(file, np.float16, "r", 0, (end // (2 * N_FEATURES), N_FEATURES)) if end else np.zeros((0, N_FEATURES), np.float16)
-        return train([data[at : at + n] for _, _, at, n in rows], [y for _, y, _, _ in rows])
+        return train([data[at : at + n] for _, _, _, at, n in rows], [y for _, _, y, _, _ in rows])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
-    """All columns of ``docs`` and ``out``: the probability of label 1."""
+    """All other columns of ``docs`` and ``out`` (in place of one of that name): the probability of label 1."""
     python_tasks(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
