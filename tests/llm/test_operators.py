@@ -79,7 +79,7 @@ def test_token_counts(docs, texts, no_docs, tokenizer):
 
 
 def test_whole_tokens_are_proven():
-    v = token_counts.vocabulary(queries.vocabulary_path())
+    v = token_counts.Vocabulary(queries.vocabulary_path())
     whole = token_counts.whole_tokens(queries.vocabulary_path())
     assert " the" in whole and all(len(v.merge(s.encode())) == 1 for s in random.Random(1).sample(sorted(whole - v.added.keys()), 500))
 
@@ -115,6 +115,14 @@ def test_redaction(spark):
     assert out == {1: "x [SECRET] y", 2: "clean"}
 
 
+def test_many_secrets_in_one_text(spark):
+    text = " ".join(f"token={i:06d} é{'ab' * (i % 3)}" for i in range(700)) + " end"
+    got = secret_scan.apply(spark.createDataFrame([(1, text)], "doc_id long, text string")).select("spans", secret_scan.redact(F.col("text"), F.col("spans")).alias("t")).first()
+    rules = secret_scan.BASE_RULES + secret_scan.MORE_RULES
+    assert [(s["start"], s["kind"], s["end"]) for s in got["spans"]] == secret_scan.python_matches(text, rules) and len(got["spans"]) >= 700
+    assert got["t"] == re.sub(r"token=\d{6}", "[SECRET]", text)
+
+
 @pytest.mark.parametrize("rule", secret_scan.BASE_RULES + secret_scan.MORE_RULES)
 def test_trigram_queries_are_necessary(rule):
     query = secret_scan.trigram_query(rule.pattern)
@@ -144,6 +152,27 @@ def test_license_edits_stay_on_neighbouring_diagonals(spark):
     assert [s["label"] for s in spans] == ["bsd"] and spans[0]["first_word"] == 2 and 0.7 <= spans[0]["coverage"] < 1
 
 
+def labels_of(spark, text):
+    return [s["label"] for s in license_scan.apply(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["spans"] if not s["exact"]]
+
+
+def test_license_words_in_another_order_are_no_copy(spark):
+    assert labels_of(spark, "license version apache license the apache under the licensed under") == []
+    long = next(t for t in license_scan.STATEMENTS if t.label == "isc").text.split()
+    assert labels_of(spark, " ".join(long)) == ["isc"]
+    assert labels_of(spark, " ".join(long[i] for at in range(0, len(long), 4) for i in reversed(range(at, min(at + 4, len(long)))))) == []
+    assert labels_of(spark, " ".join(long[len(long) // 2 :] + ["word"] * 9 + long[: len(long) // 2])) == []
+    edited = [w for i, w in enumerate(long) if i % 40 != 7]
+    edited[20:20] = ["new", "words"]
+    assert labels_of(spark, "before " + " ".join(edited) + " after") == ["isc"]
+
+
+def test_license_spans_end_with_their_template(spark):
+    text = " x ".join(["released under the mit license"] * 50)
+    spans = [s for s in license_scan.apply(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["spans"] if s["label"] == "mit"]
+    assert [(s["first_word"], s["last_word"]) for s in spans] == [(6 * i, 6 * i + 4) for i in range(50)]
+
+
 def brute_components(pairs, k=5):
     sets, parent = [], list(range(len(pairs)))
     for _, t in pairs:
@@ -244,6 +273,13 @@ def test_word_windows():
     assert Words("x y z").windows(2)[1] == Words("q Y z").windows(2)[1] and Words("xy z").windows(2)[0] != Words("x yz").windows(2)[0]
 
 
+def test_long_texts_are_hashed_by_stretches(monkeypatch):
+    text = prose(500, 4) + " " + "x" * 300 + " " + prose(20, 5)
+    whole = [Words(text).windows(k) for k in (1, 5, 10_000)]
+    monkeypatch.setattr("tidemark.llm.rolling.STRETCH", 100)
+    assert all(np.array_equal(w, Words(text).windows(k)) for w, k in zip(whole, (1, 5, 10_000)))
+
+
 def test_url_filter(spark):
     urls = ["https://A.Example.org/es/x?q#f", "http://example.org/en/1", "http://example.org/en/2", "http://x.com/fr/", "http://com/de/9", "no scheme", None, "", "http://example.org", "ftp://net?x://y/z", "http://xorg/", "a\nb://h.com/p", "http://www.cheap-pills.example.com/buy", "http://www.cheap-pills.example.com/buy"]
     df = spark.createDataFrame([(i, u, "c") for i, u in enumerate(urls)], "page_id long, url string, host string")
@@ -305,6 +341,8 @@ def test_decontamination(spark, docs, texts, no_docs):
     same(decontaminate.apply(docs, bench, block_words=9), texts, brute, "n_words", "n_hit", "items")
     assert decontaminate.apply(no_docs, bench).count() == 0 and decontaminate.apply(docs, bench.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
     one = spark.createDataFrame([(1, "Say: X, y - Z! end")], "doc_id long, text string")
+    clash = decontaminate.apply(docs, bench, keep=("doc_id", "n_words", "spans", "score"))
+    assert clash.columns == ["doc_id", "score", "n_words", "n_hit", "items", "spans"] and clash.count() == len(texts)
     assert [tuple(s) for s in decontaminate.apply(one, bench).first()["spans"]] == [(5, 13)]
 
 
@@ -385,4 +423,4 @@ def test_quality_training_sees_single_passages(spark, monkeypatch):
     table = spark.createDataFrame([(1, long, 1), (2, "buy " * 200, 0)], "doc_id long, text string, quality int")
     quality_mil.fit(table.select("doc_id", "text"), table.select("doc_id", "quality"))
     assert {y: len(b) for y, b in seen} == {1: 313, 0: 4}
-    assert np.array_equal(dict(seen)[1], quality_mil.passages(long).astype(np.float16))
+    assert np.array_equal(dict(seen)[1], np.vstack(list(quality_mil.passages(long))).astype(np.float16))

@@ -5,7 +5,6 @@ from __future__ import annotations
 import heapq
 import json
 import re
-from functools import lru_cache
 
 import regex
 
@@ -81,11 +80,6 @@ class Vocabulary:
         return [x for x in ids if x >= 0]
 
 
-@lru_cache(maxsize=4)
-def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
-
-
 class PreTokens:
     """Splits a text at the added tokens' strings, then into pre-tokens."""
 

@@ -1,21 +1,23 @@
 """BPE encoding by backtracking, and decoding by an offset table.
 
 Encoding takes, place by place, the longest token that an Aho-Corasick automaton found to
-start there, and keeps it if merging would leave it beside the token before it: the
-pair-compatibility test undoes merges on both sides of the border and looks for a merge
-across it that would have come earlier. A token that does not fit gives way to its longest
+start there, and keeps it if merging would leave it beside the token before it. Pair
+compatibility: as long as nothing merges across the border, both tokens form as they would
+alone. What stands left of the border meanwhile are the tokens of the left one's right edge, each
+from its own merge until the next one swallows it; likewise right of it. So a pair
+fits unless one of the left edge and one of the right edge have a merge that comes before both are swallowed. A token that does not fit gives way to its longest
 proper prefix in the vocabulary, and if none is left, the token before it is taken back.
 Each place is given up once at most, so the work is linear in the text, and the result is
 exactly that of ordered merging.
 
 Decoding gathers stretches of one byte array by an offset table. No shuffle: each text is
-encoded where it is read. Null text is empty: no ids, empty decoded text.
+encoded where it is read. Null text is empty: no ids, empty decoded text. A very long text is
+encoded as a whole; a worker holds its pre-tokens at once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -23,11 +25,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import PreTokens, Vocabulary, vocabulary
-from .common import python_tasks
+from .bpe import PreTokens, Vocabulary
+from .common import held, python_tasks
 
 #: Most pre-tokens and token pairs that a worker remembers.
-MEMO_PIECES, MEMO_PAIRS = 400_000, 1_000_000
+MEMO_PIECES, MEMO_PAIRS = 100_000, 200_000
 
 
 class Codec:
@@ -49,25 +51,27 @@ class Codec:
         self._offsets = np.concatenate([[0], np.cumsum([len(by_id.get(i, b"")) for i in range(size)])]).astype(np.int64)
         self._bytes = np.frombuffer(b"".join(by_id.get(i, b"") for i in range(size)), np.uint8)
 
+    def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
+        """The token, its left (0) or right (1) part, that part's part and so on to a byte; each with the number of the merge that swallows it."""
+        out, until = [], 1 << 62
+        while True:
+            out.append((token, until))
+            if token < 256:
+                return out
+            token, until = self._v.split[token][side], token
+
     def compatible(self, a: int, b: int) -> bool:
         """Whether merging leaves a border between tokens a and b."""
         key = a << 32 | b
         if (known := self._fits.get(key)) is not None:
             return known
-        pairs, split, limit, fits = self._v.pairs, self._v.split, 1 << 62, None
-        while fits is None:
-            if pairs.get((a, b), limit) < limit:
-                fits = False
-            elif a > b:  # undo the later merge: the right part of a stands at the border
-                limit, a = a, split[a][1]
-                if a == limit:
-                    limit, b = b + 1, split[b][0]
-                    fits = True if b + 1 == limit else None
-            else:
-                limit, b = b + 1, split[b][0]
-                if b + 1 == limit:
-                    limit, a = a, split[a][1]
-                    fits = True if a == limit else None
+        merge = self._v.pairs.get
+        fits = True
+        for x, x_until in self._edge(a, 1):
+            for y, y_until in self._edge(b, 0):
+                # a merge's number grows with its rank; of equal pairs the leftmost merges first
+                if (m := merge((x, y))) is not None and m < x_until and m <= y_until:
+                    fits = False
         if len(self._fits) > MEMO_PAIRS:
             self._fits.clear()
         self._fits[key] = fits
@@ -123,13 +127,12 @@ class Codec:
         return self._bytes[at].tobytes().decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
-    return Codec(vocabulary(path))
+    return held(("codec", path), lambda: Codec(Vocabulary(path)))
 
 
 def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``ids`` (binary: little-endian unsigned 32-bit integers)."""
+    """All other columns of ``docs`` and ``ids`` (binary: little-endian unsigned 32-bit integers), in place of one of that name."""
     python_tasks(docs.sparkSession)
 
     @F.pandas_udf("binary")
@@ -142,7 +145,7 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """All columns and the decoded text; null ids are empty."""
+    """All other columns and the decoded text, in place of a column ``out``; null ids are empty."""
     python_tasks(encoded.sparkSession)
 
     @F.pandas_udf("string")

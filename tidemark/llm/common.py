@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Hashable, Sequence
 from pathlib import Path
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,10 +32,12 @@ def words_of(text: Column, separators: str = BLANKS) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; only where that is unset (tests) a local one."""
+    """The folder named by ``spark.checkpoint.dir``; only where that is unset and driver and executors share a machine (tests) a local one."""
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="tidemark-")
         sc.setCheckpointDir(at)
     return at.rstrip("/")
@@ -46,11 +51,33 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unclashed(keep: Sequence[str], *outputs: str) -> list[str]:
+    """Columns of ``keep`` but for those that an output column of the same name replaces."""
+    return [c for c in keep if c.lower() not in outputs]
+
+
+_held: dict[Hashable, Any] = {}
+
+
+def held(key: Hashable, make: Callable[[], Any]) -> Any:
+    """The one large object (vocabulary, automaton) that a Python worker keeps for its next tasks; asking for another lets go of the last."""
+    if key not in _held:
+        _held.clear()
+        gc.collect()
+        _held[key] = make()
+    return _held[key]
+
+
 def text_key(doc_id: Column, text: Column) -> Column:
     """A key that equal rows share; used only where a clash of keys can't change a result."""
     return F.xxhash64(doc_id, text)
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """A key of 128 bits that only equal rows share."""
+    return F.struct(F.xxhash64(doc_id, text).alias("a"), F.xxhash64(F.lit("second"), text, doc_id).alias("b"))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -12,6 +12,8 @@ import numpy as np
 _P = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_P, -1, 1 << 64)
 _BYTES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
+#: Bytes of a text that are hashed at a time.
+STRETCH = 1 << 20
 _powers = np.ones(1, np.uint64)
 _inverses = np.ones(1, np.uint64)
 
@@ -41,12 +43,10 @@ class Words:
         words = (text or "").encode("utf-8", "surrogatepass").lower().split()
         self.n = len(words)
         self.joined = b" ".join(words)
-        raw = np.frombuffer(self.joined, np.uint8)
-        _grow(len(raw))
-        gaps = np.flatnonzero(raw == 32)
+        self._raw = np.frombuffer(self.joined, np.uint8)
+        gaps = np.flatnonzero(self._raw == 32)
         self.starts = np.concatenate([[0], gaps + 1]).astype(np.int64)[: self.n]
-        self.ends = np.concatenate([gaps, [len(raw)]]).astype(np.int64)[: self.n]
-        self._prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[raw] * _powers[: len(raw)], dtype=np.uint64)])
+        self.ends = np.concatenate([gaps, [len(self._raw)]]).astype(np.int64)[: self.n]
 
     def windows(self, k: int) -> np.ndarray:
         """Hash of each k-word window, by place; fewer words make one window, none make none."""
@@ -54,4 +54,14 @@ class Words:
             return np.zeros(0, np.uint64)
         k = min(k, self.n)
         lo, hi = self.starts[: self.n - k + 1], self.ends[k - 1 :]
-        return mix((self._prefix[hi] - self._prefix[lo]) * _inverses[lo] + (hi - lo).astype(np.uint64))
+        out = np.empty(len(lo), np.uint64)
+        at = 0
+        while at < len(lo):  # a long text by stretches, which share no more than their ends
+            end = max(at + 1, int(np.searchsorted(hi, lo[at] + STRETCH, "right")))
+            own = self._raw[lo[at] : hi[end - 1]]
+            _grow(len(own))
+            prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[own] * _powers[: len(own)], dtype=np.uint64)])
+            x, y = lo[at:end] - lo[at], hi[at:end] - lo[at]
+            out[at:end] = mix((prefix[y] - prefix[x]) * _inverses[x] + (y - x).astype(np.uint64))
+            at = end
+        return out

@@ -11,23 +11,21 @@ Null text is empty (0 tokens). Strings of added tokens inside a text count as th
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import PreTokens, vocabulary
-from .common import python_tasks
+from .bpe import PreTokens, Vocabulary
+from .common import held, python_tasks, unclashed
 
 #: Most pre-tokens whose counts a worker remembers.
-MEMO = 400_000
+MEMO = 200_000
 
 
-@lru_cache(maxsize=4)
 def whole_tokens(path: str) -> frozenset[str]:
     """Vocabulary strings that encode alone as one token. Strings that are no valid UTF-8 can't be a pre-token."""
-    v = vocabulary(path)
+    v = Vocabulary(path)
     out = set()
     for t in v.tokens:
         if len(v.merge(t)) == 1:
@@ -40,7 +38,7 @@ def whole_tokens(path: str) -> frozenset[str]:
 
 class Counter:
     def __init__(self, path: str, whole: frozenset[str]):
-        self._v, self._whole, self._memo = vocabulary(path), dict.fromkeys(whole, 1), {}
+        self._v, self._whole, self._memo = Vocabulary(path), dict.fromkeys(whole, 1), {}
         self._memo.update(self._whole)
         self._split = PreTokens(self._v.added)
 
@@ -60,9 +58,6 @@ class Counter:
         return n
 
 
-_counters: dict[str, Counter] = {}
-
-
 def apply(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns of ``keep``, ``n_bytes`` and ``n_tokens`` of each whole text. ``path``: a byte-level BPE file that executors can read."""
     spark = docs.sparkSession
@@ -71,9 +66,9 @@ def apply(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
 
     @F.pandas_udf("long")
     def count(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        counter = _counters.get(path) or _counters.setdefault(path, Counter(path, whole.value))
+        counter = held(("counter", path), lambda: Counter(path, whole.value))
         for texts in parts:
             yield pd.Series([counter(t) for t in texts], dtype="int64")
 
     t = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(*keep, F.octet_length(t).cast("long").alias("n_bytes"), count(t).alias("n_tokens"))
+    return docs.select(*unclashed(keep, "n_bytes", "n_tokens"), F.octet_length(t).cast("long").alias("n_bytes"), count(t).alias("n_tokens"))

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, python_tasks
+from .common import lower_ascii, python_tasks, unclashed
 
 #: Labelled URLs: wanted pages and unwanted ones (spam, shops for pills, gambling, link farms).
 WANTED = (
@@ -77,7 +77,7 @@ def _parts(url: str) -> tuple[str, str]:
     for end in "?#":
         rest = rest.split(end)[0]
     host, slash, path = rest.partition("/")
-    return host.lower(), slash + path
+    return host.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"), slash + path  # A-Z only
 
 
 def train(table: Sequence[tuple[str, int]] = TRAINING, bits: int = 15, rounds: int = 300, rate: float = 1.0, penalty: float = 1e-3) -> tuple[np.ndarray, float]:
@@ -111,6 +111,7 @@ def apply(pages: DataFrame, rules: Sequence[tuple[str, str, str]], url: str = "u
                 logits.append(bias + float(w[f].sum()) / np.sqrt(max(1, len(f))))
             yield pd.Series(1 / (1 + np.exp(-np.array(logits, float))))
 
-    own = pages.select(*keep, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    keep = unclashed(keep, "host", "path", "rule", "score", "verdict")
+    own = pages.select(*[F.col(c).alias(f"k_{i}") for i, c in enumerate(keep)], host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     own = own.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules)).withColumn("score", score("host", "path"))
-    return own.select(*keep, "host", "path", F.col("fit.rule").alias("rule"), "score", F.coalesce("fit.verdict", F.when(F.col("score") >= threshold, "allow").otherwise("block")).alias("verdict"))
+    return own.select(*[F.col(f"k_{i}").alias(c) for i, c in enumerate(keep)], "host", "path", F.col("fit.rule").alias("rule"), "score", F.coalesce("fit.verdict", F.when(F.col("score") >= threshold, "allow").otherwise("block")).alias("verdict"))
