@@ -6,10 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import values as V
-from tidemark.operators import decisions, documents, drift, export, matching, qa, recovery, views
+from tidemark.operators import cells, decisions, documents, drift, export, matching, qa, recovery, views
 from tidemark.plans import policy as P
 from tidemark.sources import json_export as J
 from tidemark.sources.scratch import written
+from tidemark.sources.snapshot import Snapshot
 
 BEFORE = {
     "Refreshed": "2024-01-10T08:00:00Z",
@@ -121,7 +122,33 @@ def test_drift(spark, sides):
     assert kinds["duplicate-record-keys"] == "critical" and kinds["unkeyed-records"] == "warning"
     issues = written(drift.quality_issues(b, a, ("Code",), POLICY.quality), "issues")
     assert drift.gate(issues).first()["gate"] == "Quarantined" and drift.promoted(diff, issues).count() == 5
-    assert len(drift.narrative({"gate": "Pass"}, [], [])) == 3
+    marked = {r["id"]: (r["severity"], r["issue_ids"]) for r in drift.promoted(diff, issues).collect()}
+    fields = {r["id"]: set(r["fields"]) for r in issues.where("ord = 4").collect()}
+    assert set(marked['["A-1"]'][1]) == {i for i, f in fields.items() if f & {"Title", "Status", "Docs", "Meta"}} and marked['["B-2"]'] == ("warning", [])
+    whole = {r["id"]: r for r in drift.deep(diff, POLICY.quality).collect()}
+    paths = {c["path"] for c in whole['["A-1"]']["changes"]}
+    assert "Meta.b.c" in paths and "Meta" not in paths and whole['["B-2"]']["changes"][0]["path"] == "$record" and len(whole) == 5
+
+
+def test_changes_are_taken_apart_to_any_depth(spark):
+    nest = lambda v: "{" + "".join(f'"k{i}":{{' for i in range(12)) + f'"x":{v},"same":1' + "}" * 13
+    flat = spark.createDataFrame([("r", "F", "modified", nest(1), nest(2))], "id string, path string, kind string, before string, after string")
+    got = drift.deep_changes(flat).collect()
+    assert [(r["path"], r["before"], r["after"]) for r in got] == [("F." + ".".join(f"k{i}" for i in range(12)) + ".x", "1", "2")]
+
+
+def test_empty_sides(spark, sides):
+    b, a = sides
+    none = Snapshot(b.df.limit(0), b.fields, b.normalise)
+    ids = lambda x, y: {r["id"] for r in drift.quality_issues(x, y, ("Code",), POLICY.quality).collect()}
+    assert "empty-collection" in ids(none, none) and "empty-collection" not in ids(b, none) | ids(none, a)
+
+
+def test_narrative(spark):
+    issues = lambda *i: spark.createDataFrame([(x,) for x in i], "id string")
+    stats = lambda drop: spark.createDataFrame([("BidURL", 1.0, 1.0 - drop)], "field string, baseline_rate double, latest_rate double")
+    assert drift.narrative(issues(), stats(0.5)) == drift.NO_PATTERN
+    assert drift.narrative(issues("group-header-metadata"), stats(0.05)) == drift.HEADER_ONLY and drift.narrative(issues("group-header-metadata"), stats(0.5)) == drift.HEADER_FAILURE
 
 
 def test_matching_and_recovery(spark, sides):
@@ -191,6 +218,22 @@ def test_documents(spark, sides):
     assert documents.states(documents.summary(rows, cmp, "key", "before", "after"), h).first()["hash_mismatch"]
 
 
+def test_document_lists_count_both_sides(spark):
+    doc = lambda h, t="t": {"title": t, "url": "u", "hash": h}
+    before, after = [doc("A"), doc("A"), doc("B"), doc(None), doc(" ")], [doc("A"), doc("A"), doc("A"), doc("B", "new"), doc(None), {"hash": "C"}]
+    rows = spark.createDataFrame([(1, json.dumps(before), json.dumps(after))], "key long, b string, a string")
+    rows = rows.select("key", documents.normalised(F.col("b")).alias("before"), documents.normalised(F.col("a")).alias("after"), F.array(F.lit("A"), F.lit("Z")).alias("listed"))
+    cmp = documents.compare(rows, "key", "before", "after")
+    assert sorted((r["hash"] or "", r["state"], r["before"] is None, r["after"] is None) for r in cmp.collect()) == [("", "incomplete", False, True)] * 2 + [("", "incomplete", True, False), ("B", "modified", False, False), ("C", "added", True, False)]
+    s = documents.summary(rows, cmp, "key", "before", "after").first()
+    assert (s["n_before"], s["n_after"], s["modified"], s["incomplete"], s["unchanged"]) == (5, 6, 1, 3, 1)  # 2 and 3 distinct hashes
+    h = documents.health(rows, "key", "before", "after", ("listed", "listed")).first()
+    assert (h["missing_hash"], h["missing_title"], h["missing_url"], h["duplicates"], h["not_listed"], h["dangling"]) == (3, 1, 1, ["A"], ["B", "C"], ["Z"])
+    bare = rows.withColumns({"listed": F.array(F.lit("B")), "before": documents.normalised(F.lit(json.dumps([doc("B"), doc(None)]))), "after": documents.normalised(F.lit(json.dumps([doc("B")])))})
+    states = documents.states(documents.summary(bare, documents.compare(bare, "key", "before", "after"), "key", "before", "after"), documents.health(bare, "key", "before", "after", ("listed", "listed"))).first()
+    assert states["incomplete"] and not states["hash_mismatch"] and states["decreased"]
+
+
 def test_policies(tmp_path):
     base = {"primaryKey": ["Code"], "minimumMatchRate": 0.9, "quality": {"requiredFields": ["Code"], "identityDefault": ["Code"]}}
     (tmp_path / "sources").mkdir()
@@ -210,12 +253,80 @@ def test_policies(tmp_path):
 def test_search(spark):
     df = spark.createDataFrame([("a1", "water main"), ("a10", "main street"), ("x", "Water works")], "id string, title string")
     got = [r["id"] for r in views.search(df, {"title": F.col("title")}, "wat").collect()]
+    ids = lambda q, **parts: [r["id"] for r in views.search(df, parts or {"title": F.col("title")}, q).collect()]
+    assert ids("water street") == ["a1", "a10", "x"] and ids("  ") == [] and ids("zzz") == [] and ids("1") == []  # any term; a key that only contains the query is no hit
+    assert ids("main a10") == ["a10", "a1"]
     assert got == ["a1", "x"] and [r["id"] for r in views.search(df, {"title": F.col("title")}, "a1").collect()] == ["a1", "a10"]
 
 
 def test_secrets_are_refused(spark):
     with pytest.raises(ValueError):
-        export.refuse_secrets(["ApiToken"], spark)
+        export.refuse_secrets(["ApiToken"])
+
+
+def test_cells(spark, sides):
+    ref, cand = sides
+    m = written(matching.match(ref, cand, POLICY), "m")
+    rows = written(cells.records(ref, cand, ("Code",), POLICY, m), "records")
+    own = cells.classified(rows, ref, cand, POLICY, recovery.provenance(m, ref, cand, POLICY))
+    got = {(r["id"], r["field"]): r for r in own.collect()}
+    assert got['["A-1"]', "Title"]["lane"] == "auto" and got['["A-1"]', "Title"]["situation"] == "candidate_blank"
+    assert got['["A-1"]', "Docs"]["situation"] == "conflict" and got['["A-1"]', "Docs"]["lane"] == "review"
+    assert got['["C-3"]', "Title"]["reason"] == cells.BLOCKERS["record_added"] and got['["B-2"]', "Title"]["reason"] == cells.BLOCKERS["record_removed"]
+    assert got['["D-4"]', "Title"]["reason"] == cells.BLOCKERS["disputed"] and not got['["D-4"]', "Title"]["manual"]  # a repeated key is no pair for the review
+    closed = cells.classified(rows, ref, cand, POLICY, recovery.provenance(m, ref, cand, POLICY), fields=["Title"], unavailable="no review")
+    assert {(r["lane"], r["reason"], r["manual"]) for r in closed.collect()} == {(None, "no review", False)}
+    said = lambda c, r, s="paired": one(spark, cells.situation(F.lit(s), j(c), j(r)))
+    assert [said("", "x"), said("x", ""), said("", None), said("x", "x"), said("x", "y"), said({"a": 1}, {"a": 1}), said("x", "x", "added")] == ["candidate_blank", "reference_blank", "unchanged", "unchanged", "conflict", "conflict", "record_added"]
+    assert cells.field_policy(POLICY, "Nothing")["description"] == cells.POLICY_TEXTS["none"]
+
+
+def test_decisions_are_checked(spark):
+    own = spark.createDataFrame([("k", "f", "review", '"c"', '"r"'), ("k", "g", "ineligible", '"c"', None)], "key string, field string, lane string, candidate_value string, reference_value string")
+    wanted = spark.createDataFrame([("k", "f", "backfill", " why ", None), ("k", "f", "backfill", " ", None), ("k", "g", "backfill", "why", None), ("k", "g", "use_custom", "why", '"v"'), ("k", "f", "use_custom", "why", None)], "key string, field string, action string, reason string, value string")
+    made, refused = decisions.create(wanted, own, "2024-01-01T00:00:00Z", first=3)
+    assert sorted((r["field"], r["action"], r["value"], r["reason"], r["sequence"]) for r in made.collect()) == [("f", "backfill", '"r"', "why", 3), ("g", "use_custom", '"v"', "why", 4)]
+    assert len({r["refusal"] for r in refused.collect()}) == 3
+    text = json.dumps(["k", "f", "backfill", "2024-01-01T00:00:00Z", 3], separators=(",", ":"))
+    h = 0x811C9DC5
+    for c in text:
+        h = (h ^ ord(c)) * 0x01000193 & 0xFFFFFFFF
+    assert made.where("field = 'f'").first()["id"] == f"decision:{h:08x}"
+
+
+def test_decision_transfer(spark):
+    context = {"profileId": "p", "profileVersion": 1, "policyHash": "h", "generatedAt": "t", "inputHashes": [{"role": "candidate", "sha256": "a"}, {"role": "reference", "sha256": "b"}]}
+    head = {"formatVersion": 1, "exportedAt": "t", "context": context}
+    assert decisions.transfer_problems(head) == [] and decisions.mismatches(context, context) == []
+    assert decisions.transfer_problems(head | {"odd": 1, "formatVersion": 2}) == ['Unknown key "odd".', "formatVersion must be 1, got 2."]
+    other = context | {"policyHash": None, "inputHashes": [{"role": "candidate", "sha256": "x"}]}
+    assert len(decisions.mismatches(other, context)) == 3
+    good = {"id": "1", "recordKey": "k", "field": "f", "action": "backfill", "reason": "r", "timestamp": "t", "actor": "user", "sequence": 2}
+    rows = spark.createDataFrame([(0, json.dumps(good)), (1, json.dumps(good | {"action": "drop", "sequence": "2"})), (2, "[]")], "at long, j string").select("at", F.parse_json("j").alias("d"))
+    assert sorted(r["problem"] for r in decisions.transfer_row_problems(rows).collect()) == ["decisions[1].action must be one of backfill, keep_candidate, use_custom.", "decisions[1].sequence must be a number.", "decisions[2] is not an object."]
+
+
+def test_sequences_are_those_of_one_sort(spark):
+    n = 3000
+    df = spark.range(n).selectExpr("concat('k', id % 1000) as key", "concat('f', id) as field", "'backfill' as action", "'v' as value", "'r' as reason", "'t' as ts").repartition(7)
+    got = sorted((r["key"], r["field"], r["sequence"]) for r in decisions.numbered(df, ["key", "field"], 10).collect())
+    assert [s for _, _, s in got] == list(range(10, 10 + n))
+
+
+def test_artifacts():
+    assert export.bundle({"allowed": True, "reasons": []}) == (list(export.ARTIFACTS), []) and export.bundle({"allowed": False, "reasons": ["a", "b"]}) == (list(export.ARTIFACTS[1:]), [("recovered", "a; b")])
+    told = export.warnings({"match_rate": 0.5}, 2, POLICY, False, False, True, False)
+    assert [w.split(":")[0].split(" by ")[0] for w in told[:2]] == ["MATCH RATE BELOW MINIMUM", "CRITICAL FINDINGS"] and len(told) >= 5
+    assert list(export.CSV_COLUMNS) == ["id", "severity", "category", "fieldPath", "recordKey", "candidateValue", "referenceValue", "recommendedAction", "message"]
+
+
+def test_table_sorts(spark):
+    df = spark.createDataFrame([("a10", "2024-01-02", "high", 3), ("a2", "", "pass", 3), ("b1", "2024-01-01", "critical", 1), ("a1", "2024-01-02", "high", 9)], "id string, due string, severity string, n_changed int")
+    ids = lambda by, down=False: [r["id"] for r in views.sorted_records(df, by, down).collect()]
+    assert ids("key") == ["a1", "a2", "a10", "b1"] and ids("changes", True) == ["a1", "a10", "a2", "b1"] and ids("severity") == ["a2", "a1", "a10", "b1"]
+    assert ids("due") == ["b1", "a1", "a10", "a2"] and ids("due", True) == ["a1", "a10", "b1", "a2"]  # blanks last both ways
+    with pytest.raises(ValueError):
+        views.sorted_records(df, "shape")
 
 
 FAST = ("blank_vs_empty_census", "field_changes", "match_results", "recovery_summary", "qa_field_regression", "document_diff", "decision_latest", "identity_census", "source_detection", "record_search")

@@ -174,17 +174,17 @@ def failure(text: Column, rule: str) -> Column:
     """NULL if the text is valid, else a reason. Rules: json, url, date, email, phone."""
     t = js_trim(text)
     if rule == "json":
-        return F.when(F.try_parse_json(text).isNull(), "not valid JSON")
+        return F.when(F.try_parse_json(text).isNull(), "not parseable as JSON")
     if rule == "url":
-        return F.when(~t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), "not an absolute URL").when(~t.rlike(r"^(?i)https?:"), F.concat(F.lit("unsupported scheme "), F.lower(F.regexp_extract(t, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1)))).when(~t.rlike(r"^(?i)https?:/*[^/\s?#]+"), "not an absolute URL")
+        return F.when(~t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), "not an absolute URL").when(~t.rlike(r"^(?i)https?:"), F.concat(F.lit('scheme "'), F.lower(F.regexp_extract(t, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1)), F.lit('" is not http or https'))).when(~t.rlike(r"^(?i)https?:/*[^/\s?#]+"), "not an absolute URL")
     if rule == "date":
-        return F.when(parse_date(t).isNull(), "not a recognizable date")
+        return F.when(parse_date(t).isNull(), "not parseable as a date")
     if rule == "email":
         parts = F.split(t, "@")
         good = (F.size(parts) == 2) & (F.length(F.get(parts, F.lit(0))) > 0) & F.get(parts, F.lit(1)).contains(".")
-        return F.when(~good | t.rlike(r"\s"), "not a plausible email address")
+        return F.when(~good | t.rlike(r"\s"), "not shaped like an email address")
     if rule == "phone":
-        return F.when(F.regexp_replace(text, r"\D", "") == "", "holds no digits")
+        return F.when(F.regexp_replace(text, r"\D", "") == "", "contains no digits")
     raise ValueError(f"unknown validation rule {rule!r}")
 
 

@@ -1,15 +1,29 @@
-"""Lanes, the append-only decision log and what follows from it (inventory L1-L14, A13-A17)."""
+"""Lanes, the append-only decision log and what follows from it (inventory L1-L9, L14, A13-A17)."""
 
 from __future__ import annotations
 
+import json
+from collections.abc import Mapping
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import values as V
 from ..plans.policy import Policy
+from ..sources.scratch import written
 
 ACTIONS = ("backfill", "keep_candidate", "use_custom")
 LANES = ("auto", "review", "ineligible")
+#: Reasons of lanes (fixed texts).
+LANE_TEXTS = {
+    "auto": "Recovered automatically: the profile permits this field and the candidate value was blank.",
+    "ineligible": "No reference value was recorded for this cell, so there is nothing to decide between.",
+    "conflict": "Both sides hold a value and they differ. Automation may not overwrite a populated value; a person must choose.",
+    "filled": "The candidate value is not blank, so automation may not replace it.",
+    "permitted": "The profile permits this field, but recovery did not apply it — check the match status for this record.",
+    "unapproved": "The profile does not approve this field for automatic backfill.",
+}
 _LOG = ("id", "key", "field", "action", "value", "reason", "ts", "sequence")
 
 
@@ -22,11 +36,11 @@ def lanes(findings: DataFrame, provenance: DataFrame, policy: Policy) -> DataFra
     blank, permitted = V.is_blank(F.col("candidate_value")), F.col("field").isin(*policy.safe_backfill) if policy.safe_backfill else F.lit(False)
     lane = F.when(gone, "ineligible").when(F.col("auto"), "auto").otherwise("review")
     reason = (
-        F.when(F.col("lane") == "auto", "recovered automatically")
-        .when(F.col("lane") == "ineligible", "no reference value to choose")
-        .when(~blank, F.when(F.col("category") == "field_conflict", "both sides hold a value and they differ").otherwise("the candidate value is not blank"))
-        .when(permitted, "permitted, but recovery did not apply it")
-        .otherwise("the policy does not approve the field")
+        F.when(F.col("lane") == "auto", LANE_TEXTS["auto"])
+        .when(F.col("lane") == "ineligible", LANE_TEXTS["ineligible"])
+        .when(~blank, F.when(F.col("category") == "field_conflict", LANE_TEXTS["conflict"]).otherwise(LANE_TEXTS["filled"]))
+        .when(permitted, LANE_TEXTS["permitted"])
+        .otherwise(LANE_TEXTS["unapproved"])
     )
     return cells.withColumn("lane", lane).withColumn("reason", reason).drop("auto").withColumn("blank", blank)
 
@@ -48,8 +62,37 @@ def latest(log: DataFrame) -> DataFrame:
 
 
 def decision_id(key: Column, field: Column, action: Column, ts: Column, sequence: Column) -> Column:
-    """P13."""
-    return F.concat(F.lit("decision:"), V.fnv1a32(V.json_list(key, field, action, ts, sequence.cast("string"))))
+    """Over a JSON list whose last item, the sequence, is a number."""
+    texts = V.json_list(key, field, action, ts)
+    return F.concat(F.lit("decision:"), V.fnv1a32(F.concat(F.substring(texts, F.lit(1), F.length(texts) - 1), F.lit(","), sequence.cast("string"), F.lit("]"))))
+
+
+def history(log: DataFrame, key: str, field: str) -> DataFrame:
+    """L4: every entry of one cell, oldest first."""
+    return ordered(log.where((F.col("key") == key) & (F.col("field") == field)))
+
+
+def create(wanted: DataFrame, cells: DataFrame, ts: str, first: int = 0) -> tuple[DataFrame, DataFrame]:
+    """L3: decisions from ``wanted`` (key, field, action, reason, value for own values), and refused ones with ``refusal``.
+
+    A reason is needed; a cell without a reference value takes only an own value; an own value must be given.
+    """
+    facts = cells.select("key", "field", "lane", "candidate_value", "reference_value").dropDuplicates(["key", "field"])
+    own = F.col("action") == "use_custom"
+    refusal = (
+        F.when(V.js_trim(F.coalesce("reason", F.lit(""))) == "", _cell_text("Decision for ", " has no reason; a reason is required for the audit trail."))
+        .when(~F.col("action").isin(*ACTIONS), F.lit("unknown action"))
+        .when((F.coalesce("lane", F.lit("ineligible")) == "ineligible") & ~own, _cell_text("Cannot decide on ", ": no reference value was recorded for this cell. A typed value can still be entered."))
+        .when(own & F.col("value").isNull(), _cell_text("Custom decision for ", " carries no value."))
+    )
+    judged = wanted.join(facts, ["key", "field"], "left").withColumn("refusal", refusal)
+    value = F.when(F.col("action") == "backfill", F.col("reference_value")).when(own, F.col("value")).otherwise(F.col("candidate_value"))
+    good = judged.where("refusal is null").select("key", "field", "action", value.alias("value"), V.js_trim("reason").alias("reason"), F.lit(ts).alias("ts"))
+    return numbered(good, ["key", "field", "action"], first), judged.where("refusal is not null").select(*wanted.columns, "refusal")
+
+
+def _cell_text(before: str, after: str) -> Column:
+    return F.concat(F.lit(before), F.col("field"), F.lit(after))
 
 
 def overrides(log: DataFrame, provenance: DataFrame) -> DataFrame:
@@ -82,7 +125,6 @@ def bulk(cells: DataFrame, policy: Policy, action: str, reason: str, ts: str, fi
     """One decision a cell with its own reference (or candidate) value, sequences from ``first`` on in order of key and field.
 
     Date-sensitive cells are left out of a backfill over several fields unless acknowledged.
-    Sequences come from a per-partition count over a range-sorted frame, not one global window.
     """
     if action not in ("backfill", "keep_candidate"):
         raise ValueError("no custom value can be decided in bulk")
@@ -96,28 +138,84 @@ def bulk(cells: DataFrame, policy: Policy, action: str, reason: str, ts: str, fi
     return numbered(c.select("key", "field", F.lit(action).alias("action"), value.alias("value"), F.lit(reason).alias("reason"), F.lit(ts).alias("ts")), ["key", "field"], first)
 
 
-def numbered(df: DataFrame, by: list[str], first: int = 0) -> DataFrame:
-    """Consecutive ``sequence`` in the order of ``by`` and the decision's ``id``: buckets of a hash-free range sort are counted, then offset."""
+def _ranked(df: DataFrame, by: list[str]) -> DataFrame:
+    """Adds ``at``: the row's place in the order of ``by``. The range-sorted rows are written once, so that their partitions' sizes and places are of the same rows; only the sizes meet in one window."""
     sorted_ = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("part", F.spark_partition_id()).withColumn("mono", F.monotonically_increasing_id())
-    base = F.col("mono") - F.col("part").cast("long") * F.lit(1 << 33)
-    sizes = sorted_.groupBy("part").count()
+    sorted_ = written(sorted_, "sorted")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
-    starts = sizes.select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
-    out = sorted_.withColumn("at", base).join(F.broadcast(starts), "part").withColumn("sequence", F.col("at") + F.col("start") + first)
+    starts = sorted_.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    return sorted_.join(F.broadcast(starts), "part").withColumn("at", F.col("mono") - F.col("part").cast("long") * F.lit(1 << 33) + F.col("start")).drop("part", "mono", "start")
+
+
+def numbered(df: DataFrame, by: list[str], first: int = 0) -> DataFrame:
+    """Consecutive ``sequence`` in the order of ``by``, and the decision's ``id``."""
+    out = _ranked(df, by).withColumn("sequence", F.col("at") + first)
     return out.withColumn("id", decision_id(F.col("key"), F.col("field"), F.col("action"), F.col("ts"), F.col("sequence"))).select(*_LOG)
 
 
+#: Keys of a transfer file and of its context, and what a decision in it must hold (fixed values).
+TRANSFER_KEYS = ("formatVersion", "exportedAt", "context", "decisions")
+CONTEXT_KEYS = ("profileId", "profileVersion", "policyHash", "overrideRevision", "generatedAt", "sourceRun", "referenceRun", "inputHashes")
+TRANSFER_TEXTS = ("id", "recordKey", "field", "reason", "timestamp")
+
+
+def transfer_problems(head: Mapping[str, Any]) -> list[str]:
+    """Faults of a transfer file's head (all but its decisions); unknown keys are faults."""
+    out = [f'Unknown key "{k}".' for k in head if k not in TRANSFER_KEYS]
+    if head.get("formatVersion") != 1:
+        out.append(f"formatVersion must be 1, got {json.dumps(head.get('formatVersion'))}.")
+    if not isinstance(head.get("exportedAt"), str):
+        out.append("exportedAt must be a string.")
+    context = head.get("context")
+    if not isinstance(context, Mapping):
+        return [*out, "context must be an object."]
+    out += [f'Unknown context key "{k}".' for k in context if k not in CONTEXT_KEYS]
+    number = lambda v: isinstance(v, (int, float)) and not isinstance(v, bool)
+    checks = (
+        (isinstance(context.get("profileId"), str), "context.profileId must be a string."), (number(context.get("profileVersion")), "context.profileVersion must be a number."),
+        ("policyHash" in context and (context["policyHash"] is None or isinstance(context["policyHash"], str)), "context.policyHash must be a string or null."),
+        (isinstance(context.get("generatedAt"), str), "context.generatedAt must be a string."), (isinstance(context.get("inputHashes"), list), "context.inputHashes must be an array."),
+    )
+    return out + [text for ok, text in checks if not ok]
+
+
+def transfer_row_problems(rows: DataFrame) -> DataFrame:
+    """``at, problem`` of each fault in a transfer file's decisions. ``rows``: ``at`` (place in the file) and ``d`` (VARIANT)."""
+    kind = lambda k: F.schema_of_variant(F.try_variant_get("d", f"$.{k}", "variant"))
+    text = lambda k: F.when(kind(k) == "STRING", F.try_variant_get("d", f"$.{k}", "string"))
+    told = lambda ok, k, what: F.when(~F.coalesce(ok, F.lit(False)), F.concat(F.lit("decisions["), F.col("at"), F.lit(f"].{k} must be {what}.")))
+    faults = [
+        *[told(text(k) != "", k, "a non-empty string") for k in TRANSFER_TEXTS], told(text("action").isin(*ACTIONS), "action", f"one of {', '.join(ACTIONS)}"),
+        told(text("actor").isin("user", "auto"), "actor", '"user" or "auto"'), told(kind("sequence").rlike("^(BIGINT|DOUBLE|DECIMAL)"), "sequence", "a number"),
+    ]
+    found = F.when(~F.schema_of_variant("d").startswith("OBJECT"), F.array(F.concat(F.lit("decisions["), F.col("at"), F.lit("] is not an object.")))).otherwise(F.filter(F.array(*faults), lambda x: x.isNotNull()))
+    return rows.select("at", F.explode(found).alias("problem"))
+
+
+def mismatches(context: Mapping[str, Any], review: Mapping[str, Any]) -> list[str]:
+    """Why decisions of a transfer's context do not belong to a review (same keys); a missing hash can't be verified."""
+    out = []
+    if context["profileId"] != review["profileId"]:
+        out.append(f'Profile mismatch: file is for "{context["profileId"]}", this review ran under "{review["profileId"]}".')
+    if context["profileVersion"] != review["profileVersion"]:
+        out.append(f"Profile version mismatch: file v{context['profileVersion']}, this review v{review['profileVersion']}.")
+    if None in (context["policyHash"], review["policyHash"]) or context["policyHash"] != review["policyHash"]:
+        out.append(f"Policy mismatch: file policy {context['policyHash'] or 'unstamped'}, this review {review['policyHash'] or 'unstamped'}. Decisions transfer only between identical resolved policies.")
+    of = lambda c, role: next((h["sha256"] for h in c["inputHashes"] if h["role"] == role), None)
+    for role in ("candidate", "reference"):
+        theirs, ours = of(context, role), of(review, role)
+        if theirs is None or ours is None:
+            out.append(f"The {role} file's SHA-256 is unavailable on {'the exported' if theirs is None else 'this'} side, so the inputs cannot be verified as identical.")
+        elif theirs != ours:
+            out.append(f"The {role} file differs: exported {theirs[:12]}…, this review {ours[:12]}….")
+    return out
+
+
 def rebase(log: DataFrame, incoming: DataFrame) -> DataFrame:
-    """The incoming decisions that the log does not hold yet, numbered behind its last one."""
+    """The incoming decisions that the log does not hold yet, numbered behind its last one; ids stay."""
     top = log.agg(F.coalesce(F.max("sequence"), F.lit(-1))).first()[0]
     new = incoming.join(log.select("id"), "id", "left_anti")
-    w = Window.orderBy("sequence", "ts", "id")
-    return new.withColumn("sequence", F.row_number().over(w).cast("long") + F.lit(top))
-
-
-def situation(before: Column, after: Column) -> Column:
-    """L10, of a cell whose record both sides have."""
-    return F.when(V.same_value(before, after), "unchanged").when(V.is_blank(after) & ~V.is_blank(before), "candidate_blank").when(V.is_blank(before) & ~V.is_blank(after), "reference_blank").when(V.is_blank(before), "unchanged").otherwise("conflict")
+    return _ranked(new, ["sequence", "ts", "id"]).withColumn("sequence", F.col("at") + F.lit(top + 1)).drop("at")
 
 
 def bridge(stamp: dict, policy: Policy, reviewed: bool, verified: bool, hashes: bool, blocked: bool) -> str | None:

@@ -48,34 +48,40 @@ def compare(rows: DataFrame, key: str, before: str, after: str) -> DataFrame:
     both = side(before, "before").join(side(after, "after"), ["key", "hash"], "full_outer")
     differ = ~(F.col("before.title").eqNullSafe(F.col("after.title")) & F.col("before.url").eqNullSafe(F.col("after.url")))
     state = F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "removed").when(differ, "modified")
-    bare = rows.select(F.col(key).alias("key"), F.explode(after).alias("after")).where("after.hash is null").select("key", F.lit(None).cast("string").alias("hash"), F.lit("incomplete").alias("state"), F.lit(None).cast(DOCUMENTS[6:-1]).alias("before"), "after")
-    return both.select("key", "hash", state.alias("state"), "before", "after").where("state is not null").unionByName(bare)
+    no = lambda name: F.lit(None).cast(DOCUMENTS[6:-1]).alias(name)
+    bare = lambda name: rows.select(F.col(key).alias("key"), F.explode(name).alias("d")).where("d.hash is null").select("key", F.lit(None).cast("string").alias("hash"), F.lit("incomplete").alias("state"), *[F.col("d").alias(n) if n == name_of[name] else no(n) for n in ("before", "after")])
+    name_of = {before: "before", after: "after"}
+    return both.select("key", "hash", state.alias("state"), "before", "after").where("state is not null").unionByName(bare(before)).unionByName(bare(after))
 
 
 def health(rows: DataFrame, key: str, before: str, after: str, lists: tuple[str, str]) -> DataFrame:
-    """Per record the missing parts, repeated hashes, and hashes missing from or dangling in the plain lists of both sides."""
+    """Per record the missing parts of both sides, hashes repeated inside a side, and hashes missing from or dangling in the plain lists of both sides."""
     docs = F.concat(before, after)
     hashes = lambda c: F.filter(F.transform(c, lambda d: d["hash"]), lambda h: h.isNotNull())
     listed = F.array_union(*lists)
-    missing = lambda name: F.size(F.filter(after, lambda d: d[name].isNull()))
-    own = hashes(F.col(after))
+    missing = lambda name: F.size(F.filter(docs, lambda d: d[name].isNull()))
+
+    def repeated(side: str) -> Column:
+        own = F.array_sort(hashes(F.col(side)))  # equal ones stand side by side
+        return F.filter(own, lambda h, i: (i > 0) & (h == F.get(own, i - 1)))
+
     return rows.select(
         F.col(key).alias("key"), missing("hash").alias("missing_hash"), missing("title").alias("missing_title"), missing("url").alias("missing_url"),
-        F.array_sort(F.filter(F.array_distinct(own), lambda h: F.size(F.filter(own, lambda x: x == h)) > 1)).alias("duplicates"),
+        F.array_sort(F.array_union(repeated(before), repeated(after))).alias("duplicates"),
         F.array_sort(F.array_except(hashes(docs), listed)).alias("not_listed"), F.array_sort(F.array_except(listed, hashes(docs))).alias("dangling"),
     )
 
 
 def summary(rows: DataFrame, compared: DataFrame, key: str, before: str, after: str) -> DataFrame:
-    """Counts a record; ``unchanged`` is min of both sizes less the modified ones, at least 0, ``unchanged_exact`` the true intersection's."""
+    """Counts a record; ``unchanged`` is the least number of distinct hashes of a side less the modified ones, at least 0, ``unchanged_exact`` the true intersection's."""
     states = compared.groupBy("key").agg(*[F.count_if(F.col("state") == s).alias(s) for s in ("added", "removed", "modified", "incomplete")])
-    sizes = rows.select(F.col(key).alias("key"), F.size(before).alias("n_before"), F.size(after).alias("n_after"), F.size(F.array_intersect(F.col(before), F.col(after))).alias("unchanged_exact"))
+    sizes = rows.select(F.col(key).alias("key"), F.size(before).alias("n_before"), F.size(after).alias("n_after"), F.size(F.array_intersect(F.col(before), F.col(after))).alias("unchanged_exact"), F.least(*[F.size(F.array_distinct(F.filter(F.transform(side, lambda d: d["hash"]), lambda h: h.isNotNull()))) for side in (before, after)]).alias("hashes"))
     out = sizes.join(states, "key", "left").na.fill(0, ["added", "removed", "modified", "incomplete"])
-    return out.withColumn("unchanged", F.greatest(F.least("n_before", "n_after") - F.col("modified"), F.lit(0)))
+    return out.withColumn("unchanged", F.greatest(F.col("hashes") - F.col("modified"), F.lit(0))).drop("hashes")
 
 
 def states(summaries: DataFrame, healths: DataFrame) -> DataFrame:
-    """State flags a record; a mismatch is a dangling, missing, repeated or absent hash."""
+    """State flags a record; a mismatch is a dangling, unlisted or repeated hash."""
     out = summaries.join(healths, "key")
-    mismatch = (F.size("dangling") > 0) | (F.size("not_listed") > 0) | (F.size("duplicates") > 0) | (F.col("incomplete") > 0)
+    mismatch = (F.size("dangling") > 0) | (F.size("not_listed") > 0) | (F.size("duplicates") > 0)
     return out.select("key", *[(F.col(s) > 0).alias(s) for s in ("added", "removed", "modified", "incomplete")], mismatch.alias("hash_mismatch"), (F.col("n_after") < F.col("n_before")).alias("decreased"))

@@ -1,14 +1,15 @@
-"""Drift between a baseline and a latest snapshot (inventory J1, J2, J8, D1-D6, A1-A10)."""
+"""Drift between a baseline and a latest snapshot (inventory J1, J2, J8, D1-D4, D6, A1-A10)."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..plans.policy import EmptyRule, Policy, Quality
+from ..plans.policy import EmptyRule, Quality
+from ..sources.scratch import written
 from ..sources.snapshot import Snapshot, union_fields
 
 KINDS = ("string", "number", "boolean", "object", "array")
@@ -30,9 +31,8 @@ def _keyed(side: Snapshot, identity: Sequence[str], name: str, label: str) -> Da
 
 
 def _last(keyed: DataFrame, name: str) -> DataFrame:
-    """Of records that share an id the last."""
-    w = Window.partitionBy("id").orderBy(F.col(f"{name}.idx").desc())
-    return keyed.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
+    """Of records that share an id the last, added up map-side."""
+    return keyed.groupBy("id").agg(F.max_by(name, F.col(f"{name}.idx")).alias(name))
 
 
 def paired(baseline: Snapshot, latest: Snapshot, identity: Sequence[str]) -> DataFrame:
@@ -52,10 +52,7 @@ def compared(baseline: Snapshot, latest: Snapshot, identity: Sequence[str], qual
     whole = lambda kind: F.array(F.struct(F.lit("$record").alias("path"), F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("before"), F.lit(None).cast("string").alias("after")))
     out = both.select("id", F.when(F.col("b").isNull(), "added").when(F.col("l").isNull(), "removed").alias("side"), F.when(F.col("b").isNull(), whole("added")).when(F.col("l").isNull(), whole("removed")).otherwise(fields).alias("changes"))
     out = out.withColumn("status", F.coalesce("side", F.when(F.size("changes") > 0, "changed").otherwise("unchanged"))).drop("side")
-    required = list(quality.required)
-    lost = F.exists("changes", lambda c: c["path"].isin(required) & c["kind"].isin("emptied", "removed")) if required else F.lit(False)
-    severity = F.when(lost, "critical").when(F.exists("changes", lambda c: c["kind"] == "emptied"), "high").when(F.size("changes") > 0, "warning").otherwise("pass")
-    return out.select("id", "status", "changes", F.size("changes").alias("n_changed"), severity.alias("severity"))
+    return _weighed(out, quality)
 
 
 def changes(diff: DataFrame) -> DataFrame:
@@ -63,21 +60,39 @@ def changes(diff: DataFrame) -> DataFrame:
     return diff.select("id", F.inline("changes"))
 
 
-def deep_changes(flat: DataFrame, depth: int = 8) -> DataFrame:
-    """D1 below the top level: a change between two objects gives way to the changes of their fields, ``depth`` levels down."""
+def deep_changes(flat: DataFrame) -> DataFrame:
+    """D1 below the top level: a change between two objects gives way to the changes of their fields, down to the deepest.
+
+    A level that still holds such changes is written once and taken apart; changes of flat values pass at once.
+    """
     is_object = lambda c: F.col(c).startswith("{")
     fields = lambda c: F.from_json(F.col(c), "map<string,variant>")
-    out, now = None, flat
-    for _ in range(depth):
-        inner = F.coalesce(is_object("before") & is_object("after"), F.lit(False))
-        here = now.where(~inner)
-        out = here if out is None else out.unionByName(here)
-        nested = now.where(inner).withColumns({"b": fields("before"), "a": fields("after")})
+    inner = F.coalesce(is_object("before") & is_object("after"), F.lit(False))
+    out, now = flat.where(~inner), flat.where(inner)
+    while not (now := written(now, "nested")).isEmpty():
+        nested = now.withColumns({"b": fields("before"), "a": fields("after")})
         nested = nested.select("id", "path", F.explode(F.array_union(F.map_keys("b"), F.map_keys("a"))).alias("field"), "b", "a")
         part = lambda m: V.json_of_variant(F.try_element_at(m, F.col("field")))
         nested = nested.select("id", F.concat_ws(".", "path", "field").alias("path"), part(F.col("b")).alias("before"), part(F.col("a")).alias("after"))
-        now = nested.withColumn("kind", V.change_kind(F.col("before"), F.col("after"))).where("kind is not null").select(*flat.columns)
-    return out.unionByName(now)
+        level = nested.withColumn("kind", V.change_kind(F.col("before"), F.col("after"))).where("kind is not null").select(*flat.columns)
+        out, now = out.unionByName(level.where(~inner)), level.where(inner)
+    return out
+
+
+def deep(diff: DataFrame, quality: Quality) -> DataFrame:
+    """``diff`` of :func:`compared` with its changes taken apart below the top level, and counts and severity made anew."""
+    nested = F.exists("changes", lambda c: F.coalesce(c["before"].startswith("{") & c["after"].startswith("{"), F.lit(False)))
+    own = deep_changes(changes(diff.where(nested))).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("path", "kind", "before", "after"))).alias("own"))  # the changes of one record
+    out = diff.join(own, "id", "left").withColumn("changes", F.when(nested, F.coalesce("own", F.array().cast(diff.schema["changes"].dataType))).otherwise(F.col("changes"))).drop("own", "n_changed", "severity")
+    return _weighed(out.withColumn("status", F.when(F.col("status") == "changed", F.when(F.size("changes") > 0, "changed").otherwise("unchanged")).otherwise(F.col("status"))), quality)
+
+
+def _weighed(diff: DataFrame, quality: Quality) -> DataFrame:
+    """Adds ``n_changed`` and ``severity``."""
+    required = list(quality.required)
+    lost = F.exists("changes", lambda c: c["path"].isin(required) & c["kind"].isin("emptied", "removed")) if required else F.lit(False)
+    severity = F.when(lost, "critical").when(F.exists("changes", lambda c: c["kind"] == "emptied"), "high").when(F.size("changes") > 0, "warning").otherwise("pass")
+    return diff.select("id", "status", "changes", F.size("changes").alias("n_changed"), severity.alias("severity"))
 
 
 def _rows_of(counts: DataFrame, fields: Sequence[str], names: Sequence[str], prefix: str = "") -> DataFrame:
@@ -104,9 +119,10 @@ def field_stats(baseline: Snapshot, latest: Snapshot, identity: Sequence[str], q
     fields = union_fields(baseline, latest)
     b, a = _side_stats(baseline, fields, quality, "baseline_"), _side_stats(latest, fields, quality, "latest_")
     # Every baseline record that shares a key counts, the last latest one answers
-    left = baseline.df.select(baseline.key(identity).alias("id"), baseline.record().alias("b")).where("id is not null")
-    right = _last(latest.df.select(latest.key(identity).alias("id"), latest.record().alias("l")).where("id is not null"), "l")
-    lost = left.join(right, "id").agg(*[F.count_if(~empty(baseline, f, quality, "b") & empty(latest, f, quality, "l")).alias(f"emptied{i}") for i, f in enumerate(fields)])
+    flags = lambda s: F.array(*[empty(s, f, quality) for f in fields])  # noqa: E731  only flags move
+    left = baseline.df.select(baseline.key(identity).alias("id"), flags(baseline).alias("b")).where("id is not null")
+    right = latest.df.select(latest.key(identity).alias("id"), F.struct("idx", flags(latest).alias("l")).alias("l")).where("id is not null").groupBy("id").agg(F.max("l.idx").alias("idx"), F.max_by("l.l", "l.idx").alias("l"))
+    lost = left.join(right, "id").agg(*[F.count_if(~F.col("b")[i] & F.col("l")[i]).alias(f"emptied{i}") for i, f in enumerate(fields)])
     out = b.join(F.broadcast(a), "field").join(F.broadcast(_rows_of(lost, fields, ("emptied",))), "field")  # a row a field
     rate = lambda s: F.when(F.col(f"{s}records") > 0, F.col(f"{s}present") / F.greatest(F.col(f"{s}records"), F.lit(1))).otherwise(F.lit(0.0))
     out = out.withColumns({"baseline_rate": rate("baseline_"), "latest_rate": rate("latest_")}).withColumn("rate_change", F.col("latest_rate") - F.col("baseline_rate"))
@@ -148,29 +164,47 @@ def group_incidents(stats: DataFrame, quality: Quality) -> DataFrame:
     return hit.groupBy("id", "name", "severity", "narrative", "least").agg(F.sort_array(F.collect_list("field")).alias("fields")).where(F.size("fields") >= F.col("least")).drop("least")
 
 
-def quality_issues(baseline: Snapshot, latest: Snapshot, identity: Sequence[str], quality: Quality, stats: DataFrame | None = None) -> DataFrame:
-    """A3: ``ord``, ``kind``, ``severity``, ``fields``, ``n`` (records concerned), in the fixed order of kinds; a group incident concerns all records."""
+def change_counts(baseline: Snapshot, latest: Snapshot, identity: Sequence[str], quality: Quality) -> DataFrame:
+    """A5, counted: per field the paired records in which it changed (``changed``), and all records by id (``records``); one map-side aggregation over the pairs."""
+    fields = union_fields(baseline, latest)
+    both = F.col("b").isNotNull() & F.col("l").isNotNull()
+    sums = [F.count_if(both & V.change_kind(baseline.col(f, "b"), latest.col(f, "l"), *_rule(quality, f)).isNotNull()).alias(f"changed{i}") for i, f in enumerate(fields)]
+    return _rows_of(paired(baseline, latest, identity).agg(F.count("*").alias("n_records"), *sums), fields, ("changed",)).withColumnRenamed("n_records", "records")
+
+
+def changed_records(diff: DataFrame) -> DataFrame:
+    """A5: path and id of every change."""
+    return diff.select(F.explode(F.array_distinct(F.transform("changes", lambda c: c["path"]))).alias("path"), "id")
+
+
+def quality_issues(baseline: Snapshot, latest: Snapshot, identity: Sequence[str], quality: Quality, stats: DataFrame | None = None, related: bool = True) -> DataFrame:
+    """A3: ``ord``, ``id``, ``kind``, ``severity``, ``fields``, ``n`` (records concerned), in the fixed order of kinds.
+
+    A field's issue concerns the records in which the field changed, a group's all records.
+    ``related``: whether these are counted, for which records are paired; else their ``n`` is NULL.
+    """
     stats = field_stats(baseline, latest, identity, quality) if stats is None else stats
+    counts = change_counts(baseline, latest, identity, quality) if related else stats.select("field", F.lit(None).cast("long").alias("changed"), F.lit(None).cast("long").alias("records"))
     key = lambda s: s.df.agg(F.count("*").alias("n"), F.count_if(s.key(identity).isNull()).alias("unkeyed"))
     sides = key(baseline).select(F.col("n").alias("bn"), F.col("unkeyed").alias("bu")).join(F.broadcast(key(latest).select(F.col("n").alias("ln"), F.col("unkeyed").alias("lu"))))  # one row beside one row
     some = lambda *f: F.array(*map(F.lit, f)).cast("array<string>")
-    row = lambda ord_, kind, severity, n: F.struct(F.lit(ord_).alias("ord"), F.lit(kind).alias("kind"), severity.alias("severity"), some().alias("fields"), n.cast("long").alias("n"))
+    row = lambda ord_, kind, severity, n, *f: F.struct(F.lit(ord_).alias("ord"), F.lit(kind).alias("id"), F.lit(kind).alias("kind"), severity.alias("severity"), some(*f).alias("fields"), n.cast("long").alias("n"))
     unkeyed, total = F.col("bu") + F.col("lu"), F.col("bn") + F.col("ln")
     first = sides.select(
         F.inline(
             F.filter(
                 F.array(
-                    F.when((F.col("bn") == 0) | (F.col("ln") == 0), row(0, "empty-collection", F.lit("critical"), F.lit(0))),
-                    F.when(unkeyed > 0, row(1, "unkeyed-records", F.when(unkeyed == total, "critical").otherwise("warning"), unkeyed)),
-                    F.when(F.col("ln") < F.col("bn"), row(2, "record-count-reduction", F.lit("warning"), F.col("bn") - F.col("ln"))),
+                    F.when((F.col("bn") == 0) & (F.col("ln") == 0), row(0, "empty-collection", F.lit("critical"), F.lit(0))),
+                    F.when(unkeyed > 0, row(1, "unkeyed-records", F.when(unkeyed == total, "critical").otherwise("warning"), unkeyed, *identity)),
+                    F.when(F.col("ln") < F.col("bn"), row(2, "record-count-reduction", F.lit("warning"), F.lit(0))),
                 ),
                 lambda x: x.isNotNull(),
             )
         )
     )
-    repeated = duplicate_keys(baseline, latest, identity).agg(F.count("*").alias("n")).where("n > 0").select(F.lit(3).alias("ord"), F.lit("duplicate-record-keys").alias("kind"), F.lit("critical").alias("severity"), some().alias("fields"), "n")
-    fell = stats.where("severity <> 'pass'").select(F.lit(4).alias("ord"), F.concat(F.lit("field-population-"), "field").alias("kind"), "severity", F.array("field").alias("fields"), F.col("emptied").alias("n"))
-    groups = group_incidents(stats, quality).join(F.broadcast(sides.select(total.alias("n")))).select(F.lit(5).alias("ord"), F.concat(F.lit("group-"), "id").alias("kind"), "severity", "fields", "n") if quality.groups else None
+    repeated = duplicate_keys(baseline, latest, identity).agg(F.count("*").alias("n")).where("n > 0").select(F.lit(3).alias("ord"), F.lit("duplicate-record-keys").alias("id"), F.lit("duplicate-record-keys").alias("kind"), F.lit("critical").alias("severity"), some(*quality.identity).alias("fields"), "n")
+    fell = stats.where("severity <> 'pass'").join(F.broadcast(counts), "field").select(F.lit(4).alias("ord"), F.concat(F.lit("field-population-"), "field").alias("id"), F.lit("field-population").alias("kind"), "severity", F.array("field").alias("fields"), F.col("changed").alias("n"))  # a row a field
+    groups = group_incidents(stats, quality).join(F.broadcast(counts.agg(F.max("records").alias("n")))).select(F.lit(5).alias("ord"), F.concat(F.lit("group-"), "id").alias("id"), F.lit("field-group-incident").alias("kind"), "severity", "fields", "n") if quality.groups else None
     out = first.unionByName(repeated).unionByName(fell)
     return out.unionByName(groups) if groups is not None else out
 
@@ -186,16 +220,26 @@ def summary(diff: DataFrame) -> DataFrame:
     return diff.agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("added", "removed", "changed", "unchanged")])
 
 
-def narrative(gate_row: dict, groups: Sequence[dict], worst: Sequence[dict]) -> list[str]:
-    """Three sentences from small results."""
-    head = {"Quarantined": "The latest export must not be used as it is.", "Warning": "The latest export needs review.", "Pass": "The latest export looks sound."}[gate_row["gate"]]
-    field_text = "No field lost population." if not worst else "Most population was lost by " + ", ".join(w["field"] for w in worst) + "."
-    group_text = "No group of fields failed together." if not groups else "; ".join(f"{g['name']}: {g['narrative']}" for g in groups)
-    return [head, field_text, group_text]
+#: What the narrative looks at, and its texts (fixed values).
+HEADER_GROUP = "group-header-metadata"
+DOCUMENT_FIELDS = ("BidDocuments", "BidDocumentHashes", "AddendumDocuments", "BidTabulations", "AwardDocuments")
+URL_FIELDS = ("BidURL", "ResourceURL")
+NO_PATTERN = "No major extraction incident pattern detected."
+HEADER_ONLY = "Bid header metadata experienced a completeness collapse while document extraction remains healthy. This indicates a summary/header parser regression rather than a complete source collection failure."
+HEADER_FAILURE = "Likely bid summary/header extraction failure."
+
+
+def narrative(issues: DataFrame, stats: DataFrame) -> str:
+    """One sentence; a header incident is a parser's fault where document and URL fields kept their population. Both inputs have a row a field or issue at most."""
+    if issues.where(F.col("id") == HEADER_GROUP).isEmpty():
+        return NO_PATTERN
+    fell = stats.where(F.col("field").isin(*DOCUMENT_FIELDS, *URL_FIELDS) & (F.col("baseline_rate") - F.col("latest_rate") >= 0.1))
+    return HEADER_ONLY if fell.isEmpty() else HEADER_FAILURE
 
 
-def promoted(diff: DataFrame, issues: DataFrame, policy: Policy | None = None) -> DataFrame:
-    """A critical group incident relates to every record, a critical field issue to those where the field was emptied."""
-    critical = issues.where("severity = 'critical'").agg(F.max(F.when(F.col("ord") == 5, True).otherwise(False)).alias("all"), F.flatten(F.collect_list(F.when(F.col("ord") == 4, F.col("fields")))).alias("lost"))
-    hit = F.coalesce("all", F.lit(False)) | F.exists("changes", lambda c: F.array_contains("lost", c["path"]) & (c["kind"] == "emptied"))
-    return diff.join(F.broadcast(critical)).withColumn("severity", F.when(hit, "critical").otherwise(F.col("severity"))).drop("all", "lost")
+def promoted(diff: DataFrame, issues: DataFrame) -> DataFrame:
+    """``issue_ids`` of each record, and critical severity where one of them is critical: a group incident relates to every record, a field's issue to those where the field changed."""
+    own = issues.where("ord >= 4").agg(F.sort_array(F.collect_list(F.struct("ord", "id", "severity", "fields"))).alias("issues"))  # a row an issue
+    hit = F.filter("issues", lambda i: (i["ord"] == 5) | F.exists("changes", lambda c: F.array_contains(i["fields"], c["path"])))
+    out = diff.join(F.broadcast(own)).withColumn("hit", hit)
+    return out.withColumns({"issue_ids": F.transform("hit", lambda i: i["id"]), "severity": F.when(F.exists("hit", lambda i: i["severity"] == "critical"), "critical").otherwise(F.col("severity"))}).drop("issues", "hit")

@@ -5,14 +5,15 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import values as V
 from ..plans.policy import Policy, canonical
 from ..sources.snapshot import Snapshot
 
-CSV_COLUMNS = ("id", "severity", "category", "field", "key", "candidate_value", "reference_value", "action", "discriminator")
+#: Columns of the findings file and the findings' columns that fill them (fixed values).
+CSV_COLUMNS = {"id": "id", "severity": "severity", "category": "category", "fieldPath": "field", "recordKey": "key", "candidateValue": "candidate_value", "referenceValue": "reference_value", "recommendedAction": "action", "message": "message"}
 #: Cached results that are kept (a fixed value of the feature).
 KEPT_RESULTS = 20
 
@@ -25,7 +26,7 @@ def gate(match_summary: DataFrame, counts: DataFrame, block_on_rate: bool = True
     return both.select(reasons.alias("reasons")).withColumn("allowed", F.size("reasons") == 0)
 
 
-def refuse_secrets(names: Sequence[str], spark: SparkSession) -> None:
+def refuse_secrets(names: Sequence[str]) -> None:
     """No artifact may have a key that names a secret."""
     bad = [n for n in names if any(s in n.lower() for s in V.SECRET_KEYS)]
     if bad:
@@ -43,20 +44,60 @@ def json_lines(result: Snapshot, sources: DataFrame | None = None) -> DataFrame:
 
 
 def write_recovered(result: Snapshot, path: str, sources: DataFrame | None = None) -> None:
-    refuse_secrets(result.fields, result.df.sparkSession)
+    refuse_secrets(result.fields)
     json_lines(result, sources).select("value").write.mode("overwrite").text(path)
 
 
-def csv_lines(findings: DataFrame, columns: Sequence[str] = CSV_COLUMNS) -> DataFrame:
-    """RFC 4180 lines without the header; every text is capped and defused."""
-    return findings.select(F.concat_ws(",", *[V.csv_cell(V.text_of(F.col(c)) if c.endswith("_value") else F.col(c).cast("string")) for c in columns]).alias("value"))
+def csv_lines(findings: DataFrame) -> DataFrame:
+    """RFC 4180 lines without the header; every text is capped and defused. JSON null and absent values are empty cells."""
+    value = lambda c: V.text_of(F.when(F.col(c) != V.NULL_JSON, F.col(c))) if c.endswith("_value") else F.col(c).cast("string")
+    return findings.select(F.concat_ws(",", *[V.csv_cell(value(c)) for c in CSV_COLUMNS.values()]).alias("value"))
 
 
-def write_csv(findings: DataFrame, path: str, columns: Sequence[str] = CSV_COLUMNS) -> None:
+def write_csv(findings: DataFrame, path: str) -> None:
     """Part files with CRLF line ends; the header stands in a file of its own, which sorts first."""
     spark = findings.sparkSession
-    csv_lines(findings, columns).write.mode("overwrite").option("lineSep", "\r\n").text(f"{path}/rows")
-    spark.createDataFrame([(",".join(columns),)], "value string").coalesce(1).write.mode("overwrite").option("lineSep", "\r\n").text(f"{path}/header")
+    csv_lines(findings).write.mode("overwrite").option("lineSep", "\r\n").text(f"{path}/rows")
+    spark.createDataFrame([(",".join(CSV_COLUMNS),)], "value string").coalesce(1).write.mode("overwrite").option("lineSep", "\r\n").text(f"{path}/header")
+
+
+def warnings(match: Mapping[str, Any], critical: int, policy: Policy, hashes: bool, allowed: bool, derived: bool, accounted: bool) -> list[str]:
+    """The report's warnings, in their fixed order and texts."""
+    told = (
+        (match["match_rate"] < policy.minimum_match_rate, f"MATCH RATE BELOW MINIMUM: {match['match_rate']:.4f} against a required {policy.minimum_match_rate:g}. Record pairing is not trustworthy."),
+        (critical > 0, f"CRITICAL FINDINGS: {critical} unresolved. Review before using this data."),
+        (not hashes, "INPUT HASHES UNAVAILABLE: this run cannot prove which files it read."),
+        (not allowed, "RECOVERED DATA EXPORT BLOCKED by the profile safety gate. Report and audit remain available."),
+        (policy.collection_path == "$" and derived, "RECOVERED ARTIFACT HAS A ROOT ARRAY, so it carries no inline provenance marker. Reference-derived values are listed in the recovery audit."),
+        (not accounted, "DEDUPE ACCOUNTING MISMATCH: retained + removed + carried does not equal the participant count."),
+    )
+    return [text for holds, text in told if holds]
+
+
+#: Artifacts of a bundle, in order (fixed values).
+ARTIFACTS = ("recovered", "quality-report", "recovery-audit", "findings", "contractor-ticket")
+
+
+def bundle(gate_row: Mapping[str, Any]) -> tuple[list[str], list[tuple[str, str]]]:
+    """The artifacts to write, and those withheld with the reasons: recovered data only if the gate allows it, the other four always."""
+    if gate_row["allowed"]:
+        return list(ARTIFACTS), []
+    return list(ARTIFACTS[1:]), [(ARTIFACTS[0], "; ".join(gate_row["reasons"]))]
+
+
+def write_document(result: Snapshot, path: str, policy: Policy, recovery_summary: Mapping[str, Any], generated_at: str, audit: str) -> None:
+    """X2 as one document's parts: the records as JSON Lines under ``records``, and beside them ``document`` with the collection's name and the ``_provenance`` marker, which a root array has no place for.
+
+    One file of all records would pass one task; whoever needs it joins the lines with commas.
+    """
+    write_recovered(result, f"{path}/records")
+    marker = {
+        "artifact": "recovered", "generatedAt": generated_at, "profileId": policy.id, "profileVersion": policy.version, "profilePolicyHash": policy.policy_hash, "profileOverrideRevision": policy.override_revision,
+        "containsReferenceDerivedValues": recovery_summary["backfilled_fields"] > 0, "referenceDerivedValueCount": recovery_summary["backfilled_fields"], "manualOverrideCount": recovery_summary["overridden_fields"],
+        "note": "Derived artifact. Values marked reference_backfill in the recovery audit were NOT produced by the candidate scrape.", "auditArtifact": audit,
+    }
+    body = {"collection": policy.collection_path} | ({} if policy.collection_path == "$" else {"_provenance": marker})
+    result.df.sparkSession.createDataFrame([(canonical(body),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/document")
 
 
 def report(run: Mapping[str, Any], match: Mapping[str, Any], counts: Sequence[Mapping[str, Any]], policy: Policy, gate_row: Mapping[str, Any]) -> str:

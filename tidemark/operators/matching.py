@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.policy import Policy
+from ..sources.scratch import written
 from ..sources.snapshot import Snapshot
 
 STATUSES = ("matched_primary", "matched_fallback", "ambiguous_primary", "ambiguous_fallback", "candidate_only", "reference_only", "invalid_identity")
@@ -27,11 +28,12 @@ def match(reference: Snapshot, candidate: Snapshot, policy: Policy) -> DataFrame
 
     Every pass groups both sides by its key with map-side counts and joins on the key, so a
     repeated key never multiplies rows. In a fallback pass ambiguity is judged on all
-    references but only on candidates still open.
+    references but only on candidates still open. Keys, and each pass but the last, are written
+    once, so a plan does not grow with the number of fallback keys.
     """
     keys = [policy.primary_key, *[k for k in policy.fallback_keys if k]]
-    ref = reference.df.select("idx", *[reference.key(k).alias(f"k{i}") for i, k in enumerate(keys)])
-    open_ = candidate.df.select("idx", *[candidate.key(k).alias(f"k{i}") for i, k in enumerate(keys)])
+    ref = written(reference.df.select("idx", *[reference.key(k).alias(f"k{i}") for i, k in enumerate(keys)]), "reference-keys")
+    all_ = open_ = written(candidate.df.select("idx", *[candidate.key(k).alias(f"k{i}") for i, k in enumerate(keys)]), "candidate-keys")
     done: list[DataFrame] = []
     claimed: DataFrame | None = None
     for n in range(len(keys)):
@@ -48,7 +50,7 @@ def match(reference: Snapshot, candidate: Snapshot, policy: Policy) -> DataFrame
             .when((F.col("cand_n") > 1) | (F.col("ref_n") > 1), f"ambiguous_{kind}")
             .when((F.col("ref_n") == 1) & F.col("taken").isNull(), f"matched_{kind}")
         )
-        judged = judged.withColumn("status", status)
+        judged = written(judged.withColumn("status", status), f"pass-{n}")
         hit = F.col("status") == f"matched_{kind}"
         done.append(
             judged.where("status is not null").select(
@@ -62,7 +64,7 @@ def match(reference: Snapshot, candidate: Snapshot, policy: Policy) -> DataFrame
     none = F.lit(None)
     done.append(open_.select(F.lit("candidate_only").alias("status"), F.col("idx").alias("candidate_idx"), none.cast("long").alias("reference_idx"), F.col("k0").alias("candidate_key"), none.cast("string").alias("reference_key"), none.cast("string").alias("method"), F.lit(0).alias("pass")))
     left = ref.select("idx", F.col("k0").alias("k")).join(claimed, F.col("idx") == F.col("reference_idx"), "left_anti")
-    sizes = _counted(ref.select("idx", F.col("k0").alias("k")), "ref").join(_counted(candidate.df.select("idx", candidate.key(keys[0]).alias("k")), "cand"), "k", "left")
+    sizes = _counted(ref.select("idx", F.col("k0").alias("k")), "ref").join(_counted(all_.select("idx", F.col("k0").alias("k")), "cand"), "k", "left")
     left = left.join(sizes, "k", "left")
     status = F.when(F.col("k").isNull(), "invalid_identity").when((F.col("ref_n") > 1) | (F.col("cand_n") > 1), "ambiguous_primary").otherwise("reference_only")
     done.append(left.select(status.alias("status"), none.cast("long").alias("candidate_idx"), F.col("idx").alias("reference_idx"), none.cast("string").alias("candidate_key"), F.col("k").alias("reference_key"), none.cast("string").alias("method"), F.lit(0).alias("pass")))

@@ -2,7 +2,8 @@
 
 Each category is one DataFrame of the same columns: ``ord`` (category order), ``category``,
 ``severity``, ``field``, ``key`` (record key), ``discriminator``, ``action``,
-``candidate_value``, ``reference_value`` (JSON text), ``candidate_idx``, ``reference_idx``.
+``candidate_value``, ``reference_value`` (JSON text), ``candidate_idx``, ``reference_idx``,
+``message`` (fixed texts of the feature).
 ``finding_id`` is added at the end, in the same code generation.
 """
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values as V
 from ..plans.policy import Policy
+from ..sources.scratch import written
 from ..sources.snapshot import Snapshot, union_fields
 from . import matching
 
@@ -27,15 +29,24 @@ SEVERITIES = ("critical", "high", "medium", "low", "info")
 EXEMPLARS = 500
 
 
-def _frame(df: DataFrame, category: str, severity, action, field=None, key=None, discriminator="", candidate=None, reference=None, candidate_idx=None, reference_idx=None) -> DataFrame:
+def _frame(df: DataFrame, category: str, severity, action, field=None, key=None, discriminator="", candidate=None, reference=None, candidate_idx=None, reference_idx=None, message=None) -> DataFrame:
     text = lambda v: (v if isinstance(v, Column) else F.lit(v)).cast("string")
     number = lambda v: (v if isinstance(v, Column) else F.lit(v)).cast("long")
     return df.select(
         F.lit(CATEGORIES.index(category)).alias("ord"), F.lit(category).alias("category"), text(severity).alias("severity"), text(field).alias("field"), text(key).alias("key"), text(discriminator).alias("discriminator"),
-        text(action).alias("action"), text(candidate).alias("candidate_value"), text(reference).alias("reference_value"), number(candidate_idx).alias("candidate_idx"), number(reference_idx).alias("reference_idx"),
+        text(action).alias("action"), text(candidate).alias("candidate_value"), text(reference).alias("reference_value"), number(candidate_idx).alias("candidate_idx"), number(reference_idx).alias("reference_idx"), text(message).alias("message"),
     )
 
 
+def _said(*parts) -> Column:
+    """Columns and texts as one message; NULL stands as ``null``."""
+    return F.concat(*[F.coalesce(p.cast("string"), F.lit("null")) if isinstance(p, Column) else F.lit(str(p)) for p in parts])
+
+
+def _quoted(field) -> tuple:
+    return 'Field "', field, '"'
+
+
 def _action(policy: Policy, field: str, blank: Column) -> Column:
     yes, no = policy.action(field, True), policy.action(field, False)
     return F.lit(yes) if yes == no else F.when(blank, yes).otherwise(no)
@@ -46,13 +57,13 @@ def count_anomaly(reference: Snapshot, candidate: Snapshot, policy: Policy) -> D
     sizes = reference.df.agg(F.count("*").alias("r")).join(F.broadcast(candidate.df.agg(F.count("*").alias("c")))).where("r <> c")
     drift = F.when(F.col("r") == 0, F.lit(1.0)).otherwise(F.abs(F.col("c") - F.col("r")) / F.greatest("r", F.lit(1)))
     severity = "info" if policy.record_count_tolerance is None else F.when(drift > policy.record_count_tolerance, "high").otherwise("info")
-    return _frame(sizes, "record_count_anomaly", severity, "report_only", candidate=F.col("c"), reference=F.col("r"))
+    return _frame(sizes, "record_count_anomaly", severity, "report_only", candidate=F.col("c"), reference=F.col("r"), message=_said("Candidate holds ", F.col("c"), " records against the reference's ", F.col("r"), " (", F.when(F.col("c") > F.col("r"), "+").otherwise(""), F.col("c") - F.col("r"), ")."))
 
 
 def match_rate(matches: DataFrame, policy: Policy) -> DataFrame:
     """F2."""
     low = matching.summary(matches, policy).where(~F.col("meets_minimum"))
-    return _frame(low, "identity_match_issue", "high", "manual_review", discriminator="match_rate_below_minimum", candidate=F.col("match_rate"), reference=F.lit(policy.minimum_match_rate))
+    return _frame(low, "identity_match_issue", "high", "manual_review", discriminator="match_rate_below_minimum", candidate=F.col("match_rate"), reference=F.lit(policy.minimum_match_rate), message=_said("Match rate ", F.format_string("%.4f", "match_rate"), f" is below the profile minimum {policy.minimum_match_rate:g}."))
 
 
 def _present_fields(side: Snapshot) -> DataFrame:
@@ -80,8 +91,8 @@ def schema_changes(reference: Snapshot, candidate: Snapshot, policy: Policy) ->
     """F3, F4."""
     r, c = _present_fields(reference), _present_fields(candidate)
     act = _action_by_field(policy, union_fields(reference, candidate))
-    gone = _frame(r.join(c, "field", "left_anti"), "schema_field_missing", _by_field(policy, "high"), act, field=F.col("field"))
-    return gone.unionByName(_frame(c.join(r, "field", "left_anti"), "schema_field_added", _by_field(policy, "medium"), act, field=F.col("field")))
+    gone = _frame(r.join(c, "field", "left_anti"), "schema_field_missing", _by_field(policy, "high"), act, field=F.col("field"), message=_said(*_quoted(F.col("field")), " appears in the reference schema but in no candidate record."))
+    return gone.unionByName(_frame(c.join(r, "field", "left_anti"), "schema_field_added", _by_field(policy, "medium"), act, field=F.col("field"), message=_said(*_quoted(F.col("field")), " appears in the candidate schema but in no reference record.")))
 
 
 def _dominant(side: Snapshot, name: str) -> DataFrame:
@@ -97,7 +108,7 @@ def _dominant(side: Snapshot, name: str) -> DataFrame:
 def type_changes(reference: Snapshot, candidate: Snapshot, policy: Policy) -> DataFrame:
     """of equally frequent types the alphabetically first is dominant."""
     both = _dominant(reference, "was").join(_dominant(candidate, "now"), "field").where("was <> now")
-    return _frame(both, "field_type_change", _by_field(policy, "medium", "high"), _action_by_field(policy, union_fields(reference, candidate)), field=F.col("field"), candidate=F.col("now"), reference=F.col("was"))
+    return _frame(both, "field_type_change", _by_field(policy, "medium", "high"), _action_by_field(policy, union_fields(reference, candidate)), field=F.col("field"), candidate=F.col("now"), reference=F.col("was"), message=_said(*_quoted(F.col("field")), " changed dominant type: ", F.col("was"), " in the reference, ", F.col("now"), " in the candidate."))
 
 
 def duplicate_identities(reference: Snapshot, candidate: Snapshot, policy: Policy) -> DataFrame:
@@ -107,7 +118,7 @@ def duplicate_identities(reference: Snapshot, candidate: Snapshot, policy: Polic
     for name, fields in definitions.items():
         for side, own in (("candidate", candidate), ("reference", reference)):
             n = own.df.select(own.key(fields).alias("key")).where("key is not null").groupBy("key").count().where("count > 1")
-            one = _frame(n, "duplicate_identity_key", "high", "manual_review", field=",".join(fields), key=F.col("key"), discriminator=f"{name}:{side}", **{side: F.col("count")})
+            one = _frame(n, "duplicate_identity_key", "high", "manual_review", field=",".join(fields), key=F.col("key"), discriminator=f"{name}:{side}", **{side: F.col("count")}, message=_said(F.col("count"), f" {side} records share the same {name} ({', '.join(fields)})."))
             out = one if out is None else out.unionByName(one)
     return out
 
@@ -117,16 +128,17 @@ def match_issues(matches: DataFrame, policy: Policy) -> DataFrame:
     bad = matches.where(F.col("status").isin("ambiguous_primary", "ambiguous_fallback", "invalid_identity"))
     side = F.when(F.col("candidate_idx").isNotNull(), "candidate").otherwise("reference")
     keys = F.array(*[F.lit(",".join(k)) for k in (policy.primary_key, *[k for k in policy.fallback_keys if k])])
+    said = F.when(F.col("status") == "invalid_identity", _said("A ", side, " record cannot be keyed on ", F.replace(F.get(keys, F.col("pass")), F.lit(","), F.lit(", ")), ".")).otherwise(_said("A ", side, " record could not be matched unambiguously (", F.col("status"), ")."))
     return _frame(
         bad, "identity_match_issue", "high", F.when(F.col("status") == "invalid_identity", "exclude").otherwise("manual_review"), field=F.get(keys, F.col("pass")), key=F.coalesce("candidate_key", "reference_key"),
-        discriminator=F.concat_ws(":", "status", side, F.coalesce("candidate_idx", "reference_idx")), candidate=F.col("candidate_idx"), reference=F.col("reference_idx"), candidate_idx=F.col("candidate_idx"), reference_idx=F.col("reference_idx"),
+        discriminator=F.concat_ws(":", "status", side, F.coalesce("candidate_idx", "reference_idx")), candidate=F.col("candidate_idx"), reference=F.col("reference_idx"), candidate_idx=F.col("candidate_idx"), reference_idx=F.col("reference_idx"), message=said,
     )
 
 
 def missing_records(matches: DataFrame) -> DataFrame:
     """F8."""
     gone = matches.where("status = 'reference_only'")
-    return _frame(gone, "record_missing_from_candidate", "high", "report_only", key=F.col("reference_key"), discriminator=F.col("reference_idx"), reference=F.col("reference_key"), reference_idx=F.col("reference_idx"))
+    return _frame(gone, "record_missing_from_candidate", "high", "report_only", key=F.col("reference_key"), discriminator=F.col("reference_idx"), reference=F.col("reference_key"), reference_idx=F.col("reference_idx"), message=_said("A record present in the reference export (key ", F.col("reference_key"), ") is absent from the candidate export."))
 
 
 def _exploded(df: DataFrame, rows: Sequence[Column], keep: Sequence[str]) -> DataFrame:
@@ -147,7 +159,7 @@ def required_missing(candidate: Snapshot, policy: Policy) -> DataFrame:
     if not rows:
         return _frame(candidate.df.limit(0), "required_field_missing", "critical", "report_only")
     found = _exploded(_candidates(candidate, policy), rows, ["idx", "key"])
-    return _frame(found, "required_field_missing", "critical", F.col("action"), field=F.col("field"), key=F.col("key"), discriminator=F.col("idx"), candidate=F.col("value"), candidate_idx=F.col("idx"))
+    return _frame(found, "required_field_missing", "critical", F.col("action"), field=F.col("field"), key=F.col("key"), discriminator=F.col("idx"), candidate=F.col("value"), candidate_idx=F.col("idx"), message=_said('Required field "', F.col("field"), F.when(F.col("value").isNull(), '" is absent from the record.').otherwise('" is present but unpopulated.')))
 
 
 def validation_failures(candidate: Snapshot, policy: Policy) -> DataFrame:
@@ -158,14 +170,16 @@ def validation_failures(candidate: Snapshot, policy: Policy) -> DataFrame:
             v = candidate.col(f)
             text = V.string_of(v)
             bad = ~V.is_empty(v) & (~V.is_string(v) | V.failure(text, rule).isNotNull())
-            rows.append(F.when(bad, F.struct(F.lit(f).alias("field"), F.lit(rule).alias("rule"), v.alias("value"), F.lit(V.validation_severity(rule, f in policy.hard_required)).alias("severity"), F.lit(policy.action(f, False)).alias("action"))))
+            kind = F.when(V.kind_of(v) == "array", "object").otherwise(V.kind_of(v))
+            said = F.when(~V.is_string(v), _said(*_quoted(f), f" is configured as {rule}Fields but holds a ", kind, ".")).otherwise(_said(*_quoted(f), f" failed {rule}Fields validation: ", V.failure(text, rule), "."))
+            rows.append(F.when(bad, F.struct(F.lit(f).alias("field"), F.lit(rule).alias("rule"), v.alias("value"), said.alias("message"), F.lit(V.validation_severity(rule, f in policy.hard_required)).alias("severity"), F.lit(policy.action(f, False)).alias("action"))))
     if not rows:
         return _frame(candidate.df.limit(0), "field_validation_failure", "low", "report_only")
     found = _exploded(_candidates(candidate, policy), rows, ["idx", "key"])
-    return _frame(found, "field_validation_failure", F.col("severity"), F.col("action"), field=F.col("field"), key=F.col("key"), discriminator=F.concat_ws(":", "rule", "idx"), candidate=F.col("value"), candidate_idx=F.col("idx"))
+    return _frame(found, "field_validation_failure", F.col("severity"), F.col("action"), field=F.col("field"), key=F.col("key"), discriminator=F.concat_ws(":", "rule", "idx"), candidate=F.col("value"), candidate_idx=F.col("idx"), message=F.col("message"))
 
 
-def _compared(matched: DataFrame, reference: Snapshot, candidate: Snapshot, policy: Policy) -> DataFrame:
+def compared_cells(matched: DataFrame, reference: Snapshot, candidate: Snapshot, policy: Policy) -> DataFrame:
     """One row a matched, non-excluded cell whose reference is populated and whose candidate is empty or differs."""
     rows = []
     for f in union_fields(reference, candidate):
@@ -178,10 +192,10 @@ def _compared(matched: DataFrame, reference: Snapshot, candidate: Snapshot, poli
     return _exploded(matched, rows, ["key", "candidate_idx", "reference_idx"])
 
 
-def conflicts(matched: DataFrame, reference: Snapshot, candidate: Snapshot, policy: Policy) -> DataFrame:
-    """F11."""
-    cells = _compared(matched, reference, candidate, policy).where("not lost")
-    return _frame(cells, "field_conflict", "medium", "manual_review", field=F.col("field"), key=F.col("key"), discriminator=F.col("candidate_idx"), candidate=F.col("cv"), reference=F.col("rv"), candidate_idx=F.col("candidate_idx"), reference_idx=F.col("reference_idx"))
+def conflicts(matched: DataFrame, reference: Snapshot, candidate: Snapshot, policy: Policy, cells: DataFrame | None = None) -> DataFrame:
+    """F11. ``cells``: what :func:`compared_cells` gave."""
+    cells = (compared_cells(matched, reference, candidate, policy) if cells is None else cells).where("not lost")
+    return _frame(cells, "field_conflict", "medium", "manual_review", field=F.col("field"), key=F.col("key"), discriminator=F.col("candidate_idx"), candidate=F.col("cv"), reference=F.col("rv"), candidate_idx=F.col("candidate_idx"), reference_idx=F.col("reference_idx"), message=_said(*_quoted(F.col("field")), " holds different non-blank values in the reference and the candidate."))
 
 
 def field_loss(matched: DataFrame, reference: Snapshot, candidate: Snapshot, policy: Policy) -> DataFrame:
@@ -195,31 +209,35 @@ def field_loss(matched: DataFrame, reference: Snapshot, candidate: Snapshot, pol
     return matched.agg(*sums).select(F.inline(F.array(*rows)))
 
 
-def regressions(matched: DataFrame, reference: Snapshot, candidate: Snapshot, policy: Policy, loss: DataFrame | None = None) -> DataFrame:
+def regressions(matched: DataFrame, reference: Snapshot, candidate: Snapshot, policy: Policy, loss: DataFrame | None = None, cells: DataFrame | None = None) -> DataFrame:
     """fields lost in every pair are shown by the first EXEMPLARS pairs in candidate order, others by all."""
     loss = field_loss(matched, reference, candidate, policy) if loss is None else loss
-    cells = _compared(matched, reference, candidate, policy).where("lost").join(F.broadcast(loss), "field")  # a row a field
+    cells = (compared_cells(matched, reference, candidate, policy) if cells is None else cells).where("lost").join(F.broadcast(loss), "field")  # a row a field
     systemic = F.col("populated") == F.col("regressed")
     first = Window.partitionBy("field").orderBy("candidate_idx")
     shown = cells.where(systemic).withColumn("n", F.row_number().over(first)).where(F.col("n") <= EXEMPLARS).drop("n").unionByName(cells.where(~systemic))
     severity = F.when(F.col("field").isin(*policy.hard_required), "critical").otherwise("high") if policy.hard_required else "high"
-    return _frame(shown, "field_regression", severity, F.col("action"), field=F.col("field"), key=F.col("key"), discriminator=F.col("candidate_idx"), candidate=F.col("cv"), reference=F.col("rv"), candidate_idx=F.col("candidate_idx"), reference_idx=F.col("reference_idx"))
+    return _frame(shown, "field_regression", severity, F.col("action"), field=F.col("field"), key=F.col("key"), discriminator=F.col("candidate_idx"), candidate=F.col("cv"), reference=F.col("rv"), candidate_idx=F.col("candidate_idx"), reference_idx=F.col("reference_idx"), message=_said(*_quoted(F.col("field")), " held a value in the reference and is unpopulated in the candidate."))
 
 
 def systemic(matched: DataFrame, reference: Snapshot, candidate: Snapshot, policy: Policy, loss: DataFrame | None = None) -> DataFrame:
     """F13."""
     loss = field_loss(matched, reference, candidate, policy) if loss is None else loss
-    return _frame(loss.where("populated > 0 and populated = regressed"), "systemic_field_regression", "high", "report_only", field=F.col("field"), reference=F.col("populated"))
+    said = _said(*_quoted(F.col("field")), " is unpopulated in the candidate for all ", F.col("populated"), " matched record(s) where the reference held a value — total loss.")
+    said = F.when(F.col("regressed") > EXEMPLARS, F.concat(said, F.lit(f" Per-record findings are sampled to {EXEMPLARS} exemplar(s); this count is exact."))).otherwise(said)
+    return _frame(loss.where("populated > 0 and populated = regressed"), "systemic_field_regression", "high", "report_only", field=F.col("field"), reference=F.col("populated"), message=said)
 
 
-def findings(reference: Snapshot, candidate: Snapshot, policy: Policy, matches: DataFrame | None = None) -> DataFrame:
-    """All findings, each with its stable ``id``."""
-    matches = matching.match(reference, candidate, policy) if matches is None else matches
-    matched = matching.matched(matches, reference, candidate, policy)
+def findings(reference: Snapshot, candidate: Snapshot, policy: Policy, matches: DataFrame | None = None, matched: DataFrame | None = None, loss: DataFrame | None = None, cells: DataFrame | None = None) -> DataFrame:
+    """All findings, each with its stable ``id``. Matched pairs, field losses and compared cells are written once where they aren't given."""
+    matches = written(matching.match(reference, candidate, policy), "matches") if matches is None else matches
+    matched = written(matching.matched(matches, reference, candidate, policy), "matched") if matched is None else matched
+    loss = written(field_loss(matched, reference, candidate, policy), "loss") if loss is None else loss
+    cells = written(compared_cells(matched, reference, candidate, policy), "cells") if cells is None else cells
     parts = [
         count_anomaly(reference, candidate, policy), match_rate(matches, policy), schema_changes(reference, candidate, policy), type_changes(reference, candidate, policy), duplicate_identities(reference, candidate, policy),
-        match_issues(matches, policy), missing_records(matches), required_missing(candidate, policy), validation_failures(candidate, policy), conflicts(matched, reference, candidate, policy),
-        regressions(matched, reference, candidate, policy), systemic(matched, reference, candidate, policy),
+        match_issues(matches, policy), missing_records(matches), required_missing(candidate, policy), validation_failures(candidate, policy), conflicts(matched, reference, candidate, policy, cells),
+        regressions(matched, reference, candidate, policy, loss, cells), systemic(matched, reference, candidate, policy, loss),
     ]
     out = parts[0]
     for p in parts[1:]:

@@ -2,24 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import values as V
 from ..plans.policy import Policy
 from ..sources.snapshot import Snapshot
+from . import matching
 
 ACTIONS = {"backfill": "manual_reference_accept", "keep_candidate": "manual_veto", "use_custom": "manual_custom_value"}
 REASONS = ("invalid_identity", "ambiguous_identity", "candidate_only_policy", "hard_required_field_missing")
 
 
-def _joined(matches: DataFrame, reference: Snapshot, candidate: Snapshot, policy: Policy) -> DataFrame:
-    """Each candidate record with its outcome, its reference record (NULL unless matched) and its record key."""
-    c = candidate.df.select(F.col("idx").alias("candidate_idx"), candidate.record().alias("c"))
-    r = reference.df.select(F.col("idx").alias("reference_idx"), reference.record().alias("r"))
-    out = matches.where("candidate_idx is not null").join(c, "candidate_idx").join(r, "reference_idx", "left")
-    key = F.coalesce(candidate.key(policy.primary_key, "c"), reference.key(policy.primary_key, "r"))
-    return out.withColumn("record_key", key).withColumn("key", F.coalesce("record_key", F.concat(F.lit("candidate:"), "candidate_idx")))
+def _joined(matches: DataFrame, reference: Snapshot, candidate: Snapshot, policy: Policy, matched: DataFrame | None = None) -> DataFrame:
+    """Each candidate record with its outcome, its reference record (NULL unless matched) and its record key. ``matched``: the matched pairs with both records, if they are at hand."""
+    matched = matching.matched(matches, reference, candidate, policy) if matched is None else matched
+    rest = matches.where("candidate_idx is not null and method is null").join(candidate.df.select(F.col("idx").alias("candidate_idx"), candidate.record().alias("c")), "candidate_idx")
+    rest = rest.withColumns({"r": F.lit(None).cast(matched.schema["r"].dataType), "key": candidate.key(policy.primary_key, "c")})
+    out = matched.unionByName(rest.select(*matched.columns)).withColumnRenamed("key", "record_key")
+    return out.withColumn("key", F.coalesce("record_key", F.concat(F.lit("candidate:"), "candidate_idx")))
 
 
 def _backfills(policy: Policy, reference: Snapshot, candidate: Snapshot) -> dict[str, Column]:
@@ -29,7 +30,7 @@ def _backfills(policy: Policy, reference: Snapshot, candidate: Snapshot) -> dict
     return {f: F.coalesce(usable & reference.col(f, "r").isNotNull() & V.is_blank(candidate.col(f, "c")) & ~V.is_empty(reference.col(f, "r")), F.lit(False)) for f in sorted(allowed)}
 
 
-def recover(matches: DataFrame, reference: Snapshot, candidate: Snapshot, policy: Policy, overrides: DataFrame | None = None) -> DataFrame:
+def recover(matches: DataFrame, reference: Snapshot, candidate: Snapshot, policy: Policy, overrides: DataFrame | None = None, matched: DataFrame | None = None) -> DataFrame:
     """R2-R6 as one row a candidate record.
 
     ``key, record_key, candidate_idx, reference_idx, status, excluded`` (reason or NULL),
@@ -37,7 +38,7 @@ def recover(matches: DataFrame, reference: Snapshot, candidate: Snapshot, policy
     ``derived`` (holds reference values) and the output record ``v`` (struct f0, f1, ...).
     ``overrides`` (key, field, value as JSON text, ord) replace any value, the last one wins.
     """
-    rows = _joined(matches, reference, candidate, policy)
+    rows = _joined(matches, reference, candidate, policy, matched)
     fills = _backfills(policy, reference, candidate)
     if overrides is not None:
         last = overrides.groupBy("key", "field").agg(F.max_by("value", "ord").alias("value"))
@@ -67,13 +68,14 @@ def output(recovered: DataFrame, candidate: Snapshot, policy: Policy) -> Snapsho
     return Snapshot(recovered.where("excluded is null").select(F.col("candidate_idx").alias("idx"), "key", "derived", "v.*"), tuple(names), candidate.normalise)
 
 
-def provenance(matches: DataFrame, reference: Snapshot, candidate: Snapshot, policy: Policy) -> DataFrame:
+def provenance(matches: DataFrame, reference: Snapshot, candidate: Snapshot, policy: Policy, matched: DataFrame | None = None) -> DataFrame:
     """One row a backfilled cell, also of records excluded later."""
     fills = _backfills(policy, reference, candidate)
     rule = f"{policy.id}@{policy.version}:safeBackfillFields"
     approved = policy.backfillable()[2]
     cells = [F.when(c, F.struct(F.lit(f).alias("field"), candidate.col(f, "c").alias("original"), reference.col(f, "r").alias("output"), F.lit(rule + "+rule6" * (f in approved)).alias("rule_id"))) for f, c in fills.items()]
-    rows = _joined(matches, reference, candidate, policy).where("method is not null")
+    rows = matching.matched(matches, reference, candidate, policy) if matched is None else matched
+    rows = rows.withColumn("key", F.coalesce("key", F.concat(F.lit("candidate:"), "candidate_idx")))
     if not cells:
         cells = [F.lit(None).cast("struct<field:string,original:string,output:string,rule_id:string>")]
     out = rows.select("key", "candidate_idx", "reference_idx", "status", F.inline(F.filter(F.array(*cells), lambda x: x.isNotNull())))
@@ -145,7 +147,7 @@ def record_findings(recovered: DataFrame, findings: DataFrame) -> DataFrame:
 
 
 def dedupe(recovered: DataFrame, candidate: Snapshot, policy: Policy) -> DataFrame:
-    """One row a participant: ``dedupe_key, candidate_idx, valid, derived, required, rank, outcome`` and the removal's ``reason`` and ``winner_idx``.
+    """One row a participant: ``dedupe_key, candidate_idx, valid, derived, required, participants`` (of the key) ``, outcome`` and the removal's ``reason`` and ``winner_idx``.
 
     Recovered records take part with their output values, excluded ones with the candidate's.
     """
@@ -157,22 +159,22 @@ def dedupe(recovered: DataFrame, candidate: Snapshot, policy: Policy) -> DataFra
     key = V.identity_key([V.identity_value(pick(f), candidate.normalise) for f in policy.dedupe_key])
     held = sum([F.when(V.is_empty(pick(f)), 0).otherwise(1) for f in policy.hard_required], F.lit(0))
     rows = rows.select(key.alias("dedupe_key"), "candidate_idx", "valid", "derived", held.alias("required"))
-    unkeyed = rows.where("dedupe_key is null").withColumns({"rank": F.lit(1), "first": F.lit(None).cast("struct<valid:boolean,derived:boolean,required:int,candidate_idx:bigint>")})
-    w = Window.partitionBy("dedupe_key").orderBy(F.col("valid").desc(), "derived", F.col("required").desc(), "candidate_idx")
-    me = F.struct("valid", "derived", "required", "candidate_idx")
-    ranked = rows.where("dedupe_key is not null").withColumns({"rank": F.row_number().over(w), "first": F.first(me).over(w)}).unionByName(unkeyed)
-    lost = F.col("rank") > 1
+    # the best of each key by a map-side minimum; AQE splits the join of a key that many rows repeat
+    me = F.struct((~F.col("valid")).alias("spoilt"), "derived", (-F.col("required")).alias("lacking"), "candidate_idx")
+    best = rows.where("dedupe_key is not null").groupBy("dedupe_key").agg(F.min(me).alias("first"), F.count("*").alias("participants"))
+    ranked = rows.join(best, "dedupe_key", "left").withColumn("first", F.struct((~F.col("first.spoilt")).alias("valid"), F.col("first.derived").alias("derived"), (-F.col("first.lacking")).alias("required"), F.col("first.candidate_idx").alias("candidate_idx")))
+    lost = F.coalesce(F.col("first.candidate_idx") != F.col("candidate_idx"), F.lit(False))
     reason = (
         F.when(F.col("first.valid") != F.col("valid"), "duplicate_lost_to_valid_record")
         .when(F.col("first.derived") != F.col("derived"), "duplicate_lost_to_candidate_sourced_record")
         .when(F.col("first.required") != F.col("required"), "duplicate_lost_to_more_complete_record")
         .otherwise("duplicate_lost_to_earlier_record")
     )
-    return ranked.select("dedupe_key", "candidate_idx", "valid", "derived", "required", "rank", F.when(lost, "removed").when(F.col("valid"), "retained").otherwise("carried_excluded").alias("outcome"), F.when(lost, reason).alias("reason"), F.when(lost, F.col("first.candidate_idx")).alias("winner_idx"))
+    return ranked.select("dedupe_key", "candidate_idx", "valid", "derived", "required", F.coalesce("participants", F.lit(1)).alias("participants"), F.when(lost, "removed").when(F.col("valid"), "retained").otherwise("carried_excluded").alias("outcome"), F.when(lost, reason).alias("reason"), F.when(lost, F.col("first.candidate_idx")).alias("winner_idx"))
 
 
 def dedupe_summary(deduped: DataFrame) -> DataFrame:
     """W4."""
     is_ = lambda o: F.count_if(F.col("outcome") == o)
-    out = deduped.agg(F.count("*").alias("participants"), is_("retained").alias("retained"), is_("removed").alias("removed"), is_("carried_excluded").alias("carried_excluded"), F.count_if(F.col("dedupe_key").isNull()).alias("unkeyable"), F.count_if(F.col("rank") == 2).alias("duplicate_groups"))
+    out = deduped.agg(F.count("*").alias("participants"), is_("retained").alias("retained"), is_("removed").alias("removed"), is_("carried_excluded").alias("carried_excluded"), F.count_if(F.col("dedupe_key").isNull()).alias("unkeyable"), F.count_if((F.col("participants") > 1) & (F.col("outcome") != "removed")).alias("duplicate_groups"))
     return out.withColumn("accounted_for", F.col("retained") + F.col("removed") + F.col("carried_excluded") == F.col("participants"))

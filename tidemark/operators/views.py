@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,7 +15,7 @@ from ..sources.snapshot import Snapshot
 #: Fixed values of the features.
 TRACKED_VALUES, GROUPABLE, SAMPLES, EXAMPLES = 64, 25, 5, 3
 #: Weights of the searched parts of a record.
-BOOSTS = {"key": 5.0, "title": 4.0, "status": 2.0, "type": 2.0, "url": 1.5, "changed": 1.0}
+BOOSTS = {"key": 3.0, "title": 2.0, "status": 1.0, "type": 1.0, "url": 0.5, "changed": 1.0, "quality": 0.5, "document": 0.5}
 
 
 def distribution(side: Snapshot, field: str) -> DataFrame:
@@ -126,41 +127,91 @@ def severity_rank() -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in SEVERITY_RANK.items() for x in kv]), F.col("severity"))
 
 
-def sorted_records(diff: DataFrame, by: str = "key", descending: bool = False) -> DataFrame:
-    """Q3, Q4: by key (numeric-aware), severity or number of changes; ties by key in the same direction."""
-    first = {"key": [], "severity": [severity_rank(), F.col("n_changed")], "changes": [F.col("n_changed")]}[by]
-    cols = [*first, V.natural_key(F.col("id"))]
-    return diff.orderBy(*[c.desc() if descending else c.asc() for c in cols])
+#: Columns of the record table and of the field-change table by which they sort.
+RECORD_SORTS = ("status", "key", "title", "changes", "documents", "severity", "published", "due")
+FIELD_SORTS = {"field": None, "changed": "changed", "emptied": "emptied", "restored": "restored", "modified": "modified", "baseline": "baseline_rate", "latest": "latest_rate", "change": "rate_change", "severity": None}
+
+
+def sorted_records(diff: DataFrame, by: str = "key", descending: bool = False, label: str = "id") -> DataFrame:
+    """Q3, Q4: ties by key (numeric-aware) in the same direction, but for dates, whose ties keep the key's order and whose blanks come last both ways.
+
+    ``title``, ``published``, ``due`` and ``documents`` (the number of changed documents, NULL without a list) are columns of ``diff`` where the sort asks for them.
+    """
+    key = V.natural_key(F.col(label))
+    way = lambda c: c.desc_nulls_last() if descending else c.asc_nulls_first()
+    if by in ("published", "due"):
+        text = F.when(F.coalesce(F.col(by), F.lit("")) != "", F.col(by))
+        return diff.orderBy(text.isNull(), text.desc() if descending else text.asc(), key)
+    first = {"key": [], "status": [F.col("status")], "severity": [severity_rank()], "changes": [F.col("n_changed")]}.get(by)
+    if first is None:
+        first = [V.natural_key(F.coalesce("title", F.lit("")))] if by == "title" else [F.coalesce("documents", F.lit(-1))] if by == "documents" else None
+    if first is None:
+        raise ValueError(f"unknown column {by!r}; known are {', '.join(RECORD_SORTS)}")
+    return diff.orderBy(*[way(c) for c in [*first, key]])
+
+
+def sorted_fields(rollup: DataFrame, by: str = "field", descending: bool = False) -> DataFrame:
+    """Q5: field-change rows by one of FIELD_SORTS, ties by field name, in the same direction."""
+    if by not in FIELD_SORTS:
+        raise ValueError(f"unknown column {by!r}; known are {', '.join(FIELD_SORTS)}")
+    first = [severity_rank()] if by == "severity" else [F.col(FIELD_SORTS[by])] if FIELD_SORTS[by] else []
+    return rollup.orderBy(*[c.desc() if descending else c.asc() for c in [*first, V.natural_key(F.col("field"))]])
+
+
+#: Columns by which the cell table sorts.
+CELL_SORTS = ("key", "situation", "candidate", "reference", "lane")
+
+
+def filtered_cells(cells: DataFrame, situations: Sequence[str] = (), value: str | None = None, text: str = "", verdict: str | None = None) -> DataFrame:
+    """Q6: cells of one field by situation, reference value as shown, a substring of key or shown values (letters in any case), and corroboration verdict."""
+    out = cells
+    if situations:
+        out = out.where(F.col("situation").isin(*situations))
+    if value is not None:
+        out = out.where(V.cell_text(F.col("reference")) == value)
+    if text.strip():
+        shown = F.concat_ws("\n", "key", V.cell_text(F.col("candidate")), V.cell_text(F.col("reference")))
+        out = out.where(F.lower(shown).contains(text.strip().lower()))
+    return out.where(F.col("verdict") == verdict) if verdict else out
+
+
+def sorted_cells(cells: DataFrame, by: str = "key", descending: bool = False) -> DataFrame:
+    """Q6: by key, situation, shown value or lane (cells without a lane last), ties by key, in the same direction."""
+    if by not in CELL_SORTS:
+        raise ValueError(f"unknown column {by!r}; known are {', '.join(CELL_SORTS)}")
+    first = {"key": [], "situation": [F.col("situation")], "lane": [F.coalesce("lane", F.lit("\uffff"))]}.get(by)
+    first = [V.natural_key(V.cell_text(F.col(by)))] if first is None else first
+    return cells.orderBy(*[c.desc() if descending else c.asc() for c in [*first, V.natural_key(F.col("key"))]])
 
 
 def matching_findings(findings: DataFrame, text: str = "", **equal: str) -> DataFrame:
-    """Q7: equal columns and a substring of key or field, letters in any case."""
+    """Q7: equal columns and a substring of key, field, category or message, letters in any case."""
     out = findings
     for c, v in equal.items():
         out = out.where(F.col(c) == v)
-    return out.where(F.lower(F.concat_ws(" ", "key", "field", "category")).contains(text.lower())) if text else out
+    return out.where(F.lower(F.concat_ws("\n", "key", "field", "category", "message")).contains(text.lower())) if text else out
 
 
-def search(diff: DataFrame, parts: Mapping[str, Column], query: str, k: int | None = None) -> DataFrame:
-    """Q8, Q9: records whose parts hold every query term as a word's prefix, by key tier, score, natural key.
+def search(diff: DataFrame, parts: Mapping[str, Column], query: str, k: int | None = None, label: str = "id") -> DataFrame:
+    """Q8, Q9: records of which a part, or the key itself, holds any query term as a word's prefix; by key tier, score, natural key.
 
-    ``parts`` maps names of BOOSTS to text columns of ``diff``. Tier 3: the key is the query,
-    2: starts with it, 1: contains it. The score adds the boosts of parts with a hit.
+    ``parts`` maps names of BOOSTS to text columns of ``diff``; ``label`` is the shown key.
+    Tier 3: the key is the query, 2: starts with it, 1: contains it; tiers only order. The
+    score adds the boosts of the parts with a hit, term by term. A blank query finds nothing.
     """
-    terms = [t for t in query.lower().split() if t]
-    words = {n: F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+") for n, c in parts.items()}
-    hit = lambda n, t: F.exists(words[n], lambda w: w.startswith(t))
-    every, score = F.lit(True), F.lit(0.0)
+    words_in = lambda c: F.filter(F.split(F.lower(F.coalesce(c.cast("string"), F.lit(""))), r"[\n\r\p{Z}\p{P}]+"), lambda w: w != "")
+    terms = [t for t in re.split(r"[^\w$+<=>^`|~]+|_+", query.lower()) if t]
+    if not terms:
+        return diff.select(F.col("id"), F.lit(0).alias("tier"), F.lit(0.0).alias("score")).limit(0)
+    words = {n: words_in(c) for n, c in ({"key": F.col(label)} | dict(parts)).items()}
+    score = F.lit(0.0)
     for t in terms:
-        some = F.lit(False)
-        for n in parts:
-            some = some | hit(n, t)
-            score = score + F.when(hit(n, t), BOOSTS.get(n, 1.0)).otherwise(0.0)
-        every = every & some
-    key, q = F.lower("id"), query.lower().strip()
+        for n, w in words.items():
+            score = score + F.when(F.exists(w, lambda x: x.startswith(t)), BOOSTS.get(n, 1.0)).otherwise(0.0)
+    key, q = F.lower(F.col(label)), query.lower().strip()
     tier = F.when(key == q, 3).when(key.startswith(q), 2).when(key.contains(q), 1).otherwise(0)
-    out = diff.withColumn("tier", tier).where((F.col("tier") > 0) | every).select("id", "tier", score.alias("score"))
-    out = out.orderBy(F.col("tier").desc(), F.col("score").desc(), V.natural_key(F.col("id")))
+    out = diff.select("id", F.col(label).alias("label"), tier.alias("tier"), score.alias("score")).where("score > 0")
+    out = out.orderBy(F.col("tier").desc(), F.col("score").desc(), V.natural_key(F.col("label"))).select("id", "tier", "score")
     return out.limit(k) if k else out
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..operators import decisions, documents, drift, export, matching, qa, recovery, views
+from ..operators import cells, decisions, documents, drift, export, matching, qa, recovery, views
 from ..sources import json_export
 from ..sources.scratch import written
 from ..sources.snapshot import Snapshot, from_table
@@ -70,17 +70,33 @@ class Review:
     def matched(self) -> DataFrame:
         return written(matching.matched(self.matches, self.reference, self.candidate, POLICY), "matched")
 
+    @cached_property
+    def loss(self) -> DataFrame:
+        return written(qa.field_loss(self.matched, self.reference, self.candidate, POLICY), "loss")
+
+    @cached_property
+    def compared(self) -> DataFrame:
+        return written(qa.compared_cells(self.matched, self.reference, self.candidate, POLICY), "cells")
+
     @property
     def recovered(self) -> DataFrame:
-        return recovery.recover(self.matches, self.reference, self.candidate, POLICY)
+        return recovery.recover(self.matches, self.reference, self.candidate, POLICY, matched=self.matched)
 
     @property
     def provenance(self) -> DataFrame:
-        return recovery.provenance(self.matches, self.reference, self.candidate, POLICY)
+        return recovery.provenance(self.matches, self.reference, self.candidate, POLICY, self.matched)
+
+    @property
+    def conflicts(self) -> DataFrame:
+        return qa.conflicts(self.matched, self.reference, self.candidate, POLICY, self.compared)
+
+    @property
+    def regressions(self) -> DataFrame:
+        return qa.regressions(self.matched, self.reference, self.candidate, POLICY, self.loss, self.compared)
 
     @property
     def findings(self) -> DataFrame:
-        return qa.findings(self.reference, self.candidate, POLICY, self.matches)
+        return qa.findings(self.reference, self.candidate, POLICY, self.matches, self.matched, self.loss, self.compared)
 
     @property
     def deduped(self) -> DataFrame:
@@ -88,8 +104,7 @@ class Review:
 
     @property
     def cells(self) -> DataFrame:
-        found = qa.conflicts(self.matched, self.reference, self.candidate, POLICY).unionByName(qa.regressions(self.matched, self.reference, self.candidate, POLICY))
-        return decisions.lanes(found, self.provenance, POLICY)
+        return decisions.lanes(self.conflicts.unionByName(self.regressions), self.provenance, POLICY)
 
 
 # ---- queries -------------------------------------------------------------------------
@@ -124,7 +139,16 @@ def record_status_counts(spark, sf_dir):
 
 
 def field_changes(spark, sf_dir):
-    return drift.changes(_diff(spark, sf_dir)).where("path in ('status', 'price')")
+    return drift.changes(_diff(spark, sf_dir))
+
+
+def changed_record_counts(spark, sf_dir):
+    return drift.changed_records(_diff(spark, sf_dir)).groupBy("path").agg(F.count("*").alias("records"))
+
+
+def related_issues(spark, sf_dir):
+    issues = drift.quality_issues(*sides(spark, sf_dir), ("id",), POLICY.quality, related=False)
+    return drift.promoted(_diff(spark, sf_dir), issues).select("id", "severity", F.array_join("issue_ids", ",").alias("issues"))
 
 
 def field_stats(spark, sf_dir):
@@ -148,11 +172,11 @@ def group_incidents(spark, sf_dir):
 
 
 def quality_issues(spark, sf_dir):
-    return drift.quality_issues(*sides(spark, sf_dir), ("id",), POLICY.quality).select("ord", "kind", "severity", "n")
+    return drift.quality_issues(*sides(spark, sf_dir), ("id",), POLICY.quality).select("ord", "id", "kind", "severity", "n")
 
 
 def quality_gate(spark, sf_dir):
-    return drift.gate(drift.quality_issues(*sides(spark, sf_dir), ("id",), POLICY.quality))
+    return drift.gate(drift.quality_issues(*sides(spark, sf_dir), ("id",), POLICY.quality, related=False))
 
 
 def match_results(spark, sf_dir):
@@ -175,8 +199,8 @@ def _category(name: str) -> Callable:
             "field_type_change": lambda: qa.type_changes(r.reference, r.candidate, POLICY), "duplicate_identity_key": lambda: qa.duplicate_identities(r.reference, r.candidate, POLICY),
             "identity_match_issue": lambda: qa.match_issues(r.matches, POLICY), "record_missing_from_candidate": lambda: qa.missing_records(r.matches),
             "required_field_missing": lambda: qa.required_missing(r.candidate, POLICY), "field_validation_failure": lambda: qa.validation_failures(r.candidate, POLICY),
-            "field_conflict": lambda: qa.conflicts(r.matched, r.reference, r.candidate, POLICY), "field_regression": lambda: qa.regressions(r.matched, r.reference, r.candidate, POLICY),
-            "systemic_field_regression": lambda: qa.systemic(r.matched, r.reference, r.candidate, POLICY),
+            "field_conflict": lambda: r.conflicts, "field_regression": lambda: r.regressions,
+            "systemic_field_regression": lambda: qa.systemic(r.matched, r.reference, r.candidate, POLICY, r.loss),
         }
         return made[name]().select("category", "severity", "field", "key", "action", "discriminator")
 
@@ -303,8 +327,36 @@ def export_gate(spark, sf_dir):
 
 
 def findings_csv(spark, sf_dir):
+    return export.csv_lines(Review(spark, sf_dir).findings)
+
+
+def conflicts_csv(spark, sf_dir):
+    return export.csv_lines(qa.with_ids(Review(spark, sf_dir).conflicts))
+
+
+def _cells(spark, sf_dir):
     r = Review(spark, sf_dir)
-    return export.csv_lines(qa.conflicts(r.matched, r.reference, r.candidate, POLICY), ("severity", "category", "field", "key", "candidate_value", "reference_value"))
+    rows = written(cells.records(r.reference, r.candidate, ("id",), POLICY, r.matches), "records")
+    return r, cells.classified(rows, r.reference, r.candidate, POLICY, r.provenance)
+
+
+def cell_classes(spark, sf_dir):
+    return _cells(spark, sf_dir)[1].groupBy("field", "situation", "lane", "reason", "manual").agg(F.count("*").alias("n"))
+
+
+def cell_evidence(spark, sf_dir):
+    return cells.field_evidence(_cells(spark, sf_dir)[1], _stats(spark, sf_dir)).select("field", "eligible", "conflicts", "comparable", "volatility_unmeasurable", F.round("baseline_rate", 6).alias("baseline_rate"), F.round("latest_rate", 6).alias("latest_rate"))
+
+
+def cell_summaries(spark, sf_dir):
+    r, own = _cells(spark, sf_dir)
+    changed = drift.change_counts(r.reference, r.candidate, ("id",), POLICY.quality)
+    return cells.field_summaries(written(own, "classified"), _stats(spark, sf_dir), changed).select("field", "severity", "changed", "distinct_values", "lower_bound", "auto", "review", "ineligible", "unchanged")
+
+
+def record_details(spark, sf_dir):
+    r, own = _cells(spark, sf_dir)
+    return cells.record_detail(own, r.recovered).groupBy("situation", "excluded").agg(F.count_distinct("id").alias("records"), F.count("*").alias("cells"))
 
 
 DOCUMENTS = """SELECT DISTINCT l_orderkey AS key, l_linenumber AS line, concat(CAST(l_linenumber AS STRING), '-', CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING)) AS hash, CAST(l_partkey AS STRING) AS title,
@@ -312,10 +364,13 @@ DOCUMENTS = """SELECT DISTINCT l_orderkey AS key, l_linenumber AS line, concat(C
 
 
 def _document_rows(spark, sf_dir):
+    """Per order its documents before and after: some lost, renamed, without a hash, listed twice before, or not in the plain list."""
     lines = spark.sql(DOCUMENTS, lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
-    gone, new = F.expr("(key + line) % 7 = 0"), F.expr("(key + line) % 11 = 0")
-    doc = lambda title: F.struct(title.alias("Title"), F.col("url").alias("URL"), F.col("hash").alias("Hash"))
-    grouped = lines.groupBy("key").agg(F.to_json(F.collect_list(doc(F.col("title")))).alias("b"), F.to_json(F.collect_list(F.when(~gone, doc(F.when(new, F.concat("title", F.lit("x"))).otherwise(F.col("title")))))).alias("a"), F.to_json(F.collect_list("hash")).alias("listed"))
+    gone, new, bare, twice, unlisted = (F.expr(f"(key + line) % {n} = 0") for n in (7, 11, 13, 17, 19))
+    doc = lambda title: F.struct(title.alias("Title"), F.col("url").alias("URL"), F.when(bare, " ").otherwise(F.col("hash")).alias("Hash"))
+    title = F.when(new, F.concat("title", F.lit("x"))).otherwise(F.col("title"))
+    before = F.concat(F.collect_list(doc(F.col("title"))), F.collect_list(F.when(twice, doc(F.col("title")))))
+    grouped = lines.groupBy("key").agg(F.to_json(before).alias("b"), F.to_json(F.collect_list(F.when(~gone, doc(title)))).alias("a"), F.to_json(F.collect_list(F.when(~unlisted, F.col("hash")))).alias("listed"))
     return grouped.select("key", documents.normalised(F.col("b")).alias("before"), documents.normalised(F.col("a")).alias("after"), documents.hash_list(F.col("listed")).alias("listed"))
 
 
@@ -323,14 +378,26 @@ def document_diff(spark, sf_dir):
     return documents.compare(_document_rows(spark, sf_dir), "key", "before", "after").select("key", "hash", "state")
 
 
+def _document_summary(rows):
+    return documents.summary(rows, documents.compare(rows, "key", "before", "after"), "key", "before", "after")
+
+
 def document_summary(spark, sf_dir):
-    rows = _document_rows(spark, sf_dir)
-    return documents.summary(rows, documents.compare(rows, "key", "before", "after"), "key", "before", "after").select("key", "n_before", "n_after", "removed", "modified", "unchanged")
+    return _document_summary(_document_rows(spark, sf_dir)).select("key", "n_before", "n_after", "added", "removed", "modified", "incomplete", "unchanged")
+
+
+def _document_health(rows):
+    return documents.health(rows, "key", "before", "after", ("listed", "listed"))
 
 
 def document_health(spark, sf_dir):
-    out = documents.health(_document_rows(spark, sf_dir), "key", "after", "after", ("listed", "listed"))
-    return out.select("key", "missing_hash", F.array_join("duplicates", ",").alias("duplicates"), F.array_join("dangling", ",").alias("dangling"))
+    names = [F.array_join(c, ",").alias(c) for c in ("duplicates", "not_listed", "dangling")]
+    return _document_health(_document_rows(spark, sf_dir)).select("key", "missing_hash", "missing_title", "missing_url", *names)
+
+
+def document_states(spark, sf_dir):
+    rows = written(_document_rows(spark, sf_dir), "documents")
+    return documents.states(_document_summary(rows), _document_health(rows)).groupBy("removed", "modified", "incomplete", "hash_mismatch", "decreased").agg(F.count("*").alias("records"))
 
 
 def identity_census(spark, sf_dir):
@@ -351,7 +418,7 @@ _CTE = f"WITH b AS ({BEFORE.format(orders='orders')}), l AS ({AFTER.format(order
 _JSON = "CASE WHEN {0} IS NULL THEN 'null' ELSE concat('\"', {0}, '\"') END"
 _KEY = "concat('[\"', CAST({0} AS STRING), '\"]')"
 _PAIR = f"""{_CTE}, ll AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY id ORDER BY idx DESC) = 1),
-p AS (SELECT coalesce(b.id, ll.id) AS id, b.id AS bid, ll.id AS lid, b.status AS bs, ll.status AS ls, b.price AS bp, ll.price AS lp, b.priority AS bq, ll.priority AS lq, b.contact AS bc, ll.contact AS lc FROM b FULL JOIN ll ON b.id = ll.id)"""
+p AS (SELECT coalesce(b.id, ll.id) AS id, b.id AS bid, ll.id AS lid, b.status AS bs, ll.status AS ls, b.price AS bp, ll.price AS lp, b.priority AS bq, ll.priority AS lq, b.contact AS bc, ll.contact AS lc, b.code AS bcode, ll.code AS lcode FROM b FULL JOIN ll ON b.id = ll.id)"""
 
 
 def _kind(b: str, a: str) -> str:
@@ -364,9 +431,9 @@ SELECT id, 'status' AS path, {_kind('bs', 'ls')} AS kind, {_JSON.format('bs')} A
 UNION ALL SELECT id, 'price', CASE WHEN bp <> lp THEN 'modified' END, CAST(bp AS STRING), CAST(lp AS STRING) FROM p WHERE bid IS NOT NULL AND lid IS NOT NULL
 UNION ALL SELECT id, 'priority', {_kind('bq', 'lq')}, {_JSON.format('bq')}, {_JSON.format('lq')} FROM p WHERE bid IS NOT NULL AND lid IS NOT NULL
 UNION ALL SELECT id, 'contact', {_kind('bc', 'lc')}, {_JSON.format('bc')}, {_JSON.format('lc')} FROM p WHERE bid IS NOT NULL AND lid IS NOT NULL
-UNION ALL SELECT id, 'code', 'modified', NULL, NULL FROM p WHERE bid IS NOT NULL AND lid IS NOT NULL
-UNION ALL SELECT id, 'origin', 'removed', NULL, NULL FROM p WHERE bid IS NOT NULL AND lid IS NOT NULL
-UNION ALL SELECT id, 'batch', 'added', NULL, NULL FROM p WHERE bid IS NOT NULL AND lid IS NOT NULL
+UNION ALL SELECT id, 'code', 'modified', CAST(bcode AS STRING), {_JSON.format('lcode')} FROM p WHERE bid IS NOT NULL AND lid IS NOT NULL
+UNION ALL SELECT id, 'origin', 'removed', '"web"', NULL FROM p WHERE bid IS NOT NULL AND lid IS NOT NULL
+UNION ALL SELECT id, 'batch', 'added', NULL, '"b1"' FROM p WHERE bid IS NOT NULL AND lid IS NOT NULL
 UNION ALL SELECT id, '$record', CASE WHEN bid IS NULL THEN 'added' ELSE 'removed' END, NULL, NULL FROM p WHERE bid IS NULL OR lid IS NULL),
 c AS (SELECT * FROM ch WHERE kind IS NOT NULL)"""
 
@@ -380,10 +447,10 @@ s AS (""" + " UNION ALL ".join(
 ) + """), t AS (SELECT s.*, baseline_present / bn AS br, latest_present / ln AS lr, bn, ln FROM s, sizes),
 st AS (SELECT field, baseline_present, latest_present, emptied, lr - br AS rate_change, br, lr, bn, ln, CASE WHEN field IN ('id', 'status') AND lr <= 0.05 THEN 'critical' WHEN br >= 0.8 AND lr <= 0.2 AND emptied >= 25 THEN 'critical'
   WHEN br - lr >= 0.3 AND emptied >= 25 THEN 'high' WHEN br - lr >= 0.1 THEN 'warning' ELSE 'pass' END AS severity FROM t)"""
-_ISSUES = f"""{_STATS}, i AS (SELECT 2 AS ord, 'record-count-reduction' AS kind, 'warning' AS severity, bn - ln AS n FROM sizes WHERE ln < bn
-UNION ALL SELECT 3, 'duplicate-record-keys', 'critical', count(*) FROM (SELECT id FROM l GROUP BY id HAVING count(*) > 1) HAVING count(*) > 0
-UNION ALL SELECT 4, concat('field-population-', field), severity, emptied FROM st WHERE severity <> 'pass'
-UNION ALL SELECT 5, 'group-header', 'critical', max(bn + ln) FROM st WHERE field IN ('priority', 'status', 'contact') AND br - lr >= 0.1 HAVING count(*) >= 2)"""
+_ISSUES = f"""{_STATS}, p AS {_PAIR.split("p AS ", 1)[1]}{_CHANGES[len(_PAIR):]}, i AS (SELECT 2 AS ord, 'record-count-reduction' AS id, 'record-count-reduction' AS kind, 'warning' AS severity, 0 AS n FROM sizes WHERE ln < bn
+UNION ALL SELECT 3, 'duplicate-record-keys', 'duplicate-record-keys', 'critical', count(*) FROM (SELECT id FROM l GROUP BY id HAVING count(*) > 1) HAVING count(*) > 0
+UNION ALL SELECT 4, concat('field-population-', field), 'field-population', severity, (SELECT count(*) FROM c WHERE c.path = st.field) FROM st WHERE severity <> 'pass'
+UNION ALL SELECT 5, 'group-header', 'field-group-incident', 'critical', (SELECT count(*) FROM p) FROM st WHERE field IN ('priority', 'status', 'contact') AND br - lr >= 0.1 HAVING count(*) >= 2)"""
 
 _MATCH = f"""{_CTE}, bc AS (SELECT id, count(*) AS n, min(idx) AS at FROM b GROUP BY id), lc AS (SELECT id, count(*) AS n FROM l GROUP BY id),
 p1 AS (SELECT l.*, CASE WHEN lc.n > 1 OR bc.n > 1 THEN 'ambiguous_primary' WHEN bc.n = 1 THEN 'matched_primary' END AS st, bc.at AS rid FROM l JOIN lc ON l.id = lc.id LEFT JOIN bc ON l.id = bc.id),
@@ -419,8 +486,8 @@ la AS (SELECT x.key, x.field, x.category, x.blank, CASE WHEN rv IS NULL OR rv =
 _COLS = "category, severity, field, key, action, discriminator"
 _FINDINGS = {
     "record_count_anomaly": f"{_CTE} SELECT 'record_count_anomaly' AS category, CASE WHEN abs(c - r) / r > 0.0001 THEN 'high' ELSE 'info' END AS severity, NULL AS field, NULL AS key, 'report_only' AS action, '' AS discriminator FROM (SELECT (SELECT count(*) FROM b) AS r, (SELECT count(*) FROM l) AS c) WHERE r <> c",
-    "schema_changes": "SELECT 'schema_field_missing' AS category, 'high' AS severity, 'origin' AS field, NULL AS key, 'report_only' AS action, '' AS discriminator UNION ALL SELECT 'schema_field_added', 'medium', 'batch', NULL, 'report_only', ''",
-    "field_type_change": "SELECT 'field_type_change' AS category, 'info' AS severity, 'code' AS field, NULL AS key, 'exclude' AS action, '' AS discriminator",
+    "schema_changes": f"{_CTE} SELECT 'schema_field_missing' AS category, 'high' AS severity, 'origin' AS field, NULL AS key, 'report_only' AS action, '' AS discriminator FROM b HAVING count(origin) > 0 UNION ALL SELECT 'schema_field_added', 'medium', 'batch', NULL, 'report_only', '' FROM l HAVING count(batch) > 0",
+    "field_type_change": f"{_CTE}, was AS (SELECT CASE WHEN typeof(any_value(code)) = 'VARCHAR' THEN 'string' ELSE 'number' END AS t FROM b WHERE code IS NOT NULL), now AS (SELECT CASE WHEN typeof(any_value(code)) = 'VARCHAR' THEN 'string' ELSE 'number' END AS t FROM l WHERE code IS NOT NULL) SELECT 'field_type_change' AS category, 'info' AS severity, 'code' AS field, NULL AS key, 'exclude' AS action, '' AS discriminator FROM was, now WHERE was.t <> now.t",
     "duplicate_identity_key": f"{_CTE} SELECT 'duplicate_identity_key' AS category, 'high' AS severity, 'id' AS field, {_KEY.format('id')} AS key, 'manual_review' AS action, 'primaryKey:candidate' AS discriminator FROM l GROUP BY id HAVING count(*) > 1",
     "identity_match_issue": f"{_MATCH} SELECT 'identity_match_issue' AS category, 'high' AS severity, CASE WHEN m.status = 'ambiguous_fallback' THEN 'cust,price' ELSE 'id' END AS field, CASE WHEN m.status = 'ambiguous_fallback' THEN concat('[\"', CAST(l.cust AS STRING), '\",\"', CAST(l.price AS STRING), '\"]') ELSE {_KEY.format('coalesce(l.id, b.id)')} END AS key, 'manual_review' AS action, concat(m.status, ':', CASE WHEN m.candidate_idx IS NULL THEN 'reference' ELSE 'candidate' END, ':', CAST(coalesce(m.candidate_idx, m.reference_idx) AS STRING)) AS discriminator FROM m LEFT JOIN l ON m.candidate_idx = l.idx LEFT JOIN b ON m.reference_idx = b.idx WHERE m.status LIKE 'ambiguous%'",
     "record_missing_from_candidate": f"{_MATCH} SELECT 'record_missing_from_candidate' AS category, 'high' AS severity, NULL AS field, {_KEY.format('b.id')} AS key, 'report_only' AS action, CAST(b.idx AS STRING) AS discriminator FROM m JOIN b ON m.reference_idx = b.idx WHERE m.status = 'reference_only'",
@@ -430,7 +497,31 @@ _FINDINGS = {
     "field_regression": f"{_CELLS} SELECT 'field_regression' AS category, CASE WHEN field IN ('id', 'status') THEN 'critical' ELSE 'high' END AS severity, field, key, action, CAST(candidate_idx AS STRING) AS discriminator FROM reg",
     "systemic_field_regression": f"{_MATCH}, loss AS ({_LOST}) SELECT 'systemic_field_regression' AS category, 'high' AS severity, field, NULL AS key, 'report_only' AS action, '' AS discriminator FROM loss WHERE populated > 0 AND populated = regressed",
 }
-_DOCS = f"WITH x AS ({DOCUMENTS.format(lineitem='lineitem')}), z AS (SELECT key, hash, title, url, (key + line) % 7 = 0 AS gone, (key + line) % 11 = 0 AS changed FROM x)"
+_FNV = "printf('%08x', list_reduce(list_concat([2166136261::UBIGINT], list_transform(string_split({0}, ''), lambda c: unicode(c)::UBIGINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296))"
+_FINDING_ID = "concat({category}, ':', " + _FNV.format("CAST(to_json([{category}, {key}, {field}, {discriminator}]) AS STRING)") + ")"
+_LOW_RATE = f"{_MATCH} SELECT 'identity_match_issue' AS category, 'high' AS severity, NULL AS field, NULL AS key, 'manual_review' AS action, 'match_rate_below_minimum' AS discriminator FROM m HAVING count(*) FILTER (WHERE status LIKE 'matched%') / count(candidate_idx) < 0.95"
+_ALL = "WITH f AS (" + " UNION ALL ".join(f"SELECT {_COLS} FROM ({x})" for x in (*_FINDINGS.values(), _LOW_RATE)) + ")"
+
+
+def _cell(f: str, candidate: str, reference: str, cblank: str, rblank: str) -> str:
+    """Cells of one field, as JSON text, over the pairs by id."""
+    return f"SELECT id, bid, lid, '{f}' AS field, CASE WHEN lid IS NOT NULL THEN {candidate} END AS cv, CASE WHEN bid IS NOT NULL THEN {reference} END AS rv, lid IS NULL OR {cblank} AS cblank, bid IS NULL OR {rblank} AS rblank FROM p"
+
+
+_CELL_CLASSES = f"""{_MATCH}, ll AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY id ORDER BY idx DESC) = 1), p AS {_PAIR.split("p AS ", 1)[1].replace("b.status AS bs", "b.cust AS bu, ll.cust AS lu, b.status AS bs")},
+ok AS (SELECT DISTINCT {_KEY.format('l.id')} AS key FROM m JOIN l ON m.candidate_idx = l.idx WHERE m.status = 'matched_primary'),
+prov AS (SELECT key, 'priority' AS field FROM pr WHERE {_BLANK.format('lq')} AND NOT {_EMPTY.format('bq')} UNION SELECT key, 'status' FROM pr WHERE {_BLANK.format('ls')} AND NOT {_EMPTY.format('bs')}),
+raw AS ({" UNION ALL ".join((_cell('id', 'CAST(lid AS STRING)', 'CAST(bid AS STRING)', 'false', 'false'), _cell('cust', 'CAST(lu AS STRING)', 'CAST(bu AS STRING)', 'false', 'false'), _cell('status', _JSON.format('ls'), _JSON.format('bs'), _BLANK.format('ls'), _BLANK.format('bs')), _cell('price', 'CAST(lp AS STRING)', 'CAST(bp AS STRING)', 'false', 'false'), _cell('priority', _JSON.format('lq'), _JSON.format('bq'), _BLANK.format('lq'), _BLANK.format('bq')), _cell('contact', _JSON.format('lc'), _JSON.format('bc'), 'false', 'false'), _cell('code', _JSON.format('lcode'), 'CAST(bcode AS STRING)', 'false', 'false'), _cell('origin', 'NULL', _JSON.format("'web'"), 'true', 'false'), _cell('batch', _JSON.format("'b1'"), 'NULL', 'false', 'true')))}),
+sit AS (SELECT *, {_KEY.format('id')} AS key, CASE WHEN bid IS NULL THEN 'record_added' WHEN lid IS NULL THEN 'record_removed' WHEN cblank AND rblank THEN 'unchanged' WHEN cblank THEN 'candidate_blank' WHEN rblank THEN 'reference_blank' WHEN cv = rv THEN 'unchanged' ELSE 'conflict' END AS situation FROM raw),
+why AS (SELECT *, CASE WHEN lid IS NULL THEN '{cells.BLOCKERS["record_removed"]}' WHEN bid IS NULL THEN '{cells.BLOCKERS["record_added"]}' WHEN field = 'code' THEN '{cells.BLOCKERS["excluded"]}' WHEN key NOT IN (SELECT key FROM ok) THEN '{cells.BLOCKERS["disputed"]}' WHEN situation = 'unchanged' THEN '{cells.BLOCKERS["unchanged"]}' END AS blocker,
+  lid IS NOT NULL AND field <> 'code' AND (bid IS NULL OR key IN (SELECT key FROM ok)) AS manual FROM sit),
+la AS (SELECT *, CASE WHEN blocker IS NULL THEN CASE WHEN rv IS NULL OR rv = 'null' THEN 'ineligible' WHEN (key, field) IN (SELECT (key, field) FROM prov) THEN 'auto' ELSE 'review' END END AS lane FROM why),
+k AS (SELECT *, CASE WHEN blocker IS NOT NULL THEN blocker WHEN lane = 'auto' THEN '{decisions.LANE_TEXTS["auto"]}' WHEN lane = 'ineligible' THEN '{decisions.LANE_TEXTS["ineligible"]}' WHEN NOT cblank THEN CASE WHEN situation = 'conflict' THEN '{decisions.LANE_TEXTS["conflict"]}' ELSE '{decisions.LANE_TEXTS["filled"]}' END
+  WHEN field IN ('priority', 'status') THEN '{decisions.LANE_TEXTS["permitted"]}' ELSE '{decisions.LANE_TEXTS["unapproved"]}' END AS reason FROM la)"""
+_DOCS = f"WITH x AS ({DOCUMENTS.format(lineitem='lineitem')}), z AS (SELECT key, hash, title, url, (key + line) % 7 = 0 AS gone, (key + line) % 11 = 0 AS changed, (key + line) % 13 = 0 AS bare, (key + line) % 17 = 0 AS twice, (key + line) % 19 = 0 AS unlisted FROM x)"
+_DOC_SUMS = f"""{_DOCS}, y AS (SELECT key, count(*) + count(*) FILTER (WHERE twice) AS n_before, count(*) FILTER (WHERE NOT gone) AS n_after, count(*) FILTER (WHERE gone AND NOT bare) AS removed, count(*) FILTER (WHERE changed AND NOT gone AND NOT bare) AS modified,
+  count(*) FILTER (WHERE bare) + count(*) FILTER (WHERE bare AND twice) + count(*) FILTER (WHERE bare AND NOT gone) AS incomplete, greatest(count(*) FILTER (WHERE NOT bare AND NOT gone) - count(*) FILTER (WHERE changed AND NOT gone AND NOT bare), 0) AS unchanged,
+  coalesce(string_agg(hash, ',' ORDER BY hash) FILTER (WHERE twice AND NOT bare), '') AS duplicates, coalesce(string_agg(hash, ',' ORDER BY hash) FILTER (WHERE unlisted AND NOT bare), '') AS not_listed, coalesce(string_agg(hash, ',' ORDER BY hash) FILTER (WHERE bare AND NOT unlisted), '') AS dangling FROM z GROUP BY key)"""
 
 ORACLES: dict[str, str] = {
     "blank_vs_empty_census": _CTE + " " + " UNION ALL ".join(f"SELECT '{f}' AS field, count(*) FILTER (WHERE {_BLANK.format(f)}) AS blank, count(*) FILTER (WHERE {_EMPTY.format(f)}) AS empty FROM l" for f in ("status", "priority", "contact")),
@@ -439,13 +530,15 @@ ORACLES: dict[str, str] = {
     "change_kind_matrix": f"{_CHANGES} SELECT path, kind, count(*) AS n FROM c GROUP BY path, kind",
     "record_status": f"{_CHANGES} SELECT {_KEY.format('p.id')} AS id, CASE WHEN bid IS NULL THEN 'added' WHEN lid IS NULL THEN 'removed' ELSE 'changed' END AS status, CASE WHEN max(CASE WHEN path = 'status' AND kind = 'emptied' THEN 1 ELSE 0 END) = 1 THEN 'critical' WHEN max(CASE WHEN kind = 'emptied' THEN 1 ELSE 0 END) = 1 THEN 'high' ELSE 'warning' END AS severity FROM p JOIN c ON p.id = c.id GROUP BY p.id, bid, lid",
     "record_status_counts": f"{_PAIR} SELECT count(*) FILTER (WHERE bid IS NULL) AS added, count(*) FILTER (WHERE lid IS NULL) AS removed, count(*) FILTER (WHERE bid IS NOT NULL AND lid IS NOT NULL) AS changed, 0 AS unchanged FROM p",
-    "field_changes": f"{_CHANGES} SELECT {_KEY.format('id')} AS id, path, kind, before, after FROM c WHERE path IN ('status', 'price')",
+    "field_changes": f"{_CHANGES} SELECT {_KEY.format('id')} AS id, path, kind, before, after FROM c",
+    "changed_record_counts": f"{_CHANGES} SELECT path, count(DISTINCT id) AS records FROM c GROUP BY path",
+    "related_issues": f"{_ISSUES}, w AS (SELECT p.id, CASE WHEN bid IS NULL OR lid IS NULL THEN 'warning' WHEN max(CASE WHEN path = 'status' AND kind = 'emptied' THEN 1 ELSE 0 END) = 1 THEN 'critical' WHEN max(CASE WHEN kind = 'emptied' THEN 1 ELSE 0 END) = 1 THEN 'high' ELSE 'warning' END AS own FROM p JOIN c ON p.id = c.id GROUP BY p.id, bid, lid), hits AS (SELECT c.id, i.ord, i.id AS issue, i.severity FROM c JOIN i ON i.ord = 4 AND i.id = concat('field-population-', c.path) UNION SELECT p.id, i.ord, i.id, i.severity FROM p, i WHERE i.ord = 5) SELECT {_KEY.format('w.id')} AS id, CASE WHEN count(*) FILTER (WHERE hits.severity = 'critical') > 0 THEN 'critical' ELSE own END AS severity, coalesce(string_agg(issue, ',' ORDER BY ord, issue), '') AS issues FROM w LEFT JOIN hits ON w.id = hits.id GROUP BY w.id, own",
     "field_stats": f"{_STATS} SELECT field, baseline_present, latest_present, emptied, round(rate_change, 6) AS rate_change, severity FROM st",
     "field_change_rollup": f"{_CHANGES} SELECT f.field, count(kind) AS changed, count(*) FILTER (WHERE kind = 'emptied') AS emptied, count(*) FILTER (WHERE kind = 'restored') AS restored, count(*) FILTER (WHERE kind = 'modified') AS modified FROM (SELECT unnest(['id', 'cust', 'status', 'price', 'priority', 'contact', 'code', 'origin', 'batch']) AS field) f LEFT JOIN c ON f.field = c.path GROUP BY f.field",
     "top_regressions": f"{_STATS} SELECT field, round(rate_change, 6) AS rate_change FROM st WHERE rate_change < 0 ORDER BY st.rate_change, field LIMIT 3",
     "duplicate_keys": f"{_CTE} SELECT {_KEY.format('id')} AS key FROM l GROUP BY id HAVING count(*) > 1",
     "group_incidents": f"{_STATS} SELECT 'header' AS id, 'critical' AS severity, string_agg(field, ',' ORDER BY field) AS fields FROM st WHERE field IN ('priority', 'status', 'contact') AND br - lr >= 0.1 HAVING count(*) >= 2",
-    "quality_issues": f"{_ISSUES} SELECT ord, kind, severity, n FROM i",
+    "quality_issues": f"{_ISSUES} SELECT ord, id, kind, severity, n FROM i",
     "quality_gate": f"{_ISSUES} SELECT count(*) FILTER (WHERE severity = 'critical') AS critical, count(*) FILTER (WHERE severity IN ('high', 'warning')) AS lesser, CASE WHEN count(*) FILTER (WHERE severity = 'critical') > 0 THEN 'Quarantined' WHEN count(*) FILTER (WHERE severity IN ('high', 'warning')) > 0 THEN 'Warning' ELSE 'Pass' END AS gate FROM i",
     "match_results": f"{_MATCH} SELECT status, candidate_idx, reference_idx FROM m",
     "match_counts": f"{_MATCH} SELECT count(candidate_idx) AS candidates, " + ", ".join(f"count(*) FILTER (WHERE status = '{s}') AS {s}" for s in matching.STATUSES) + ", round(count(*) FILTER (WHERE status LIKE 'matched%') / count(candidate_idx), 6) AS match_rate, count(*) FILTER (WHERE status LIKE 'matched%') / count(candidate_idx) >= 0.95 AS meets_minimum FROM m",
@@ -472,19 +565,28 @@ ORACLES: dict[str, str] = {
     "exclusion_groups": f"{_RECOVERED}, e AS (SELECT excluded AS reason, candidate_idx, row_number() OVER (PARTITION BY excluded ORDER BY candidate_idx) AS rn FROM rr WHERE excluded IS NOT NULL) SELECT reason, count(*) AS records, string_agg(CAST(candidate_idx AS STRING), ',' ORDER BY candidate_idx) FILTER (WHERE rn <= 3) AS examples FROM e GROUP BY reason",
     "evidence_counts": f"{_MATCH} SELECT 'status' AS field, count(*) FILTER (WHERE NOT {_BLANK.format('bs')} AND {_BLANK.format('ls')}) AS eligible, count(*) FILTER (WHERE NOT {_BLANK.format('bs')} AND NOT {_BLANK.format('ls')}) AS comparable, count(*) FILTER (WHERE NOT {_BLANK.format('bs')} AND NOT {_BLANK.format('ls')} AND bs <> ls) AS conflicts FROM pr UNION ALL SELECT 'price', 0, count(*), count(*) FILTER (WHERE bp <> lp) FROM pr UNION ALL SELECT 'priority', count(*) FILTER (WHERE NOT {_BLANK.format('bq')} AND {_BLANK.format('lq')}), count(*) FILTER (WHERE NOT {_BLANK.format('bq')} AND NOT {_BLANK.format('lq')}), count(*) FILTER (WHERE NOT {_BLANK.format('bq')} AND NOT {_BLANK.format('lq')} AND bq <> lq) FROM pr",
     "record_filter": f"{_CHANGES} SELECT {_KEY.format('id')} AS id, count(*) AS n_changed FROM c GROUP BY id HAVING max(CASE WHEN path = 'status' THEN 1 ELSE 0 END) = 1 AND max(CASE WHEN kind = 'emptied' THEN 1 ELSE 0 END) = 1",
-    "record_search": "WITH s AS (SELECT CAST(p_partkey AS STRING) AS id, list_transform(regexp_split_to_array(lower(concat(p_name, ' ', p_type)), '[^a-z0-9]+'), lambda w: starts_with(w, '12')) AS h FROM part) SELECT id, CASE WHEN id = '12' THEN 3 WHEN starts_with(id, '12') THEN 2 WHEN contains(id, '12') THEN 1 ELSE 0 END AS tier FROM s WHERE contains(id, '12') OR list_contains(h, true)",
-    "findings_csv": f"{_CELLS}, f AS (SELECT concat('medium,field_conflict,', field, ',\"', replace(key, '\"', '\"\"'), '\",', trim(cv, '\"'), ',', trim(rv, '\"')) AS value FROM conf) SELECT value FROM f",
-    "document_diff": f"{_DOCS} SELECT key, hash, CASE WHEN gone THEN 'removed' ELSE 'modified' END AS state FROM z WHERE gone OR changed",
-    "document_summary": f"{_DOCS} SELECT key, count(*) AS n_before, count(*) FILTER (WHERE NOT gone) AS n_after, count(*) FILTER (WHERE gone) AS removed, count(*) FILTER (WHERE changed AND NOT gone) AS modified, greatest(count(*) FILTER (WHERE NOT gone) - count(*) FILTER (WHERE changed AND NOT gone), 0) AS unchanged FROM z GROUP BY key",
-    "document_health": f"{_DOCS} SELECT key, 0 AS missing_hash, '' AS duplicates, coalesce(string_agg(hash, ',' ORDER BY hash) FILTER (WHERE gone), '') AS dangling FROM z GROUP BY key",
+    "record_search": "WITH s AS (SELECT CAST(p_partkey AS STRING) AS id, list_transform(regexp_split_to_array(lower(concat(p_name, ' ', p_type)), '[^a-z0-9]+'), lambda w: starts_with(w, '12')) AS h FROM part) SELECT id, CASE WHEN id = '12' THEN 3 WHEN starts_with(id, '12') THEN 2 WHEN contains(id, '12') THEN 1 ELSE 0 END AS tier FROM s WHERE starts_with(id, '12') OR list_contains(h, true)",
+    "conflicts_csv": f"{_CELLS}, f AS (SELECT concat({_FINDING_ID.format(category="'field_conflict'", key='key', field='field', discriminator='CAST(candidate_idx AS STRING)')}, ',medium,field_conflict,', field, ',\"', replace(key, '\"', '\"\"'), '\",', trim(cv, '\"'), ',', trim(rv, '\"'), ',manual_review,\"Field \"\"', field, '\"\" holds different non-blank values in the reference and the candidate.\"') AS value FROM conf) SELECT value FROM f",
+    "finding_counts": f"{_ALL}, x AS (SELECT 'severity' AS dimension, severity AS name FROM f UNION ALL SELECT 'category', category FROM f UNION ALL SELECT 'total', 'total' FROM f), names AS (SELECT unnest({list(qa.SEVERITIES)}) AS name, 'severity' AS dimension UNION ALL SELECT unnest({list(qa.CATEGORIES)}), 'category' UNION ALL SELECT 'total', 'total') SELECT names.dimension, names.name, count(x.name) AS n FROM names LEFT JOIN x ON names.dimension = x.dimension AND names.name = x.name GROUP BY names.dimension, names.name",
+    "finding_ids": f"{_ALL} SELECT {_FINDING_ID.format(category='category', key='key', field='field', discriminator='discriminator')} AS id, category, key, field, discriminator FROM f",
+    "ticket_groups": f"{_ALL} SELECT category, field, count(*) AS findings, min_by(severity, list_position({list(qa.SEVERITIES)}, severity)) AS severity FROM f GROUP BY category, field",
+    "export_gate": f"{_ALL}, g AS (SELECT (SELECT count(*) FROM f WHERE severity = 'critical') AS critical, (SELECT count(*) FROM f WHERE discriminator = 'match_rate_below_minimum') AS low) SELECT critical = 0 AND low = 0 AS allowed, concat_ws(',', CASE WHEN low > 0 THEN 'match rate below minimum' END, CASE WHEN critical > 0 THEN 'critical findings' END) AS reasons FROM g",
+    "cell_classes": f"{_CELL_CLASSES} SELECT field, situation, lane, reason, manual, count(*) AS n FROM k GROUP BY field, situation, lane, reason, manual",
+    "cell_evidence": f"{_CELL_CLASSES}, e AS (SELECT field, count(*) FILTER (WHERE situation = 'candidate_blank') AS eligible, count(*) FILTER (WHERE situation = 'conflict') AS conflicts, count(*) FILTER (WHERE NOT cblank AND NOT rblank) AS comparable FROM k GROUP BY field) SELECT e.*, comparable = 0 AS volatility_unmeasurable, round(br, 6) AS baseline_rate, round(lr, 6) AS latest_rate FROM e JOIN ({_STATS} SELECT field, br, lr FROM st) USING (field)",
+    "cell_summaries": f"{_CELL_CLASSES}, e AS (SELECT field, least(count(DISTINCT rv) FILTER (WHERE NOT rblank), 64) AS distinct_values, count(DISTINCT rv) FILTER (WHERE NOT rblank) > 64 AS lower_bound, count(*) FILTER (WHERE lane = 'auto') AS auto, count(*) FILTER (WHERE lane = 'review') AS review, count(*) FILTER (WHERE lane = 'ineligible') AS ineligible, count(*) FILTER (WHERE lane IS NULL AND situation = 'unchanged') AS unchanged FROM k GROUP BY field) SELECT e.*, severity, changed FROM e JOIN ({_STATS} SELECT field, severity FROM st) USING (field) JOIN ({_CHANGES} SELECT f.field, count(kind) AS changed FROM (SELECT unnest(['id', 'cust', 'status', 'price', 'priority', 'contact', 'code', 'origin', 'batch']) AS field) f LEFT JOIN c ON f.field = c.path GROUP BY f.field) USING (field)",
+    "document_diff": f"{_DOCS} SELECT key, hash, CASE WHEN gone THEN 'removed' ELSE 'modified' END AS state FROM z WHERE NOT bare AND (gone OR changed) UNION ALL SELECT key, NULL, 'incomplete' FROM z WHERE bare UNION ALL SELECT key, NULL, 'incomplete' FROM z WHERE bare AND twice UNION ALL SELECT key, NULL, 'incomplete' FROM z WHERE bare AND NOT gone",
+    "document_summary": f"{_DOC_SUMS} SELECT key, n_before, n_after, 0 AS added, removed, modified, incomplete, unchanged FROM y",
+    "document_health": f"{_DOC_SUMS} SELECT key, incomplete AS missing_hash, 0 AS missing_title, 0 AS missing_url, duplicates, not_listed, dangling FROM y",
+    "document_states": f"{_DOC_SUMS} SELECT removed > 0 AS removed, modified > 0 AS modified, incomplete > 0 AS incomplete, duplicates <> '' OR not_listed <> '' OR dangling <> '' AS hash_mismatch, n_after < n_before AS decreased, count(*) AS records FROM y GROUP BY ALL",
     "identity_census": f"{_CTE} SELECT 'id' AS field, count(*) AS present, 0 AS missing, 0 AS blank FROM l UNION ALL SELECT 'status', count(*) FILTER (WHERE NOT {_BLANK.format('status')}), 0, count(*) FILTER (WHERE {_BLANK.format('status')}) FROM l UNION ALL SELECT 'origin', 0, count(*), 0 FROM l",
-    "source_detection": "SELECT CASE WHEN count(*) FILTER (WHERE regexp_matches(lower(url), '^https?://blog[.]')) > 0 THEN 'match' ELSE 'none' END AS state, CASE WHEN count(*) FILTER (WHERE regexp_matches(lower(url), '^https?://blog[.]')) > 0 THEN 'com' ELSE '' END AS policies FROM pages WHERE page_id < 25",
+    "source_detection": "SELECT CASE WHEN count(*) FILTER (WHERE regexp_matches(lower(url), '^https?://blog[.]')) > 0 THEN 'match' ELSE 'none' END AS state, CASE WHEN count(*) FILTER (WHERE regexp_matches(lower(url), '^https?://blog[.]')) > 0 THEN 'com' ELSE '' END AS policies FROM (SELECT * FROM pages ORDER BY page_id LIMIT 25)",
 }
 
 _PLAIN = (
     blank_vs_empty_census, identity_key_build, csv_escape, change_kind_matrix, record_status, record_status_counts, field_changes, field_stats, field_change_rollup, top_regressions, duplicate_keys, group_incidents,
     quality_issues, quality_gate, match_results, match_counts, ambiguity_detail, finding_counts, finding_ids, backfill_provenance, recovered_records, recovery_exclusions, recovery_summary, field_provenance,
     dedupe_outcomes, dedupe_summary, lanes, lane_counts, field_summaries, record_summaries, bulk_impact, decision_latest, decision_overrides, decision_summary, pending_queue, field_distribution, backfill_groups,
-    exclusion_groups, ticket_groups, evidence_counts, record_filter, record_search, export_gate, findings_csv, document_diff, document_summary, document_health, identity_census, source_detection,
+    exclusion_groups, ticket_groups, evidence_counts, record_filter, record_search, export_gate, findings_csv, conflicts_csv, document_diff, document_summary, document_health, document_states, identity_census, source_detection,
+    changed_record_counts, related_issues, cell_classes, cell_evidence, cell_summaries, record_details,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _PLAIN} | {f"qa_{k}": _category(k) for k in _FINDINGS}

@@ -97,7 +97,7 @@ def date_order(before: Column, after: Column) -> Column:
 def detect_source(side: Snapshot, prefixes: Mapping[str, Sequence[str]], url_fields: Sequence[str]) -> DataFrame:
     """``state`` (match, ambiguous, none) and ``policies``: whose URL prefixes a value of the first records starts with."""
     urls = F.explode(F.array(*[V.js_trim(V.string_of(side.col(f))) for f in url_fields])).alias("url")
-    seen = side.df.where(F.col("idx") < DETECTION_RECORDS).select(urls).where("url is not null")
+    seen = side.df.orderBy("idx").limit(DETECTION_RECORDS).select(urls).where("url is not null")
     spark = side.df.sparkSession
     table = spark.createDataFrame([(p, x.lower()) for p, xs in prefixes.items() for x in xs], "policy string, prefix string")
     hits = seen.join(F.broadcast(table), F.lower("url").startswith(F.col("prefix"))).agg(F.sort_array(F.collect_set("policy")).alias("policies"))

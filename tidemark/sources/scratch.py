@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
+    """The folder of ``spark.checkpoint.dir``; a local one only where that is unset and driver and executors share a machine (tests)."""
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="tidemark-")
         sc.setCheckpointDir(at)
     return at.rstrip("/")
