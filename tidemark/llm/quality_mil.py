@@ -139,11 +139,10 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     python_tasks(docs.sparkSession)
     marks = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("y")).where("y in (0, 1)")
     marks = marks.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("high")).where("y = high").select("doc_id", "y")
-    chosen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(marks, "doc_id")
-    # the hash order of rows picks the sample before texts move; equal rows count once
-    chosen = chosen.withColumn("row", row_key(F.col("doc_id"), F.col("text")))
-    ids = chosen.select("row").distinct().orderBy("row.a", "row.b").limit(sample)
-    chosen = chosen.join(F.broadcast(ids), "row", "left_semi").dropDuplicates(["row"]).repartition(32)  # at most ``sample`` rows; spread, as the driver takes a task's result at once
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), row_key(F.col(doc_id), F.col(text)).alias("row"))
+    # the hash order of rows picks the sample, with its labels, before texts move; equal rows count once
+    few = rows.select("doc_id", "row").join(marks, "doc_id").select("row", "y").distinct().orderBy("row.a", "row.b").limit(sample)
+    chosen = rows.join(F.broadcast(few), "row").dropDuplicates(["row"]).repartition(32)  # at most ``sample`` rows; spread, as the driver takes a task's result at once
 
     @F.pandas_udf("binary")
     def described(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
