@@ -56,7 +56,7 @@ from .rolling import Words, mix
 #: Shingle hashes below this value are the sample: 35 in 100.
 SAMPLE = int(0.35 * 2**64)
 #: Shingles that a task adds up at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Above so many classes a shingle is frequent (pairs), and above so many hot (triples).
 FREQUENT = (64, 1024)
 #: Sides of at most so many rows of a few numbers are broadcast; larger ones are shuffled.
