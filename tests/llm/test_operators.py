@@ -377,6 +377,32 @@ def test_elias_fano():
         probe = np.concatenate([x, rng.integers(0, min(universe, 1 << 63), 500, dtype=np.uint64)])
         where = {int(v): i for i, v in enumerate(x)}
         assert e.find(probe).tolist() == [where.get(int(v), -1) for v in probe]
+        assert np.array_equal(e.values(np.arange(len(x))), x)
+        third = len(x) // 3
+        inside = e.find(x, np.full(len(x), third), np.full(len(x), 2 * third))
+        assert inside.tolist() == [i if third <= i < 2 * third else -1 for i in range(len(x))]
+    repeated = np.sort(rng.integers(0, 50, 900)).astype(np.uint64)  # as pointers are: equal values, gaps
+    for values in (repeated, np.zeros(70, np.uint64), repeated * np.uint64(1000)):
+        assert np.array_equal(EliasFano(EliasFano.write(values, int(values.max()) + 1)).values(np.arange(len(values))), values)
+
+
+def test_trie_reads_its_levels():
+    from tidemark.llm.ngram_trie import NONE, VALUES, Trie
+
+    rng = np.random.default_rng(4)
+    words = np.unique(rng.integers(0, 1 << 63, 300, dtype=np.uint64))
+    pairs = np.unique((rng.integers(0, len(words), 4000).astype(np.uint64) << np.uint64(40)) | rng.integers(0, 1 << 40, 4000, dtype=np.uint64))
+    pairs = pairs[(pairs >> np.uint64(40)) % np.uint64(7) != 3]  # words without followers
+    counts, each = rng.integers(50, 1000, len(words)), rng.integers(1, 50, len(pairs))
+    trie = Trie(words, counts, pairs, each, 20.0)
+    at, got, _ = trie.find_words(np.append(words, np.uint64(5)))
+    assert at.tolist() == [*range(len(words)), -1] and np.array_equal(got, np.append(counts, 0))
+    place = (pairs >> np.uint64(40)).astype(np.int64)
+    owners, sizes = np.unique(place, return_counts=True)
+    codes = trie.find_followers(owners, sizes, pairs & np.uint64((1 << 40) - 1))
+    assert np.allclose(VALUES[codes], each / (counts[place] + 20), rtol=1e-3)
+    assert (trie.find_followers(np.array([-1, 3]), np.array([1, 1]), np.array([1, 2], np.uint64)) == NONE).all()
+    assert (Trie(words[:0], counts[:0], pairs[:0], each[:0], 20.0).find_followers(np.array([-1]), np.array([1]), np.array([1], np.uint64)) == NONE).all()
 
 
 def test_pipeline_stages(spark, tmp_path):

@@ -12,7 +12,8 @@ P(w | c) = n(c, w) / (n(c) + pull) + pull / (n(c) + pull) * P(w), and
 P(w) = (n(w) + 1) / (N + V + 1), so every context's probabilities sum to 1.
 
 Null and empty texts hold only the end token. Without training texts N = V = 0 and every
-known count is 0. Repeated rows count as often as they stand there and score alike.
+known count is 0. Repeated rows count as often as they stand there and score alike. A very
+long text is scored as a whole, in its block.
 """
 
 from __future__ import annotations
@@ -25,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import python_tasks, text_key
+from .common import python_tasks, unclashed
 from .ngram_trie import FOLLOWER_BITS, NONE, VALUES, Trie
 from .rolling import Words
 
 #: Hashes of the marks before and behind a text; no word's hash is taken from the empty word.
 BEGIN, END = np.uint64(0x0123456789ABCDEF), np.uint64(0x0FEDCBA987654321)
+#: Bytes of text in a block, on average at most.
+BLOCK_BYTES = 64 << 20
 _FOLLOWER = np.uint64((1 << FOLLOWER_BITS) - 1)
 
 
@@ -128,7 +131,7 @@ def _answer(pull: float):
         out = []
         for a in asked:
             place, count, backoff = trie.find_words(a[0])
-            codes = trie.find_followers(np.repeat(place, a[2]), (a[4].astype(np.uint64) << np.uint64(32)) | a[3])
+            codes = trie.find_followers(place, a[2], (a[4].astype(np.uint64) << np.uint64(32)) | a[3])
             out.append(_pack(_narrow(count), backoff, codes, np.array([total, distinct], np.int64)))
         return pa.table([table["block"].to_pylist(), table["shard"].to_pylist(), out], schema=_SENT)
 
@@ -168,14 +171,17 @@ def _score(n_shards: int, n_keep: int):
 def apply(docs: DataFrame, train: Column, text: str = "text", keep: Sequence[str] = ("doc_id",), pull: float = 20.0, n_blocks: int | None = None) -> DataFrame:
     """Columns of ``keep``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` (add-one unigrams) and ``score`` (bigrams), both log10.
 
-    ``train`` marks the texts that the counts come from. ``n_blocks`` (the session's number of
-    shuffle partitions if not given) bounds what a task holds: texts / n_blocks, and distinct
-    bigrams / n_blocks.
+    ``train`` marks the texts that the counts come from; a text is trained on where it is true, not
+    where it is NULL. A column of ``keep`` with the name of an output is replaced by it. ``n_blocks``
+    (if not given the session's number of shuffle partitions, or more, so that blocks have
+    ``BLOCK_BYTES`` of text on average) bounds what a task holds: texts / n_blocks, and what all
+    blocks ask / n_blocks. There are n_blocks ** 2 messages.
     """
     spark = docs.sparkSession
     python_tasks(spark)
-    n = n_blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own = docs.select(*[F.col(c).alias(f"k_{i}") for i, c in enumerate(keep)], F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"), F.pmod(text_key(F.col(keep[0]), F.col(text)), F.lit(n)).cast("long").alias("block"))
+    keep = unclashed(keep, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    n = n_blocks or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) // BLOCK_BYTES))
+    own = docs.select(*[F.col(c).alias(f"k_{i}") for i, c in enumerate(keep)], F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"), F.pmod(F.xxhash64(*keep, text), F.lit(n)).cast("long").alias("block"))
     sent = "block long, shard long, data binary"
     asked = own.groupBy("block").applyInArrow(_ask(n), sent)
     answered = asked.groupBy("shard").applyInArrow(_answer(pull), sent)
