@@ -144,6 +144,21 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     return docs.withColumn("ids", ids(F.coalesce(F.col(text), F.lit(""))))
 
 
+def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """All other columns of ``docs``, ``ids`` as :func:`encode` gives them and ``decoded`` as :func:`decode` does, by one pass and one codec a worker."""
+    python_tasks(docs.sparkSession)
+
+    @F.pandas_udf("ids binary, decoded string")
+    def both(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        c = codec(path)
+        for texts in parts:
+            ids = [c.encode(t) for t in texts]
+            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series([c.decode(x) for x in ids], dtype=object)})
+
+    out = docs.withColumn("coded", both(F.coalesce(F.col(text), F.lit(""))))
+    return out.withColumns({"ids": F.col("coded.ids"), "decoded": F.col("coded.decoded")}).drop("coded")
+
+
 def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """All other columns and the decoded text, in place of a column ``out``; null ids are empty."""
     python_tasks(encoded.sparkSession)

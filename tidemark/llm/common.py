@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
@@ -62,12 +63,19 @@ _held: dict[Hashable, Any] = {}
 def held(key: Hashable, make: Callable[[], Any]) -> Any:
     """The one large object (vocabulary, automaton) that a Python worker keeps for its next tasks; asking for another lets go of the last."""
     if key not in _held:
-        _held.clear()
-        gc.collect()
+        let_go()
         _held[key] = make()
     return _held[key]
 
 
+def let_go() -> None:
+    """Frees what the worker keeps, for a task that needs no such object, and gives freed memory back to the system where it can."""
+    _held.clear()
+    gc.collect()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def text_key(doc_id: Column, text: Column) -> Column:
     """A key that equal rows share; used only where a clash of keys can't change a result."""
     return F.xxhash64(doc_id, text)

@@ -49,7 +49,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, python_tasks
+from .common import let_go, materialize, python_tasks
 from .components import components
 from .rolling import Words, mix
 
@@ -145,6 +145,7 @@ def signatures(s: np.ndarray, counts: np.ndarray, percent: int, frequent: tuple[
 
 def _census(k: int):
     def census(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             nodes, sizes, sampled = [], [], []
             for t in batch.column(2):
@@ -174,6 +175,7 @@ def _sampled(k: int):
         return pa.record_batch([pa.array(sig), pa.array(node), pa.array(more)], ["sig", "node", "met"])
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         seen, sets, nodes, size = set(), [], [], 0
         for batch in batches:
             for t in batch.column(0):
@@ -197,6 +199,7 @@ def _sets(k: int):
     """(chunk, node, data): whole sets, in chunks of a task."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         seen, chunk, size = set(), TaskContext.get().partitionId() << 24, 0
         for batch in batches:
             chunks, nodes, data = [], [], []
@@ -237,6 +240,7 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _signed(percent: int, frequent: tuple[int, int]):
     def signed(sets: pa.Table, counted: pa.Table) -> pa.Table:
+        let_go()
         tokens, totals = counted["token"].to_numpy().astype(np.uint64), counted["total"].to_numpy()
         order = np.argsort(tokens)
         tokens, totals = np.append(tokens[order], np.uint64(2**64 - 1)), np.append(totals[order], 1)

@@ -26,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import python_tasks, unclashed
+from .common import let_go, python_tasks, unclashed
 from .ngram_trie import FOLLOWER_BITS, NONE, VALUES, Trie
 from .rolling import Words
 
 #: Hashes of the marks before and behind a text; no word's hash is taken from the empty word.
 BEGIN, END = np.uint64(0x0123456789ABCDEF), np.uint64(0x0FEDCBA987654321)
 #: Bytes of text in a block, on average at most.
-BLOCK_BYTES = 64 << 20
+BLOCK_BYTES = 8 << 20
 _FOLLOWER = np.uint64((1 << FOLLOWER_BITS) - 1)
 
 
@@ -43,18 +43,22 @@ class Block:
     def __init__(self, texts: Sequence[str | None], trains: Sequence[bool]):
         hashes = [np.append(Words(t).windows(1), END) for t in texts]
         self.sizes = np.array([len(h) for h in hashes], np.int64)
+        hashes.append(np.array([BEGIN]))
         tokens = np.concatenate(hashes)
+        del hashes
         train = np.repeat(np.array(trains, bool), self.sizes)
         self.heads = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
-        before = np.concatenate([[BEGIN], tokens[:-1]])
-        before[self.heads] = BEGIN
-        self.words, place = np.unique(np.append(tokens, BEGIN), return_inverse=True)
-        self.token = place[:-1]
+        self.words, place = np.unique(tokens, return_inverse=True)
+        del tokens
+        self.token = place[:-1].astype(np.int32)  # places of tokens, of their contexts and of pairs in a block fit in 32 bits
+        del place
         first = np.searchsorted(self.words, BEGIN)
-        context = np.concatenate([[0], self.token[:-1]])
+        context = np.empty(len(self.token), np.int32)
+        context[1:] = self.token[:-1]
         context[self.heads] = first
-        pair = context.astype(np.int64) * len(self.words) + self.token
-        pairs, self.pair = np.unique(pair, return_inverse=True)
+        pairs, pair = np.unique(context.astype(np.int64) * len(self.words) + self.token, return_inverse=True)
+        self.pair = pair.astype(np.int32)
+        del pair
         self.pair_context, self.pair_word = np.divmod(pairs, len(self.words))
         self.counts = np.bincount(self.token[train], minlength=len(self.words))
         self.counts[first] = sum(map(bool, trains))
@@ -91,6 +95,7 @@ _SENT = pa.schema([("block", pa.int64()), ("shard", pa.int64()), ("data", pa.bin
 
 def _ask(n_shards: int):
     def ask(table: pa.Table) -> pa.Table:
+        let_go()
         b = Block(table["text"].to_pylist(), table["train"].to_pylist())
         word, pair = b.shards(n_shards)
         by_word, by_pair = np.argsort(word, kind="stable"), np.argsort(pair, kind="stable")
@@ -117,6 +122,7 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _answer(pull: float):
     def answer(table: pa.Table) -> pa.Table:
+        let_go()
         asked = [_unpack(x) for x in table["data"].to_pylist()]
         words, counts = _summed(np.concatenate([a[0] for a in asked]), np.concatenate([a[1] for a in asked]).astype(np.float64))
         keys, key_counts = [], []
@@ -140,6 +146,7 @@ def _answer(pull: float):
 
 def _score(n_shards: int, n_keep: int):
     def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        let_go()
         b = Block(texts["text"].to_pylist(), texts["train"].to_pylist())
         word, pair = b.shards(n_shards)
         counts, backoff, codes = np.zeros(len(b.words), np.int64), np.zeros(len(b.words), np.uint16), np.full(len(pair), NONE, np.uint16)
@@ -168,19 +175,19 @@ def _score(n_shards: int, n_keep: int):
     return score
 
 
-def apply(docs: DataFrame, train: Column, text: str = "text", keep: Sequence[str] = ("doc_id",), pull: float = 20.0, n_blocks: int | None = None) -> DataFrame:
+def apply(docs: DataFrame, train: Column, text: str = "text", keep: Sequence[str] = ("doc_id",), pull: float = 20.0, n_blocks: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Columns of ``keep``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` (add-one unigrams) and ``score`` (bigrams), both log10.
 
     ``train`` marks the texts that the counts come from; a text is trained on where it is true, not
     where it is NULL. A column of ``keep`` with the name of an output is replaced by it. ``n_blocks``
     (if not given the session's number of shuffle partitions, or more, so that blocks have
-    ``BLOCK_BYTES`` of text on average) bounds what a task holds: texts / n_blocks, and what all
-    blocks ask / n_blocks. There are n_blocks ** 2 messages.
+    ``block_bytes`` of text on average) bounds what a task holds: texts / n_blocks, and what all
+    blocks ask / n_blocks. There are n_blocks ** 2 messages, so terabytes need larger blocks.
     """
     spark = docs.sparkSession
     python_tasks(spark)
     keep = unclashed(keep, "n_tokens", "n_known", "train_tokens", "base_score", "score")
-    n = n_blocks or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) // BLOCK_BYTES))
+    n = n_blocks or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) // block_bytes))
     own = docs.select(*[F.col(c).alias(f"k_{i}") for i, c in enumerate(keep)], F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"), F.pmod(F.xxhash64(*keep, text), F.lit(n)).cast("long").alias("block"))
     sent = "block long, shard long, data binary"
     asked = own.groupBy("block").applyInArrow(_ask(n), sent)

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import python_tasks, row_key
+from .common import let_go, python_tasks, row_key
 
 PASSAGE = 64
 #: Passages of a text that are described at a time.
@@ -168,6 +168,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
 
     @F.pandas_udf("double")
     def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        let_go()
         own = sent.value
         for texts in parts:
             yield pd.Series([own(passages(t)) for t in texts], dtype="float64")

@@ -63,7 +63,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary_path()
-    coded = bpe_codec.decode(bpe_codec.encode(documents(spark, sf_dir).select("doc_id", "text"), path).select("doc_id", "ids"), path)
+    coded = bpe_codec.round_trip(documents(spark, sf_dir).select("doc_id", "text"), path)
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
