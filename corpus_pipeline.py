@@ -57,7 +57,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids by the backtracking encoder, as unsigned 32-bit integers in ``ids``; ``round_trip`` tells whether they decode to the text."""
     path = vocabulary_path()
-    coded = bpe_codec.decode(bpe_codec.encode(docs.select(*COLUMNS), path), path)
+    coded = bpe_codec.round_trip(docs.select(*COLUMNS), path)
     return coded.select("doc_id", "lang", "source", "n_chars", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 
