@@ -194,10 +194,13 @@ def validation_severity(rule: str, required: bool) -> str:
 
 
 def fnv1a32(text: Column) -> Column:
-    """FNV-1a over UTF-16 code units, as eight hexadecimal digits."""
+    """FNV-1a over UTF-16 code units, as eight hexadecimal digits. In ASCII texts characters are units."""
+    step = lambda h, c: (h.bitwiseXOR(c) * F.lit(0x01000193)).bitwiseAND(F.lit(0xFFFFFFFF))
+    first = F.lit(0x811C9DC5).cast("long")
+    plain = F.aggregate(F.split(text, ""), first, lambda h, c: F.when(c == "", h).otherwise(step(h, F.ascii(c).cast("long"))))
     raw = F.hex(F.encode(text, "UTF-16BE"))
     units = F.transform(F.when(F.length(raw) >= 4, F.sequence(F.lit(0), (F.length(raw) / 4).cast("int") - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.conv(F.substring(raw, i * 4 + 1, F.lit(4)), 16, 10).cast("long"))
-    total = F.aggregate(units, F.lit(0x811C9DC5).cast("long"), lambda h, c: (h.bitwiseXOR(c) * F.lit(0x01000193)).bitwiseAND(F.lit(0xFFFFFFFF)))
+    total = F.when(F.octet_length(text) == F.length(text), plain).otherwise(F.aggregate(units, first, step))
     return F.lpad(F.lower(F.hex(total)), 8, "0")
 
 

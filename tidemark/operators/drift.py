@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import values as V
 from ..plans.policy import EmptyRule, Quality
 from ..sources.scratch import written
-from ..sources.snapshot import Snapshot, union_fields
+from ..sources.snapshot import Snapshot, settled, union_fields
 
 KINDS = ("string", "number", "boolean", "object", "array")
 
@@ -102,11 +102,11 @@ def _rows_of(counts: DataFrame, fields: Sequence[str], names: Sequence[str], pre
 
 def _side_stats(side: Snapshot, fields: Sequence[str], quality: Quality, prefix: str) -> DataFrame:
     """One pass over a side: per field its present count and type counts."""
+    told = settled(side.df.select(*[x for i, f in enumerate(fields) for x in ((~empty(side, f, quality)).alias(f"p{i}"), V.kind_of(side.col(f)).alias(f"t{i}"))]))
     sums = [F.count("*").alias("n_records")]
-    for i, f in enumerate(fields):
-        kind = V.kind_of(side.col(f))
-        sums += [F.count_if(~empty(side, f, quality)).alias(f"present{i}"), *[F.count_if(kind == k).alias(f"{k}{i}") for k in KINDS]]
-    out = _rows_of(side.df.agg(*sums), fields, ("present", *KINDS), prefix)
+    for i in range(len(fields)):
+        sums += [F.count_if(f"p{i}").alias(f"present{i}"), *[F.count_if(F.col(f"t{i}") == k).alias(f"{k}{i}") for k in KINDS]]
+    out = _rows_of(told.agg(*sums), fields, ("present", *KINDS), prefix)
     types = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, KINDS)), F.array(*[F.col(prefix + k) for k in KINDS])), lambda k, v: v > 0)
     return out.select("field", F.col("n_records").alias(f"{prefix}records"), f"{prefix}present", types.alias(f"{prefix}types"))
 

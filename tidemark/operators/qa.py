@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import values as V
 from ..plans.policy import Policy
 from ..sources.scratch import written
-from ..sources.snapshot import Snapshot, union_fields
+from ..sources.snapshot import Snapshot, settled, union_fields
 from . import matching
 
 CATEGORIES = (
@@ -97,12 +97,13 @@ def schema_changes(reference: Snapshot, candidate: Snapshot, policy: Policy) ->
 
 def _dominant(side: Snapshot, name: str) -> DataFrame:
     kinds = ("array", "boolean", "number", "object", "string")
-    sums = [F.count_if((V.kind_of(side.col(f)) == k) & ~V.is_empty(side.col(f))).alias(f"{k}{i}") for i, f in enumerate(side.fields) for k in kinds]
+    told = settled(side.df.select(*[F.when(~V.is_empty(side.col(f)), V.kind_of(side.col(f))).alias(f"t{i}") for i, f in enumerate(side.fields)]))
+    sums = [F.count_if(F.col(f"t{i}") == k).alias(f"{k}{i}") for i in range(len(side.fields)) for k in kinds]
     rows = []
     for i, f in enumerate(side.fields):
         top = F.array_max(F.array(*[F.struct(F.col(f"{k}{i}").alias("n"), F.lit(-j).alias("o")) for j, k in enumerate(kinds)]))
         rows.append(F.struct(F.lit(f).alias("field"), F.when(top["n"] > 0, F.get(F.array(*map(F.lit, kinds)), -top["o"])).alias(name)))
-    return side.df.agg(*sums).select(F.inline(F.array(*rows))).where(f"{name} is not null")
+    return told.agg(*sums).select(F.inline(F.array(*rows))).where(f"{name} is not null")
 
 
 def type_changes(reference: Snapshot, candidate: Snapshot, policy: Policy) -> DataFrame:

@@ -8,6 +8,7 @@ records. Both engines read the same definition below; frames come in as paramete
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,13 +58,13 @@ def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 class Review:
     """The review pipeline (R13): match, findings, recovery, dedupe.
 
-    What several parts need is written once: the match table, and the matched pairs with both
-    records when a part first asks for them. So each part's plan starts from a scan, records
+    What several parts need is written once: both sides as JSON cells, the match table, and the
+    matched pairs with both records when a part first asks for them. So each part's plan starts from a scan, records
     are joined once, and a lost executor costs no earlier stage.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.reference, self.candidate = sides(spark, sf_dir)
+        self.reference, self.candidate = (replace(s, df=written(s.df, "side")) for s in sides(spark, sf_dir))
         self.matches = written(matching.match(self.reference, self.candidate, POLICY), "matches")
 
     @cached_property
