@@ -264,6 +264,22 @@ def test_secrets_are_refused(spark):
         export.refuse_secrets(["ApiToken"])
 
 
+def test_shown_texts(spark):
+    assert [one(spark, views.column_text(j(v), "-")) for v in ("a", "", None, 5, [1])] == ["a", "-", "-", "5", "[1]"] and one(spark, views.column_text(F.lit(None).cast("string"))) == ""
+    n = F.lit(None).cast("int")
+    assert one(spark, views.documents_text(F.lit(1), F.lit(2), F.lit(0))) == "1 added · 2 removed · 0 modified" and one(spark, views.documents_text(n, n, n)) == "-"
+    changes = F.array(F.struct(F.lit("Meta.b").alias("path")))
+    assert one(spark, views.path_changed(changes, "Meta")) and not one(spark, views.path_changed(changes, "Met"))
+
+
+def test_inspection(spark, sides):
+    ref, cand = sides
+    m = written(matching.match(ref, cand, POLICY), "m")
+    shown = recovery.inspection(recovery.recover(m, ref, cand, POLICY), ref, cand, POLICY, key='["A-1"]')
+    got = {r["field"]: (r["candidate"], r["reference"], r["output"]) for r in shown.collect()}
+    assert got["Title"] == ('"   "', '"Main"', '"Main"') and got["Code"] == ('"A-1"',) * 3 and set(got) == set(cand.fields)
+
+
 def test_cells(spark, sides):
     ref, cand = sides
     m = written(matching.match(ref, cand, POLICY), "m")

@@ -122,6 +122,16 @@ def field_sources(recovered: DataFrame, candidate: Snapshot, policy: Policy) ->
     return recovered.where("excluded is null").select("key", F.inline(F.array(*[F.struct(F.lit(f).alias("field"), source(f).alias("source")) for f in names])))
 
 
+def inspection(recovered: DataFrame, reference: Snapshot, candidate: Snapshot, policy: Policy, key: str | None = None) -> DataFrame:
+    """Every field of the records of ``recovered`` with its candidate, reference and output value side by side; ``key`` picks one record."""
+    names = (*candidate.fields, *[f for f in sorted(policy.backfillable()[0]) if f not in candidate.fields])
+    out = Snapshot(candidate.df, names, candidate.normalise)
+    rows = recovered if key is None else recovered.where(F.col("key") == key)
+    rows = rows.join(candidate.df.select(F.col("idx").alias("candidate_idx"), candidate.record().alias("c")), "candidate_idx").join(reference.df.select(F.col("idx").alias("reference_idx"), reference.record().alias("r")), "reference_idx", "left")
+    cell = lambda f: F.struct(F.lit(f).alias("field"), candidate.col(f, "c").alias("candidate"), reference.col(f, "r").alias("reference"), out.col(f, "v").alias("output"))
+    return rows.select("key", "candidate_idx", "excluded", F.inline(F.array(*[cell(f) for f in names])))
+
+
 def exclusions(recovered: DataFrame, policy: Policy) -> DataFrame:
     """Excluded candidate records with their reason and the fields at fault."""
     fields = F.when(F.col("excluded") == "hard_required_field_missing", F.col("missing")).otherwise(F.array().cast("array<string>"))

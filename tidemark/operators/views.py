@@ -120,6 +120,22 @@ def filtered(diff: DataFrame, statuses: Sequence[str] = (), fields: Sequence[str
     return out
 
 
+def path_changed(changes: Column, field: str) -> Column:
+    """Whether a change is the field's or lies below it."""
+    return F.exists(changes, lambda c: (c["path"] == field) | c["path"].startswith(field + "."))
+
+
+def column_text(json: Column, blank: str = "") -> Column:
+    """A record's value in a table column; absent, null and empty texts show as ``blank``."""
+    text = F.when(json != V.NULL_JSON, V.text_of(json))
+    return F.coalesce(F.when(text != "", text), F.lit(blank))
+
+
+def documents_text(added: Column, removed: Column, modified: Column) -> Column:
+    """A document list's changes in words; ``-`` where there is no list."""
+    return F.coalesce(F.concat(added.cast("string"), F.lit(" added · "), removed.cast("string"), F.lit(" removed · "), modified.cast("string"), F.lit(" modified")), F.lit("-"))
+
+
 SEVERITY_RANK = {"critical": 4, "high": 3, "warning": 2, "info": 1, "pass": 0}
 
 

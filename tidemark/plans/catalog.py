@@ -226,6 +226,12 @@ def recovered_records(spark, sf_dir):
     return out.df.select("key", "derived", V.text_of(out.col("status")).alias("status"), V.text_of(out.col("priority")).alias("priority"))
 
 
+def record_inspection(spark, sf_dir):
+    r = Review(spark, sf_dir)
+    shown = recovery.inspection(r.recovered, r.reference, r.candidate, POLICY)
+    return shown.groupBy("field").agg(F.count("*").alias("cells"), F.count_if(~F.col("output").eqNullSafe(F.col("candidate"))).alias("changed"), F.count_if(~F.col("output").eqNullSafe(F.col("candidate")) & F.col("output").eqNullSafe(F.col("reference"))).alias("from_reference"))
+
+
 def recovery_exclusions(spark, sf_dir):
     return recovery.exclusions(Review(spark, sf_dir).recovered, POLICY).select("candidate_idx", "reason", F.array_join("fields", ",").alias("fields"))
 
@@ -547,6 +553,7 @@ ORACLES: dict[str, str] = {
     **{f"qa_{k}": v for k, v in _FINDINGS.items()},
     "backfill_provenance": f"{_FILLS} SELECT * FROM prov",
     "recovered_records": f"{_RECOVERED} SELECT {_KEY.format('id')} AS key, derived, os AS status, oq AS priority FROM rr WHERE excluded IS NULL",
+    "record_inspection": f"{_RECOVERED} SELECT f.field, count(*) AS cells, count(*) FILTER (WHERE field = 'status' AND fs OR field = 'priority' AND fq) AS changed, count(*) FILTER (WHERE field = 'status' AND fs OR field = 'priority' AND fq) AS from_reference FROM rr, (SELECT unnest(['id', 'cust', 'status', 'price', 'priority', 'contact', 'code', 'batch']) AS field) f GROUP BY f.field",
     "recovery_exclusions": f"{_RECOVERED} SELECT candidate_idx, excluded AS reason, CASE WHEN excluded = 'hard_required_field_missing' THEN 'status' ELSE '' END AS fields FROM rr WHERE excluded IS NOT NULL",
     "recovery_summary": f"{_RECOVERED} SELECT count(*) AS candidates, count(*) FILTER (WHERE excluded IS NULL) AS recovered, count(excluded) AS excluded, count(*) FILTER (WHERE mstatus = 'candidate_only') AS candidate_only, CAST(coalesce(sum(nf) FILTER (WHERE excluded IS NULL), 0) AS BIGINT) AS backfilled_fields, CAST(0 AS BIGINT) AS overridden_fields, count(*) FILTER (WHERE excluded IS NULL AND derived) AS records_with_backfill, " + ", ".join(f"count(*) FILTER (WHERE excluded = '{r}') AS excluded_{r}" for r in recovery.REASONS) + " FROM rr",
     "field_provenance": f"{_RECOVERED}, k AS (SELECT * FROM rr WHERE excluded IS NULL) SELECT field, source, count(*) AS n FROM (SELECT 'status' AS field, CASE WHEN fs THEN 'reference_backfill' ELSE 'candidate' END AS source FROM k UNION ALL SELECT 'priority', CASE WHEN fq THEN 'reference_backfill' ELSE 'candidate' END FROM k UNION ALL SELECT unnest(['id', 'cust', 'price', 'contact', 'code', 'batch']), 'candidate' FROM k) GROUP BY field, source",
@@ -588,6 +595,6 @@ _PLAIN = (
     quality_issues, quality_gate, match_results, match_counts, ambiguity_detail, finding_counts, finding_ids, backfill_provenance, recovered_records, recovery_exclusions, recovery_summary, field_provenance,
     dedupe_outcomes, dedupe_summary, lanes, lane_counts, field_summaries, record_summaries, bulk_impact, decision_latest, decision_overrides, decision_summary, pending_queue, field_distribution, backfill_groups,
     exclusion_groups, ticket_groups, evidence_counts, record_filter, record_search, export_gate, findings_csv, conflicts_csv, document_diff, document_summary, document_health, document_states, identity_census, source_detection,
-    changed_record_counts, related_issues, cell_classes, cell_evidence, cell_summaries, record_details,
+    changed_record_counts, related_issues, cell_classes, cell_evidence, cell_summaries, record_details, record_inspection,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _PLAIN} | {f"qa_{k}": _category(k) for k in _FINDINGS}
