@@ -29,7 +29,7 @@ from .bpe import PreTokens, Vocabulary
 from .common import held, python_tasks
 
 #: Most pre-tokens and token pairs that a worker remembers.
-MEMO_PIECES, MEMO_PAIRS = 100_000, 200_000
+MEMO_PIECES, MEMO_PAIRS = 400_000, 500_000
 
 
 class Codec:

@@ -20,7 +20,7 @@ from .bpe import PreTokens, Vocabulary
 from .common import held, python_tasks, unclashed
 
 #: Most pre-tokens whose counts a worker remembers.
-MEMO = 200_000
+MEMO = 400_000
 
 
 def whole_tokens(path: str) -> frozenset[str]:
