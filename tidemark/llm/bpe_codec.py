@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 from .bpe import PreTokens, Vocabulary
 from .common import held, python_tasks
 
-#: Most pre-tokens and token pairs that a worker remembers.
-MEMO_PIECES, MEMO_PAIRS = 400_000, 500_000
+#: Most bytes of pre-tokens with their ids, and of token pairs, that a worker remembers; beyond it starts anew.
+PIECE_BYTES, PAIR_BYTES = 64 << 20, 24 << 20
+#: What a dictionary entry with its two objects takes besides their contents, and what an entry of two small objects takes.
+ENTRY, SMALL_ENTRY = 210, 140
 
 
 class Codec:
@@ -45,6 +47,7 @@ class Codec:
         self._shorter = [next((number[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in number), -1) for t in v.tokens]
         self._fits: dict[int, bool] = {}
         self._pieces: dict[str, bytes] = {}
+        self._piece_bytes = 0
         self._ids = np.array(v.ids, "<u4")
         by_id = dict(zip(v.ids, v.tokens)) | {i: s.encode() for s, i in v.added.items()}
         size = max(by_id) + 1
@@ -72,7 +75,7 @@ class Codec:
                 # a merge's number grows with its rank; of equal pairs the leftmost merges first
                 if (m := merge((x, y))) is not None and m < x_until and m <= y_until:
                     fits = False
-        if len(self._fits) > MEMO_PAIRS:
+        if len(self._fits) * SMALL_ENTRY > PAIR_BYTES:
             self._fits.clear()
         self._fits[key] = fits
         return fits
@@ -114,9 +117,11 @@ class Codec:
                     p = pieces[i]
                     if (x := memo.get(p)) is None:
                         x = np.uint32(self._v.added[p]).tobytes() if p in self._v.added else self._ids[self.encode_piece(p.encode("utf-8", "surrogatepass"))].tobytes()
-                        if len(memo) > MEMO_PIECES:
+                        if self._piece_bytes > PIECE_BYTES:
                             memo.clear()
+                            self._piece_bytes = 0
                         memo[p] = x
+                        self._piece_bytes += ENTRY + 4 * len(p) + len(x)
                     found[i] = x
         return b"".join(found)
 

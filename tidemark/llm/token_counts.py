@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from .bpe import PreTokens, Vocabulary
 from .common import held, python_tasks, unclashed
 
-#: Most pre-tokens whose counts a worker remembers.
-MEMO = 400_000
+#: Most bytes of pre-tokens that a worker remembers besides the whole tokens, and what an entry takes besides its text.
+MEMO_BYTES, ENTRY = 64 << 20, 190
 
 
 def whole_tokens(path: str) -> frozenset[str]:
@@ -40,6 +40,7 @@ class Counter:
     def __init__(self, path: str, whole: frozenset[str]):
         self._v, self._whole, self._memo = Vocabulary(path), dict.fromkeys(whole, 1), {}
         self._memo.update(self._whole)
+        self._bytes = 0
         self._split = PreTokens(self._v.added)
 
     def __call__(self, text: str | None) -> int:
@@ -50,10 +51,12 @@ class Counter:
         for p, c in zip(pieces, map(memo.get, pieces)):
             if c is None and (c := memo.get(p)) is None:
                 c = len(self._v.merge(p.encode("utf-8", "surrogatepass")))
-                if len(memo) > MEMO:
+                if self._bytes > MEMO_BYTES:
                     memo.clear()
                     memo.update(self._whole)
+                    self._bytes = 0
                 memo[p] = c
+                self._bytes += ENTRY + 4 * len(p)
             n += c
         return n
 
