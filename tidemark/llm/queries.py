@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, decontaminate, jaccard_join, license_scan, ngram_lm, quality_mil, quality_rules, secret_scan, token_counts, url_filter
+from . import bpe_codec, decontaminate, filter_audit, jaccard_join, license_scan, ngram_lm, quality_mil, quality_rules, secret_scan, token_counts, url_filter
 from .common import documents
 
 MAX_TOKENS = 1024
@@ -83,9 +83,27 @@ def op10_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.apply(docs, ~F.col("held_out"), keep=("doc_id", "held_out"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.apply(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_secret_scan, op4_license_scan, op5_jaccard_join, op6_url_filter, op7_bpe_codec, op8_quality_mil, op9_decontamination, op10_ngram_lm)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_secret_scan, op4_license_scan, op5_jaccard_join, op6_url_filter, op7_bpe_codec, op8_quality_mil, op9_decontamination, op10_ngram_lm, op11_filter_audit)}
+
+
+_ORDERS = "l(f, k) AS (VALUES ('A', 0), ('B', 1), ('C', 2), ('D', 3), ('E', 4)), o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.k, b.k, c.k, d.k, e.k] AS ks FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5)"
+_AUDIT = f"""WITH {_ORDERS}, t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, part, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words, min(doc_id) OVER (PARTITION BY t) AS first FROM t),
+b AS (SELECT doc_id, part, CAST(len(words) < 200 AS INT) + 2 * CAST(100 * len(list_distinct(words)) < 50 * len(words) AS INT) + 4 * CAST(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) AS INT)
+  + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT) + 16 * CAST(coalesce(first < doc_id, first IS NOT NULL) AS INT) AS bits FROM w),
+m AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+g AS (SELECT part, bits, count(*) AS n, count(*) FILTER (WHERE good) AS ng, count(*) FILTER (WHERE m.toxic) AS nt FROM b LEFT JOIN m USING (doc_id) GROUP BY part, bits),
+s AS (SELECT filter_order, step, ks[step] AS k, list_reduce(list_concat([0], list_transform(ks[1:step - 1], lambda x: 1 << x)), lambda x, y: x + y) AS prior FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+r AS (SELECT part, filter_order, step, k, sum(n) FILTER (WHERE bits & (prior | (1 << k)) = 0) AS kept, sum(n) FILTER (WHERE bits & prior = 0 AND (bits >> k) & 1 = 1) AS removed, sum(n) FILTER (WHERE bits & prior <> 0 AND (bits >> k) & 1 = 1) AS redundant,
+  sum(n) FILTER (WHERE bits = 1 << k) AS unique_fails, sum(ng) FILTER (WHERE bits & prior = 0 AND (bits >> k) & 1 = 1) AS good_lost, sum(nt) FILTER (WHERE bits & prior = 0 AND (bits >> k) & 1 = 1) AS toxic_lost FROM g, s GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, """ + ", ".join(f"CAST(coalesce({x}, 0) AS BIGINT) AS {x}" for x in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost")) + """,
+  CAST(coalesce(sum(removed) OVER (PARTITION BY part, k), 0) AS BIGINT) AS shapley FROM r"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_filter_audit": _AUDIT}
