@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, decontaminate, filter_audit, jaccard_join, license_scan, ngram_lm, quality_mil, quality_rules, secret_scan, token_counts, url_filter, warc
+from . import bpe_codec, decontaminate, filter_audit, jaccard_join, license_scan, ngram_lm, quality_mil, quality_rules, secret_scan, token_alignment, token_counts, url_filter, warc
 from .common import documents
 
 MAX_TOKENS = 1024
@@ -87,12 +87,18 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.apply(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_alignment.apply(documents(spark, sf_dir), vocabulary_path(), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.apply(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_secret_scan, op4_license_scan, op5_jaccard_join, op6_url_filter, op7_bpe_codec, op8_quality_mil, op9_decontamination, op10_ngram_lm, op11_filter_audit, op13_warc)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_secret_scan, op4_license_scan, op5_jaccard_join, op6_url_filter, op7_bpe_codec, op8_quality_mil, op9_decontamination, op10_ngram_lm, op11_filter_audit, op12_token_alignment, op13_warc)}
 
 
 _ORDERS = "l(f, k) AS (VALUES ('A', 0), ('B', 1), ('C', 2), ('D', 3), ('E', 4)), o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.k, b.k, c.k, d.k, e.k] AS ks FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5)"

@@ -244,7 +244,9 @@ class _Reader(DataSourceReader):
         """Stretches between borders of members, of the files that the manifest names."""
         return [_Stretch(f["name"], lo, hi) for f in manifest(self._path)["files"] for lo, hi in zip([0, *f["splits"]], [*f["splits"], f["bytes"]])]
 
-    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: InputPartition | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # Spark's stand-in where there are none
+            return
         store, root = _at(self._path)
         rows, held = [], 0
         with store.open_input_file(f"{root}/{partition.name}") as f:
