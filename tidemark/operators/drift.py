@@ -177,8 +177,15 @@ def changed_records(diff: DataFrame) -> DataFrame:
     return diff.select(F.explode(F.array_distinct(F.transform("changes", lambda c: c["path"]))).alias("path"), "id")
 
 
+#: Texts of issues (fixed values).
+ISSUE_TEXTS = {
+    "empty": ("No records found in either file", "The collection path matched no records in either file. Check the collection path setting — a wrong path selects nothing and the comparison is meaningless."),
+    "unkeyed": " record(s) have missing or blank identity values and cannot be matched across runs; they are shown as added/removed.",
+}
+
+
 def quality_issues(baseline: Snapshot, latest: Snapshot, identity: Sequence[str], quality: Quality, stats: DataFrame | None = None, related: bool = True) -> DataFrame:
-    """A3: ``ord``, ``id``, ``kind``, ``severity``, ``fields``, ``n`` (records concerned), in the fixed order of kinds.
+    """A3: ``ord``, ``id``, ``kind``, ``severity``, ``fields``, ``n`` (records concerned), ``title``, ``description``, in the fixed order of kinds.
 
     A field's issue concerns the records in which the field changed, a group's all records.
     ``related``: whether these are counted, for which records are paired; else their ``n`` is NULL.
@@ -188,25 +195,44 @@ def quality_issues(baseline: Snapshot, latest: Snapshot, identity: Sequence[str]
     key = lambda s: s.df.agg(F.count("*").alias("n"), F.count_if(s.key(identity).isNull()).alias("unkeyed"))
     sides = key(baseline).select(F.col("n").alias("bn"), F.col("unkeyed").alias("bu")).join(F.broadcast(key(latest).select(F.col("n").alias("ln"), F.col("unkeyed").alias("lu"))))  # one row beside one row
     some = lambda *f: F.array(*map(F.lit, f)).cast("array<string>")
-    row = lambda ord_, kind, severity, n, *f: F.struct(F.lit(ord_).alias("ord"), F.lit(kind).alias("id"), F.lit(kind).alias("kind"), severity.alias("severity"), some(*f).alias("fields"), n.cast("long").alias("n"))
+    said = lambda *parts: F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
+
+    def row(ord_: int, kind: str, severity: Column, n: Column, title: Column, description: Column, *f: str) -> Column:
+        return F.struct(F.lit(ord_).alias("ord"), F.lit(kind).alias("id"), F.lit(kind).alias("kind"), severity.alias("severity"), some(*f).alias("fields"), n.cast("long").alias("n"), title.alias("title"), description.alias("description"))
+
     unkeyed, total = F.col("bu") + F.col("lu"), F.col("bn") + F.col("ln")
+    none = unkeyed == total
     first = sides.select(
         F.inline(
             F.filter(
                 F.array(
-                    F.when((F.col("bn") == 0) & (F.col("ln") == 0), row(0, "empty-collection", F.lit("critical"), F.lit(0))),
-                    F.when(unkeyed > 0, row(1, "unkeyed-records", F.when(unkeyed == total, "critical").otherwise("warning"), unkeyed, *identity)),
-                    F.when(F.col("ln") < F.col("bn"), row(2, "record-count-reduction", F.lit("warning"), F.lit(0))),
+                    F.when(total == 0, row(0, "empty-collection", F.lit("critical"), F.lit(0), *map(F.lit, ISSUE_TEXTS["empty"]))),
+                    F.when(
+                        unkeyed > 0,
+                        row(
+                            1, "unkeyed-records", F.when(none, "critical").otherwise("warning"), unkeyed, F.when(none, "No record could be identity-keyed").otherwise("Records missing identity values"),
+                            F.when(none, said("None of the ", unkeyed, f" records produced an identity key from [{', '.join(identity)}] — check the identity field names.")).otherwise(said(unkeyed, ISSUE_TEXTS["unkeyed"])), *identity,
+                        ),
+                    ),
+                    F.when(F.col("ln") < F.col("bn"), row(2, "record-count-reduction", F.lit("warning"), F.lit(0), F.lit("Record count reduced"), said("Latest records dropped from ", F.col("bn"), " to ", F.col("ln")))),
                 ),
                 lambda x: x.isNotNull(),
             )
         )
-    )
-    repeated = duplicate_keys(baseline, latest, identity).agg(F.count("*").alias("n")).where("n > 0").select(F.lit(3).alias("ord"), F.lit("duplicate-record-keys").alias("id"), F.lit("duplicate-record-keys").alias("kind"), F.lit("critical").alias("severity"), some(*quality.identity).alias("fields"), "n")
-    fell = stats.where("severity <> 'pass'").join(F.broadcast(counts), "field").select(F.lit(4).alias("ord"), F.concat(F.lit("field-population-"), "field").alias("id"), F.lit("field-population").alias("kind"), "severity", F.array("field").alias("fields"), F.col("changed").alias("n"))  # a row a field
-    groups = group_incidents(stats, quality).join(F.broadcast(counts.agg(F.max("records").alias("n")))).select(F.lit(5).alias("ord"), F.concat(F.lit("group-"), "id").alias("id"), F.lit("field-group-incident").alias("kind"), "severity", "fields", "n") if quality.groups else None
+    )
+    columns = ("ord", "id", "kind", "severity", "fields", "n", "title", "description")
+    repeated = duplicate_keys(baseline, latest, identity).agg(F.count("*").alias("keys")).where("keys > 0")
+    repeated = repeated.select(F.inline(F.array(row(3, "duplicate-record-keys", F.lit("critical"), F.col("keys"), F.lit("Duplicate record identity keys"), said("Found ", F.col("keys"), " duplicate record keys"), *quality.identity))))
+    percent = lambda c: F.format_string("%.1f", F.col(c) * 100)
+    fell = stats.where("severity <> 'pass'").join(F.broadcast(counts), "field").select(  # a row a field
+        F.lit(4).alias("ord"), F.concat(F.lit("field-population-"), "field").alias("id"), F.lit("field-population").alias("kind"), "severity", F.array("field").alias("fields"), F.col("changed").alias("n"), said(F.col("field"), " population regression").alias("title"),
+        said(F.col("field"), " fill rate changed from ", percent("baseline_rate"), "% to ", percent("latest_rate"), "% (", percent("rate_change"), "pp)").alias("description"),
+    )
     out = first.unionByName(repeated).unionByName(fell)
-    return out.unionByName(groups) if groups is not None else out
+    if not quality.groups:
+        return out
+    groups = group_incidents(stats, quality).join(F.broadcast(counts.agg(F.max("records").alias("n"))))
+    return out.unionByName(groups.select(F.lit(5).alias("ord"), F.concat(F.lit("group-"), "id").alias("id"), F.lit("field-group-incident").alias("kind"), "severity", "fields", "n", said(F.col("name"), " incident").alias("title"), F.col("narrative").alias("description")).select(*columns))
 
 
 def gate(issues: DataFrame) -> DataFrame:
@@ -237,9 +263,19 @@ def narrative(issues: DataFrame, stats: DataFrame) -> str:
     return HEADER_ONLY if fell.isEmpty() else HEADER_FAILURE
 
 
-def promoted(diff: DataFrame, issues: DataFrame) -> DataFrame:
-    """``issue_ids`` of each record, and critical severity where one of them is critical: a group incident relates to every record, a field's issue to those where the field changed."""
-    own = issues.where("ord >= 4").agg(F.sort_array(F.collect_list(F.struct("ord", "id", "severity", "fields"))).alias("issues"))  # a row an issue
-    hit = F.filter("issues", lambda i: (i["ord"] == 5) | F.exists("changes", lambda c: F.array_contains(i["fields"], c["path"])))
-    out = diff.join(F.broadcast(own)).withColumn("hit", hit)
-    return out.withColumns({"issue_ids": F.transform("hit", lambda i: i["id"]), "severity": F.when(F.exists("hit", lambda i: i["severity"] == "critical"), "critical").otherwise(F.col("severity"))}).drop("issues", "hit")
+def promoted(diff: DataFrame, issues: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``issue_ids`` of each record, and critical severity where one of them is critical.
+
+    A group incident relates to every record, a field's issue to those where the field changed,
+    the issue of repeated keys to the records under those keys (``repeated``: :func:`duplicate_keys`),
+    that of unkeyed records to those without a key. The other two relate to none.
+    """
+    own = issues.agg(F.sort_array(F.collect_list(F.struct("ord", "id", "severity", "fields"))).alias("issues"))  # a row an issue
+    twice = repeated.select(F.col("key").alias("id"), F.lit(True).alias("twice"))
+
+    def relates(i: Column) -> Column:
+        changed = F.exists("changes", lambda c: F.array_contains(i["fields"], c["path"]))
+        return F.when(i["ord"] == 5, True).when(i["ord"] == 4, changed).when(i["ord"] == 3, F.col("twice").isNotNull()).when(i["ord"] == 1, F.col("id").startswith("$unkeyed:")).otherwise(False)
+
+    out = diff.join(twice, "id", "left").join(F.broadcast(own)).withColumn("hit", F.filter("issues", relates))
+    return out.withColumns({"issue_ids": F.transform("hit", lambda i: i["id"]), "severity": F.when(F.exists("hit", lambda i: i["severity"] == "critical"), "critical").otherwise(F.col("severity"))}).drop("issues", "hit", "twice")

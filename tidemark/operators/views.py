@@ -1,9 +1,8 @@
-"""Read models: distributions, groups with samples, filters, sorts, search, corroboration (inventory A11-A12, A18-A24, Q1-Q10, §2.15)."""
+"""Read models: distributions, groups with samples, filters, sorts, corroboration (inventory A11-A12, A18-A24, Q1-Q7, §2.15)."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,8 +13,6 @@ from ..sources.snapshot import Snapshot
 
 #: Fixed values of the features.
 TRACKED_VALUES, GROUPABLE, SAMPLES, EXAMPLES = 64, 25, 5, 3
-#: Weights of the searched parts of a record.
-BOOSTS = {"key": 3.0, "title": 2.0, "status": 1.0, "type": 1.0, "url": 0.5, "changed": 1.0, "quality": 0.5, "document": 0.5}
 
 
 def distribution(side: Snapshot, field: str) -> DataFrame:
@@ -208,29 +205,6 @@ def matching_findings(findings: DataFrame, text: str = "", **equal: str) -> Data
     return out.where(F.lower(F.concat_ws("\n", "key", "field", "category", "message")).contains(text.lower())) if text else out
 
 
-def search(diff: DataFrame, parts: Mapping[str, Column], query: str, k: int | None = None, label: str = "id") -> DataFrame:
-    """Q8, Q9: records of which a part, or the key itself, holds any query term as a word's prefix; by key tier, score, natural key.
-
-    ``parts`` maps names of BOOSTS to text columns of ``diff``; ``label`` is the shown key.
-    Tier 3: the key is the query, 2: starts with it, 1: contains it; tiers only order. The
-    score adds the boosts of the parts with a hit, term by term. A blank query finds nothing.
-    """
-    words_in = lambda c: F.filter(F.split(F.lower(F.coalesce(c.cast("string"), F.lit(""))), r"[\n\r\p{Z}\p{P}]+"), lambda w: w != "")
-    terms = [t for t in re.split(r"[^\w$+<=>^`|~]+|_+", query.lower()) if t]
-    if not terms:
-        return diff.select(F.col("id"), F.lit(0).alias("tier"), F.lit(0.0).alias("score")).limit(0)
-    words = {n: words_in(c) for n, c in ({"key": F.col(label)} | dict(parts)).items()}
-    score = F.lit(0.0)
-    for t in terms:
-        for n, w in words.items():
-            score = score + F.when(F.exists(w, lambda x: x.startswith(t)), BOOSTS.get(n, 1.0)).otherwise(0.0)
-    key, q = F.lower(F.col(label)), query.lower().strip()
-    tier = F.when(key == q, 3).when(key.startswith(q), 2).when(key.contains(q), 1).otherwise(0)
-    out = diff.select("id", F.col(label).alias("label"), tier.alias("tier"), score.alias("score")).where("score > 0")
-    out = out.orderBy(F.col("tier").desc(), F.col("score").desc(), V.natural_key(F.col("label"))).select("id", "tier", "score")
-    return out.limit(k) if k else out
-
-
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 #: Characters between a cue and its date, and the share of agreement that makes a field trustworthy: this module's own choices.
 CUE_REACH, TRUSTED = 60, 0.8

@@ -7,6 +7,7 @@ records. Both engines read the same definition below; frames come in as paramete
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from functools import cached_property
@@ -15,9 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..operators import cells, decisions, documents, drift, export, matching, qa, recovery, views
+from ..operators import cells, decisions, documents, drift, export, matching, qa, recovery, search, views
 from ..sources import json_export
-from ..sources.scratch import written
+from ..sources.scratch import shared_folder, written
 from ..sources.snapshot import Snapshot, from_table
 from .policy import FieldGroup, Policy, Quality
 
@@ -148,8 +149,9 @@ def changed_record_counts(spark, sf_dir):
 
 
 def related_issues(spark, sf_dir):
-    issues = drift.quality_issues(*sides(spark, sf_dir), ("id",), POLICY.quality, related=False)
-    return drift.promoted(_diff(spark, sf_dir), issues).select("id", "severity", F.array_join("issue_ids", ",").alias("issues"))
+    both = sides(spark, sf_dir)
+    issues = drift.quality_issues(*both, ("id",), POLICY.quality, related=False)
+    return drift.promoted(_diff(spark, sf_dir), issues, drift.duplicate_keys(*both, ("id",))).select("id", "severity", F.array_join("issue_ids", ",").alias("issues"))
 
 
 def field_stats(spark, sf_dir):
@@ -173,7 +175,7 @@ def group_incidents(spark, sf_dir):
 
 
 def quality_issues(spark, sf_dir):
-    return drift.quality_issues(*sides(spark, sf_dir), ("id",), POLICY.quality).select("ord", "id", "kind", "severity", "n")
+    return drift.quality_issues(*sides(spark, sf_dir), ("id",), POLICY.quality).select("ord", "id", "kind", "severity", "n", "title", "description")
 
 
 def quality_gate(spark, sf_dir):
@@ -323,9 +325,28 @@ def record_filter(spark, sf_dir):
     return views.filtered(_diff(spark, sf_dir), statuses=("changed",), fields=("status",), kinds=("emptied",)).select("id", "n_changed")
 
 
+#: Which field of a record fills which searched part.
+SEARCHED = {"title": "priority", "status": "status", "type": "batch", "url": "contact"}
+
+
+def search_index(spark, sf_dir) -> search.Index:
+    """The records of the comparison, with both sides' texts and their issues' texts, as a written index."""
+    both = sides(spark, sf_dir)
+    issues = written(drift.quality_issues(*both, ("id",), POLICY.quality, related=False), "issues")
+    diff = drift.promoted(drift.compared(*both, ("id",), POLICY.quality), issues, drift.duplicate_keys(*both, ("id",)))
+    docs = written(search.documents(diff, drift.paired(*both, ("id",)), *both, ("id",), SEARCHED, issues), "searched")
+    return search.build(docs, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+
+
 def record_search(spark, sf_dir):
-    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("string").alias("id"), "p_name", "p_type")
-    return views.search(parts, {"title": F.col("p_name"), "type": F.col("p_type")}, "12").select("id", "tier")
+    """Both a state that only the baseline still tells and a key's prefix, found through the index."""
+    return search.search(search_index(spark, sf_dir), "1-urg 12").withColumn("score", F.round("score", 4))
+
+
+def search_candidates(spark, sf_dir):
+    """The same search among the records that lost their state."""
+    lost = views.filtered(_diff(spark, sf_dir), fields=("status",), kinds=("emptied",))
+    return search.search(search_index(spark, sf_dir), "12", lost.select("id")).withColumn("score", F.round("score", 4))
 
 
 def export_gate(spark, sf_dir):
@@ -530,6 +551,28 @@ _DOC_SUMS = f"""{_DOCS}, y AS (SELECT key, count(*) + count(*) FILTER (WHERE twi
   count(*) FILTER (WHERE bare) + count(*) FILTER (WHERE bare AND twice) + count(*) FILTER (WHERE bare AND NOT gone) AS incomplete, greatest(count(*) FILTER (WHERE NOT bare AND NOT gone) - count(*) FILTER (WHERE changed AND NOT gone AND NOT bare), 0) AS unchanged,
   coalesce(string_agg(hash, ',' ORDER BY hash) FILTER (WHERE twice AND NOT bare), '') AS duplicates, coalesce(string_agg(hash, ',' ORDER BY hash) FILTER (WHERE unlisted AND NOT bare), '') AS not_listed, coalesce(string_agg(hash, ',' ORDER BY hash) FILTER (WHERE bare AND NOT unlisted), '') AS dangling FROM z GROUP BY key)"""
 
+_WORDS = "list_filter(regexp_split_to_array(lower({0}), '[\\n\\r\\pZ\\pP]+'), lambda w: w <> '')"
+_TOLD = """SELECT ord, i.id, kind, i.severity, n, CASE ord WHEN 2 THEN 'Record count reduced' WHEN 3 THEN 'Duplicate record identity keys' WHEN 4 THEN concat(st.field, ' population regression') ELSE 'Order header incident' END AS title,
+      CASE ord WHEN 2 THEN (SELECT concat('Latest records dropped from ', bn, ' to ', ln) FROM sizes) WHEN 3 THEN concat('Found ', n, ' duplicate record keys') WHEN 4 THEN concat(st.field, ' fill rate changed from ', format('{:.1f}', br * 100), '% to ', format('{:.1f}', lr * 100), '% (', format('{:.1f}', rate_change * 100), 'pp)') ELSE 'Header lost.' END AS description
+      FROM i LEFT JOIN st ON ord = 4 AND i.id = concat('field-population-', st.field)"""
+_HITS = "SELECT c.id, i.ord, i.id AS issue, i.severity FROM c JOIN i ON i.ord = 4 AND i.id = concat('field-population-', c.path) UNION SELECT p.id, i.ord, i.id, i.severity FROM p, i WHERE i.ord = 5 UNION SELECT l.id, i.ord, i.id, i.severity FROM l, i WHERE i.ord = 3 GROUP BY ALL HAVING count(*) > 1"
+
+
+def _search_sql(query: str, terms: list[str], where: str = "true") -> str:
+    return f"""{_ISSUES}, told AS ({_TOLD}), rel AS ({_HITS}),
+d AS (SELECT p.id, CAST(p.id AS STRING) AS label, concat_ws(' ', nullif(CASE WHEN lid IS NULL THEN bq ELSE coalesce(lq, '') END, ''), CASE WHEN lid IS NOT NULL AND bid IS NOT NULL AND bq IS DISTINCT FROM lq AND bq <> '' THEN bq END) AS title,
+  concat_ws(' ', nullif(CASE WHEN lid IS NULL THEN bs ELSE coalesce(ls, '') END, ''), CASE WHEN lid IS NOT NULL AND bid IS NOT NULL AND bs IS DISTINCT FROM ls AND bs <> '' THEN bs END) AS bidStatus, CASE WHEN lid IS NULL THEN '' ELSE 'b1' END AS bidType,
+  concat_ws(' ', CASE WHEN lid IS NULL THEN bc ELSE lc END, CASE WHEN lid IS NOT NULL AND bid IS NOT NULL AND bc <> lc THEN bc END) AS bidUrl,
+  coalesce((SELECT string_agg(path, ' ') FROM c WHERE c.id = p.id), '') AS changedFields, coalesce((SELECT string_agg(concat(t.title, ' ', t.description), ' ') FROM rel JOIN told t ON rel.issue = t.id WHERE rel.id = p.id), '') AS qualityText FROM p),
+w AS (SELECT id, label, f.field, f.boost, {_WORDS.format("CASE f.field WHEN 'recordKey' THEN label WHEN 'title' THEN title WHEN 'bidStatus' THEN bidStatus WHEN 'bidType' THEN bidType WHEN 'bidUrl' THEN bidUrl WHEN 'changedFields' THEN changedFields WHEN 'qualityText' THEN qualityText ELSE '' END")} AS words FROM d, (SELECT unnest({list(search.FIELDS)}) AS field, unnest({list(search.FIELDS.values())}) AS boost) f),
+sizes2 AS (SELECT field, count(*) AS every, sum(len(words)) / count(*) AS mean FROM w GROUP BY field), post AS (SELECT id, label, field, boost, term, len(any_value(words)) AS n, count(*) AS tf FROM (SELECT id, label, field, boost, words, unnest(words) AS term FROM w) GROUP BY id, label, field, boost, term),
+dfs AS (SELECT term, field, count(*) AS holding FROM post GROUP BY term, field), q AS (SELECT unnest({terms}) AS t),
+hits AS (SELECT {_KEY.format('label')} AS id, CASE WHEN label = '{query}' THEN 3 WHEN starts_with(label, '{query}') THEN 2 WHEN contains(label, '{query}') THEN 1 ELSE 0 END AS tier,
+  sum(boost * CASE WHEN term = t THEN 1 ELSE {search.PREFIX} * length(term) / (length(term) + 0.3 * (length(term) - length(t))) END * ln(1 + (every - holding + 0.5) / (holding + 0.5)) * ({search.DELTA} + tf * {search.K + 1} / (tf + {search.K} * (1 - {search.B} + {search.B} * n / mean)))) AS score
+  FROM post JOIN q ON starts_with(term, t) JOIN dfs USING (term, field) JOIN sizes2 USING (field) GROUP BY label)
+SELECT id, tier, round(score, 4) AS score FROM hits WHERE {where}"""
+
+
 ORACLES: dict[str, str] = {
     "blank_vs_empty_census": _CTE + " " + " UNION ALL ".join(f"SELECT '{f}' AS field, count(*) FILTER (WHERE {_BLANK.format(f)}) AS blank, count(*) FILTER (WHERE {_EMPTY.format(f)}) AS empty FROM l" for f in ("status", "priority", "contact")),
     "identity_key_build": f"{_CTE} SELECT idx, concat('[\"', CAST(cust AS STRING), '\",\"', status, '\"]') AS key, concat(CAST(cust AS STRING), '::', status) AS label FROM b",
@@ -539,13 +582,13 @@ ORACLES: dict[str, str] = {
     "record_status_counts": f"{_PAIR} SELECT count(*) FILTER (WHERE bid IS NULL) AS added, count(*) FILTER (WHERE lid IS NULL) AS removed, count(*) FILTER (WHERE bid IS NOT NULL AND lid IS NOT NULL) AS changed, 0 AS unchanged FROM p",
     "field_changes": f"{_CHANGES} SELECT {_KEY.format('id')} AS id, path, kind, before, after FROM c",
     "changed_record_counts": f"{_CHANGES} SELECT path, count(DISTINCT id) AS records FROM c GROUP BY path",
-    "related_issues": f"{_ISSUES}, w AS (SELECT p.id, CASE WHEN bid IS NULL OR lid IS NULL THEN 'warning' WHEN max(CASE WHEN path = 'status' AND kind = 'emptied' THEN 1 ELSE 0 END) = 1 THEN 'critical' WHEN max(CASE WHEN kind = 'emptied' THEN 1 ELSE 0 END) = 1 THEN 'high' ELSE 'warning' END AS own FROM p JOIN c ON p.id = c.id GROUP BY p.id, bid, lid), hits AS (SELECT c.id, i.ord, i.id AS issue, i.severity FROM c JOIN i ON i.ord = 4 AND i.id = concat('field-population-', c.path) UNION SELECT p.id, i.ord, i.id, i.severity FROM p, i WHERE i.ord = 5) SELECT {_KEY.format('w.id')} AS id, CASE WHEN count(*) FILTER (WHERE hits.severity = 'critical') > 0 THEN 'critical' ELSE own END AS severity, coalesce(string_agg(issue, ',' ORDER BY ord, issue), '') AS issues FROM w LEFT JOIN hits ON w.id = hits.id GROUP BY w.id, own",
+    "related_issues": f"{_ISSUES}, w AS (SELECT p.id, CASE WHEN bid IS NULL OR lid IS NULL THEN 'warning' WHEN max(CASE WHEN path = 'status' AND kind = 'emptied' THEN 1 ELSE 0 END) = 1 THEN 'critical' WHEN max(CASE WHEN kind = 'emptied' THEN 1 ELSE 0 END) = 1 THEN 'high' ELSE 'warning' END AS own FROM p JOIN c ON p.id = c.id GROUP BY p.id, bid, lid), hits AS ({_HITS}) SELECT {_KEY.format('w.id')} AS id, CASE WHEN count(*) FILTER (WHERE hits.severity = 'critical') > 0 THEN 'critical' ELSE own END AS severity, coalesce(string_agg(issue, ',' ORDER BY ord, issue), '') AS issues FROM w LEFT JOIN hits ON w.id = hits.id GROUP BY w.id, own",
     "field_stats": f"{_STATS} SELECT field, baseline_present, latest_present, emptied, round(rate_change, 6) AS rate_change, severity FROM st",
     "field_change_rollup": f"{_CHANGES} SELECT f.field, count(kind) AS changed, count(*) FILTER (WHERE kind = 'emptied') AS emptied, count(*) FILTER (WHERE kind = 'restored') AS restored, count(*) FILTER (WHERE kind = 'modified') AS modified FROM (SELECT unnest(['id', 'cust', 'status', 'price', 'priority', 'contact', 'code', 'origin', 'batch']) AS field) f LEFT JOIN c ON f.field = c.path GROUP BY f.field",
     "top_regressions": f"{_STATS} SELECT field, round(rate_change, 6) AS rate_change FROM st WHERE rate_change < 0 ORDER BY st.rate_change, field LIMIT 3",
     "duplicate_keys": f"{_CTE} SELECT {_KEY.format('id')} AS key FROM l GROUP BY id HAVING count(*) > 1",
     "group_incidents": f"{_STATS} SELECT 'header' AS id, 'critical' AS severity, string_agg(field, ',' ORDER BY field) AS fields FROM st WHERE field IN ('priority', 'status', 'contact') AND br - lr >= 0.1 HAVING count(*) >= 2",
-    "quality_issues": f"{_ISSUES} SELECT ord, id, kind, severity, n FROM i",
+    "quality_issues": f"{_ISSUES} {_TOLD}",
     "quality_gate": f"{_ISSUES} SELECT count(*) FILTER (WHERE severity = 'critical') AS critical, count(*) FILTER (WHERE severity IN ('high', 'warning')) AS lesser, CASE WHEN count(*) FILTER (WHERE severity = 'critical') > 0 THEN 'Quarantined' WHEN count(*) FILTER (WHERE severity IN ('high', 'warning')) > 0 THEN 'Warning' ELSE 'Pass' END AS gate FROM i",
     "match_results": f"{_MATCH} SELECT status, candidate_idx, reference_idx FROM m",
     "match_counts": f"{_MATCH} SELECT count(candidate_idx) AS candidates, " + ", ".join(f"count(*) FILTER (WHERE status = '{s}') AS {s}" for s in matching.STATUSES) + ", round(count(*) FILTER (WHERE status LIKE 'matched%') / count(candidate_idx), 6) AS match_rate, count(*) FILTER (WHERE status LIKE 'matched%') / count(candidate_idx) >= 0.95 AS meets_minimum FROM m",
@@ -573,7 +616,8 @@ ORACLES: dict[str, str] = {
     "exclusion_groups": f"{_RECOVERED}, e AS (SELECT excluded AS reason, candidate_idx, row_number() OVER (PARTITION BY excluded ORDER BY candidate_idx) AS rn FROM rr WHERE excluded IS NOT NULL) SELECT reason, count(*) AS records, string_agg(CAST(candidate_idx AS STRING), ',' ORDER BY candidate_idx) FILTER (WHERE rn <= 3) AS examples FROM e GROUP BY reason",
     "evidence_counts": f"{_MATCH} SELECT 'status' AS field, count(*) FILTER (WHERE NOT {_BLANK.format('bs')} AND {_BLANK.format('ls')}) AS eligible, count(*) FILTER (WHERE NOT {_BLANK.format('bs')} AND NOT {_BLANK.format('ls')}) AS comparable, count(*) FILTER (WHERE NOT {_BLANK.format('bs')} AND NOT {_BLANK.format('ls')} AND bs <> ls) AS conflicts FROM pr UNION ALL SELECT 'price', 0, count(*), count(*) FILTER (WHERE bp <> lp) FROM pr UNION ALL SELECT 'priority', count(*) FILTER (WHERE NOT {_BLANK.format('bq')} AND {_BLANK.format('lq')}), count(*) FILTER (WHERE NOT {_BLANK.format('bq')} AND NOT {_BLANK.format('lq')}), count(*) FILTER (WHERE NOT {_BLANK.format('bq')} AND NOT {_BLANK.format('lq')} AND bq <> lq) FROM pr",
     "record_filter": f"{_CHANGES} SELECT {_KEY.format('id')} AS id, count(*) AS n_changed FROM c GROUP BY id HAVING max(CASE WHEN path = 'status' THEN 1 ELSE 0 END) = 1 AND max(CASE WHEN kind = 'emptied' THEN 1 ELSE 0 END) = 1",
-    "record_search": "WITH s AS (SELECT CAST(p_partkey AS STRING) AS id, list_transform(regexp_split_to_array(lower(concat(p_name, ' ', p_type)), '[^a-z0-9]+'), lambda w: starts_with(w, '12')) AS h FROM part) SELECT id, CASE WHEN id = '12' THEN 3 WHEN starts_with(id, '12') THEN 2 WHEN contains(id, '12') THEN 1 ELSE 0 END AS tier FROM s WHERE starts_with(id, '12') OR list_contains(h, true)",
+    "record_search": _search_sql("1-urg 12", ["1", "urg", "12"]),
+    "search_candidates": _search_sql("12", ["12"], f"id IN (SELECT {_KEY.format('id')} FROM c GROUP BY c.id HAVING max(CASE WHEN path = 'status' THEN 1 ELSE 0 END) = 1 AND max(CASE WHEN kind = 'emptied' THEN 1 ELSE 0 END) = 1)"),
     "conflicts_csv": f"{_CELLS}, f AS (SELECT concat({_FINDING_ID.format(category="'field_conflict'", key='key', field='field', discriminator='CAST(candidate_idx AS STRING)')}, ',medium,field_conflict,', field, ',\"', replace(key, '\"', '\"\"'), '\",', trim(cv, '\"'), ',', trim(rv, '\"'), ',manual_review,\"Field \"\"', field, '\"\" holds different non-blank values in the reference and the candidate.\"') AS value FROM conf) SELECT value FROM f",
     "finding_counts": f"{_ALL}, x AS (SELECT 'severity' AS dimension, severity AS name FROM f UNION ALL SELECT 'category', category FROM f UNION ALL SELECT 'total', 'total' FROM f), names AS (SELECT unnest({list(qa.SEVERITIES)}) AS name, 'severity' AS dimension UNION ALL SELECT unnest({list(qa.CATEGORIES)}), 'category' UNION ALL SELECT 'total', 'total') SELECT names.dimension, names.name, count(x.name) AS n FROM names LEFT JOIN x ON names.dimension = x.dimension AND names.name = x.name GROUP BY names.dimension, names.name",
     "finding_ids": f"{_ALL} SELECT {_FINDING_ID.format(category='category', key='key', field='field', discriminator='discriminator')} AS id, category, key, field, discriminator FROM f",
@@ -594,7 +638,7 @@ _PLAIN = (
     blank_vs_empty_census, identity_key_build, csv_escape, change_kind_matrix, record_status, record_status_counts, field_changes, field_stats, field_change_rollup, top_regressions, duplicate_keys, group_incidents,
     quality_issues, quality_gate, match_results, match_counts, ambiguity_detail, finding_counts, finding_ids, backfill_provenance, recovered_records, recovery_exclusions, recovery_summary, field_provenance,
     dedupe_outcomes, dedupe_summary, lanes, lane_counts, field_summaries, record_summaries, bulk_impact, decision_latest, decision_overrides, decision_summary, pending_queue, field_distribution, backfill_groups,
-    exclusion_groups, ticket_groups, evidence_counts, record_filter, record_search, export_gate, findings_csv, conflicts_csv, document_diff, document_summary, document_health, document_states, identity_census, source_detection,
+    exclusion_groups, ticket_groups, evidence_counts, record_filter, record_search, search_candidates, export_gate, findings_csv, conflicts_csv, document_diff, document_summary, document_health, document_states, identity_census, source_detection,
     changed_record_counts, related_issues, cell_classes, cell_evidence, cell_summaries, record_details, record_inspection,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _PLAIN} | {f"qa_{k}": _category(k) for k in _FINDINGS}
