@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import values as V
 from tidemark.operators import cells, decisions, documents, drift, export, matching, qa, recovery, search, views
 from tidemark.plans import policy as P
+from tidemark.sources import json_array
 from tidemark.sources import json_export as J
 from tidemark.sources.scratch import written
 from tidemark.sources.snapshot import Snapshot
@@ -395,3 +396,53 @@ def test_tracked_values_tell_what_they_leave_out(spark, tmp_path):
     facts = lambda f: {(r["populated"], r["distinct"], r["lower_bound"], r["groupable"]) for r in views.tracked_distribution(side, f).collect()}
     assert views.tracked_distribution(side, "v").count() == 64
     assert facts("v") == {(140, 70, True, False)} and facts("w") == {(140, 3, False, True)}
+
+
+HARD = [{"a": 'quo"te \\ [{ } ] , \\" ü🙂', "b": [{"c": "]}"}, [1, "{"]]}, 7, None, "text {[", {"": '\\\\"'}, [{"no": "record"}], {"k": {"Export": ["[", {"deep": 1}]}}, {}]
+FILES = {"array": json.dumps(HARD), "object": json.dumps({"x": {"Export": [{"not": "this"}]}, "s": 'Export": [{', "Export": HARD, "Later": [{"nor": "this"}]}, ensure_ascii=False, indent=1), "marked": "﻿" + json.dumps(HARD, ensure_ascii=False)}
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_ranges_cut_at_any_byte_give_the_same_records(tmp_path, name):
+    """Start states of ranges composed over every cut of the file, and records cut by ranges of every size."""
+    data, collection, level = FILES[name].encode(), "Export", 2 if name == "object" else 1
+    want = [json.loads(json.dumps(x)) for x in HARD if isinstance(x, dict)]
+    for size in [*range(1, 40), 100, len(data)]:
+        state, depth, got, opens = json_array.OUTSIDE, 0, [], []
+        for lo in range(0, len(data), size):
+            part = data[lo : lo + size]
+            ends = [json_array.transition(part, s) for s in range(3)]
+            b = lambda: json_array._Bytes(Reader(data), lo, lo + len(part), len(data))  # noqa: B023, E731
+            got += json_array.cut(b(), state, depth, level)
+            opens += json_array.marks(b(), state, depth, collection) if name == "object" else []
+            state, depth = ends[state][0], depth + ends[state][1]
+        assert (state, depth) == (json_array.OUTSIDE, 0)
+        if name == "object":
+            start = [at for at, o in opens if o]
+            assert len(start) == 1
+            end = min(at for at, o in opens if not o and at > start[0])
+            got = [(at, t) for at, t in got if start[0] < at < end]
+        assert [json.loads(t) for _, t in got] == want
+
+
+class Reader:
+    def __init__(self, data):
+        self.data = data
+
+    def read_at(self, n, at):
+        return self.data[at : at + n]
+
+
+@pytest.mark.parametrize("size", [1, 1 << 20])
+def test_export_in_ranges_equals_whole_export(spark, tmp_path, size):
+    for name, text in FILES.items():
+        (tmp_path / f"{name}.json").write_text(text, encoding="utf-8")
+    for name, text in (("cut.json", FILES["array"][:-9]), ("bad.json", '[{"a": nope}]'), ("deep.json", '[{"a": 1}]]'), ("number.json", "7"), ("empty.json", "")):
+        (tmp_path / name).write_text(text)
+    plain = lambda df: sorted((r["path"].rsplit("/", 1)[1], r["idx"], r["t"]) for r in df.withColumn("t", V.json_of_variant(F.col("body"))).collect())
+    whole = J.parse(J.read_text(spark, str(tmp_path)))
+    for collection in ("$", "Export"):
+        got, faults = json_array.read(spark, str(tmp_path), collection, size)
+        assert plain(got) == plain(J.records(whole.where("error is null and path not like '%deep%'"), collection)) and got.count() >= 4  # what follows a root is no fault for the whole parse
+        bad = {r["path"].rsplit("/", 1)[1] for r in faults.collect()}
+        assert bad >= {"cut.json", "deep.json", "number.json"} and ("bad.json" in bad) == (collection == "$")
