@@ -6,7 +6,7 @@ to the rows by a digest of the text.
 
 Alignment. Both tokenizers cut the same bytes into stretches. Where tokens of both end, a
 group ends. Between two neighbouring cuts of either lies the overlap of one token of each:
-that is a link. So the sorted union of both cuts gives groups and links at once.
+that is a link. So marking the cuts of both on the text's bytes gives groups and links at once.
 
 Counts of a corpus-wide id pair are summed inside each task before they are shuffled. They come
 back to the texts in one of two ways with the same result: up to ``PAIRS`` different pairs as one
@@ -21,15 +21,17 @@ long texts are aligned as a whole, alone in their batch. Other columns are dropp
 from __future__ import annotations
 
 import hashlib
+import re
+from array import array
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Vocabulary
-from .bpe_codec import Codec
+from .bpe import PRE_TOKENS, PreTokens, Vocabulary
 from .common import held, let_go, materialize, python_tasks
 
 #: Most id pairs whose counts are sent to every task (12 bytes each).
@@ -39,62 +41,99 @@ GATHERED = 2_000_000
 #: Room for ids of the second tokenizer in a pair's number, which is a * SPAN + b.
 SPAN = 1 << 16
 BLANK_MARK = "▁"
+#: Most bytes of parts that a worker remembers with their alignments, what an entry takes besides its texts, and the longest part that is remembered.
+KEPT_BYTES, ENTRY, LONGEST_KEPT = 96 << 20, 330, 40
+#: Parts from this length on are merged by a heap, in n log n.
+LONGEST_RANKED = 2000
+NEW = object()
+
+
+class Aligner:
+    """Ids of a text by both tokenizers, and how they cover its bytes.
+
+    The text is cut before every blank that follows a character which is no white space. Neither
+    tokenizer has a token across such a place: the pre-token pattern of the first ends
+    there, and no piece of the second holds a blank behind another character (checked here).
+    So the parts between are tokenised alone, and each different part once as long as it is remembered.
+
+    Parts go through a library that merges the two neighbours whose *joined bytes* have the lowest
+    rank, where the file merges *pairs*. That is the same wherever every token's own bytes merge to that
+    token (``whole``, proven offline): when the bytes of token T are next, all merges below T's rank
+    are done, none crossed the ends of T's bytes, so inside they went as they go for T alone; that
+    leaves T's own pair. Otherwise the file's merges are applied one by one.
+    """
 
-
-class Tokens:
-    """Ids of a text by both tokenizers and the bytes that each id stands for."""
-
-    def __init__(self, path_a: str, path_b: str):
+    def __init__(self, path_a: str, path_b: str, whole: bool):
         import sentencepiece
+        import tiktoken
 
         vocabulary = Vocabulary(path_a)
-        vocabulary.added = {}  # strings of special tokens are plain text
-        self._a = Codec(vocabulary)
         self._bytes_a = dict(zip(vocabulary.ids, vocabulary.tokens))
+        number = {t: i for i, t in zip(vocabulary.ids, vocabulary.tokens)}
+        if whole:
+            ranked = tiktoken.Encoding("ranked", pat_str=PRE_TOKENS, mergeable_ranks={t: i for i, t in enumerate(vocabulary.tokens)}, special_tokens={})
+            self._merge = lambda part: [vocabulary.ids[x] for x in ranked.encode_ordinary(part)]
+        self._apart, self._exact = whole, lambda part: [vocabulary.ids[x] for p in split(part) for x in vocabulary.merge(p.encode())]
+        split = PreTokens({})  # strings of special tokens are plain text
         self._b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         pieces = [self._b.id_to_piece(i) for i in range(self._b.get_piece_size())]
         self._bytes_b = [bytes([int(p[3:5], 16)]) if self._b.is_byte(i) else p.replace(BLANK_MARK, " ").encode() for i, p in enumerate(pieces)]
-        if max(self._bytes_a) >= SPAN or len(pieces) > SPAN:
+        if max(number.values()) >= SPAN or len(pieces) > SPAN:
             raise ValueError(f"ids of {SPAN} and more are not supported")
-        self.length_a = np.zeros(max(self._bytes_a) + 1, np.int64)
-        self.length_a[list(self._bytes_a)] = [len(x) for x in self._bytes_a.values()]
-        self.length_b = np.array([len(x) for x in self._bytes_b], np.int64)
-        # each id's decimal digits with the sign that follows it: inside a list, at its end
-        n = max(len(self.length_a), len(pieces))
-        self.digits = np.array([f"{i}{s}" for s in ",|;" for i in range(n)], object)
-        self.step = n
-
-    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
-        """Ids by both; None where they stand for other bytes than the blank-led text."""
-        want = (" " + text).encode()
-        a = np.frombuffer(self._a.encode(" " + text), "<u4")
-        b = self._b.encode(text)
-        if int(self.length_a[a].sum()) != len(want) or b"".join(map(self._bytes_b.__getitem__, b)) != want or b"".join(map(self._bytes_a.__getitem__, a.tolist())) != want:
-            return None
-        return a, np.array(b, np.uint32)
-
-
-def align(a: np.ndarray, b: np.ndarray, t: Tokens) -> tuple[int, np.ndarray, str]:
-    """Number of groups, the links' pairs (a * SPAN + b) in order, and the groups as text."""
-    cuts_a, cuts_b = np.cumsum(t.length_a[a]), np.cumsum(t.length_b[b])
-    # tokens of either that end before each place: a cut of one found among the cuts of the other
-    in_b = np.searchsorted(cuts_b, cuts_a)
-    shared = cuts_b[in_b] == cuts_a
-    ends_a = np.flatnonzero(shared)
-    ends_b = in_b[ends_a]
-    own_a = np.concatenate([[0], np.cumsum(shared)[:-1]])  # group of each token
-    mark = np.zeros(len(b), np.int64)
-    mark[ends_b] = 1
-    own_b = np.concatenate([[0], np.cumsum(mark)[:-1]])
-    # links: the token of each side at the end of every stretch between neighbouring cuts
-    cuts = np.union1d(cuts_a, cuts_b)
-    links = a[np.searchsorted(cuts_a, cuts)].astype(np.int64) * SPAN + b[np.searchsorted(cuts_b, cuts)]
-    # text: a group's tokens of a stand behind all tokens of earlier groups, its tokens of b behind those
-    before_b = np.concatenate([[0], ends_b + 1])
-    code = np.empty(len(a) + len(b), np.int64)
-    code[np.arange(len(a)) + before_b[own_a]] = a + t.step * shared
-    code[np.arange(len(b)) + (ends_a + 1)[own_b]] = b + 2 * t.step * mark
-    return len(ends_a), links, "".join(t.digits[code])[:-1]
+        self._cut = re.compile(r"(?<=\S)(?= )") if not any(re.search(f"[^{BLANK_MARK}]{BLANK_MARK}", p) for p in pieces) else None
+        self._known: dict[str, tuple[bytes, bytes] | None] = {}
+        self._bytes = 0
+        self._length_a = np.zeros(max(self._bytes_a) + 1, np.int64)
+        self._length_a[list(self._bytes_a)] = [len(x) for x in self._bytes_a.values()]
+        self._length_b = np.array([len(x) for x in self._bytes_b], np.int64)
+        # each id's digits with the sign behind it: inside a group's list, at the end of a list of the first, of the second
+        self._step = max(len(self._length_a), len(pieces))
+        self._digits = [f"{i}{sign}" for sign in ",|;" for i in range(self._step)]
+
+    def __call__(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
+        """Per text its ids by both; None where they stand for other bytes than the blank-led text."""
+        cut = [self._cut.split(" " + t) if self._cut else [" " + t] for t in texts]
+        known, here = self._known, {}
+        new = list({p for parts in cut for p in parts if p not in known})
+        for part, b in zip(new, self._pieces(new)):
+            a = (self._merge if self._apart and len(part) < LONGEST_RANKED else self._exact)(part)  # of bytes: they always join to the part
+            here[part] = out = (array("I", a).tobytes(), array("I", b).tobytes()) if b"".join(map(self._bytes_b.__getitem__, b)) == part.encode() else None
+            if len(part) <= LONGEST_KEPT:
+                self._bytes += ENTRY + 4 * len(part) + (len(out[0]) + len(out[1]) if out else 0)
+        for parts in cut:
+            found = [here[p] if x is NEW else x for p, x in zip(parts, map(known.get, parts, repeat(NEW)))]
+            if None in found:
+                yield None
+            else:
+                a, b = zip(*found)
+                yield np.frombuffer(b"".join(a), np.uint32), np.frombuffer(b"".join(b), np.uint32)
+        if self._bytes > KEPT_BYTES:
+            known.clear()
+            self._bytes = 0
+        else:
+            known.update((p, x) for p, x in here.items() if len(p) <= LONGEST_KEPT)
+
+    def _pieces(self, parts: list[str]) -> list[list[int]]:
+        """Ids of the second tokenizer; it adds the leading blank itself, but not to an empty text."""
+        blank = [self._b.piece_to_id(BLANK_MARK)]
+        return [b if len(p) > 1 else blank for p, b in zip(parts, self._b.encode([p[1:] for p in parts], num_threads=1))] if parts else []
+
+    def align(self, a: np.ndarray, b: np.ndarray) -> tuple[int, np.ndarray, str]:
+        """Number of groups, the links (a * SPAN + b) in order, and the groups as text."""
+        cuts_a, cuts_b = np.cumsum(self._length_a[a]), np.cumsum(self._length_b[b])
+        ends = np.zeros(cuts_a[-1] + 1, np.int8)  # by byte: 1 where a token of a ends, 2 of b, 3 of both
+        ends[cuts_a] = 1
+        ends[cuts_b] += 2
+        ends = ends[np.flatnonzero(ends)]
+        # between two neighbouring cuts lies the overlap of one token of each: those that end next
+        of_a, of_b = ends & 1, ends >> 1
+        links = a[np.cumsum(of_a, dtype=np.int64) - of_a].astype(np.int64) * SPAN + b[np.cumsum(of_b, dtype=np.int64) - of_b]
+        last_a, last_b = ends[of_a == 1] == 3, ends[of_b == 1] == 3  # of a group
+        # as text: a group's tokens of a stand behind all tokens of earlier groups, its tokens of b behind those
+        code = np.empty(len(a) + len(b), np.int64)
+        code[np.arange(len(a)) + np.concatenate([[0], np.flatnonzero(last_b) + 1])[np.cumsum(last_a) - last_a]] = a + self._step * last_a
+        code[np.arange(len(b)) + (np.flatnonzero(last_a) + 1)[np.cumsum(last_b) - last_b]] = b + 2 * self._step * last_b
+        return int(last_a.sum()), links, "".join(map(self._digits.__getitem__, code.tolist()))[:-1]
 
 
 _ALIGNED = "digest binary, n long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs binary, times binary"
@@ -104,19 +143,19 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, text: str = "text") -> Da
     """One row a distinct text: ``digest`` (SHA-256), ``n`` (rows that hold it), counts, ``groups_sha256``, its distinct ``pairs`` (sorted, little-endian 64 bits) and how many ``times`` each is linked (32 bits)."""
     python_tasks(docs.sparkSession)
     distinct = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
-    empty = hashlib.sha256
+    vocabulary = Vocabulary(path_a)
+    whole = all(len(vocabulary.merge(t)) == 1 for t in vocabulary.tokens)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = held(("alignment", path_a, path_b), lambda: Tokens(path_a, path_b))
+        tokens = held(("alignment", path_a, path_b), lambda: Aligner(path_a, path_b, whole))
         for batch in batches:
-            rows = []
-            for x, n in zip(batch["t"], batch["n"].to_pylist()):
-                x = x.as_py()
-                digest = empty(x.encode()).digest()
-                if not x or (ids := tokens(x)) is None:
+            rows, texts = [], batch["t"].to_pylist()
+            for x, n, ids in zip(texts, batch["n"].to_pylist(), tokens(texts)):
+                digest = hashlib.sha256(x.encode()).digest()
+                if not x or ids is None:
                     rows.append((digest, n, 0, 0, 0, 0, "", b"", b""))
                     continue
-                n_groups, links, groups = align(*ids, tokens)
+                n_groups, links, groups = tokens.align(*ids)
                 pairs, times = np.unique(links, return_counts=True)
                 rows.append((digest, n, len(ids[0]), len(ids[1]), n_groups, len(links), hashlib.sha256(groups.encode()).hexdigest(), pairs.astype("<i8").tobytes(), times.astype("<i4").tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.binary(), *[pa.int64()] * 5, pa.string(), pa.binary(), pa.binary()))], [c.split()[0] for c in _ALIGNED.split(", ")])
