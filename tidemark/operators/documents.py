@@ -1,4 +1,4 @@
-"""Diff of document lists nested in records (inventory N1-N6)."""
+"""Diff of document lists nested in records (inventory N1-N6), inside each record's row: no shuffle."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import values as V
+from ..sources.snapshot import settled
 
 DOCUMENTS = "array<struct<title:string,url:string,hash:string>>"
 
@@ -36,26 +37,44 @@ def hash_list(json: Column) -> Column:
     return F.coalesce(out, F.array().cast("array<string>"))
 
 
-def compare(rows: DataFrame, key: str, before: str, after: str) -> DataFrame:
-    """``key, hash, state, before, after`` of each hash that was added, removed or modified, and hash-less documents as incomplete.
+def _by_hash(docs: Column) -> Column:
+    """Map from hash to document; of equal hashes in one list the last counts."""
+    rows = F.array_sort(F.filter(F.transform(docs, lambda d, i: F.struct(d["hash"].alias("hash"), i.alias("at"), d.alias("d"))), lambda x: x["hash"].isNotNull()))  # equal ones stand side by side, the last of them last
 
-    ``before`` and ``after`` are columns of normalised documents; of equal hashes in one list the last counts.
-    """
-    def side(name: str, out: str) -> DataFrame:
-        d = rows.select(F.col(key).alias("key"), F.posexplode(name).alias("at", "d")).where("d.hash is not null")
-        return d.groupBy("key", F.col("d.hash").alias("hash")).agg(F.max_by("d", "at").alias(out))
+    def last(own: Column) -> Column:
+        kept = F.filter(own, lambda x, i: ~F.coalesce(F.get(own, i + 1)["hash"] == x["hash"], F.lit(False)))
+        return F.map_from_entries(F.transform(kept, lambda x: F.struct(x["hash"], x["d"])))
 
-    both = side(before, "before").join(side(after, "after"), ["key", "hash"], "full_outer")
-    differ = ~(F.col("before.title").eqNullSafe(F.col("after.title")) & F.col("before.url").eqNullSafe(F.col("after.url")))
-    state = F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "removed").when(differ, "modified")
-    no = lambda name: F.lit(None).cast(DOCUMENTS[6:-1]).alias(name)
-    bare = lambda name: rows.select(F.col(key).alias("key"), F.explode(name).alias("d")).where("d.hash is null").select("key", F.lit(None).cast("string").alias("hash"), F.lit("incomplete").alias("state"), *[F.col("d").alias(n) if n == name_of[name] else no(n) for n in ("before", "after")])
-    name_of = {before: "before", after: "after"}
-    return both.select("key", "hash", state.alias("state"), "before", "after").where("state is not null").unionByName(bare(before)).unionByName(bare(after))
+    return F.get(F.transform(F.array(rows), last), F.lit(0))  # bound, so that it is sorted once
 
 
-def health(rows: DataFrame, key: str, before: str, after: str, lists: tuple[str, str]) -> DataFrame:
-    """Per record the missing parts of both sides, hashes repeated inside a side, and hashes missing from or dangling in the plain lists of both sides."""
+def changes(before: Column, after: Column) -> Column:
+    """N3 inside the row: array of (hash, state, before, after) of each hash that was added, removed or modified, and of hash-less documents as incomplete."""
+    no = F.lit(None).cast(DOCUMENTS[6:-1])
+
+    def state(d: Column) -> Column:
+        b, a = d["value"]["before"], d["value"]["after"]
+        differ = ~(b["title"].eqNullSafe(a["title"]) & b["url"].eqNullSafe(a["url"]))
+        kind = F.when(b.isNull(), "added").when(a.isNull(), "removed").when(differ, "modified")
+        return F.struct(d["key"].alias("hash"), kind.alias("state"), b.alias("before"), a.alias("after"))
+
+    both = F.map_zip_with(_by_hash(before), _by_hash(after), lambda _, b, a: F.struct(b.alias("before"), a.alias("after")))
+    known = F.filter(F.transform(F.map_entries(both), state), lambda c: c["state"].isNotNull())
+    bare = lambda docs, b, a: F.transform(F.filter(docs, lambda d: d["hash"].isNull()), lambda d: F.struct(F.lit(None).cast("string").alias("hash"), F.lit("incomplete").alias("state"), (d if b else no).alias("before"), (d if a else no).alias("after")))
+    return F.concat(known, bare(before, True, False), bare(after, False, True))
+
+
+def compared(rows: DataFrame, before: str, after: str) -> DataFrame:
+    """``rows`` with ``document_changes``, once worked out for all that follows."""
+    return settled(rows.withColumn("document_changes", changes(F.col(before), F.col(after))))
+
+
+def compare(rows: DataFrame, key: str) -> DataFrame:
+    """One row a change of :func:`compared` rows: ``key, hash, state, before, after``."""
+    return rows.select(F.col(key).alias("key"), F.inline("document_changes"))
+
+
+def _health(before: str, after: str, lists: tuple[str, str]) -> dict[str, Column]:
     docs = F.concat(before, after)
     hashes = lambda c: F.filter(F.transform(c, lambda d: d["hash"]), lambda h: h.isNotNull())
     listed = F.array_union(*lists)
@@ -63,25 +82,38 @@ def health(rows: DataFrame, key: str, before: str, after: str, lists: tuple[str,
 
     def repeated(side: str) -> Column:
         own = F.array_sort(hashes(F.col(side)))  # equal ones stand side by side
-        return F.filter(own, lambda h, i: (i > 0) & (h == F.get(own, i - 1)))
+        return F.get(F.transform(F.array(own), lambda o: F.filter(o, lambda h, i: (i > 0) & (h == F.get(o, i - 1)))), F.lit(0))
+
+    return {
+        "missing_hash": missing("hash"), "missing_title": missing("title"), "missing_url": missing("url"), "duplicates": F.array_sort(F.array_union(repeated(before), repeated(after))),
+        "not_listed": F.array_sort(F.array_except(hashes(docs), listed)), "dangling": F.array_sort(F.array_except(listed, hashes(docs))),
+    }
+
+
+def _summary(before: str, after: str) -> dict[str, Column]:
+    count = lambda state: F.size(F.filter("document_changes", lambda c: c["state"] == state))
+    n = {state: count(state) for state in ("added", "removed", "modified", "incomplete")}
+    hashes = F.least(*[F.size(F.array_distinct(F.filter(F.transform(side, lambda d: d["hash"]), lambda h: h.isNotNull()))) for side in (before, after)])
+    return {"n_before": F.size(before), "n_after": F.size(after), **n, "unchanged_exact": F.size(F.array_intersect(F.col(before), F.col(after))), "unchanged": F.greatest(hashes - n["modified"], F.lit(0))}
+
 
-    return rows.select(
-        F.col(key).alias("key"), missing("hash").alias("missing_hash"), missing("title").alias("missing_title"), missing("url").alias("missing_url"),
-        F.array_sort(F.array_union(repeated(before), repeated(after))).alias("duplicates"),
-        F.array_sort(F.array_except(hashes(docs), listed)).alias("not_listed"), F.array_sort(F.array_except(listed, hashes(docs))).alias("dangling"),
-    )
+def _columns(rows: DataFrame, key: str, of: dict[str, Column]) -> DataFrame:
+    return rows.select(F.col(key).alias("key"), *[c.alias(name) for name, c in of.items()])
+
+
+def health(rows: DataFrame, key: str, before: str, after: str, lists: tuple[str, str]) -> DataFrame:
+    """Per record the missing parts of both sides, hashes repeated inside a side, and hashes missing from or dangling in the plain lists of both sides."""
+    return _columns(rows, key, _health(before, after, lists))
 
 
-def summary(rows: DataFrame, compared: DataFrame, key: str, before: str, after: str) -> DataFrame:
-    """Counts a record; ``unchanged`` is the least number of distinct hashes of a side less the modified ones, at least 0, ``unchanged_exact`` the true intersection's."""
-    states = compared.groupBy("key").agg(*[F.count_if(F.col("state") == s).alias(s) for s in ("added", "removed", "modified", "incomplete")])
-    sizes = rows.select(F.col(key).alias("key"), F.size(before).alias("n_before"), F.size(after).alias("n_after"), F.size(F.array_intersect(F.col(before), F.col(after))).alias("unchanged_exact"), F.least(*[F.size(F.array_distinct(F.filter(F.transform(side, lambda d: d["hash"]), lambda h: h.isNotNull()))) for side in (before, after)]).alias("hashes"))
-    out = sizes.join(states, "key", "left").na.fill(0, ["added", "removed", "modified", "incomplete"])
-    return out.withColumn("unchanged", F.greatest(F.col("hashes") - F.col("modified"), F.lit(0))).drop("hashes")
+def summary(rows: DataFrame, key: str, before: str, after: str) -> DataFrame:
+    """Counts a record of :func:`compared` rows; ``unchanged`` is the least number of distinct hashes of a side less the modified ones, at least 0, ``unchanged_exact`` the true intersection's."""
+    return _columns(rows, key, _summary(before, after))
 
 
-def states(summaries: DataFrame, healths: DataFrame) -> DataFrame:
-    """State flags a record; a mismatch is a dangling, unlisted or repeated hash."""
-    out = summaries.join(healths, "key")
-    mismatch = (F.size("dangling") > 0) | (F.size("not_listed") > 0) | (F.size("duplicates") > 0)
-    return out.select("key", *[(F.col(s) > 0).alias(s) for s in ("added", "removed", "modified", "incomplete")], mismatch.alias("hash_mismatch"), (F.col("n_after") < F.col("n_before")).alias("decreased"))
+def states(rows: DataFrame, key: str, before: str, after: str, lists: tuple[str, str]) -> DataFrame:
+    """State flags a record of :func:`compared` rows: ``companion`` (N6: a hash repeats, dangles or is in no list) and the document states of the filter index (Q1), whose ``hash_mismatch`` an incomplete document sets too."""
+    facts = settled(_columns(rows, key, _summary(before, after) | _health(before, after, lists)))
+    companion = (F.size("dangling") > 0) | (F.size("not_listed") > 0) | (F.size("duplicates") > 0)
+    flags = {s: F.col(s) > 0 for s in ("added", "removed", "modified", "incomplete")}
+    return facts.select("key", *[c.alias(s) for s, c in flags.items()], companion.alias("companion"), (companion | flags["incomplete"]).alias("hash_mismatch"), (F.col("n_after") < F.col("n_before")).alias("decreased"))

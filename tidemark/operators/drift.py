@@ -41,8 +41,13 @@ def paired(baseline: Snapshot, latest: Snapshot, identity: Sequence[str]) -> Dat
 
 
 def compared(baseline: Snapshot, latest: Snapshot, identity: Sequence[str], quality: Quality) -> DataFrame:
-    """``id``, ``status``, ``changes`` (path, kind, before, after), ``n_changed``, ``severity``; top-level fields."""
+    """``id``, ``status``, ``changes`` (path, kind, before, after), ``n_changed``, ``severity``.
+
+    Two objects are compared field by field down to the deepest (``a.b.c``), inside the record's
+    row: as many steps as both sides' objects are deep at most, none where cells hold no objects.
+    """
     both = paired(baseline, latest, identity)
+    levels = min(nesting(baseline), nesting(latest)) if baseline.nested and latest.nested else 0
     one = []
     for f in union_fields(baseline, latest):
         b, a = baseline.col(f, "b"), latest.col(f, "l")
@@ -51,6 +56,8 @@ def compared(baseline: Snapshot, latest: Snapshot, identity: Sequence[str], qual
     fields = F.filter(F.array(*one), lambda x: x.isNotNull())
     whole = lambda kind: F.array(F.struct(F.lit("$record").alias("path"), F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("before"), F.lit(None).cast("string").alias("after")))
     out = both.select("id", F.when(F.col("b").isNull(), "added").when(F.col("l").isNull(), "removed").alias("side"), F.when(F.col("b").isNull(), whole("added")).when(F.col("l").isNull(), whole("removed")).otherwise(fields).alias("changes"))
+    for _ in range(levels):
+        out = out.withColumn("changes", F.when(F.exists("changes", lambda c: _objects(c["before"], c["after"])), _taken_apart(F.col("changes"), quality)).otherwise(F.col("changes")))
     out = out.withColumn("status", F.coalesce("side", F.when(F.size("changes") > 0, "changed").otherwise("unchanged"))).drop("side")
     return _weighed(out, quality)
 
@@ -60,31 +67,41 @@ def changes(diff: DataFrame) -> DataFrame:
     return diff.select("id", F.inline("changes"))
 
 
-def deep_changes(flat: DataFrame) -> DataFrame:
-    """D1 below the top level: a change between two objects gives way to the changes of their fields, down to the deepest.
+def nesting(side: Snapshot) -> int:
+    """How deep objects of a side's cells are nested at most, 0 if no cell holds one; one map-side aggregation. Braces inside strings don't count."""
+    if not side.nested:
+        return 0
 
-    A level that still holds such changes is written once and taken apart; changes of flat values pass at once.
-    """
-    is_object = lambda c: F.col(c).startswith("{")
-    fields = lambda c: F.from_json(F.col(c), "map<string,variant>")
-    inner = F.coalesce(is_object("before") & is_object("after"), F.lit(False))
-    out, now = flat.where(~inner), flat.where(inner)
-    while not (now := written(now, "nested")).isEmpty():
-        nested = now.withColumns({"b": fields("before"), "a": fields("after")})
-        nested = nested.select("id", "path", F.explode(F.array_union(F.map_keys("b"), F.map_keys("a"))).alias("field"), "b", "a")
-        part = lambda m: V.json_of_variant(F.try_element_at(m, F.col("field")))
-        nested = nested.select("id", F.concat_ws(".", "path", "field").alias("path"), part(F.col("b")).alias("before"), part(F.col("a")).alias("after"))
-        level = nested.withColumn("kind", V.change_kind(F.col("before"), F.col("after"))).where("kind is not null").select(*flat.columns)
-        out, now = out.unionByName(level.where(~inner)), level.where(inner)
-    return out
-
-
-def deep(diff: DataFrame, quality: Quality) -> DataFrame:
-    """``diff`` of :func:`compared` with its changes taken apart below the top level, and counts and severity made anew."""
-    nested = F.exists("changes", lambda c: F.coalesce(c["before"].startswith("{") & c["after"].startswith("{"), F.lit(False)))
-    own = deep_changes(changes(diff.where(nested))).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("path", "kind", "before", "after"))).alias("own"))  # the changes of one record
-    out = diff.join(own, "id", "left").withColumn("changes", F.when(nested, F.coalesce("own", F.array().cast(diff.schema["changes"].dataType))).otherwise(F.col("changes"))).drop("own", "n_changed", "severity")
-    return _weighed(out.withColumn("status", F.when(F.col("status") == "changed", F.when(F.size("changes") > 0, "changed").otherwise("unchanged")).otherwise(F.col("status"))), quality)
+    def depth(cell: Column) -> Column:
+        braces = F.regexp_replace(F.regexp_replace(cell, r'"(?:[^"\\]|\\.)*"', ""), "[^{}]", "")
+        steps = F.aggregate(F.split(braces, ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), lambda s, c: F.when(c == "{", F.struct((s["now"] + 1).alias("now"), F.greatest(s["most"], s["now"] + 1).alias("most"))).when(c == "}", F.struct((s["now"] - 1).alias("now"), s["most"].alias("most"))).otherwise(s))
+        return F.when(cell.startswith("{"), steps["most"]).otherwise(0)
+
+    return side.df.agg(F.coalesce(F.max(F.greatest(F.lit(0), *[depth(side.col(f)) for f in side.fields])), F.lit(0)).alias("n")).first()["n"]
+
+
+def _taken_apart(changes: Column, quality: Quality) -> Column:
+    """One level of D1: a change between two objects gives way to the changes of their fields, inside the row."""
+    fields = lambda c: F.from_json(c, "map<string,variant>")
+    part = lambda m, k: V.json_of_variant(F.try_element_at(m, k))
+
+    def kind(path: Column, b: Column, a: Column) -> Column:
+        out = V.change_kind(b, a)
+        for name in quality.empty_rules:
+            out = F.when(path == name, V.change_kind(b, a, *_rule(quality, name))).otherwise(out) if "." in name else out
+        return out
+
+    def inner(c: Column) -> Column:
+        both = F.array(F.struct(c["path"].alias("path"), fields(c["before"]).alias("b"), fields(c["after"]).alias("a")))  # parsed once, bound by the lambda
+        cells = lambda m: F.transform(F.array_union(F.map_keys(m["b"]), F.map_keys(m["a"])), lambda k: F.struct(F.concat_ws(".", m["path"], k).alias("path"), part(m["b"], k).alias("before"), part(m["a"], k).alias("after")))
+        told = F.transform(F.flatten(F.transform(both, cells)), lambda x: F.struct(x["path"].alias("path"), kind(x["path"], x["before"], x["after"]).alias("kind"), x["before"].alias("before"), x["after"].alias("after")))
+        return F.filter(told, lambda x: x["kind"].isNotNull())
+
+    return F.flatten(F.transform(changes, lambda c: F.when(_objects(c["before"], c["after"]), inner(c)).otherwise(F.array(c))))
+
+
+def _objects(before: Column, after: Column) -> Column:
+    return F.coalesce(before.startswith("{") & after.startswith("{"), F.lit(False))
 
 
 def _weighed(diff: DataFrame, quality: Quality) -> DataFrame:
@@ -165,10 +182,10 @@ def group_incidents(stats: DataFrame, quality: Quality) -> DataFrame:
 
 
 def change_counts(baseline: Snapshot, latest: Snapshot, identity: Sequence[str], quality: Quality) -> DataFrame:
-    """A5, counted: per field the paired records in which it changed (``changed``), and all records by id (``records``); one map-side aggregation over the pairs."""
+    """A5, counted: per field the paired records in which it changed as a whole (changes inside two objects have paths of their own) (``changed``), and all records by id (``records``); one map-side aggregation over the pairs."""
     fields = union_fields(baseline, latest)
     both = F.col("b").isNotNull() & F.col("l").isNotNull()
-    sums = [F.count_if(both & V.change_kind(baseline.col(f, "b"), latest.col(f, "l"), *_rule(quality, f)).isNotNull()).alias(f"changed{i}") for i, f in enumerate(fields)]
+    sums = [F.count_if(both & ~_objects(baseline.col(f, "b"), latest.col(f, "l")) & V.change_kind(baseline.col(f, "b"), latest.col(f, "l"), *_rule(quality, f)).isNotNull()).alias(f"changed{i}") for i, f in enumerate(fields)]
     return _rows_of(paired(baseline, latest, identity).agg(F.count("*").alias("n_records"), *sums), fields, ("changed",)).withColumnRenamed("n_records", "records")
 
 

@@ -144,6 +144,30 @@ def field_changes(spark, sf_dir):
     return drift.changes(_diff(spark, sf_dir))
 
 
+def _nested(note: str, items: str, old: str) -> str:
+    """A JSON text three objects deep, from columns of ``events``; SQL for both engines."""
+    return f"""concat('{{"k":', CAST(user_id % 7 AS STRING), ',"who":{{"id":', CAST(user_id AS STRING), ',"seen":{{"as":"', event_type, '","note":{{"text":"', {note}, '","list":[', {items}, ']}}}}}},"old":{{', {old}, '}}}}')"""
+
+
+NESTED_BEFORE = _nested("event_type", "'1,2'", """CASE WHEN event_id % 7 = 0 THEN '"gone":{"deep":true}' ELSE '' END""")
+NESTED_AFTER = _nested("CASE WHEN event_id % 3 = 0 THEN '  ' WHEN event_id % 5 = 0 THEN 'n/a' ELSE event_type END", "CASE WHEN event_id % 11 = 0 THEN '1,2,3' ELSE '1,2' END", """CASE WHEN event_id % 13 = 0 THEN '"new":null' ELSE '' END""")
+
+
+def nested_sides(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    side = lambda text: from_table(events.select("event_id", F.col("event_id").alias("id"), F.parse_json(F.expr(text)).alias("props")), "event_id")
+    return side(NESTED_BEFORE), side(NESTED_AFTER)
+
+
+def nested_changes(spark, sf_dir):
+    """Changes inside ``props`` objects, at the depth where they are."""
+    return drift.changes(drift.compared(*nested_sides(spark, sf_dir), ("id",), POLICY.quality))
+
+
+def nested_status(spark, sf_dir):
+    return drift.compared(*nested_sides(spark, sf_dir), ("id",), POLICY.quality).groupBy("status", "severity", "n_changed").agg(F.count("*").alias("records"))
+
+
 def changed_record_counts(spark, sf_dir):
     return drift.changed_records(_diff(spark, sf_dir)).groupBy("path").agg(F.count("*").alias("records"))
 
@@ -402,30 +426,26 @@ def _document_rows(spark, sf_dir):
     return grouped.select("key", documents.normalised(F.col("b")).alias("before"), documents.normalised(F.col("a")).alias("after"), documents.hash_list(F.col("listed")).alias("listed"))
 
 
-def document_diff(spark, sf_dir):
-    return documents.compare(_document_rows(spark, sf_dir), "key", "before", "after").select("key", "hash", "state")
+def _documents(spark, sf_dir):
+    return documents.compared(_document_rows(spark, sf_dir), "before", "after")
 
 
-def _document_summary(rows):
-    return documents.summary(rows, documents.compare(rows, "key", "before", "after"), "key", "before", "after")
+def document_diff(spark, sf_dir):
+    return documents.compare(_documents(spark, sf_dir), "key").select("key", "hash", "state")
 
 
 def document_summary(spark, sf_dir):
-    return _document_summary(_document_rows(spark, sf_dir)).select("key", "n_before", "n_after", "added", "removed", "modified", "incomplete", "unchanged")
-
-
-def _document_health(rows):
-    return documents.health(rows, "key", "before", "after", ("listed", "listed"))
+    return documents.summary(_documents(spark, sf_dir), "key", "before", "after").drop("unchanged_exact")
 
 
 def document_health(spark, sf_dir):
     names = [F.array_join(c, ",").alias(c) for c in ("duplicates", "not_listed", "dangling")]
-    return _document_health(_document_rows(spark, sf_dir)).select("key", "missing_hash", "missing_title", "missing_url", *names)
+    return documents.health(_document_rows(spark, sf_dir), "key", "before", "after", ("listed", "listed")).select("key", "missing_hash", "missing_title", "missing_url", *names)
 
 
 def document_states(spark, sf_dir):
-    rows = written(_document_rows(spark, sf_dir), "documents")
-    return documents.states(_document_summary(rows), _document_health(rows)).groupBy("removed", "modified", "incomplete", "hash_mismatch", "decreased").agg(F.count("*").alias("records"))
+    flags = documents.states(_documents(spark, sf_dir), "key", "before", "after", ("listed", "listed"))
+    return flags.groupBy("removed", "modified", "incomplete", "companion", "hash_mismatch", "decreased").agg(F.count("*").alias("records"))
 
 
 def identity_census(spark, sf_dir):
@@ -551,6 +571,10 @@ _DOC_SUMS = f"""{_DOCS}, y AS (SELECT key, count(*) + count(*) FILTER (WHERE twi
   count(*) FILTER (WHERE bare) + count(*) FILTER (WHERE bare AND twice) + count(*) FILTER (WHERE bare AND NOT gone) AS incomplete, greatest(count(*) FILTER (WHERE NOT bare AND NOT gone) - count(*) FILTER (WHERE changed AND NOT gone AND NOT bare), 0) AS unchanged,
   coalesce(string_agg(hash, ',' ORDER BY hash) FILTER (WHERE twice AND NOT bare), '') AS duplicates, coalesce(string_agg(hash, ',' ORDER BY hash) FILTER (WHERE unlisted AND NOT bare), '') AS not_listed, coalesce(string_agg(hash, ',' ORDER BY hash) FILTER (WHERE bare AND NOT unlisted), '') AS dangling FROM z GROUP BY key)"""
 
+_NESTED = f"""WITH e AS (SELECT b.event_id, b.props AS b, a.props AS a, x.event_type AS t FROM (SELECT event_id, {NESTED_BEFORE} AS props FROM events) b JOIN (SELECT event_id, {NESTED_AFTER} AS props FROM events) a USING (event_id) JOIN events x USING (event_id)),
+r AS (SELECT {_KEY.format('event_id')} AS id, unnest([{{'path': 'props.who.seen.note.text', 'before': json_extract(b, '$.who.seen.note.text'), 'after': json_extract(a, '$.who.seen.note.text')}}, {{'path': 'props.who.seen.note.list', 'before': json_extract(b, '$.who.seen.note.list'), 'after': json_extract(a, '$.who.seen.note.list')}},
+  {{'path': 'props.old.gone', 'before': json_extract(b, '$.old.gone'), 'after': json_extract(a, '$.old.gone')}}, {{'path': 'props.old.new', 'before': json_extract(b, '$.old.new'), 'after': json_extract(a, '$.old.new')}}]) AS c FROM e),
+ch AS (SELECT id, c.path AS path, CASE WHEN c.path = 'props.old.gone' THEN 'removed' WHEN c.path = 'props.old.new' THEN 'added' WHEN c.path LIKE '%text' THEN 'emptied' ELSE 'modified' END AS kind, CAST(c.before AS STRING) AS before, CAST(c.after AS STRING) AS after FROM r WHERE CAST(c.before AS STRING) IS DISTINCT FROM CAST(c.after AS STRING))"""
 _WORDS = "list_filter(regexp_split_to_array(lower({0}), '[\\n\\r\\pZ\\pP]+'), lambda w: w <> '')"
 _TOLD = """SELECT ord, i.id, kind, i.severity, n, CASE ord WHEN 2 THEN 'Record count reduced' WHEN 3 THEN 'Duplicate record identity keys' WHEN 4 THEN concat(st.field, ' population regression') ELSE 'Order header incident' END AS title,
       CASE ord WHEN 2 THEN (SELECT concat('Latest records dropped from ', bn, ' to ', ln) FROM sizes) WHEN 3 THEN concat('Found ', n, ' duplicate record keys') WHEN 4 THEN concat(st.field, ' fill rate changed from ', format('{:.1f}', br * 100), '% to ', format('{:.1f}', lr * 100), '% (', format('{:.1f}', rate_change * 100), 'pp)') ELSE 'Header lost.' END AS description
@@ -581,6 +605,8 @@ ORACLES: dict[str, str] = {
     "record_status": f"{_CHANGES} SELECT {_KEY.format('p.id')} AS id, CASE WHEN bid IS NULL THEN 'added' WHEN lid IS NULL THEN 'removed' ELSE 'changed' END AS status, CASE WHEN max(CASE WHEN path = 'status' AND kind = 'emptied' THEN 1 ELSE 0 END) = 1 THEN 'critical' WHEN max(CASE WHEN kind = 'emptied' THEN 1 ELSE 0 END) = 1 THEN 'high' ELSE 'warning' END AS severity FROM p JOIN c ON p.id = c.id GROUP BY p.id, bid, lid",
     "record_status_counts": f"{_PAIR} SELECT count(*) FILTER (WHERE bid IS NULL) AS added, count(*) FILTER (WHERE lid IS NULL) AS removed, count(*) FILTER (WHERE bid IS NOT NULL AND lid IS NOT NULL) AS changed, 0 AS unchanged FROM p",
     "field_changes": f"{_CHANGES} SELECT {_KEY.format('id')} AS id, path, kind, before, after FROM c",
+    "nested_changes": f"{_NESTED} SELECT id, path, kind, before, after FROM ch",
+    "nested_status": f"{_NESTED}, n AS (SELECT id, count(*) AS n_changed, bool_or(kind = 'emptied') AS lost FROM ch GROUP BY id) SELECT CASE WHEN n_changed IS NULL THEN 'unchanged' ELSE 'changed' END AS status, CASE WHEN lost THEN 'high' WHEN n_changed IS NULL THEN 'pass' ELSE 'warning' END AS severity, CAST(coalesce(n_changed, 0) AS INT) AS n_changed, count(*) AS records FROM e LEFT JOIN n ON {_KEY.format('e.event_id')} = n.id GROUP BY ALL",
     "changed_record_counts": f"{_CHANGES} SELECT path, count(DISTINCT id) AS records FROM c GROUP BY path",
     "related_issues": f"{_ISSUES}, w AS (SELECT p.id, CASE WHEN bid IS NULL OR lid IS NULL THEN 'warning' WHEN max(CASE WHEN path = 'status' AND kind = 'emptied' THEN 1 ELSE 0 END) = 1 THEN 'critical' WHEN max(CASE WHEN kind = 'emptied' THEN 1 ELSE 0 END) = 1 THEN 'high' ELSE 'warning' END AS own FROM p JOIN c ON p.id = c.id GROUP BY p.id, bid, lid), hits AS ({_HITS}) SELECT {_KEY.format('w.id')} AS id, CASE WHEN count(*) FILTER (WHERE hits.severity = 'critical') > 0 THEN 'critical' ELSE own END AS severity, coalesce(string_agg(issue, ',' ORDER BY ord, issue), '') AS issues FROM w LEFT JOIN hits ON w.id = hits.id GROUP BY w.id, own",
     "field_stats": f"{_STATS} SELECT field, baseline_present, latest_present, emptied, round(rate_change, 6) AS rate_change, severity FROM st",
@@ -629,7 +655,7 @@ ORACLES: dict[str, str] = {
     "document_diff": f"{_DOCS} SELECT key, hash, CASE WHEN gone THEN 'removed' ELSE 'modified' END AS state FROM z WHERE NOT bare AND (gone OR changed) UNION ALL SELECT key, NULL, 'incomplete' FROM z WHERE bare UNION ALL SELECT key, NULL, 'incomplete' FROM z WHERE bare AND twice UNION ALL SELECT key, NULL, 'incomplete' FROM z WHERE bare AND NOT gone",
     "document_summary": f"{_DOC_SUMS} SELECT key, n_before, n_after, 0 AS added, removed, modified, incomplete, unchanged FROM y",
     "document_health": f"{_DOC_SUMS} SELECT key, incomplete AS missing_hash, 0 AS missing_title, 0 AS missing_url, duplicates, not_listed, dangling FROM y",
-    "document_states": f"{_DOC_SUMS} SELECT removed > 0 AS removed, modified > 0 AS modified, incomplete > 0 AS incomplete, duplicates <> '' OR not_listed <> '' OR dangling <> '' AS hash_mismatch, n_after < n_before AS decreased, count(*) AS records FROM y GROUP BY ALL",
+    "document_states": f"{_DOC_SUMS} SELECT removed > 0 AS removed, modified > 0 AS modified, incomplete > 0 AS incomplete, duplicates <> '' OR not_listed <> '' OR dangling <> '' AS companion, duplicates <> '' OR not_listed <> '' OR dangling <> '' OR incomplete > 0 AS hash_mismatch, n_after < n_before AS decreased, count(*) AS records FROM y GROUP BY ALL",
     "identity_census": f"{_CTE} SELECT 'id' AS field, count(*) AS present, 0 AS missing, 0 AS blank FROM l UNION ALL SELECT 'status', count(*) FILTER (WHERE NOT {_BLANK.format('status')}), 0, count(*) FILTER (WHERE {_BLANK.format('status')}) FROM l UNION ALL SELECT 'origin', 0, count(*), 0 FROM l",
     "source_detection": "SELECT CASE WHEN count(*) FILTER (WHERE regexp_matches(lower(url), '^https?://blog[.]')) > 0 THEN 'match' ELSE 'none' END AS state, CASE WHEN count(*) FILTER (WHERE regexp_matches(lower(url), '^https?://blog[.]')) > 0 THEN 'com' ELSE '' END AS policies FROM (SELECT * FROM pages ORDER BY page_id LIMIT 25)",
 }
@@ -639,6 +665,6 @@ _PLAIN = (
     quality_issues, quality_gate, match_results, match_counts, ambiguity_detail, finding_counts, finding_ids, backfill_provenance, recovered_records, recovery_exclusions, recovery_summary, field_provenance,
     dedupe_outcomes, dedupe_summary, lanes, lane_counts, field_summaries, record_summaries, bulk_impact, decision_latest, decision_overrides, decision_summary, pending_queue, field_distribution, backfill_groups,
     exclusion_groups, ticket_groups, evidence_counts, record_filter, record_search, search_candidates, export_gate, findings_csv, conflicts_csv, document_diff, document_summary, document_health, document_states, identity_census, source_detection,
-    changed_record_counts, related_issues, cell_classes, cell_evidence, cell_summaries, record_details, record_inspection,
+    changed_record_counts, nested_changes, nested_status, related_issues, cell_classes, cell_evidence, cell_summaries, record_details, record_inspection,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _PLAIN} | {f"qa_{k}": _category(k) for k in _FINDINGS}

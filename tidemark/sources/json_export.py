@@ -57,13 +57,13 @@ def fields_of(rows: DataFrame) -> list[str]:
 def snapshot(rows: DataFrame, fields: Sequence[str] | None = None, normalise: bool = True) -> Snapshot:
     names = list(fields or fields_of(rows))
     cols = [V.json_of_variant(F.variant_get("body", _path(f), "variant")).alias(f"f{i}") for i, f in enumerate(names)]
-    return Snapshot(settled(rows.select("idx", *cols)), tuple(names), normalise)
+    return Snapshot(settled(rows.select("idx", *cols)), tuple(names), normalise, nested=True)
 
 
 def load(spark: SparkSession, path: str, collection: str = "$") -> Snapshot:
     """A snapshot of an export, parsed once and written: each later pass would else parse the whole file again."""
     side = snapshot(records(parse(read_text(spark, path)), collection))
-    return Snapshot(written(side.df, "snapshot"), side.fields, side.normalise)
+    return Snapshot(written(side.df, "snapshot"), side.fields, side.normalise, side.nested)
 
 
 def lines(spark: SparkSession, path: str, order: str) -> Snapshot:

@@ -19,6 +19,8 @@ class Snapshot:
     fields: tuple[str, ...]
     #: Whether identity values may need Unicode or URL normalisation.
     normalise: bool = False
+    #: Whether cells may hold objects, whose fields are compared one by one.
+    nested: bool = False
 
     def col(self, field: str, of: str | None = None) -> Column:
         """The field's JSON text; NULL (absent) if this side has no such field."""
@@ -40,7 +42,7 @@ class Snapshot:
     def without(self, ignored: Sequence[str]) -> Snapshot:
         """S6."""
         keep = [f for f in self.fields if f not in ignored]
-        return Snapshot(self.df.select("idx", *[self.col(f).alias(f"f{i}") for i, f in enumerate(keep)]), tuple(keep), self.normalise)
+        return Snapshot(self.df.select("idx", *[self.col(f).alias(f"f{i}") for i, f in enumerate(keep)]), tuple(keep), self.normalise, self.nested)
 
 
 def union_fields(*sides: Snapshot) -> list[str]:
@@ -52,7 +54,8 @@ def from_table(df: DataFrame, order: str, fields: Sequence[str] | None = None, n
     names = [c for c in (fields or df.columns) if c != order]
     kinds = dict(df.dtypes)
     cols = [V.json_of(F.col(f"`{c}`"), kinds[c].split("(")[0] in ("double", "float", "decimal")).alias(f"f{i}") for i, c in enumerate(names)]
-    return Snapshot(settled(df.select(F.col(order).cast("long").alias("idx"), *cols)), tuple(names), normalise)
+    nested = any(kinds[c].startswith(("struct", "map", "variant")) for c in names)
+    return Snapshot(settled(df.select(F.col(order).cast("long").alias("idx"), *cols)), tuple(names), normalise, nested)
 
 
 def settled(df: DataFrame) -> DataFrame:
