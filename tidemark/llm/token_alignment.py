@@ -42,7 +42,9 @@ GATHERED = 2_000_000
 SPAN = 1 << 16
 BLANK_MARK = "▁"
 #: Most bytes of parts that a worker remembers with their alignments, what an entry takes besides its texts, and the longest part that is remembered.
-KEPT_BYTES, ENTRY, LONGEST_KEPT = 96 << 20, 330, 40
+KEPT_BYTES, ENTRY, LONGEST_KEPT = 40 << 20, 330, 40
+#: Most characters of texts that are cut at once.
+CUT_CHARS = 500_000
 #: Parts from this length on are merged by a heap, in n log n.
 LONGEST_RANKED = 2000
 NEW = object()
@@ -92,6 +94,16 @@ class Aligner:
 
     def __call__(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
         """Per text its ids by both; None where they stand for other bytes than the blank-led text."""
+        run, size = [], 0
+        for t in texts:
+            run.append(t)
+            size += len(t)
+            if size > CUT_CHARS:
+                yield from self._ids(run)
+                run, size = [], 0
+        yield from self._ids(run)
+
+    def _ids(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
         cut = [self._cut.split(" " + t) if self._cut else [" " + t] for t in texts]
         known, here = self._known, {}
         new = list({p for parts in cut for p in parts if p not in known})
