@@ -1,14 +1,14 @@
 """Weak supervision over quality rules, in DataFrame functions only.
 
 Every rule looks at counts of one text and votes good (1), bad (-1) or abstains (0).
-Expectation maximisation over the table of vote patterns estimates several kinds of texts
-and how each rule votes on them, and tells which kinds are good; the posterior probability
-of "good" replaces a filter that asks every rule to pass. The pattern table has at most ``3 ** len(rules)`` rows whatever
+Expectation maximisation over the table of vote patterns estimates the share of good texts and
+each rule's accuracy on good and on bad ones; the posterior probability of "good" replaces a filter that asks every rule to pass. The pattern table has at most ``3 ** len(rules)`` rows whatever
 the corpus, so only that table reaches the driver.
 
 Null text counts as the empty text: all counts 0, every ratio rule abstains. An empty
 table gives no rows (the prior accuracies stand in for estimates). Repeated rows are
-judged alike, one output row each.
+judged alike, one output row each. A very long text is counted as a whole in its row. A
+column of ``keep`` that clashes with an output column is replaced by it.
 """
 
 from __future__ import annotations
@@ -21,9 +21,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, UPPER, materialize, words_of
+from .common import BLANKS, UPPER, materialize, unclashed, words_of
 
 SYMBOLS = "#*$%&|<>"
+#: Columns that :func:`signals` adds.
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_stops")
 
 
 @dataclass(frozen=True)
@@ -107,105 +109,94 @@ def vote(rule: Rule) -> Column:
 
 @dataclass(frozen=True)
 class LabelModel:
-    """Kinds of texts: each one's share of all texts, how often each rule's vote on it is bad, and whether it is good."""
+    """Share of good texts; how often each rule that votes votes bad on good texts and on bad ones; and how much its vote counts."""
 
-    kinds: tuple[tuple[float, tuple[float, ...], bool], ...]
-
-    @property
-    def prior(self) -> float:
-        return sum(share for share, _, good in self.kinds if good)
+    prior: float
+    rates: tuple[tuple[float, ...], tuple[float, ...]]
+    power: tuple[float, ...]
 
     def rate(self, rule: int, good: bool) -> float:
-        """How often a rule's vote is bad on all good texts, or on all bad ones."""
-        own = [(share, rates[rule]) for share, rates, is_good in self.kinds if is_good == good]
-        return sum(share * rate for share, rate in own) / sum(share for share, _ in own)
+        return self.rates[0 if good else 1][rule]
 
     def weight(self, rule: int, cast: int) -> float:
-        """What a vote that stands alone adds to the log odds of "good"."""
+        """What a vote adds to the log odds of "good"."""
         g, b = self.rate(rule, True), self.rate(rule, False)
-        return math.log((1 - g) / (1 - b)) if cast > 0 else math.log(g / b) if cast < 0 else 0.0
-
+        return self.power[rule] * (math.log((1 - g) / (1 - b)) if cast > 0 else math.log(g / b) if cast < 0 else 0.0)
 
-#: What is held of texts and rules before any vote, worth a fixed number of texts or votes whatever the corpus:
-#: the share of good texts; how often a rule blames them, sees some kind of bad text, and sees the kind it knows best.
-GOOD_SHARE, HELD_SHARE = 0.85, 200.0
-BLAMES, SEES, KNOWS, HELD_RATE = 0.005, 0.3, 0.95, 20.0
 
+#: What is held before any vote, worth a few texts and votes, so that it fades as the corpus grows: the share of good texts, how often a rule blames them, how often it catches bad ones.
+GOOD_SHARE, HELD_TEXTS = 0.8, 10.0
+BLAMES, CATCHES, HELD_VOTES = 0.05, 0.5, 4.0
+#: Share of two rules' greatest possible covariance, beyond what their classes explain, from which on they count as one.
+DEPENDENT = 0.3
 
-def _held(held: float, x: float) -> float:
-    return held * math.log(x / held) + (1 - held) * math.log((1 - x) / (1 - held))
 
+def _em(cast: np.ndarray, bad: np.ndarray, counts: np.ndarray, power: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shares of good and bad texts, the rules' rates on both, and each pattern's posterior."""
+    held, held_share = np.repeat([[BLAMES], [CATCHES]], cast.shape[1], 1), np.array([GOOD_SHARE, 1 - GOOD_SHARE])
+    rates, share = held, held_share
+    while True:
+        logs = np.log(share) + (bad * power) @ np.log(rates).T + ((cast - bad) * power) @ np.log1p(-rates).T
+        p = np.exp(logs - logs.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        q, before = p * counts[:, None], np.concatenate([share, rates.ravel()])
+        share = (q.sum(axis=0) + HELD_TEXTS * held_share) / (counts.sum() + HELD_TEXTS)
+        rates = (q.T @ bad + HELD_VOTES * held) / (q.T @ cast + HELD_VOTES)
+        rounds -= 1
+        if not rounds or np.abs(np.concatenate([share, rates.ravel()]) - before).max() < 1e-9:
+            return share, rates, p
 
-def _belief(kinds: Sequence[tuple[float, tuple[float, ...], bool]]) -> float:
-    """Log prior of which kinds are good: by the share of good texts and by how often rules blame them."""
-    m = LabelModel(tuple(kinds))
-    return HELD_SHARE * _held(GOOD_SHARE, m.prior) + HELD_RATE * sum(_held(BLAMES, m.rate(j, True)) for j in range(len(kinds[0][1])))
 
+def _groups(cast: np.ndarray, bad: np.ndarray, counts: np.ndarray) -> list[int]:
+    """Rules that go together beyond what their classes explain, by the same number.
 
-def _kinds(cast: np.ndarray, bad: np.ndarray, counts: np.ndarray, blamed: Sequence[int], rounds: int) -> list[tuple[float, tuple[float, ...], bool]]:
-    """EM over kinds of texts: none minds (first), all may mind (second), and one for each rule, good if the rule is ``blamed``."""
-    n_rules = cast.shape[1]
-    rules = np.arange(n_rules)
-    held = np.full((n_rules + 2, n_rules), SEES)
-    good = np.isin(np.arange(n_rules + 2), [0, *(j + 2 for j in blamed)])
-    held[good] = BLAMES
-    held[rules + 2, rules] = KNOWS
-    fixed = np.repeat(good[:, None], n_rules, 1)
-    fixed[1] = fixed[rules + 2, rules] = True  # else kinds trade places
-    held_share = np.array([GOOD_SHARE, *[(1 - GOOD_SHARE) / (n_rules + 1)] * (n_rules + 1)])
-    rates, share = held, held_share
-    for _ in range(rounds):
-        logs = np.log(share) + bad @ np.log(rates).T + (cast - bad) @ np.log1p(-rates).T
-        p = np.exp(logs - logs.max(axis=1, keepdims=True))
-        p *= (counts / p.sum(axis=1))[:, None]
-        before = np.concatenate([share, rates.ravel()])
-        share = (p.sum(axis=0) + HELD_SHARE * held_share) / (counts.sum() + HELD_SHARE)
-        rates = np.where(fixed, held, (p.T @ bad + HELD_RATE * held) / (p.T @ cast + HELD_RATE))
-        if np.abs(np.concatenate([share, rates.ravel()]) - before).sum() < 1e-7:
-            break
-    return list(zip(share.tolist(), map(tuple, rates.tolist()), good.tolist()))
-
-
-def fit(patterns: Sequence[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = 500) -> LabelModel:
-    """EM over (votes, count) with several kinds of texts; votes that abstain say nothing.
-
-    Within a kind rules vote apart; across kinds they depend on each other. Votes can't tell
-    a kind of bad text that only one rule knows from good texts that this rule blames: both
-    explain them alike. So each rule has a kind, and what is held beforehand tells whether it
-    is good, the largest first: few such texts are bad ones, but where they would make bad
-    texts too common, the rule is blamed. As both answers fit the votes alike, what is held
-    has a fixed weight and still tells at every size of the corpus.
+    If rules vote apart within two classes, the covariance of i and j is that of i and k times that of j and l
+    over that of k and l, for any other two. Where a pair's covariance exceeds the median of
+    these by ``DEPENDENT`` of its greatest possible value, the pair is dependent.
+    """
+    n = cast.shape[1]
+    both = (cast * counts[:, None]).T @ cast
+    first = (bad * counts[:, None]).T @ cast / np.maximum(both, 1)  # bad votes of i where j votes too
+    cov = (bad * counts[:, None]).T @ bad / np.maximum(both, 1) - first * first.T
+    most = np.sqrt(np.maximum(first * (1 - first), 1e-12) * np.maximum(first.T * (1 - first.T), 1e-12))
+    group = list(range(n))
+    for i in range(n):
+        for j in range(i):
+            others = [k for k in range(n) if k not in (i, j)]
+            told = [cov[i, k] * cov[j, x] / cov[k, x] for k in others for x in others if k != x and cov[k, x] > 0.02 * most[k, x]]
+            if told and (cov[i, j] - np.median(told)) / most[i, j] >= DEPENDENT:
+                group = [group[j] if g == group[i] else g for g in group]
+    return group
+
+
+def fit(patterns: Sequence[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = 2000) -> LabelModel:
+    """EM over (votes, count) with free rates of every rule on good and on bad texts; votes that abstain say nothing.
+
+    Rules vote apart given the class, unless pairs show otherwise: dependent ones form a group
+    that counts as one rule, each member's vote for its share.
     """
     votes = np.array([v for v, _ in patterns], float).reshape(len(patterns), n_rules)
     counts = np.array([c for _, c in patterns], float)
     cast, bad = (votes != 0).astype(float), (votes < 0).astype(float)
-    blamed: list[int] = []
-    while True:
-        kinds = _kinds(cast, bad, counts, blamed, rounds)
-        rest = [j for j in range(n_rules) if j not in blamed]
-        if not rest:
-            return LabelModel(tuple(kinds))
-        most = max(rest, key=lambda j: kinds[j + 2][0])
-        if _belief([(s, r, good or k == most + 2) for k, (s, r, good) in enumerate(kinds)]) <= _belief(kinds):
-            return LabelModel(tuple(kinds))
-        blamed.append(most)
+    group = _groups(cast, bad, counts)
+    power = np.array([1 / group.count(g) for g in group])
+    share, rates, _ = _em(cast, bad, counts, power, rounds)
+    return LabelModel(float(share[0]), (tuple(rates[0].tolist()), tuple(rates[1].tolist())), tuple(power.tolist()))
 
 
 def posterior(votes: Sequence[Column], model: LabelModel) -> Column:
-    likelihood = {True: F.lit(0.0), False: F.lit(0.0)}
-    for share, rates, good in model.kinds:
-        log = F.lit(math.log(share))
-        for v, rate in zip(votes, rates):
-            log = log + F.when(v > 0, math.log1p(-rate)).when(v < 0, math.log(rate)).otherwise(0.0)
-        likelihood[good] = likelihood[good] + F.exp(log)
-    return likelihood[True] / (likelihood[True] + likelihood[False])
+    odds = F.lit(math.log(model.prior / (1 - model.prior)))
+    for j, v in enumerate(votes):
+        odds = odds + F.when(v > 0, model.weight(j, 1)).when(v < 0, model.weight(j, -1)).otherwise(0.0)
+    return 1 / (1 + F.exp(-odds))
 
 
 def apply(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",), rules: Sequence[Rule] | None = None, threshold: float = 0.5) -> DataFrame:
     """Counts, one ``vote_<rule>`` a rule, ``quality`` (posterior) and ``accepted`` (quality >= threshold)."""
     rules = list(rules or default_rules())
-    seen = materialize(signals(docs, text, keep), "quality-signals")
     names = [f"vote_{r.name}" for r in rules]
+    own = unclashed(keep, *COUNTS, *names, "quality", "accepted")
+    seen = materialize(signals(docs, text, own), "quality-signals")
     voted = seen.withColumns({n: vote(r) for n, r in zip(names, rules)})
     patterns = [(tuple(r[:-1]), r[-1]) for r in voted.groupBy(*names).count().collect()]
     model = fit(patterns, len(rules))
