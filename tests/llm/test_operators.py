@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -203,6 +204,50 @@ def test_license_words_in_another_order_are_no_copy(spark):
     assert labels_of(spark, "before " + " ".join(edited) + " after") == ["isc"]
 
 
+def brute_chain(votes, shift):
+    """Worth of the best chain, over all predecessors of every vote."""
+    order, worth = sorted(set(votes)), {}
+    for x, y in order:
+        price = lambda v, w: 0 if abs((x - y) - (v - w)) <= shift else license_scan.JUMP + license_scan.PASSED * (x - v - 1)  # noqa: B023, E731
+        worth[x, y] = 1 + max([worth[v, w] - price(v, w) for v, w in order if v < x and w < y], default=0)
+        worth[x, y] = max(worth[x, y], 1)
+    return worth
+
+
+def test_license_chains_equal_brute_force():
+    r = random.Random(6)
+    for _ in range(400):
+        votes = [(r.randint(0, 30), r.randint(0, 12)) for _ in range(r.randint(0, 40))]
+        shift = r.randint(0, 3)
+        got, best = license_scan.chains(votes, shift, 1), brute_chain(votes, shift)
+        assert bool(got) == bool(votes)
+        if votes:
+            n, lo, hi = got[0]
+            top = max(best.values())
+            assert n >= top - 1e-9 and any(x == hi and abs(w - top) < 1e-9 for (x, _), w in best.items())
+            assert all(a[2] < b[1] or b[2] < a[1] for i, a in enumerate(got) for b in got[:i])
+
+
+def test_license_texts_survive_edits(spark):
+    mit = max((t for t in license_scan.STATEMENTS if t.label == "mit"), key=lambda t: len(t.text)).text.split()
+    found = lambda words: [s for s in license_scan.apply(spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")).first()["spans"] if s["label"] == "mit"]
+    half = len(mit) // 2
+    for n in (6, 10, 30):
+        spans = found(["before", *mit[:half], *[f"new{i}" for i in range(n)], *mit[half:], "after"])
+        whole = max(spans, key=lambda s: s["last_word"])  # a short statement inside has a span of its own
+        assert whole["coverage"] > 0.9 and (whole["first_word"], whole["last_word"]) == (1, len(mit) + n)
+    cut = max(found(mit[: half - 12] + mit[half:]), key=lambda s: s["last_word"])
+    assert 0.7 < cut["coverage"] < 0.97 and cut["last_word"] == len(mit) - 13
+    assert all(s["last_word"] - s["first_word"] < half for s in found(mit[half:] + mit[:half])) and found(mit[::-1]) == []
+
+
+def test_license_chains_take_many_votes():
+    votes = [(x, (x * 7 + y) % 170) for x in range(60_000) for y in (0, 40, 90)]
+    began = time.process_time()
+    license_scan.chains(votes, 3, 118)
+    assert time.process_time() - began < 6  # n squared takes minutes
+
+
 def test_license_spans_end_with_their_template(spark):
     text = " x ".join(["released under the mit license"] * 50)
     spans = [s for s in license_scan.apply(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["spans"] if s["label"] == "mit"]

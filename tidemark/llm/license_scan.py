@@ -8,16 +8,17 @@ are merged. The join compares the k-gram's words beside the hash, so a vote is a
 match. In templates of several sentences, k-grams of function words alone don't vote.
 
 Verification. Along a merged span the votes are chained: places in the text and in the
-template both grow, and from vote to vote the diagonal moves by ``shift`` at most. A chain
+template both grow, and what was put in or left out is jumped over at a price. A chain
 is accepted by the share of its template's k-grams that it holds, in that order; so words in
 another order are no copy, and a chain ends where its template ends.
 
-Null text is the empty text: no words, no spans. Repeated rows give the same result each.
+Null text is the empty text: no words, no spans. Repeated rows give the same result each. An empty table gives no rows.
 A very long text is its own group: all votes of one text for one template meet in one task.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -112,46 +113,78 @@ def _grams(words: Sequence[str], k: int) -> list[tuple[int, str]]:
     return [(i, " ".join(g)) for i, g in out if len(words) <= LONG_TEMPLATE or not FUNCTION_WORDS.issuperset(g)]
 
 
-def chains(votes: Sequence[tuple[int, int]], shift: int, reach: int, least: int) -> list[tuple[int, int, int]]:
-    """``(votes held, first place, last place)`` of disjoint chains of ``least`` votes or more, the longest first.
+#: What a chain pays, in votes, for a jump beyond ``shift``, and for each word of the text that it passes over in it.
+JUMP, PASSED = 1.0, 0.1
 
-    ``votes`` are (place in the text, place in the template); a template has ``reach`` places at most, which bounds how far a chain looks back.
+
+def chains(votes: Sequence[tuple[int, int]], shift: int, least: int) -> list[tuple[int, int, int]]:
+    """``(votes held, first place, last place)`` of disjoint chains of ``least`` votes or more, the best first.
+
+    ``votes`` are (place in the text, place in the template). Along a chain both places grow.
+    Steps within ``shift`` diagonals are free, longer ones cost JUMP and PASSED; a chain is worth its votes less
+    these costs. Votes are taken by place in the text. A free step comes from the last fitting
+    vote of one of the near diagonals, as worth grows along a diagonal; a jump from the best
+    vote of all lower template places, held in a tree of prefix maxima. So v votes take v log v steps.
     """
     order = sorted(set(votes))
-    size, before = [1] * len(order), [-1] * len(order)
-    low = 0
-    for i, (x, y) in enumerate(order):
-        while order[low][0] < x - reach - shift:
-            low += 1
-        for j in range(i - 1, low - 1, -1):
-            v, w = order[j]
-            if v < x and w < y and abs((x - y) - (v - w)) <= shift and size[j] >= size[i]:
-                size[i], before[i] = size[j] + 1, j
-                if w == y - 1 and v == x - 1:
-                    break  # nothing goes on better than the vote just before
+    worth, size, before = [1.0] * len(order), [1] * len(order), [-1] * len(order)
+    last: dict[int, list[int]] = {}  # votes of a diagonal so far
+    top = max((y for _, y in order), default=0) + 2
+    tree = [(-1e18, -1)] * (top + 1)  # best worth, as if passed words were paid from place 0 on
+    i = 0
+    while i < len(order):
+        x, first = order[i][0], i
+        while i < len(order) and order[i][0] == x:
+            y, best, at = order[i][1], 0.0, -1
+            for d in range(x - y - shift, x - y + shift + 1):
+                if own := last.get(d):
+                    limit = min(x, y + d)  # places in the text below it are below y in the template too
+                    j = len(own) - 1
+                    while j >= 0 and order[own[j]][0] >= limit:
+                        j -= 1
+                    if j >= 0 and worth[own[j]] > best:
+                        best, at = worth[own[j]], own[j]
+            k, far = y, (-1e18, -1)
+            while k > 0:
+                far = max(far, tree[k])
+                k &= k - 1
+            if (jumped := far[0] - JUMP - PASSED * x) > best:
+                best, at = jumped, far[1]
+            if at >= 0:
+                worth[i], size[i], before[i] = best + 1, size[at] + 1, at
+            i += 1
+        for n in range(first, i):  # seen only by later places
+            y, entry = order[n][1], (worth[n] + PASSED * (x + 1), n)
+            last.setdefault(x - y, []).append(n)
+            k = y + 1
+            while k <= top:
+                if tree[k] < entry:
+                    tree[k] = entry
+                k += k & -k
     out: list[tuple[int, int, int]] = []
+    taken: list[tuple[int, int]] = []  # sorted spans
     used = bytearray(len(order))
-    for i in sorted(range(len(order)), key=lambda i: (-size[i], order[i])):
-        if size[i] < least:
-            break
+    for i in sorted(range(len(order)), key=lambda i: (-worth[i], order[i])):
+        if size[i] < least or used[i]:
+            continue
         chain, j = [], i
         while j >= 0 and not used[j]:
             chain.append(j)
-            j = before[j]
-        if len(chain) >= least:
-            lo, hi = order[chain[-1]][0], order[i][0]
-            if all(hi < a or lo > b for _, a, b in out):
-                out.append((len(chain), lo, hi))
-        for j in chain:
             used[j] = 1
+            j = before[j]
+        lo, hi = order[chain[-1]][0], order[i][0]
+        n = bisect.bisect_left(taken, (lo, hi))
+        if len(chain) >= least and (n == 0 or taken[n - 1][1] < lo) and (n == len(taken) or taken[n][0] > hi):
+            taken.insert(n, (lo, hi))
+            out.append((len(chain), lo, hi))
     return out
 
 
-def scan(docs: DataFrame, key: str, text: str = "text", templates: Sequence[Template] = PHRASES + STATEMENTS, k: int = 2, shift: int = 3, least: float = 0.7) -> DataFrame:
+def scan(docs: DataFrame, key: str, text: str = "text", templates: Sequence[Template] = PHRASES + STATEMENTS, k: int = 2, shift: int = 3, least: float = 0.7, jump: int = 60) -> DataFrame:
     """Spans ``(key, template, label, exact, first_word, last_word, coverage)`` of verified statements.
 
     ``first_word`` is the text place of the span's first word, ``last_word`` of its last.
-    ``shift`` is how far neighbouring diagonals may lie apart to be merged, and votes of a chain. Templates need
+    ``jump`` is how far neighbouring diagonals may lie apart to be merged, ``shift`` how far a chain moves between diagonals at no cost. Templates need
     ``k`` words at least; their number and length bound the broadcast table.
     """
     spark = docs.sparkSession
@@ -161,7 +194,7 @@ def scan(docs: DataFrame, key: str, text: str = "text", templates: Sequence[Temp
         raise ValueError(f"shorter than {k} words: {short}")
     rows = [(g, i, p) for i, w in enumerate(split) for p, g in _grams(w, k)]
     index = spark.createDataFrame(rows, "gram string, template int, at int").withColumn("hash", F.xxhash64("gram"))
-    facts = spark.createDataFrame([(i, t.label, t.exact, len(_grams(w, k)), len(w)) for i, (t, w) in enumerate(zip(templates, split))], "template int, label string, exact boolean, n_grams int, reach int")
+    facts = spark.createDataFrame([(i, t.label, t.exact, len(_grams(w, k))) for i, (t, w) in enumerate(zip(templates, split))], "template int, label string, exact boolean, n_grams int")
 
     words = docs.select(F.col(key).alias("key"), words_of(lower_ascii(F.col(text)), NON_WORD).alias("w")).where(F.size("w") >= k)
     gram = lambda i: F.concat_ws(" ", *[F.get("w", i + j) for j in range(k)])
@@ -173,16 +206,16 @@ def scan(docs: DataFrame, key: str, text: str = "text", templates: Sequence[Temp
     whole = diagonals.where("exact and size(ats) = n_grams").select(*span(F.col("diagonal"), F.col("diagonal") + F.col("n_grams") - 1, F.lit(1.0)))
 
     near = Window.partitionBy("key", "template").orderBy("diagonal")
-    loose = diagonals.where("not exact").withColumn("new", F.when(F.col("diagonal") - F.lag("diagonal").over(near) <= shift, 0).otherwise(1))
+    loose = diagonals.where("not exact").withColumn("new", F.when(F.col("diagonal") - F.lag("diagonal").over(near) <= jump, 0).otherwise(1))
     loose = loose.withColumn("span", F.sum("new").over(near.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = loose.groupBy("key", "template", "span", "label", "exact", "n_grams", "reach").agg(F.collect_list(F.struct("diagonal", "ats")).alias("votes"), F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("n"))
+    merged = loose.groupBy("key", "template", "span", "label", "exact", "n_grams").agg(F.collect_list(F.struct("diagonal", "ats")).alias("votes"), F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("n"))
 
     @F.pandas_udf("array<struct<n:int,lo:int,hi:int>>")
-    def verified(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for lists, sizes, reaches in parts:
-            yield pd.Series([[dict(zip(("n", "lo", "hi"), c)) for c in chains([(d["diagonal"] + a, a) for d in found for a in d["ats"]], shift, int(reach), -int(-least * n // 1))] for found, n, reach in zip(lists, sizes, reaches)], dtype=object)
+    def verified(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for lists, sizes in parts:
+            yield pd.Series([[dict(zip(("n", "lo", "hi"), c)) for c in chains([(d["diagonal"] + a, a) for d in found for a in d["ats"]], shift, -int(-least * n // 1))] for found, n in zip(lists, sizes)], dtype=object)
 
-    merged = merged.where(F.col("n") >= least * F.col("n_grams")).withColumn("c", F.explode(verified("votes", "n_grams", "reach")))
+    merged = merged.where(F.col("n") >= least * F.col("n_grams")).withColumn("c", F.explode(verified("votes", "n_grams")))
     return whole.unionByName(merged.select(*span(F.col("c.lo"), F.col("c.hi"), F.col("c.n") / F.col("n_grams"))))
 
 
