@@ -1,6 +1,7 @@
 """Drift, QA, recovery and decisions on small data with results worked out by hand."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -185,7 +186,7 @@ def test_matching_and_recovery(spark, sides):
     cells = written(decisions.lanes(found, prov, POLICY), "cells")
     assert decisions.lane_counts(cells).first().asDict() == {"auto": 2, "review": 2, "ineligible": 0}
     log = decisions.bulk(cells, POLICY, "backfill", "looked at", "t", first=5, acknowledged=True)
-    assert sorted(r["sequence"] for r in log.collect()) == [5, 6, 7, 8] and decisions.pending(cells, log).first()["resolved"]
+    assert sorted(r["sequence"] for r in log.collect()) == [5, 6, 7, 8]
     assert decisions.rebase(log, log).count() == 0
     with pytest.raises(ValueError):
         decisions.bulk(cells, POLICY, "use_custom", "x", "t")
@@ -196,8 +197,9 @@ def test_matching_and_recovery(spark, sides):
         recovery.apply_overrides(out, over, POLICY, ("p", 3, "h"))
     line = json.loads(export.json_lines(out, recovery.field_sources(rec, cand, POLICY)).where("idx = 0").first()["value"])
     assert line["Title"] == "Main" and line["_provenance"]["Title"] == "reference_backfill" and line["_provenance"]["Code"] == "candidate"
-    g = export.gate(matching.summary(m, POLICY), qa.counts(found)).first()
-    assert not g["allowed"] and len(g["reasons"]) == 2 and export.failures({}, g, "Pass") == g["reasons"]
+    g = export.gate(matching.summary(m, POLICY), qa.counts(found), POLICY).first()
+    assert not g["allowed"] and g["reasons"][0] == "Match rate 0.2000 is below the profile minimum 0.95." and g["reasons"][1].endswith(" critical finding(s) are unresolved.")
+    assert export.failures(g, "Quarantined") == ["Drift quality gate is Quarantined — critical quality issues are open.", f"Recovered data export is blocked: {' '.join(g['reasons'])}"] and export.failures({"allowed": True, "reasons": [], "critical": 0}, "Pass") == []
     assert views.corroboration(spark.createDataFrame([("Bids are due no later than August 4th.", "8/4/2026", "f"), ("due by 7/1", "8/4/2026", "f"), ("nothing", "8/4/2026", "f")], "text string, value string, field string"), "text", "value", ("no later than", "due by")).select("verdict").collect() == [("corroborated",), ("not_corroborated",), ("no_signal",)]
 
 
@@ -290,8 +292,11 @@ def test_a_search_reads_a_range_of_terms(index):
 
 
 def test_secrets_are_refused(spark):
-    with pytest.raises(ValueError):
-        export.refuse_secrets(["ApiToken"])
+    lines = lambda *t: spark.createDataFrame([(x,) for x in t], "value string")
+    for text in ('{"ApiToken":1}', '{"a":{"deep":[{"db_passwd" : 1}]}}', '{"api-key":"x"}', '{"SecretaryName":"kept out as the feature does"}'):
+        with pytest.raises(ValueError, match="secret-like key"):
+            export.refuse_secrets(lines('{"a":1}', text), "x")
+    export.refuse_secrets(lines('{"a":"token"}', '{"cookie":1}'), "x")
 
 
 def test_shown_texts(spark):
@@ -360,7 +365,7 @@ def test_sequences_are_those_of_one_sort(spark):
 
 
 def test_artifacts():
-    assert export.bundle({"allowed": True, "reasons": []}) == (list(export.ARTIFACTS), []) and export.bundle({"allowed": False, "reasons": ["a", "b"]}) == (list(export.ARTIFACTS[1:]), [("recovered", "a; b")])
+    assert export.bundle({"allowed": True, "reasons": []}) == (list(export.ARTIFACTS), []) and export.bundle({"allowed": False, "reasons": ["a", "b"]}) == (list(export.ARTIFACTS[1:]), [("recovered", "a b")])
     told = export.warnings({"match_rate": 0.5}, 2, POLICY, False, False, True, False)
     assert [w.split(":")[0].split(" by ")[0] for w in told[:2]] == ["MATCH RATE BELOW MINIMUM", "CRITICAL FINDINGS"] and len(told) >= 5
     assert list(export.CSV_COLUMNS) == ["id", "severity", "category", "fieldPath", "recordKey", "candidateValue", "referenceValue", "recommendedAction", "message"]
@@ -450,3 +455,25 @@ def test_export_in_ranges_equals_whole_export(spark, tmp_path, size):
         assert plain(got) == plain(J.records(whole.where("error is null and path not like '%deep%'"), collection)) and got.count() >= 4  # what follows a root is no fault for the whole parse
         bad = {r["path"].rsplit("/", 1)[1] for r in faults.collect()}
         assert bad >= {"cut.json", "deep.json", "number.json"} and ("bad.json" in bad) == (collection == "$")
+
+
+def test_next_pending_looks_ahead_and_wraps(spark):
+
+    r = random.Random(5)
+    rows = [(f"id{i}", f"{i}B", f"k{i}", r.choice([0, 0, 0, 2]), False) for i in range(1, 200)]
+    for own in (rows, [(a, b, c, 0, e) for a, b, c, _, e in rows], [(a, b, c, int(a == "id7"), e) for a, b, c, _, e in rows]):
+        df = spark.createDataFrame(own, "id string, label string, key string, pending int, resolved boolean").repartition(5)
+        got = {x["id"]: x["next"] for x in decisions.next_pending(df).collect()}
+        ahead = lambda i: next((own[(i + k) % len(own)][0] for k in range(1, len(own) + 1) if own[(i + k) % len(own)][3]), None)  # noqa: B023, E731
+        assert got == {x[0]: ahead(i) for i, x in enumerate(own)}
+    summaries = spark.createDataFrame([("a", "1", "k", ["x", "y"]), ("b", "2", None, ["x"]), ("c", "3", "l", []), ("d", "4", "m", ["z"])], "id string, label string, key string, review_fields array<string>")
+    log = spark.createDataFrame([("k", "x"), ("k", "x"), ("m", "z"), ("n", "z")], "key string, field string")
+    assert {tuple(x)[0:1] + tuple(x)[3:] for x in decisions.queue(summaries, log).collect()} == {("a", 1, False), ("b", 0, True), ("c", 0, False), ("d", 0, True)}
+
+
+def test_ticket_fields_and_finding_search(spark):
+    groups = spark.createDataFrame([("field_conflict", "f", 3), ("field_regression", "f", 5), ("systemic_field_regression", "f", 5), ("schema_field_missing", None, 9), ("required_field_missing", "g", 1)], "category string, field string, findings long")
+    assert {tuple(r) for r in views.ticket_fields(groups).collect()} == {("f", "field_regression", 5, "field_conflict,systemic_field_regression"), ("g", "required_field_missing", 1, "")}
+    found = spark.createDataFrame([("field_conflict", "high", "K1", "Title", "Lost."), ("x", "high", None, None, "said")], "category string, severity string, key string, field string, message string")
+    n = lambda *a, **k: views.matching_findings(found, *a, **k).count()
+    assert (n(" lost. k1 TITLE "), n("conflict"), n("  "), n("said  "), n("", severity="high"), n("k1", severity="low")) == (1, 0, 2, 1, 2, 0)

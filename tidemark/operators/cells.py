@@ -123,6 +123,23 @@ def field_summaries(cells: DataFrame, stats: DataFrame, changed: DataFrame) -> D
     return out.withColumns({"distinct_values": F.least("n", F.lit(TRACKED)), "lower_bound": F.col("n") > TRACKED}).drop("n")
 
 
+def record_summaries(cells: DataFrame, diff: DataFrame) -> DataFrame:
+    """Per compared record ``id, label, key`` (of decisions, NULL where there is none), ``status, severity, n_changed`` of ``diff``, cells by lane, ``unchanged`` ones without a lane, and the fields for review and those recovered by themselves, in order. Every record has a row."""
+    names = lambda lane: F.array_sort(F.collect_list(F.when(F.col("lane") == lane, F.col("field")))).alias(f"{lane}_fields")  # noqa: E731  at most the fields of a record
+    sums = cells.groupBy("id").agg(
+        F.first("key", ignorenulls=True).alias("key"), *[F.count_if(F.col("lane") == x).alias(x) for x in ("auto", "review", "ineligible")],
+        F.count_if(F.col("lane").isNull() & (F.col("situation") == "unchanged")).alias("unchanged"), names("review"), names("auto"),
+    )
+    parts = F.from_json("id", "array<string>")
+    label = F.when(F.col("id").startswith("$unkeyed:"), F.col("id")).otherwise(F.array_join(parts, "::"))
+    return diff.select("id", label.alias("label"), "status", "severity", "n_changed").join(sums, "id")
+
+
+def in_order(summaries: DataFrame) -> DataFrame:
+    """The queue's order: labels, numeric-aware."""
+    return summaries.orderBy(V.natural_key(F.col("label")), "id")
+
+
 #: The reason where a record is in no list of recovery (fixed values).
 NOT_RECOVERED = ("not_recovered", "This record is not in the recovery output; decisions on it cannot reach the exported artifact.")
 

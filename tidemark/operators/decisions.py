@@ -227,19 +227,39 @@ def bridge(stamp: dict, policy: Policy, reviewed: bool, verified: bool, hashes:
     return next((why for ok, why in checks if not ok), None)
 
 
-def pending(cells: DataFrame, log: DataFrame) -> DataFrame:
-    """Per record the cells for review, those still open and whether none is."""
-    decided = log.select("key", "field").distinct().withColumn("decided", F.lit(True))
-    own = cells.where("lane = 'review'").select("key", "field").distinct().join(decided, ["key", "field"], "left")
-    return own.groupBy("key").agg(F.count("*").alias("cells"), F.count_if(F.col("decided").isNull()).alias("open")).withColumn("resolved", F.col("open") == 0)
+def queue(summaries: DataFrame, log: DataFrame) -> DataFrame:
+    """``id, label, key, pending`` (review fields without a decision) and ``resolved`` (there were some, and none is left) of each record of :func:`cells.record_summaries`. A record without a decision key has nothing pending."""
+    decided = log.groupBy("key").agg(F.collect_set("field").alias("decided"))  # at most the fields of a record
+    out = summaries.join(decided, "key", "left").withColumn("open", F.array_except("review_fields", F.coalesce("decided", F.array().cast("array<string>"))))
+    pending = F.when(F.col("key").isNull(), 0).otherwise(F.size("open"))
+    return out.select("id", "label", "key", pending.alias("pending"), ((F.size("review_fields") > 0) & (pending == 0)).alias("resolved"))
 
 
-def field_summaries(cells: DataFrame) -> DataFrame:
-    """A13."""
-    return cells.groupBy("field").agg(F.count("*").alias("cells"), *[F.count_if(F.col("lane") == x).alias(x) for x in LANES])
+def progress(rows: DataFrame, summaries: DataFrame) -> DataFrame:
+    """Records that had cells for review (``records_with_pending``), those resolved, and whether nothing is open (``complete``)."""
+    asked = summaries.where(F.size("review_fields") > 0).agg(F.count("*").alias("records_with_pending"))
+    return rows.agg(F.count_if("resolved").alias("resolved_records"), F.coalesce(F.bool_and(F.col("pending") == 0), F.lit(True)).alias("complete")).join(F.broadcast(asked))
+
+
+def next_pending(rows: DataFrame) -> DataFrame:
+    """Adds ``next``: the id of the next record with something pending in the order of labels, from the first again behind the last; NULL where nothing is pending.
+
+    Records are sorted in ranges and written once. Inside a range each looks ahead; behind its
+    last open record stands the first one of a later range, from a table of one row a range.
+    """
+    by = [V.natural_key(F.col("label")), F.col("id")]
+    spread = written(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()), "queue")
+    open_ = F.when(F.col("pending") > 0, F.col("id"))
+    ahead = Window.partitionBy("part").orderBy("at").rowsBetween(1, Window.unboundedFollowing)
+    firsts = spread.where("pending > 0").groupBy("part").agg(F.min_by("id", "at").alias("first"))
+    parts = spread.select("part").distinct().join(firsts, "part", "left")
+    later = Window.orderBy("part").rowsBetween(1, Window.unboundedFollowing)  # a row a range
+    whole = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    parts = parts.select("part", F.coalesce(F.first("first", ignorenulls=True).over(later), F.first("first", ignorenulls=True).over(whole)).alias("later"))
+    found = spread.withColumn("next", F.first(open_, ignorenulls=True).over(ahead)).join(F.broadcast(parts), "part")
+    return found.select(*rows.columns, F.coalesce("next", "later").alias("next"))
 
 
-def record_summaries(cells: DataFrame) -> DataFrame:
-    """A14."""
-    names = lambda lane: F.array_join(F.array_sort(F.collect_set(F.when(F.col("lane") == lane, F.col("field")))), ",")
-    return cells.groupBy("key").agg(*[F.count_if(F.col("lane") == x).alias(x) for x in LANES], names("review").alias("review_fields"), names("auto").alias("auto_fields"))
+def field_summaries(cells: DataFrame) -> DataFrame:
+    """A13 over the findings' cells alone; :func:`cells.field_summaries` classifies every cell."""
+    return cells.groupBy("field").agg(F.count("*").alias("cells"), *[F.count_if(F.col("lane") == x).alias(x) for x in LANES])

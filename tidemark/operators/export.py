@@ -18,19 +18,20 @@ CSV_COLUMNS = {"id": "id", "severity": "severity", "category": "category", "fiel
 KEPT_RESULTS = 20
 
 
-def gate(match_summary: DataFrame, counts: DataFrame, block_on_rate: bool = True, block_on_critical: bool = True) -> DataFrame:
-    """``allowed`` and the reasons against."""
+def gate(match_summary: DataFrame, counts: DataFrame, policy: Policy, block_on_rate: bool = True, block_on_critical: bool = True) -> DataFrame:
+    """``allowed``, the ``reasons`` against (fixed texts) and the number of ``critical`` findings."""
     critical = counts.where("dimension = 'severity' and name = 'critical'").select(F.col("n").alias("critical"))
     both = match_summary.join(F.broadcast(critical))
-    reasons = F.filter(F.array(F.when(F.lit(block_on_rate) & ~F.col("meets_minimum"), "match rate below minimum"), F.when(F.lit(block_on_critical) & (F.col("critical") > 0), "critical findings")), lambda r: r.isNotNull())
-    return both.select(reasons.alias("reasons")).withColumn("allowed", F.size("reasons") == 0)
+    rate = F.concat(F.lit("Match rate "), F.format_string("%.4f", "match_rate"), F.lit(f" is below the profile minimum {policy.minimum_match_rate:g}."))
+    unresolved = F.concat(F.col("critical").cast("string"), F.lit(" critical finding(s) are unresolved."))
+    reasons = F.filter(F.array(F.when(F.lit(block_on_rate) & ~F.col("meets_minimum"), rate), F.when(F.lit(block_on_critical) & (F.col("critical") > 0), unresolved)), lambda r: r.isNotNull())
+    return both.select(reasons.alias("reasons"), "critical").withColumn("allowed", F.size("reasons") == 0)
 
 
-def refuse_secrets(names: Sequence[str]) -> None:
-    """No artifact may have a key that names a secret."""
-    bad = [n for n in names if any(s in n.lower() for s in V.SECRET_KEYS)]
-    if bad:
-        raise ValueError(f"the artifact names secrets: {', '.join(bad)}")
+def refuse_secrets(lines: DataFrame, name: str, column: str = "value") -> None:
+    """Raises if any key in an artifact's JSON text, at any depth, names a secret."""
+    if bad := lines.where(F.col(column).rlike(V.SECRET_KEY)).select(F.regexp_extract(column, V.SECRET_KEY, 0).alias("k")).first():
+        raise ValueError(f"Refusing to export {name}: content contains a secret-like key ({bad['k'].strip()})")
 
 
 def json_lines(result: Snapshot, sources: DataFrame | None = None) -> DataFrame:
@@ -44,8 +45,9 @@ def json_lines(result: Snapshot, sources: DataFrame | None = None) -> DataFrame:
 
 
 def write_recovered(result: Snapshot, path: str, sources: DataFrame | None = None) -> None:
-    refuse_secrets(result.fields)
-    json_lines(result, sources).select("value").write.mode("overwrite").text(path)
+    lines = json_lines(result, sources).select("value")
+    refuse_secrets(lines, "recovered")
+    lines.write.mode("overwrite").text(path)
 
 
 def csv_lines(findings: DataFrame) -> DataFrame:
@@ -82,7 +84,7 @@ def bundle(gate_row: Mapping[str, Any]) -> tuple[list[str], list[tuple[str, str]
     """The artifacts to write, and those withheld with the reasons: recovered data only if the gate allows it, the other four always."""
     if gate_row["allowed"]:
         return list(ARTIFACTS), []
-    return list(ARTIFACTS[1:]), [(ARTIFACTS[0], "; ".join(gate_row["reasons"]))]
+    return list(ARTIFACTS[1:]), [(ARTIFACTS[0], " ".join(gate_row["reasons"]))]
 
 
 def write_document(result: Snapshot, path: str, policy: Policy, recovery_summary: Mapping[str, Any], generated_at: str, audit: str) -> None:
@@ -141,6 +143,9 @@ def expired_results(cache: DataFrame) -> DataFrame:
     return cache.withColumn("n", F.row_number().over(w)).where(F.col("n") > KEPT_RESULTS).drop("n")
 
 
-def failures(match: Mapping[str, Any], gate_row: Mapping[str, Any], drift_gate: str) -> list[str]:
-    """Why a headless run ends with exit code 1."""
-    return [*gate_row["reasons"], *(["the drift gate is Quarantined"] if drift_gate == "Quarantined" else [])]
+def failures(gate_row: Mapping[str, Any], drift_gate: str) -> list[str]:
+    """Why a headless run ends with exit code 1, in order (fixed texts)."""
+    out = ["Drift quality gate is Quarantined — critical quality issues are open."] if drift_gate == "Quarantined" else []
+    if not gate_row["allowed"]:
+        return [*out, f"Recovered data export is blocked: {' '.join(gate_row['reasons'])}"]
+    return [*out, *([f"{gate_row['critical']} critical finding(s) are unresolved."] if gate_row["critical"] > 0 else [])]

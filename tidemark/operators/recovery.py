@@ -33,7 +33,7 @@ def _backfills(policy: Policy, reference: Snapshot, candidate: Snapshot) -> dict
 def recover(matches: DataFrame, reference: Snapshot, candidate: Snapshot, policy: Policy, overrides: DataFrame | None = None, matched: DataFrame | None = None) -> DataFrame:
     """R2-R6 as one row a candidate record.
 
-    ``key, record_key, candidate_idx, reference_idx, status, excluded`` (reason or NULL),
+    ``key, record_key, matched_key`` (of the pass that decided) ``, candidate_idx, reference_idx, status, excluded`` (reason or NULL),
     ``missing`` (fields still lacking), ``backfilled``, ``overridden`` (arrays of names),
     ``derived`` (holds reference values) and the output record ``v`` (struct f0, f1, ...).
     ``overrides`` (key, field, value as JSON text, ord) replace any value, the last one wins.
@@ -59,7 +59,7 @@ def recover(matches: DataFrame, reference: Snapshot, candidate: Snapshot, policy
         .when((F.col("status") == "candidate_only") & F.lit(policy.candidate_only == "exclude"), "candidate_only_policy")
         .when(F.size("missing") > 0, "hard_required_field_missing")
     )
-    return rows.select("key", "record_key", "candidate_idx", "reference_idx", "status", excluded.alias("excluded"), "missing", "backfilled", "overridden", (F.size("backfilled") > 0).alias("derived"), "v")
+    return rows.select("key", "record_key", F.col("candidate_key").alias("matched_key"), "candidate_idx", "reference_idx", "status", excluded.alias("excluded"), "missing", "backfilled", "overridden", (F.size("backfilled") > 0).alias("derived"), "v")
 
 
 def output(recovered: DataFrame, candidate: Snapshot, policy: Policy) -> Snapshot:
@@ -150,12 +150,25 @@ def summary(recovered: DataFrame) -> DataFrame:
 
 
 def record_findings(recovered: DataFrame, findings: DataFrame) -> DataFrame:
-    """Findings of each candidate record by its key, or by its ordinal where it has none; ids in order."""
-    keyed = recovered.where("record_key is not null").select("candidate_idx", F.col("record_key").alias("key")).join(findings.where("key is not null").select("key", "ord", "id"), "key").select("candidate_idx", "ord", "id")
-    bare = recovered.where("record_key is null").select("candidate_idx").join(findings.where("key is null and candidate_idx is not null").select("candidate_idx", "ord", "id"), "candidate_idx")
+    """Findings of each candidate record by any of its keys (the record's own, and the one under which it was matched or found ambiguous), or by its ordinal where it has none; ids in order."""
+    keys = F.array_compact(F.array_distinct(F.array("record_key", "matched_key")))
+    told = recovered.select("candidate_idx", keys.alias("keys"))
+    keyed = told.select("candidate_idx", F.explode("keys").alias("key")).join(findings.where("key is not null").select("key", "ord", "id"), "key").select("candidate_idx", "ord", "id")
+    bare = told.where(F.size("keys") == 0).join(findings.where("key is null and candidate_idx is not null").select("candidate_idx", "ord", "id"), "candidate_idx")
     return keyed.unionByName(bare.select("candidate_idx", "ord", "id")).distinct()
 
 
+def justified(recovered: DataFrame, findings: DataFrame, policy: Policy) -> DataFrame:
+    """R2: exclusions with the ids of their findings, in the order of categories."""
+    own = record_findings(recovered.where("excluded is not null"), findings).groupBy("candidate_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "id"))), lambda x: x["id"]).alias("finding_ids"))
+    return exclusions(recovered, policy).join(own, "candidate_idx", "left").withColumn("finding_ids", F.coalesce("finding_ids", F.array().cast("array<string>")))
+
+
+def retained(recovered: DataFrame, deduped: DataFrame) -> DataFrame:
+    """The recovered records that the export holds: valid ones that dedupe retained."""
+    return recovered.join(deduped.where("outcome = 'retained' and valid").select("candidate_idx"), "candidate_idx", "left_semi")
+
+
 def dedupe(recovered: DataFrame, candidate: Snapshot, policy: Policy) -> DataFrame:
     """One row a participant: ``dedupe_key, candidate_idx, valid, derived, required, participants`` (of the key) ``, outcome`` and the removal's ``reason`` and ``winner_idx``.
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import values as V
 from ..plans.policy import Policy
 from ..sources.snapshot import Snapshot
+from .qa import CATEGORIES
 
 #: Fixed values of the features.
 TRACKED_VALUES, GROUPABLE, SAMPLES, EXAMPLES = 64, 25, 5, 3
@@ -74,14 +75,22 @@ def changed_records(recovered: DataFrame) -> DataFrame:
 
 
 def tiles(match_summary: DataFrame, recovery_summary: DataFrame, dedupe_summary: DataFrame, counts: DataFrame, policy: Policy) -> DataFrame:
-    """Label, value and tone; every input has one row (counts: a few)."""
-    critical = counts.where("dimension = 'severity' and name = 'critical'").select(F.col("n").alias("critical"))
-    one = match_summary.select("match_rate").join(F.broadcast(recovery_summary.select("recovered", "excluded"))).join(F.broadcast(dedupe_summary.select("removed"))).join(F.broadcast(critical))
-    row = lambda label, value, bad: F.struct(F.lit(label).alias("label"), value.cast("double").alias("value"), F.when(bad, "warning").otherwise("ok").alias("tone"))
-    return one.select(F.inline(F.array(
-        row("match rate", F.col("match_rate"), F.col("match_rate") < policy.minimum_match_rate), row("recovered", F.col("recovered"), F.lit(False)), row("excluded", F.col("excluded"), F.col("excluded") > 0),
-        row("duplicates removed", F.col("removed"), F.col("removed") > 0), row("critical findings", F.col("critical"), F.col("critical") > 0),
-    )))
+    """``ord, id, label, value, detail, tone`` (good, neutral, warn, bad) of the five tiles (fixed texts); every input has one row (counts: a few)."""
+    named = lambda dimension, name: F.max(F.when((F.col("dimension") == dimension) & (F.col("name") == name), F.col("n"))).alias(name)
+    found = counts.agg(named("severity", "critical"), named("total", "total"))
+    one = match_summary.join(F.broadcast(recovery_summary.select("backfilled_fields", "records_with_backfill", F.col("excluded").alias("out")))).join(F.broadcast(dedupe_summary.select("removed", "duplicate_groups"))).join(F.broadcast(found))
+    said = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    text = lambda c: F.col(c).cast("string")
+    some = lambda c, yes, no: F.when(F.col(c) > 0, yes).otherwise(no)
+    matched = (F.col("matched_primary") + F.col("matched_fallback")).cast("string")
+    rows = (
+        ("match-rate", "Match rate", said(F.format_string("%.2f", F.col("match_rate") * 100), "%"), said(matched, " of ", text("candidates"), " candidate records"), F.when(F.col("meets_minimum"), "good").otherwise("bad")),
+        ("values-recovered", "Values recovered", text("backfilled_fields"), said("across ", text("records_with_backfill"), " records") if policy.backfillable()[0] else F.lit("no field is approved for backfill"), some("backfilled_fields", "good", "neutral")),
+        ("records-excluded", "Records excluded", text("out"), some("out", "see exclusions below", "none"), some("out", "warn", "good")),
+        ("duplicates-removed", "Duplicates removed", text("removed"), said(text("duplicate_groups"), " duplicate group(s)"), some("removed", "warn", "good")),
+        ("critical-findings", "Critical findings", text("critical"), said(text("total"), " findings in total"), some("critical", "bad", "good")),
+    )
+    return one.select(F.inline(F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(a).alias("id"), F.lit(b).alias("label"), v.alias("value"), d.alias("detail"), t.alias("tone")) for i, (a, b, v, d, t) in enumerate(rows)])))
 
 
 def options(findings: DataFrame) -> DataFrame:
@@ -98,9 +107,10 @@ def ticket_groups(findings: DataFrame) -> DataFrame:
 
 
 def ticket_fields(groups: DataFrame) -> DataFrame:
-    """One row a field: its largest category (the alphabetically first on ties) and the others, sorted."""
-    w = groups.where("field is not null").groupBy("field").agg(F.max_by("category", F.struct("findings", F.transform(F.split("category", ""), lambda c: -F.ascii(c)))).alias("main"), F.sum("findings").alias("findings"), F.collect_set("category").alias("all"))
-    return w.select("field", "main", "findings", F.array_join(F.array_sort(F.array_except("all", F.array("main"))), ",").alias("others"))
+    """One row a field: its largest group's category and count (of equal ones the earlier category), and its other categories, sorted."""
+    order = F.array_position(F.array(*map(F.lit, CATEGORIES)), F.col("category"))
+    w = groups.where("field is not null").groupBy("field").agg(F.max_by(F.struct("category", "findings"), F.struct("findings", -order)).alias("main"), F.collect_set("category").alias("all"))
+    return w.select("field", F.col("main.category").alias("main"), F.col("main.findings").alias("findings"), F.array_join(F.array_sort(F.array_except("all", F.array("main.category"))), ",").alias("others"))
 
 
 def filtered(diff: DataFrame, statuses: Sequence[str] = (), fields: Sequence[str] = (), kinds: Sequence[str] = (), severities: Sequence[str] = ()) -> DataFrame:
@@ -198,11 +208,12 @@ def sorted_cells(cells: DataFrame, by: str = "key", descending: bool = False) ->
 
 
 def matching_findings(findings: DataFrame, text: str = "", **equal: str) -> DataFrame:
-    """Q7: equal columns and a substring of key, field, category or message, letters in any case."""
+    """Q7: equal columns, and a substring of message, key and field joined by blanks, letters in any case; the searched text is trimmed."""
     out = findings
     for c, v in equal.items():
         out = out.where(F.col(c) == v)
-    return out.where(F.lower(F.concat_ws("\n", "key", "field", "category", "message")).contains(text.lower())) if text else out
+    shown = F.concat(F.coalesce("message", F.lit("")), F.lit(" "), F.coalesce("key", F.lit("")), F.lit(" "), F.coalesce("field", F.lit("")))
+    return out.where(F.lower(shown).contains(text.strip().lower())) if text.strip() else out
 
 
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")

@@ -291,8 +291,45 @@ def field_summaries(spark, sf_dir):
     return decisions.field_summaries(Review(spark, sf_dir).cells)
 
 
+def _promoted(spark, sf_dir):
+    both = sides(spark, sf_dir)
+    return drift.promoted(drift.compared(*both, ("id",), POLICY.quality), drift.quality_issues(*both, ("id",), POLICY.quality, related=False), drift.duplicate_keys(*both, ("id",)))
+
+
+def _summaries(spark, sf_dir):
+    return written(cells.record_summaries(_cells(spark, sf_dir)[1], _promoted(spark, sf_dir)), "summaries")
+
+
 def record_summaries(spark, sf_dir):
-    return decisions.record_summaries(Review(spark, sf_dir).cells)
+    lists = [F.array_join(f"{lane}_fields", ",").alias(f"{lane}_fields") for lane in ("review", "auto")]
+    return _summaries(spark, sf_dir).select("id", "label", "key", "status", "severity", "n_changed", "auto", "review", "ineligible", "unchanged", *lists)
+
+
+def summary_tiles(spark, sf_dir):
+    r = Review(spark, sf_dir)
+    recovered = written(r.recovered, "recovered")
+    return views.tiles(matching.summary(r.matches, POLICY), recovery.summary(recovered), recovery.dedupe_summary(recovery.dedupe(recovered, r.candidate, POLICY)), qa.counts(r.findings), POLICY)
+
+
+def ticket_fields(spark, sf_dir):
+    return views.ticket_fields(views.ticket_groups(Review(spark, sf_dir).findings))
+
+
+def finding_search(spark, sf_dir):
+    found = Review(spark, sf_dir).findings
+    return views.matching_findings(found, " REFERENCE AND THE CANDIDATE. [\"1", severity="medium").select("category", "field", "key")
+
+
+def exclusion_findings(spark, sf_dir):
+    r = Review(spark, sf_dir)
+    return recovery.justified(r.recovered, r.findings, POLICY).select("candidate_idx", "reason", F.size("finding_ids").alias("findings"), F.array_join("finding_ids", ",").alias("finding_ids"))
+
+
+def exported_records(spark, sf_dir):
+    r = Review(spark, sf_dir)
+    recovered = written(r.recovered, "recovered")
+    kept = recovery.output(recovery.retained(recovered, recovery.dedupe(recovered, r.candidate, POLICY)), r.candidate, POLICY)
+    return export.json_lines(kept).select(F.col("idx").alias("candidate_idx"), "value")
 
 
 def bulk_impact(spark, sf_dir):
@@ -321,7 +358,12 @@ def decision_summary(spark, sf_dir):
 
 
 def pending_queue(spark, sf_dir):
-    return decisions.pending(Review(spark, sf_dir).cells, _log(spark, sf_dir))
+    return decisions.next_pending(decisions.queue(_summaries(spark, sf_dir), _log(spark, sf_dir))).select("id", "pending", "resolved", "next")
+
+
+def queue_progress(spark, sf_dir):
+    own = _summaries(spark, sf_dir)
+    return decisions.progress(decisions.queue(own, _log(spark, sf_dir)), own)
 
 
 def field_distribution(spark, sf_dir):
@@ -375,7 +417,7 @@ def search_candidates(spark, sf_dir):
 
 def export_gate(spark, sf_dir):
     r = Review(spark, sf_dir)
-    return export.gate(matching.summary(r.matches, POLICY), qa.counts(r.findings)).select("allowed", F.array_join("reasons", ",").alias("reasons"))
+    return export.gate(matching.summary(r.matches, POLICY), qa.counts(r.findings), POLICY).select("allowed", "critical", F.array_join("reasons", " ").alias("reasons"))
 
 
 def findings_csv(spark, sf_dir):
@@ -631,12 +673,10 @@ ORACLES: dict[str, str] = {
     "lanes": f"{_LANES} SELECT key, field, category, lane FROM la",
     "lane_counts": f"{_LANES} SELECT count(*) FILTER (WHERE lane = 'auto') AS auto, count(*) FILTER (WHERE lane = 'review') AS review, count(*) FILTER (WHERE lane = 'ineligible') AS ineligible FROM la",
     "field_summaries": f"{_LANES} SELECT field, count(*) AS cells, count(*) FILTER (WHERE lane = 'auto') AS auto, count(*) FILTER (WHERE lane = 'review') AS review, count(*) FILTER (WHERE lane = 'ineligible') AS ineligible FROM la GROUP BY field",
-    "record_summaries": f"{_LANES} SELECT key, count(*) FILTER (WHERE lane = 'auto') AS auto, count(*) FILTER (WHERE lane = 'review') AS review, count(*) FILTER (WHERE lane = 'ineligible') AS ineligible, coalesce(string_agg(DISTINCT field, ',' ORDER BY field) FILTER (WHERE lane = 'review'), '') AS review_fields, coalesce(string_agg(DISTINCT field, ',' ORDER BY field) FILTER (WHERE lane = 'auto'), '') AS auto_fields FROM la GROUP BY key",
     "bulk_impact": f"{_LANES} SELECT count(*) FILTER (WHERE lane <> 'ineligible') AS eligible, count(*) FILTER (WHERE lane = 'ineligible') AS ineligible, count(*) FILTER (WHERE lane <> 'ineligible' AND blank) AS fills, count(*) FILTER (WHERE lane <> 'ineligible' AND NOT blank) AS overwrites, count(*) FILTER (WHERE lane <> 'ineligible' AND field IN ('status', 'price')) AS date_sensitive, count(DISTINCT field) FILTER (WHERE lane <> 'ineligible') AS fields FROM la",
     "decision_latest": f"WITH g AS ({LOG.format(orders='orders')}) SELECT key, field, action, value FROM g QUALIFY row_number() OVER (PARTITION BY key, field ORDER BY sequence DESC) = 1",
     "decision_overrides": f"WITH g AS ({LOG.format(orders='orders')}) SELECT key, field, action, value, reason, ord FROM (SELECT key, field, action, value, reason, sequence AS ord FROM g QUALIFY row_number() OVER (PARTITION BY key, field ORDER BY sequence DESC) = 1) WHERE action <> 'keep_candidate'",
     "decision_summary": f"WITH g AS ({LOG.format(orders='orders')}), r AS (SELECT key, field, count(*) AS n, max_by(action, sequence) AS action FROM g GROUP BY key, field) SELECT CAST(sum(n) AS BIGINT) AS entries, count(*) AS cells, count(*) FILTER (WHERE n > 1) AS revised, count(*) FILTER (WHERE action = 'backfill') AS backfill, count(*) FILTER (WHERE action = 'keep_candidate') AS keep_candidate, count(*) FILTER (WHERE action = 'use_custom') AS use_custom FROM r",
-    "pending_queue": f"{_LANES}, g AS ({LOG.format(orders='orders')}), q AS (SELECT DISTINCT key, field FROM la WHERE lane = 'review') SELECT key, count(*) AS cells, count(*) FILTER (WHERE (key, field) NOT IN (SELECT (key, field) FROM g)) AS open, count(*) FILTER (WHERE (key, field) NOT IN (SELECT (key, field) FROM g)) = 0 AS resolved FROM q GROUP BY key",
     "field_distribution": "SELECT o_orderpriority AS value, count(*) AS count FROM orders WHERE trim(o_orderpriority) <> '' GROUP BY 1",
     "backfill_groups": f"{_FILLS} SELECT field, count(*) AS backfills, count(DISTINCT output) AS distinct_values FROM prov GROUP BY field",
     "exclusion_groups": f"{_RECOVERED}, e AS (SELECT excluded AS reason, candidate_idx, row_number() OVER (PARTITION BY excluded ORDER BY candidate_idx) AS rn FROM rr WHERE excluded IS NOT NULL) SELECT reason, count(*) AS records, string_agg(CAST(candidate_idx AS STRING), ',' ORDER BY candidate_idx) FILTER (WHERE rn <= 3) AS examples FROM e GROUP BY reason",
@@ -648,7 +688,7 @@ ORACLES: dict[str, str] = {
     "finding_counts": f"{_ALL}, x AS (SELECT 'severity' AS dimension, severity AS name FROM f UNION ALL SELECT 'category', category FROM f UNION ALL SELECT 'total', 'total' FROM f), names AS (SELECT unnest({list(qa.SEVERITIES)}) AS name, 'severity' AS dimension UNION ALL SELECT unnest({list(qa.CATEGORIES)}), 'category' UNION ALL SELECT 'total', 'total') SELECT names.dimension, names.name, count(x.name) AS n FROM names LEFT JOIN x ON names.dimension = x.dimension AND names.name = x.name GROUP BY names.dimension, names.name",
     "finding_ids": f"{_ALL} SELECT {_FINDING_ID.format(category='category', key='key', field='field', discriminator='discriminator')} AS id, category, key, field, discriminator FROM f",
     "ticket_groups": f"{_ALL} SELECT category, field, count(*) AS findings, min_by(severity, list_position({list(qa.SEVERITIES)}, severity)) AS severity FROM f GROUP BY category, field",
-    "export_gate": f"{_ALL}, g AS (SELECT (SELECT count(*) FROM f WHERE severity = 'critical') AS critical, (SELECT count(*) FROM f WHERE discriminator = 'match_rate_below_minimum') AS low) SELECT critical = 0 AND low = 0 AS allowed, concat_ws(',', CASE WHEN low > 0 THEN 'match rate below minimum' END, CASE WHEN critical > 0 THEN 'critical findings' END) AS reasons FROM g",
+    "export_gate": f"{_ALL}, g AS (SELECT (SELECT count(*) FROM f WHERE severity = 'critical') AS critical, (SELECT count(*) FROM f WHERE discriminator = 'match_rate_below_minimum') AS low, ({_MATCH} SELECT count(*) FILTER (WHERE status LIKE 'matched%') / count(candidate_idx) FROM m) AS rate) SELECT critical = 0 AND low = 0 AS allowed, critical, concat_ws(' ', CASE WHEN low > 0 THEN concat('Match rate ', format('{{:.4f}}', rate), ' is below the profile minimum 0.95.') END, CASE WHEN critical > 0 THEN concat(critical, ' critical finding(s) are unresolved.') END) AS reasons FROM g",
     "cell_classes": f"{_CELL_CLASSES} SELECT field, situation, lane, reason, manual, count(*) AS n FROM k GROUP BY field, situation, lane, reason, manual",
     "cell_evidence": f"{_CELL_CLASSES}, e AS (SELECT field, count(*) FILTER (WHERE situation = 'candidate_blank') AS eligible, count(*) FILTER (WHERE situation = 'conflict') AS conflicts, count(*) FILTER (WHERE NOT cblank AND NOT rblank) AS comparable FROM k GROUP BY field) SELECT e.*, comparable = 0 AS volatility_unmeasurable, round(br, 6) AS baseline_rate, round(lr, 6) AS latest_rate FROM e JOIN ({_STATS} SELECT field, br, lr FROM st) USING (field)",
     "cell_summaries": f"{_CELL_CLASSES}, e AS (SELECT field, least(count(DISTINCT rv) FILTER (WHERE NOT rblank), 64) AS distinct_values, count(DISTINCT rv) FILTER (WHERE NOT rblank) > 64 AS lower_bound, count(*) FILTER (WHERE lane = 'auto') AS auto, count(*) FILTER (WHERE lane = 'review') AS review, count(*) FILTER (WHERE lane = 'ineligible') AS ineligible, count(*) FILTER (WHERE lane IS NULL AND situation = 'unchanged') AS unchanged FROM k GROUP BY field) SELECT e.*, severity, changed FROM e JOIN ({_STATS} SELECT field, severity FROM st) USING (field) JOIN ({_CHANGES} SELECT f.field, count(kind) AS changed FROM (SELECT unnest(['id', 'cust', 'status', 'price', 'priority', 'contact', 'code', 'origin', 'batch']) AS field) f LEFT JOIN c ON f.field = c.path GROUP BY f.field) USING (field)",
@@ -660,11 +700,34 @@ ORACLES: dict[str, str] = {
     "source_detection": "SELECT CASE WHEN count(*) FILTER (WHERE regexp_matches(lower(url), '^https?://blog[.]')) > 0 THEN 'match' ELSE 'none' END AS state, CASE WHEN count(*) FILTER (WHERE regexp_matches(lower(url), '^https?://blog[.]')) > 0 THEN 'com' ELSE '' END AS policies FROM (SELECT * FROM pages ORDER BY page_id LIMIT 25)",
 }
 
+_SUMMARIES = f"""{_CELL_CLASSES}, own AS (SELECT id AS n, any_value(key) AS key, count(*) FILTER (WHERE lane = 'auto') AS auto, count(*) FILTER (WHERE lane = 'review') AS review, count(*) FILTER (WHERE lane = 'ineligible') AS ineligible, count(*) FILTER (WHERE lane IS NULL AND situation = 'unchanged') AS unchanged,
+  coalesce(string_agg(field, ',' ORDER BY field) FILTER (WHERE lane = 'review'), '') AS review_fields, coalesce(string_agg(field, ',' ORDER BY field) FILTER (WHERE lane = 'auto'), '') AS auto_fields FROM k GROUP BY id),
+sums AS (SELECT own.key AS id, CAST(n AS STRING) AS label, own.key, st.status, i.severity, CAST(c.n_changed AS INT) AS n_changed, auto, review, ineligible, unchanged, review_fields, auto_fields, own.n FROM own JOIN ({ORACLES["record_status"]}) st ON own.key = st.id JOIN ({ORACLES["related_issues"]}) i ON own.key = i.id JOIN ({_CHANGES} SELECT {_KEY.format("id")} AS id, count(*) AS n_changed FROM c GROUP BY c.id) c ON own.key = c.id),
+g AS ({LOG.format(orders="orders")}), q AS (SELECT id, n, review, CAST((SELECT count(*) FROM unnest(string_split(review_fields, ',')) u(f) WHERE f <> '' AND (sums.key, f) NOT IN (SELECT (g.key, g.field) FROM g)) AS INT) AS pending FROM sums)"""
+ORACLES |= {
+    "record_summaries": f"{_SUMMARIES} SELECT * EXCLUDE n FROM sums",
+    "pending_queue": f"{_SUMMARIES}, w AS (SELECT *, CASE WHEN pending > 0 THEN n END AS o FROM q) SELECT id, pending, review > 0 AND pending = 0 AS resolved, {_KEY.format('coalesce(min(o) OVER (ORDER BY n ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), min(o) OVER ())')} AS next FROM w",
+    "queue_progress": f"{_SUMMARIES} SELECT count(*) FILTER (WHERE review > 0) AS records_with_pending, count(*) FILTER (WHERE review > 0 AND pending = 0) AS resolved_records, bool_and(pending = 0) AS complete FROM q",
+    "summary_tiles": f"""WITH f AS ({ORACLES["finding_counts"]}), m AS ({ORACLES["match_counts"]}), r AS ({ORACLES["recovery_summary"]}), d AS ({ORACLES["dedupe_summary"]}), c AS (SELECT max(n) FILTER (WHERE name = 'critical') AS critical, max(n) FILTER (WHERE name = 'total') AS total FROM f)
+      SELECT 0 AS ord, 'match-rate' AS id, 'Match rate' AS label, concat(format('{{:.2f}}', (matched_primary + matched_fallback) / m.candidates * 100), '%') AS value, concat(matched_primary + matched_fallback, ' of ', m.candidates, ' candidate records') AS detail, CASE WHEN meets_minimum THEN 'good' ELSE 'bad' END AS tone FROM m
+      UNION ALL SELECT 1, 'values-recovered', 'Values recovered', CAST(backfilled_fields AS STRING), concat('across ', records_with_backfill, ' records'), CASE WHEN backfilled_fields > 0 THEN 'good' ELSE 'neutral' END FROM r
+      UNION ALL SELECT 2, 'records-excluded', 'Records excluded', CAST(excluded AS STRING), CASE WHEN excluded > 0 THEN 'see exclusions below' ELSE 'none' END, CASE WHEN excluded > 0 THEN 'warn' ELSE 'good' END FROM r
+      UNION ALL SELECT 3, 'duplicates-removed', 'Duplicates removed', CAST(removed AS STRING), concat(duplicate_groups, ' duplicate group(s)'), CASE WHEN removed > 0 THEN 'warn' ELSE 'good' END FROM d
+      UNION ALL SELECT 4, 'critical-findings', 'Critical findings', CAST(critical AS STRING), concat(total, ' findings in total'), CASE WHEN critical > 0 THEN 'bad' ELSE 'good' END FROM c""",
+    "ticket_fields": f"""WITH g AS ({ORACLES["ticket_groups"]}), r AS (SELECT *, row_number() OVER (PARTITION BY field ORDER BY findings DESC, list_position({list(qa.CATEGORIES)}, category)) AS n FROM g WHERE field IS NOT NULL)
+      SELECT field, max(category) FILTER (WHERE n = 1) AS main, max(findings) FILTER (WHERE n = 1) AS findings, coalesce(string_agg(category, ',' ORDER BY category) FILTER (WHERE n > 1), '') AS others FROM r GROUP BY field""",
+    "finding_search": f"{_CELLS} SELECT 'field_conflict' AS category, field, key FROM conf WHERE starts_with(key, '[\"1')",
+    "exclusion_findings": f"""WITH e AS ({_RECOVERED} SELECT rr.candidate_idx, excluded AS reason, {_KEY.format("rr.id")} AS k1, CASE WHEN rr.mstatus = 'ambiguous_fallback' THEN concat('["', CAST(l.cust AS STRING), '","', CAST(l.price AS STRING), '"]') END AS k2 FROM rr JOIN l ON rr.candidate_idx = l.idx WHERE excluded IS NOT NULL), f AS ({ORACLES["finding_ids"]}),
+      h AS (SELECT DISTINCT e.candidate_idx, f.id, list_position({list(qa.CATEGORIES)}, category) AS ord FROM e JOIN f ON f.key = e.k1 OR f.key = e.k2) SELECT e.candidate_idx, reason, CAST(count(h.id) AS INT) AS findings, coalesce(string_agg(h.id, ',' ORDER BY ord, h.id), '') AS finding_ids FROM e LEFT JOIN h USING (candidate_idx) GROUP BY ALL""",
+    "exported_records": f"""{_DEDUPE} SELECT l.idx AS candidate_idx, concat('{{"id":', l.id, ',"cust":', l.cust, ',"status":', {_JSON.format("dd.os")}, ',"price":', l.price, ',"priority":', {_JSON.format("dd.oq")}, ',"contact":"', l.contact, '","code":"', l.code, '","batch":"b1"}}') AS value FROM du JOIN dd USING (candidate_idx) JOIN l ON l.idx = candidate_idx WHERE outcome = 'retained'""",
+}
+
 _PLAIN = (
     blank_vs_empty_census, identity_key_build, csv_escape, change_kind_matrix, record_status, record_status_counts, field_changes, field_stats, field_change_rollup, top_regressions, duplicate_keys, group_incidents,
     quality_issues, quality_gate, match_results, match_counts, ambiguity_detail, finding_counts, finding_ids, backfill_provenance, recovered_records, recovery_exclusions, recovery_summary, field_provenance,
     dedupe_outcomes, dedupe_summary, lanes, lane_counts, field_summaries, record_summaries, bulk_impact, decision_latest, decision_overrides, decision_summary, pending_queue, field_distribution, backfill_groups,
     exclusion_groups, ticket_groups, evidence_counts, record_filter, record_search, search_candidates, export_gate, findings_csv, conflicts_csv, document_diff, document_summary, document_health, document_states, identity_census, source_detection,
+    summary_tiles, ticket_fields, finding_search, exclusion_findings, exported_records, queue_progress,
     changed_record_counts, nested_changes, nested_status, related_issues, cell_classes, cell_evidence, cell_summaries, record_details, record_inspection,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _PLAIN} | {f"qa_{k}": _category(k) for k in _FINDINGS}
