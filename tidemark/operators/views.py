@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import values as V
 from ..plans.policy import Policy
+from ..sources.scratch import written
 from ..sources.snapshot import Snapshot
 from .qa import CATEGORIES
 
@@ -22,18 +24,34 @@ def distribution(side: Snapshot, field: str) -> DataFrame:
     return side.df.where(~V.is_blank(v)).groupBy(V.text_of(v).alias("value")).count()
 
 
-def tracked_distribution(side: Snapshot, field: str) -> DataFrame:
-    """A11 with the feature's cap: counts of the first TRACKED_VALUES distinct values in record order.
+def tracked_values(rows: DataFrame, value: Column, order: Column) -> DataFrame:
+    """A11 with the feature's cap: ``value, count, first`` of the first TRACKED_VALUES distinct populated values of ``rows``, by ``order``.
 
-    Each row has the facts of all values beside it: ``populated`` and ``distinct``, whether
-    that is a ``lower_bound`` for the feature (which tracks no more values), and whether the
-    field is ``groupable``.
+    Each row has the facts of all values beside it: ``populated``, ``distinct`` values as far as they are
+    tracked, whether that is a ``lower_bound``, whether the field is ``groupable``, and ``estimate``, a sketch's count of all
+    distinct values. A task passes on its own first values only: whichever is among the first of
+    all is among the first of the task that holds its first row. Their counts are then summed
+    map-side beside a table of these few. So no task shuffles more rows than are tracked.
     """
-    v = side.col(field)
-    values = side.df.where(~V.is_blank(v)).groupBy(V.text_of(v).alias("value")).agg(F.count("*").alias("count"), F.min("idx").alias("first"))
-    whole = values.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("populated"), F.count("*").alias("distinct"))
-    whole = whole.withColumns({"lower_bound": F.col("distinct") > TRACKED_VALUES, "groupable": F.col("distinct").between(1, GROUPABLE)})
-    return values.orderBy("first").limit(TRACKED_VALUES).crossJoin(F.broadcast(whole))
+    told = rows.where(~V.is_blank(value)).select(V.text_of(value).alias("value"), order.cast("long").alias("at"))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, int] = {}
+        for b in batches:
+            for v, at in zip(b["value"].to_pylist(), b["at"].to_pylist()):
+                if at < seen.get(v, 1 << 63):
+                    seen[v] = at
+            if len(seen) > TRACKED_VALUES + 1:  # one more tells whether there are more
+                seen = dict(sorted(seen.items(), key=lambda x: x[1])[: TRACKED_VALUES + 1])
+        yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["value", "first"])
+
+    every = told.mapInArrow(first, "value string, first long").groupBy("value").agg(F.min("first").alias("first")).orderBy("first").limit(TRACKED_VALUES + 1)
+    every = written(every, "tracked")
+    kept = every.orderBy("first").limit(TRACKED_VALUES)
+    counts = told.join(F.broadcast(kept), "value").groupBy("value", "first").agg(F.count("*").alias("count"))
+    whole = told.agg(F.count("*").alias("all"), F.hll_sketch_estimate(F.hll_sketch_agg("value")).alias("estimate"))
+    facts = every.agg(F.count("*").alias("n")).select(F.least("n", F.lit(TRACKED_VALUES)).alias("distinct"), (F.col("n") > TRACKED_VALUES).alias("lower_bound"), F.col("n").between(1, GROUPABLE).alias("groupable"))
+    return counts.join(F.broadcast(whole)).join(F.broadcast(facts)).withColumnRenamed("all", "populated")
 
 
 def evidence(matched: DataFrame, reference: Snapshot, candidate: Snapshot, fields: Sequence[str]) -> DataFrame:

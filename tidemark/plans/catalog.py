@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import values as V
 from ..operators import cells, decisions, documents, drift, export, matching, qa, recovery, search, views
 from ..sources import json_export
-from ..sources.scratch import shared_folder, written
+from ..sources.scratch import exists, run_folder, written
 from ..sources.snapshot import Snapshot, from_table
 from .policy import FieldGroup, Policy, Quality
 
@@ -59,9 +59,9 @@ def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 class Review:
     """The review pipeline (R13): match, findings, recovery, dedupe.
 
-    What several parts need is written once: both sides as JSON cells, the match table, and the
-    matched pairs with both records when a part first asks for them. So each part's plan starts from a scan, records
-    are joined once, and a lost executor costs no earlier stage.
+    What several parts need is written once, when a part first asks for it: both sides as JSON cells, the match
+    table, matched pairs with both records, compared cells, findings, recovered records. So each part's plan starts from a scan, records
+    are joined once, a lost executor costs no earlier stage, and the queries of one application share what is there.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -80,9 +80,9 @@ class Review:
     def compared(self) -> DataFrame:
         return written(qa.compared_cells(self.matched, self.reference, self.candidate, POLICY), "cells")
 
-    @property
+    @cached_property
     def recovered(self) -> DataFrame:
-        return recovery.recover(self.matches, self.reference, self.candidate, POLICY, matched=self.matched)
+        return written(recovery.recover(self.matches, self.reference, self.candidate, POLICY, matched=self.matched), "recovered")
 
     @property
     def provenance(self) -> DataFrame:
@@ -96,11 +96,11 @@ class Review:
     def regressions(self) -> DataFrame:
         return qa.regressions(self.matched, self.reference, self.candidate, POLICY, self.loss, self.compared)
 
-    @property
+    @cached_property
     def findings(self) -> DataFrame:
-        return qa.findings(self.reference, self.candidate, POLICY, self.matches, self.matched, self.loss, self.compared)
+        return written(qa.findings(self.reference, self.candidate, POLICY, self.matches, self.matched, self.loss, self.compared), "findings")
 
-    @property
+    @cached_property
     def deduped(self) -> DataFrame:
         return recovery.dedupe(self.recovered, self.candidate, POLICY)
 
@@ -109,6 +109,17 @@ class Review:
         return decisions.lanes(self.conflicts.unionByName(self.regressions), self.provenance, POLICY)
 
 
+_reviews: dict[tuple[str, str], Review] = {}
+
+
+def review(spark: SparkSession, sf_dir: str) -> Review:
+    """The application's review of the tables in ``sf_dir``; made anew if its files are gone."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _reviews or not exists(spark, run_folder(spark)):
+        _reviews[key] = Review(spark, sf_dir)
+    return _reviews[key]
+
+
 # ---- queries -------------------------------------------------------------------------
 
 
@@ -207,11 +218,11 @@ def quality_gate(spark, sf_dir):
 
 
 def match_results(spark, sf_dir):
-    return Review(spark, sf_dir).matches.select("status", "candidate_idx", "reference_idx")
+    return review(spark, sf_dir).matches.select("status", "candidate_idx", "reference_idx")
 
 
 def match_counts(spark, sf_dir):
-    return matching.summary(Review(spark, sf_dir).matches, POLICY).withColumn("match_rate", F.round("match_rate", 6))
+    return matching.summary(review(spark, sf_dir).matches, POLICY).withColumn("match_rate", F.round("match_rate", 6))
 
 
 def ambiguity_detail(spark, sf_dir):
@@ -220,7 +231,7 @@ def ambiguity_detail(spark, sf_dir):
 
 def _category(name: str) -> Callable:
     def query(spark, sf_dir):
-        r = Review(spark, sf_dir)
+        r = review(spark, sf_dir)
         made = {
             "record_count_anomaly": lambda: qa.count_anomaly(r.reference, r.candidate, POLICY), "schema_changes": lambda: qa.schema_changes(r.reference, r.candidate, POLICY),
             "field_type_change": lambda: qa.type_changes(r.reference, r.candidate, POLICY), "duplicate_identity_key": lambda: qa.duplicate_identities(r.reference, r.candidate, POLICY),
@@ -235,60 +246,60 @@ def _category(name: str) -> Callable:
 
 
 def finding_counts(spark, sf_dir):
-    return qa.counts(Review(spark, sf_dir).findings)
+    return qa.counts(review(spark, sf_dir).findings)
 
 
 def finding_ids(spark, sf_dir):
-    return Review(spark, sf_dir).findings.select("id", "category", "key", "field", "discriminator")
+    return review(spark, sf_dir).findings.select("id", "category", "key", "field", "discriminator")
 
 
 def backfill_provenance(spark, sf_dir):
-    return Review(spark, sf_dir).provenance.select("key", "field", "original", "output", "rule_id", "candidate_idx", "reference_idx")
+    return review(spark, sf_dir).provenance.select("key", "field", "original", "output", "rule_id", "candidate_idx", "reference_idx")
 
 
 def recovered_records(spark, sf_dir):
-    r = Review(spark, sf_dir)
+    r = review(spark, sf_dir)
     out = recovery.output(r.recovered, r.candidate, POLICY)
     return out.df.select("key", "derived", V.text_of(out.col("status")).alias("status"), V.text_of(out.col("priority")).alias("priority"))
 
 
 def record_inspection(spark, sf_dir):
-    r = Review(spark, sf_dir)
+    r = review(spark, sf_dir)
     shown = recovery.inspection(r.recovered, r.reference, r.candidate, POLICY)
     return shown.groupBy("field").agg(F.count("*").alias("cells"), F.count_if(~F.col("output").eqNullSafe(F.col("candidate"))).alias("changed"), F.count_if(~F.col("output").eqNullSafe(F.col("candidate")) & F.col("output").eqNullSafe(F.col("reference"))).alias("from_reference"))
 
 
 def recovery_exclusions(spark, sf_dir):
-    return recovery.exclusions(Review(spark, sf_dir).recovered, POLICY).select("candidate_idx", "reason", F.array_join("fields", ",").alias("fields"))
+    return recovery.exclusions(review(spark, sf_dir).recovered, POLICY).select("candidate_idx", "reason", F.array_join("fields", ",").alias("fields"))
 
 
 def recovery_summary(spark, sf_dir):
-    return recovery.summary(Review(spark, sf_dir).recovered)
+    return recovery.summary(review(spark, sf_dir).recovered)
 
 
 def field_provenance(spark, sf_dir):
-    r = Review(spark, sf_dir)
+    r = review(spark, sf_dir)
     return recovery.field_sources(r.recovered, r.candidate, POLICY).groupBy("field", "source").agg(F.count("*").alias("n"))
 
 
 def dedupe_outcomes(spark, sf_dir):
-    return Review(spark, sf_dir).deduped.select("candidate_idx", "outcome", "reason", "winner_idx")
+    return review(spark, sf_dir).deduped.select("candidate_idx", "outcome", "reason", "winner_idx")
 
 
 def dedupe_summary(spark, sf_dir):
-    return recovery.dedupe_summary(Review(spark, sf_dir).deduped)
+    return recovery.dedupe_summary(review(spark, sf_dir).deduped)
 
 
 def lanes(spark, sf_dir):
-    return Review(spark, sf_dir).cells.select("key", "field", "category", "lane")
+    return review(spark, sf_dir).cells.select("key", "field", "category", "lane")
 
 
 def lane_counts(spark, sf_dir):
-    return decisions.lane_counts(Review(spark, sf_dir).cells)
+    return decisions.lane_counts(review(spark, sf_dir).cells)
 
 
 def field_summaries(spark, sf_dir):
-    return decisions.field_summaries(Review(spark, sf_dir).cells)
+    return decisions.field_summaries(review(spark, sf_dir).cells)
 
 
 def _promoted(spark, sf_dir):
@@ -306,34 +317,32 @@ def record_summaries(spark, sf_dir):
 
 
 def summary_tiles(spark, sf_dir):
-    r = Review(spark, sf_dir)
-    recovered = written(r.recovered, "recovered")
-    return views.tiles(matching.summary(r.matches, POLICY), recovery.summary(recovered), recovery.dedupe_summary(recovery.dedupe(recovered, r.candidate, POLICY)), qa.counts(r.findings), POLICY)
+    r = review(spark, sf_dir)
+    return views.tiles(matching.summary(r.matches, POLICY), recovery.summary(r.recovered), recovery.dedupe_summary(r.deduped), qa.counts(r.findings), POLICY)
 
 
 def ticket_fields(spark, sf_dir):
-    return views.ticket_fields(views.ticket_groups(Review(spark, sf_dir).findings))
+    return views.ticket_fields(views.ticket_groups(review(spark, sf_dir).findings))
 
 
 def finding_search(spark, sf_dir):
-    found = Review(spark, sf_dir).findings
+    found = review(spark, sf_dir).findings
     return views.matching_findings(found, " REFERENCE AND THE CANDIDATE. [\"1", severity="medium").select("category", "field", "key")
 
 
 def exclusion_findings(spark, sf_dir):
-    r = Review(spark, sf_dir)
+    r = review(spark, sf_dir)
     return recovery.justified(r.recovered, r.findings, POLICY).select("candidate_idx", "reason", F.size("finding_ids").alias("findings"), F.array_join("finding_ids", ",").alias("finding_ids"))
 
 
 def exported_records(spark, sf_dir):
-    r = Review(spark, sf_dir)
-    recovered = written(r.recovered, "recovered")
-    kept = recovery.output(recovery.retained(recovered, recovery.dedupe(recovered, r.candidate, POLICY)), r.candidate, POLICY)
+    r = review(spark, sf_dir)
+    kept = recovery.output(recovery.retained(r.recovered, r.deduped), r.candidate, POLICY)
     return export.json_lines(kept).select(F.col("idx").alias("candidate_idx"), "value")
 
 
 def bulk_impact(spark, sf_dir):
-    return decisions.bulk_impact(Review(spark, sf_dir).cells, POLICY)
+    return decisions.bulk_impact(review(spark, sf_dir).cells, POLICY)
 
 
 LOG = """SELECT concat('d', CAST(o_orderkey AS STRING)) AS id, concat('["', CAST(o_orderkey AS STRING), '"]') AS key, 'price' AS field, CASE WHEN o_orderkey % 2 = 0 THEN 'backfill' ELSE 'keep_candidate' END AS action,
@@ -350,7 +359,7 @@ def decision_latest(spark, sf_dir):
 
 
 def decision_overrides(spark, sf_dir):
-    return decisions.overrides(_log(spark, sf_dir), Review(spark, sf_dir).provenance)
+    return decisions.overrides(_log(spark, sf_dir), review(spark, sf_dir).provenance)
 
 
 def decision_summary(spark, sf_dir):
@@ -370,20 +379,28 @@ def field_distribution(spark, sf_dir):
     return views.distribution(sides(spark, sf_dir)[0], "priority")
 
 
+def tracked_values(spark, sf_dir):
+    """Per field the first values of the compared records, in the records' order, with the facts of all."""
+    b, a = sides(spark, sf_dir)
+    records = drift.paired(b, a, ("id",)).where("b is not null")
+    out = [views.tracked_values(records, b.col(f, "b"), F.col("b.idx")).select(F.lit(f).alias("field"), "value", "count", "populated", "distinct", "lower_bound", "groupable") for f in ("priority", "contact")]
+    return out[0].unionByName(out[1])
+
+
 def backfill_groups(spark, sf_dir):
-    return views.backfill_groups(Review(spark, sf_dir).provenance).select("field", "backfills", "distinct_values")
+    return views.backfill_groups(review(spark, sf_dir).provenance).select("field", "backfills", "distinct_values")
 
 
 def exclusion_groups(spark, sf_dir):
-    return views.exclusion_groups(recovery.exclusions(Review(spark, sf_dir).recovered, POLICY)).select("reason", "records", F.array_join("examples", ",").alias("examples"))
+    return views.exclusion_groups(recovery.exclusions(review(spark, sf_dir).recovered, POLICY)).select("reason", "records", F.array_join("examples", ",").alias("examples"))
 
 
 def ticket_groups(spark, sf_dir):
-    return views.ticket_groups(Review(spark, sf_dir).findings)
+    return views.ticket_groups(review(spark, sf_dir).findings)
 
 
 def evidence_counts(spark, sf_dir):
-    r = Review(spark, sf_dir)
+    r = review(spark, sf_dir)
     return views.evidence(r.matched, r.reference, r.candidate, ("status", "price", "priority")).drop("volatility_unmeasurable")
 
 
@@ -401,7 +418,7 @@ def search_index(spark, sf_dir) -> search.Index:
     issues = written(drift.quality_issues(*both, ("id",), POLICY.quality, related=False), "issues")
     diff = drift.promoted(drift.compared(*both, ("id",), POLICY.quality), issues, drift.duplicate_keys(*both, ("id",)))
     docs = written(search.documents(diff, drift.paired(*both, ("id",)), *both, ("id",), SEARCHED, issues), "searched")
-    return search.build(docs, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+    return search.build(docs, f"{run_folder(spark)}/index-{uuid.uuid4().hex}")
 
 
 def record_search(spark, sf_dir):
@@ -416,20 +433,20 @@ def search_candidates(spark, sf_dir):
 
 
 def export_gate(spark, sf_dir):
-    r = Review(spark, sf_dir)
+    r = review(spark, sf_dir)
     return export.gate(matching.summary(r.matches, POLICY), qa.counts(r.findings), POLICY).select("allowed", "critical", F.array_join("reasons", " ").alias("reasons"))
 
 
 def findings_csv(spark, sf_dir):
-    return export.csv_lines(Review(spark, sf_dir).findings)
+    return export.csv_lines(review(spark, sf_dir).findings)
 
 
 def conflicts_csv(spark, sf_dir):
-    return export.csv_lines(qa.with_ids(Review(spark, sf_dir).conflicts))
+    return export.csv_lines(qa.with_ids(review(spark, sf_dir).conflicts))
 
 
 def _cells(spark, sf_dir):
-    r = Review(spark, sf_dir)
+    r = review(spark, sf_dir)
     rows = written(cells.records(r.reference, r.candidate, ("id",), POLICY, r.matches), "records")
     return r, cells.classified(rows, r.reference, r.candidate, POLICY, r.provenance)
 
@@ -714,6 +731,7 @@ ORACLES |= {
       UNION ALL SELECT 2, 'records-excluded', 'Records excluded', CAST(excluded AS STRING), CASE WHEN excluded > 0 THEN 'see exclusions below' ELSE 'none' END, CASE WHEN excluded > 0 THEN 'warn' ELSE 'good' END FROM r
       UNION ALL SELECT 3, 'duplicates-removed', 'Duplicates removed', CAST(removed AS STRING), concat(duplicate_groups, ' duplicate group(s)'), CASE WHEN removed > 0 THEN 'warn' ELSE 'good' END FROM d
       UNION ALL SELECT 4, 'critical-findings', 'Critical findings', CAST(critical AS STRING), concat(total, ' findings in total'), CASE WHEN critical > 0 THEN 'bad' ELSE 'good' END FROM c""",
+    "tracked_values": " UNION ALL ".join(f"""SELECT '{f}' AS field, value, count, sum(count) OVER () AS populated, least(total, 64) AS "distinct", total > 64 AS lower_bound, total <= 25 AS groupable FROM ({_CTE}, v AS (SELECT {f} AS value, count(*) AS count, min(idx) AS first FROM b WHERE NOT {_BLANK.format(f)} GROUP BY 1) SELECT value, count, first, (SELECT count(*) FROM v) AS total, row_number() OVER (ORDER BY first) AS n FROM v) QUALIFY n <= 64""" for f in ("priority", "contact")),
     "ticket_fields": f"""WITH g AS ({ORACLES["ticket_groups"]}), r AS (SELECT *, row_number() OVER (PARTITION BY field ORDER BY findings DESC, list_position({list(qa.CATEGORIES)}, category)) AS n FROM g WHERE field IS NOT NULL)
       SELECT field, max(category) FILTER (WHERE n = 1) AS main, max(findings) FILTER (WHERE n = 1) AS findings, coalesce(string_agg(category, ',' ORDER BY category) FILTER (WHERE n > 1), '') AS others FROM r GROUP BY field""",
     "finding_search": f"{_CELLS} SELECT 'field_conflict' AS category, field, key FROM conf WHERE starts_with(key, '[\"1')",
@@ -727,7 +745,7 @@ _PLAIN = (
     quality_issues, quality_gate, match_results, match_counts, ambiguity_detail, finding_counts, finding_ids, backfill_provenance, recovered_records, recovery_exclusions, recovery_summary, field_provenance,
     dedupe_outcomes, dedupe_summary, lanes, lane_counts, field_summaries, record_summaries, bulk_impact, decision_latest, decision_overrides, decision_summary, pending_queue, field_distribution, backfill_groups,
     exclusion_groups, ticket_groups, evidence_counts, record_filter, record_search, search_candidates, export_gate, findings_csv, conflicts_csv, document_diff, document_summary, document_health, document_states, identity_census, source_detection,
-    summary_tiles, ticket_fields, finding_search, exclusion_findings, exported_records, queue_progress,
+    tracked_values, summary_tiles, ticket_fields, finding_search, exclusion_findings, exported_records, queue_progress,
     changed_record_counts, nested_changes, nested_status, related_issues, cell_classes, cell_evidence, cell_summaries, record_details, record_inspection,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _PLAIN} | {f"qa_{k}": _category(k) for k in _FINDINGS}
