@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import values as V
@@ -83,6 +83,30 @@ def provenance(matches: DataFrame, reference: Snapshot, candidate: Snapshot, pol
     return out.withColumns({k: F.lit(v).cast("int" if isinstance(v, int) else "string") for k, v in stamp.items()})
 
 
+def events(provenance: DataFrame, recovered: DataFrame, candidate: Snapshot, overrides: DataFrame, policy: Policy) -> DataFrame:
+    """Everything that happened to cells, in order: backfills first, then each override of a usable record by ``ord``.
+
+    ``key, candidate_idx, reference_idx, status, field, original, output, rule_id, source, reason, actor, ord``. The
+    original value is what the cell held just before: the candidate's value, a backfilled one, or an earlier override's;
+    JSON null where the record had no such field. Overrides have ``key, field, value, reason, ord``.
+    """
+    check_overrides(overrides)
+    usable = recovered.where("excluded is null or excluded = 'hard_required_field_missing'").select("key", "candidate_idx", "reference_idx", "status")
+    given = overrides.select("key", "field", F.col("value").alias("output"), "reason", F.col("ord").cast("long").alias("ord")).join(usable, "key")
+    own = F.create_map(*[x for f in candidate.fields for x in (F.lit(f), candidate.col(f))])
+    given = given.join(candidate.df.select(F.col("idx").alias("candidate_idx"), own.alias("own")), "candidate_idx").withColumn("original", F.coalesce(F.try_element_at("own", F.col("field")), F.lit(V.NULL_JSON))).drop("own")
+    given = given.withColumns({"rule_id": F.lit(f"{policy.id}@{policy.version}:manual_override"), "source": F.lit("manual_override"), "actor": F.lit("user")})
+    filled = provenance.select("key", "candidate_idx", "reference_idx", "status", "field", "original", "output", "rule_id", "source", F.lit(None).cast("string").alias("reason"), "actor", F.lit(-1).cast("long").alias("ord"))
+    every = filled.unionByName(given.select(*filled.columns))
+    cell = Window.partitionBy("candidate_idx", "field").orderBy("ord")  # the revisions of one cell
+    return every.withColumn("original", F.coalesce(F.lag("output").over(cell), "original"))
+
+
+def folded(happened: DataFrame) -> DataFrame:
+    """What each touched cell holds in the end and where from: the last event's output and source, the first one's original."""
+    return happened.groupBy("key", "candidate_idx", "field").agg(F.min_by("original", "ord").alias("original"), F.max_by("output", "ord").alias("output"), F.max_by("source", "ord").alias("source"), F.count("*").alias("events"))
+
+
 def unapplied(recovered: DataFrame, overrides: DataFrame) -> DataFrame:
     """Overrides whose record key is no usable candidate's."""
     seen = recovered.where("excluded is null or excluded = 'hard_required_field_missing'").select("key").distinct()

@@ -269,6 +269,30 @@ def record_inspection(spark, sf_dir):
     return shown.groupBy("field").agg(F.count("*").alias("cells"), F.count_if(~F.col("output").eqNullSafe(F.col("candidate"))).alias("changed"), F.count_if(~F.col("output").eqNullSafe(F.col("candidate")) & F.col("output").eqNullSafe(F.col("reference"))).alias("from_reference"))
 
 
+OVERRIDES = """SELECT concat('["', CAST(o_orderkey AS STRING), '"]') AS key, 'price' AS field, '1' AS value, 'checked' AS reason, 1 AS ord FROM {orders} WHERE o_orderkey % 19 = 0
+UNION ALL SELECT concat('["', CAST(o_orderkey AS STRING), '"]'), 'price', '2', 'revised', 3 FROM {orders} WHERE o_orderkey % 95 = 0
+UNION ALL SELECT concat('["', CAST(o_orderkey AS STRING), '"]'), 'status', '"X"', 'asked', 2 FROM {orders} WHERE o_orderkey % 22 = 0"""
+
+
+def _events(spark, sf_dir):
+    r, given = review(spark, sf_dir), spark.sql(OVERRIDES, orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    recovered = recovery.recover(r.matches, r.reference, r.candidate, POLICY, given, r.matched)
+    return recovery.events(r.provenance, recovered, r.candidate, given, POLICY)
+
+
+def override_events(spark, sf_dir):
+    return _events(spark, sf_dir).select("candidate_idx", "field", "original", "output", "source", "rule_id", "reason", "ord")
+
+
+def cell_outcomes(spark, sf_dir):
+    return recovery.folded(_events(spark, sf_dir)).select("candidate_idx", "field", "original", "output", "source", "events")
+
+
+def unapplied_overrides(spark, sf_dir):
+    r, given = review(spark, sf_dir), spark.sql(OVERRIDES, orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    return recovery.unapplied(r.recovered, given).select("key", "field", "value")
+
+
 def recovery_exclusions(spark, sf_dir):
     return recovery.exclusions(review(spark, sf_dir).recovered, POLICY).select("candidate_idx", "reason", F.array_join("fields", ",").alias("fields"))
 
@@ -717,6 +741,9 @@ ORACLES: dict[str, str] = {
     "source_detection": "SELECT CASE WHEN count(*) FILTER (WHERE regexp_matches(lower(url), '^https?://blog[.]')) > 0 THEN 'match' ELSE 'none' END AS state, CASE WHEN count(*) FILTER (WHERE regexp_matches(lower(url), '^https?://blog[.]')) > 0 THEN 'com' ELSE '' END AS policies FROM (SELECT * FROM pages ORDER BY page_id LIMIT 25)",
 }
 
+_EVENTS = f"""{_FILLS}, us AS (SELECT cm.candidate_idx, {_KEY.format('l.id')} AS key, l.price AS lp, l.status AS ls FROM cm JOIN l ON cm.candidate_idx = l.idx WHERE cm.status NOT LIKE 'ambiguous%'), raw AS (
+SELECT candidate_idx, field, original, output, 'reference_backfill' AS source, rule_id, NULL AS reason, -1 AS ord FROM prov UNION ALL SELECT candidate_idx, field, CASE field WHEN 'price' THEN CAST(lp AS STRING) ELSE {_JSON.format('ls')} END, value, 'manual_override', 'orders@3:manual_override', reason, ord FROM us JOIN ({OVERRIDES.format(orders='orders')}) o USING (key)),
+ev AS (SELECT * REPLACE (coalesce(lag(output) OVER (PARTITION BY candidate_idx, field ORDER BY ord), original) AS original) FROM raw)"""
 _SUMMARIES = f"""{_CELL_CLASSES}, own AS (SELECT id AS n, any_value(key) AS key, count(*) FILTER (WHERE lane = 'auto') AS auto, count(*) FILTER (WHERE lane = 'review') AS review, count(*) FILTER (WHERE lane = 'ineligible') AS ineligible, count(*) FILTER (WHERE lane IS NULL AND situation = 'unchanged') AS unchanged,
   coalesce(string_agg(field, ',' ORDER BY field) FILTER (WHERE lane = 'review'), '') AS review_fields, coalesce(string_agg(field, ',' ORDER BY field) FILTER (WHERE lane = 'auto'), '') AS auto_fields FROM k GROUP BY id),
 sums AS (SELECT own.key AS id, CAST(n AS STRING) AS label, own.key, st.status, i.severity, CAST(c.n_changed AS INT) AS n_changed, auto, review, ineligible, unchanged, review_fields, auto_fields, own.n FROM own JOIN ({ORACLES["record_status"]}) st ON own.key = st.id JOIN ({ORACLES["related_issues"]}) i ON own.key = i.id JOIN ({_CHANGES} SELECT {_KEY.format("id")} AS id, count(*) AS n_changed FROM c GROUP BY c.id) c ON own.key = c.id),
@@ -731,6 +758,9 @@ ORACLES |= {
       UNION ALL SELECT 2, 'records-excluded', 'Records excluded', CAST(excluded AS STRING), CASE WHEN excluded > 0 THEN 'see exclusions below' ELSE 'none' END, CASE WHEN excluded > 0 THEN 'warn' ELSE 'good' END FROM r
       UNION ALL SELECT 3, 'duplicates-removed', 'Duplicates removed', CAST(removed AS STRING), concat(duplicate_groups, ' duplicate group(s)'), CASE WHEN removed > 0 THEN 'warn' ELSE 'good' END FROM d
       UNION ALL SELECT 4, 'critical-findings', 'Critical findings', CAST(critical AS STRING), concat(total, ' findings in total'), CASE WHEN critical > 0 THEN 'bad' ELSE 'good' END FROM c""",
+    "override_events": f"{_EVENTS} SELECT candidate_idx, field, original, output, source, rule_id, reason, CAST(ord AS BIGINT) AS ord FROM ev",
+    "cell_outcomes": f"{_EVENTS} SELECT candidate_idx, field, min_by(original, ord) AS original, max_by(output, ord) AS output, max_by(source, ord) AS source, count(*) AS events FROM ev GROUP BY candidate_idx, field",
+    "unapplied_overrides": f"{_RECOVERED} SELECT key, field, value FROM ({OVERRIDES.format(orders='orders')}) WHERE key NOT IN (SELECT {_KEY.format('id')} FROM rr WHERE mstatus NOT LIKE 'ambiguous%')",
     "tracked_values": " UNION ALL ".join(f"""SELECT '{f}' AS field, value, count, sum(count) OVER () AS populated, least(total, 64) AS "distinct", total > 64 AS lower_bound, total <= 25 AS groupable FROM ({_CTE}, v AS (SELECT {f} AS value, count(*) AS count, min(idx) AS first FROM b WHERE NOT {_BLANK.format(f)} GROUP BY 1) SELECT value, count, first, (SELECT count(*) FROM v) AS total, row_number() OVER (ORDER BY first) AS n FROM v) QUALIFY n <= 64""" for f in ("priority", "contact")),
     "ticket_fields": f"""WITH g AS ({ORACLES["ticket_groups"]}), r AS (SELECT *, row_number() OVER (PARTITION BY field ORDER BY findings DESC, list_position({list(qa.CATEGORIES)}, category)) AS n FROM g WHERE field IS NOT NULL)
       SELECT field, max(category) FILTER (WHERE n = 1) AS main, max(findings) FILTER (WHERE n = 1) AS findings, coalesce(string_agg(category, ',' ORDER BY category) FILTER (WHERE n > 1), '') AS others FROM r GROUP BY field""",
@@ -745,7 +775,7 @@ _PLAIN = (
     quality_issues, quality_gate, match_results, match_counts, ambiguity_detail, finding_counts, finding_ids, backfill_provenance, recovered_records, recovery_exclusions, recovery_summary, field_provenance,
     dedupe_outcomes, dedupe_summary, lanes, lane_counts, field_summaries, record_summaries, bulk_impact, decision_latest, decision_overrides, decision_summary, pending_queue, field_distribution, backfill_groups,
     exclusion_groups, ticket_groups, evidence_counts, record_filter, record_search, search_candidates, export_gate, findings_csv, conflicts_csv, document_diff, document_summary, document_health, document_states, identity_census, source_detection,
-    tracked_values, summary_tiles, ticket_fields, finding_search, exclusion_findings, exported_records, queue_progress,
+    override_events, cell_outcomes, unapplied_overrides, tracked_values, summary_tiles, ticket_fields, finding_search, exclusion_findings, exported_records, queue_progress,
     changed_record_counts, nested_changes, nested_status, related_issues, cell_classes, cell_evidence, cell_summaries, record_details, record_inspection,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _PLAIN} | {f"qa_{k}": _category(k) for k in _FINDINGS}
