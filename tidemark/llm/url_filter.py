@@ -1,11 +1,12 @@
 """URL filter: host and path rules, then logistic regression on hashed character n-grams.
 
-The model is trained on the driver from a small labelled table of URLs (below, or the
-caller's), whose size bounds the work there; its weights are one vector of ``2 ** bits``
+The model is trained on the driver from a small labelled table of URLs (made by rule below, or the
+caller's ``rows``), whose size bounds the work there; its weights are one vector of ``2 ** bits``
 floats. Scoring is one pass without a shuffle.
 
 A null url or one without ``://`` has an empty host and path, fits no rule and is judged by
-the model's bias alone. Repeated rows are judged alike.
+the model's bias alone. Repeated rows are judged alike. An empty table of pages gives no rows, one of
+labels a score of 0.5. A very long url is judged as a whole.
 """
 
 from __future__ import annotations
@@ -20,28 +21,29 @@ from pyspark.sql import functions as F
 
 from .common import lower_ascii, python_tasks, unclashed
 
-#: Labelled URLs: wanted pages and unwanted ones (spam, shops for pills, gambling, link farms).
-WANTED = (
-    "https://www.example.com/en/article/12", "https://en.wikipedia.example.org/wiki/Ocean", "https://blog.example.net/2021/05/notes",
-    "https://docs.example.org/guide/intro.html", "https://news.example.com/world/story-81", "https://m.example.com/en/474.html",
-    "https://library.example.edu/catalog/item/7", "https://www.museum.example.org/collection/88", "https://research.example.edu/papers/33",
-    "https://forum.example.net/thread/4432", "https://example.org/about", "https://www.city.example.gov/services/water",
-    "https://recipes.example.com/bread/rye", "https://weather.example.net/forecast/7", "https://school.example.edu/lessons/math/4",
-    "https://www.garden.example.com/plants/roses", "https://history.example.org/essays/trade", "https://python.example.org/library/json.html",
-    "https://health.example.gov/advice/sleep", "https://magazine.example.net/issues/14/review", "https://blog.travel.example.com/fr/825?page=2",
-    "https://www.theatre.example.org/programme/853/", "https://orchard.example.net/en/harvest#top", "https://lighthouse.example.org/en/keepers",
-)
-UNWANTED = (
-    "http://www.cheap-pills.example.com/buy/now", "http://spam-farm.example.org/en/728?ref=x", "http://win-casino.example.net/bonus/free",
-    "http://best-casino-bonus.example.com/play", "http://free-money.example.net/click/here", "http://cheap-viagra.example.com/order",
-    "http://xxx-videos.example.net/hot/1", "http://adult-cams.example.com/live", "http://spam-links.example.org/page/9",
-    "http://link-farm.example.net/a/b/c", "http://buy-followers.example.com/promo", "http://replica-watches.example.net/sale",
-    "http://pills-online.example.org/discount", "http://casino-slots.example.com/jackpot", "http://payday-loans.example.net/apply",
-    "http://click-here-free.example.com/win/prize", "http://malware-download.example.net/crack/keygen.exe", "http://torrent-warez.example.org/download/crack",
-    "http://porn-free.example.com/sex", "http://bet-poker.example.net/bonus", "http://cheap-replica.example.com/buy", "http://spam.example.net/spam/spam",
-    "http://seo-spam-farm.example.com/backlinks", "http://cheap-meds.example.org/pills/order",
-)
-TRAINING = tuple((u, 1) for u in WANTED) + tuple((u, 0) for u in UNWANTED)
+#: Words of invented hosts and paths of wanted pages and of unwanted ones (spam, shops for pills, gambling, link farms).
+WANTED = "garden library museum history science school recipes weather health theatre orchard lighthouse python papers forum essays music travel council archive birds bridge climate maps".split()
+UNWANTED = "pills casino bets poker slots viagra porn sex adult cams loans payday replica followers backlinks spam farm warez torrent keygen jackpot bonus cheap meds".split()
+#: What hosts and paths of both kinds are made of, so that it tells nothing; no real domain ends so.
+ENDS, SHAPES = ("test", "invalid", "local"), ("{a}-{b}.{e}", "www.{a}{b}.{e}", "m.{a}-{b}.{e}", "blog.{a}.{b}.{e}")
+PATHS = ("/en/{n}", "/fr/{n}.html", "/de/{n}/", "/es/{n}", "/page/{n}", "/{a}/{b}")
+
+
+def table(per_word: int = 8) -> list[tuple[str, int]]:
+    """Labelled URLs by rule: each word with ``per_word`` others of its kind, in turn over shapes, ends and paths; and as many wanted hosts of syllables without a meaning."""
+    out, n = [], 0
+    syllables = ("an", "the", "ti", "on", "er", "re", "st", "in", "ou", "ly", "sh", "nd", "ha", "or")
+    pick = lambda n, i: syllables[(n * (2 * i + 3) + i) % len(syllables)]
+    for label, words in ((1, WANTED), (0, UNWANTED)):
+        for i, a in enumerate(words):
+            for k in range(1, per_word + 1):
+                n += 1
+                b = words[(i + k) % len(words)]
+                parts = {"a": a, "b": b, "e": ENDS[n % 3], "n": n * 37 % 9001}
+                out.append((f"http{'s' * (n % 2)}://{SHAPES[n % 4]}{PATHS[n % 6]}".format(**parts), label))
+                if label:
+                    out.append((f"https://{SHAPES[n % 4]}{PATHS[(n + 1) % 6]}".format(**parts | {"a": pick(n, 0) + pick(n, 1), "b": pick(n, 2) + pick(n, 3)}), 1))
+    return list(dict.fromkeys(out))
 
 
 def host_of(url: Column) -> Column:
@@ -80,25 +82,28 @@ def _parts(url: str) -> tuple[str, str]:
     return host.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"), slash + path  # A-Z only
 
 
-def train(table: Sequence[tuple[str, int]] = TRAINING, bits: int = 15, rounds: int = 300, rate: float = 1.0, penalty: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Weights and bias by full-batch gradient descent on the penalised log loss; a text's features have norm 1."""
-    rows = [features(*_parts(u), bits) for u, _ in table]
-    y = np.array([label for _, label in table], float)
-    x = np.zeros((len(rows), 1 << bits))
-    for i, r in enumerate(rows):
-        x[i, r] = 1 / np.sqrt(max(1, len(r)))
+def train(rows: Sequence[tuple[str, int]] | None = None, bits: int = 15, rounds: int = 300, rate: float = 1.0, penalty: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Weights and bias by full-batch gradient descent on the penalised log loss, both labels weighing the same; a URL's features have norm 1. Only set features are stored."""
+    rows = table() if rows is None else rows
+    if not rows:
+        return np.zeros(1 << bits), 0.0
+    own = [features(*_parts(u), bits) for u, _ in rows]
+    y = np.array([label for _, label in rows], float)
+    share = np.where(y > 0, 0.5 / max(1.0, y.sum()), 0.5 / max(1.0, (1 - y).sum()))
+    at, row = np.concatenate(own), np.repeat(np.arange(len(own)), [len(f) for f in own])
+    x = np.concatenate([np.full(len(f), 1 / np.sqrt(max(1, len(f)))) for f in own])
     w, b = np.zeros(1 << bits), 0.0
     for _ in range(rounds):
-        error = 1 / (1 + np.exp(-(x @ w + b))) - y
-        w -= rate * (x.T @ error / len(y) * 10 + penalty * w)
-        b -= rate * error.mean()
+        error = share * (1 / (1 + np.exp(-(np.bincount(row, w[at] * x, len(own)) + b))) - y)
+        w -= rate * (np.bincount(at, error[row] * x, 1 << bits) * 10 + penalty * w)
+        b -= rate * error.sum()
     return w, b
 
 
-def apply(pages: DataFrame, rules: Sequence[tuple[str, str, str]], url: str = "url", keep: Sequence[str] = ("page_id",), table: Sequence[tuple[str, int]] = TRAINING, bits: int = 15, threshold: float = 0.5) -> DataFrame:
+def apply(pages: DataFrame, rules: Sequence[tuple[str, str, str]], url: str = "url", keep: Sequence[str] = ("page_id",), rows: Sequence[tuple[str, int]] | None = None, bits: int = 15, threshold: float = 0.5) -> DataFrame:
     """Columns of ``keep``, ``host``, ``path``, ``rule``, ``score`` (probability of a wanted page) and ``verdict`` (the rule's, else the model's)."""
     python_tasks(pages.sparkSession)
-    weights, bias = train(table, bits)
+    weights, bias = train(rows, bits)
     sent = pages.sparkSession.sparkContext.broadcast(weights.astype(np.float32))  # 2 ** bits floats
 
     @F.pandas_udf("double")
