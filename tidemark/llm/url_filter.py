@@ -22,14 +22,14 @@ from pyspark.sql import functions as F
 from .common import lower_ascii, python_tasks, unclashed
 
 #: Words of invented hosts and paths of wanted pages and of unwanted ones (spam, shops for pills, gambling, link farms).
-WANTED = "garden library museum history science school recipes weather health theatre orchard lighthouse python papers forum essays music travel council archive birds bridge climate maps".split()
+WANTED = "garden library museum history science school recipes weather health theatre orchard lighthouse python papers forum essays music travel council archive birds bridge climate maps ocean forest castle planet letters poetry harbour village walking market station painter".split()
 UNWANTED = "pills casino bets poker slots viagra porn sex adult cams loans payday replica followers backlinks spam farm warez torrent keygen jackpot bonus cheap meds".split()
 #: What hosts and paths of both kinds are made of, so that it tells nothing; no real domain ends so.
 ENDS, SHAPES = ("test", "invalid", "local"), ("{a}-{b}.{e}", "www.{a}{b}.{e}", "m.{a}-{b}.{e}", "blog.{a}.{b}.{e}")
 PATHS = ("/en/{n}", "/fr/{n}.html", "/de/{n}/", "/es/{n}", "/page/{n}", "/{a}/{b}")
 
 
-def table(per_word: int = 8) -> list[tuple[str, int]]:
+def table(per_word: int = 6) -> list[tuple[str, int]]:
     """Labelled URLs by rule: each word with ``per_word`` others of its kind, in turn over shapes, ends and paths; and as many wanted hosts of syllables without a meaning."""
     out, n = [], 0
     syllables = ("an", "the", "ti", "on", "er", "re", "st", "in", "ou", "ly", "sh", "nd", "ha", "or")
