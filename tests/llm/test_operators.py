@@ -77,15 +77,15 @@ def voted(n, good, blames, catches, seed, copies=()):
 def fitted(votes):
     patterns, counts = np.unique(votes, axis=0, return_counts=True)
     m = quality_rules.fit([(tuple(map(int, p)), int(c)) for p, c in zip(patterns, counts)], votes.shape[1])
-    odds = math.log(m.prior / (1 - m.prior)) + sum(np.where(votes[:, j] > 0, m.weight(j, 1), np.where(votes[:, j] < 0, m.weight(j, -1), 0)) for j in range(votes.shape[1]))
-    return m, odds > 0
+    like = [math.log(share) + sum(np.where(votes[:, j] > 0, m.power[j] * math.log1p(-r), np.where(votes[:, j] < 0, m.power[j] * math.log(r), 0)) for j, r in enumerate(rates)) for share, rates in zip(m.shares, m.rates)]
+    return m, np.exp(like[0]) >= sum(map(np.exp, like[1:]))
 
 
 @pytest.mark.parametrize("good, blames, catches", [(0.8, [0.05] * 6, [0.6] * 6), (0.8, [0.1] * 6, [0.7] * 6), (0.7, [0.2] * 6, [0.8] * 6), (0.8, [0.05] * 5 + [0.4], [0.6] * 6), (0.9, [0.02, 0.05, 0.1, 0.01, 0.05, 0.33], [0.3, 0.5, 0.6, 0.4, 0.2, 0.5])])
 def test_quality_model_finds_the_rates(good, blames, catches):
     truth, votes, best = voted(100_000, good, blames, catches, 1)
     m, found = fitted(votes)
-    assert m.prior == pytest.approx(good, abs=0.05) and m.rates[0] == pytest.approx(blames, abs=0.05) and m.rates[1] == pytest.approx(catches, abs=0.05)
+    assert m.prior == pytest.approx(good, abs=0.05) and len(m.shares) == 2 and m.rates[0] == pytest.approx(blames, abs=0.05) and m.rates[1] == pytest.approx(catches, abs=0.05)
     assert (found == truth).mean() > (best == truth).mean() - 0.02 and set(m.power) == {1.0}
     lone = ((votes < 0).sum(axis=1) == 1) & ((votes > 0).sum(axis=1) == 5)
     assert found[lone].mean() > 0.9  # one bad vote among good ones does not end a text
@@ -97,6 +97,18 @@ def test_quality_model_counts_copies_of_a_rule_once():
     assert m.power == pytest.approx([1, 1, 1, 1, 1 / 3, 1 / 3, 1 / 3]) and (found == truth).mean() > (best == truth).mean() - 0.02
 
 
+def test_quality_model_finds_kinds_of_bad_texts():
+    kinds = ([0.04] * 6, [0.7, 0.7, 0.7, 0.04, 0.04, 0.04], [0.04, 0.04, 0.04, 0.7, 0.7, 0.7])
+    r = np.random.default_rng(5)
+    truth = r.choice(3, 100_000, p=(0.8, 0.12, 0.08))
+    votes = np.where(r.random((100_000, 6)) < np.array(kinds)[truth], -1, 1)
+    like = [math.log(share) + (np.where(votes < 0, np.log(k), 0) + np.where(votes > 0, np.log1p(-np.array(k)), 0)).sum(axis=1) for share, k in zip((0.8, 0.12, 0.08), kinds)]
+    best = np.exp(like[0]) >= np.exp(like[1]) + np.exp(like[2])
+    m, found = fitted(votes)
+    assert len(m.shares) == 3 and m.shares == pytest.approx((0.8, 0.12, 0.08), abs=0.05) and m.rates[0] == pytest.approx(kinds[0], abs=0.05)
+    assert (found == (truth == 0)).mean() > (best == (truth == 0)).mean() - 0.02
+
+
 def test_quality_posterior_in_sql_equals_the_model(spark):
     _, votes, _ = voted(2000, 0.8, [0.05] * 4, [0.6] * 4, 3)
     m, found = fitted(votes)

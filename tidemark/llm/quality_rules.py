@@ -2,7 +2,7 @@
 
 Every rule looks at counts of one text and votes good (1), bad (-1) or abstains (0).
 Expectation maximisation over the table of vote patterns estimates the share of good texts and
-each rule's accuracy on good and on bad ones; the posterior probability of "good" replaces a filter that asks every rule to pass. The pattern table has at most ``3 ** len(rules)`` rows whatever
+each rule's accuracy on good and on bad ones (of one or, where votes show it, several kinds); the posterior probability of "good" replaces a filter that asks every rule to pass. The pattern table has at most ``3 ** len(rules)`` rows whatever
 the corpus, so only that table reaches the driver.
 
 Null text counts as the empty text: all counts 0, every ratio rule abstains. An empty
@@ -109,17 +109,23 @@ def vote(rule: Rule) -> Column:
 
 @dataclass(frozen=True)
 class LabelModel:
-    """Share of good texts; how often each rule that votes votes bad on good texts and on bad ones; and how much its vote counts."""
+    """Shares of the kinds of texts, good ones first, then one or more kinds of bad ones; how often each rule that votes votes bad on each kind; and how much its vote counts."""
 
-    prior: float
-    rates: tuple[tuple[float, ...], tuple[float, ...]]
+    shares: tuple[float, ...]
+    rates: tuple[tuple[float, ...], ...]
     power: tuple[float, ...]
 
+    @property
+    def prior(self) -> float:
+        return self.shares[0]
+
     def rate(self, rule: int, good: bool) -> float:
-        return self.rates[0 if good else 1][rule]
+        """How often a rule's vote is bad on good texts, or on all bad ones."""
+        own = range(1) if good else range(1, len(self.shares))
+        return sum(self.shares[k] * self.rates[k][rule] for k in own) / sum(self.shares[k] for k in own)
 
     def weight(self, rule: int, cast: int) -> float:
-        """What a vote adds to the log odds of "good"."""
+        """What a vote that stands alone adds to the log odds of "good"."""
         g, b = self.rate(rule, True), self.rate(rule, False)
         return self.power[rule] * (math.log((1 - g) / (1 - b)) if cast > 0 else math.log(g / b) if cast < 0 else 0.0)
 
@@ -127,68 +133,86 @@ class LabelModel:
 #: What is held before any vote, worth a few texts and votes, so that it fades as the corpus grows: the share of good texts, how often a rule blames them, how often it catches bad ones.
 GOOD_SHARE, HELD_TEXTS = 0.8, 10.0
 BLAMES, CATCHES, HELD_VOTES = 0.05, 0.5, 4.0
-#: Share of two rules' greatest possible covariance, beyond what their classes explain, from which on they count as one.
-DEPENDENT = 0.3
+#: Share of two rules' greatest possible covariance, beyond what two classes explain, from which on they count as one; correlation of
+#: two rules' bad votes among good texts that tells of another kind of bad ones; and texts in which both must at least be seen beyond chance.
+COPIES, TOGETHER, LEAST_TEXTS = 0.7, 0.2, 20.0
 
 
-def _em(cast: np.ndarray, bad: np.ndarray, counts: np.ndarray, power: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Shares of good and bad texts, the rules' rates on both, and each pattern's posterior."""
-    held, held_share = np.repeat([[BLAMES], [CATCHES]], cast.shape[1], 1), np.array([GOOD_SHARE, 1 - GOOD_SHARE])
-    rates, share = held, held_share
+def _em(cast: np.ndarray, bad: np.ndarray, counts: np.ndarray, power: np.ndarray, held: np.ndarray, shares: np.ndarray, rates: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shares of the kinds, the rules' rates on each, and each pattern's posterior."""
+    held_shares = np.array([GOOD_SHARE, *[(1 - GOOD_SHARE) / (len(held) - 1)] * (len(held) - 1)])
     while True:
-        logs = np.log(share) + (bad * power) @ np.log(rates).T + ((cast - bad) * power) @ np.log1p(-rates).T
+        logs = np.log(shares) + (bad * power) @ np.log(rates).T + ((cast - bad) * power) @ np.log1p(-rates).T
         p = np.exp(logs - logs.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        q, before = p * counts[:, None], np.concatenate([share, rates.ravel()])
-        share = (q.sum(axis=0) + HELD_TEXTS * held_share) / (counts.sum() + HELD_TEXTS)
+        q, before = p * counts[:, None], np.concatenate([shares, rates.ravel()])
+        shares = (q.sum(axis=0) + HELD_TEXTS * held_shares) / (counts.sum() + HELD_TEXTS)
         rates = (q.T @ bad + HELD_VOTES * held) / (q.T @ cast + HELD_VOTES)
         rounds -= 1
-        if not rounds or np.abs(np.concatenate([share, rates.ravel()]) - before).max() < 1e-9:
-            return share, rates, p
+        if not rounds or np.abs(np.concatenate([shares, rates.ravel()]) - before).max() < 1e-9:
+            return shares, rates, p
+
+
+def _covariances(cast: np.ndarray, bad: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the rules' bad votes, pair by pair over the texts on which both vote: number of these texts, covariance, and its greatest possible value."""
+    both = (cast * weights[:, None]).T @ cast
+    first = (bad * weights[:, None]).T @ cast / np.maximum(both, 1e-9)  # bad votes of i where j votes too
+    spread = np.maximum(first * (1 - first), 1e-12)
+    return both, (bad * weights[:, None]).T @ bad / np.maximum(both, 1e-9) - first * first.T, np.sqrt(spread * spread.T)
 
 
 def _groups(cast: np.ndarray, bad: np.ndarray, counts: np.ndarray) -> list[int]:
-    """Rules that go together beyond what their classes explain, by the same number.
+    """Rules that nearly copy each other, by the same number.
 
     If rules vote apart within two classes, the covariance of i and j is that of i and k times that of j and l
     over that of k and l, for any other two. Where a pair's covariance exceeds the median of
-    these by ``DEPENDENT`` of its greatest possible value, the pair is dependent.
+    these by ``COPIES`` of its greatest possible value, the two count as one.
     """
     n = cast.shape[1]
-    both = (cast * counts[:, None]).T @ cast
-    first = (bad * counts[:, None]).T @ cast / np.maximum(both, 1)  # bad votes of i where j votes too
-    cov = (bad * counts[:, None]).T @ bad / np.maximum(both, 1) - first * first.T
-    most = np.sqrt(np.maximum(first * (1 - first), 1e-12) * np.maximum(first.T * (1 - first.T), 1e-12))
+    both, cov, most = _covariances(cast, bad, counts)
     group = list(range(n))
     for i in range(n):
         for j in range(i):
             others = [k for k in range(n) if k not in (i, j)]
             told = [cov[i, k] * cov[j, x] / cov[k, x] for k in others for x in others if k != x and cov[k, x] > 0.02 * most[k, x]]
-            if told and (cov[i, j] - np.median(told)) / most[i, j] >= DEPENDENT:
+            if told and cov[i, j] * both[i, j] >= LEAST_TEXTS and (cov[i, j] - np.median(told)) / most[i, j] >= COPIES:
                 group = [group[j] if g == group[i] else g for g in group]
     return group
 
 
-def fit(patterns: Sequence[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = 2000) -> LabelModel:
+def fit(patterns: Sequence[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = 3000) -> LabelModel:
     """EM over (votes, count) with free rates of every rule on good and on bad texts; votes that abstain say nothing.
 
-    Rules vote apart given the class, unless pairs show otherwise: dependent ones form a group
-    that counts as one rule, each member's vote for its share.
+    Rules vote apart within a kind of texts. Pairs may show otherwise: rules that nearly copy each other
+    count as one, each for its share. And where two rules' bad votes still go together among the
+    texts found good, another kind of bad texts is added, on which these rules vote bad, and all is estimated again.
     """
     votes = np.array([v for v, _ in patterns], float).reshape(len(patterns), n_rules)
     counts = np.array([c for _, c in patterns], float)
     cast, bad = (votes != 0).astype(float), (votes < 0).astype(float)
     group = _groups(cast, bad, counts)
     power = np.array([1 / group.count(g) for g in group])
-    share, rates, _ = _em(cast, bad, counts, power, rounds)
-    return LabelModel(float(share[0]), (tuple(rates[0].tolist()), tuple(rates[1].tolist())), tuple(power.tolist()))
+    held = np.repeat([[BLAMES], [CATCHES]], n_rules, 1)
+    shares, rates = np.array([GOOD_SHARE, 1 - GOOD_SHARE]), held
+    while True:
+        shares, rates, p = _em(cast, bad, counts, power, held, shares, rates, rounds)
+        both, cov, most = _covariances(cast, bad, p[:, 0] * counts)
+        more = [j for j in range(n_rules) if any(group[i] != group[j] and cov[i, j] * both[i, j] >= LEAST_TEXTS and cov[i, j] >= TOGETHER * most[i, j] for i in range(n_rules))]
+        if not more or len(shares) > n_rules:
+            return LabelModel(tuple(shares.tolist()), tuple(map(tuple, rates.tolist())), tuple(power.tolist()))
+        held = np.vstack([held, np.where(np.isin(np.arange(n_rules), more), CATCHES, BLAMES)])
+        shares, rates = np.append(shares * 0.95, 0.05), np.vstack([rates, held[-1]])
 
 
 def posterior(votes: Sequence[Column], model: LabelModel) -> Column:
-    odds = F.lit(math.log(model.prior / (1 - model.prior)))
-    for j, v in enumerate(votes):
-        odds = odds + F.when(v > 0, model.weight(j, 1)).when(v < 0, model.weight(j, -1)).otherwise(0.0)
-    return 1 / (1 + F.exp(-odds))
+    def likelihood(kind: int) -> Column:
+        log = F.lit(math.log(model.shares[kind]))
+        for v, rate, power in zip(votes, model.rates[kind], model.power):
+            log = log + F.when(v > 0, power * math.log1p(-rate)).when(v < 0, power * math.log(rate)).otherwise(0.0)
+        return F.exp(log)
+
+    good = likelihood(0)
+    return good / sum([likelihood(k) for k in range(1, len(model.shares))], good)
 
 
 def apply(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",), rules: Sequence[Rule] | None = None, threshold: float = 0.5) -> DataFrame:
