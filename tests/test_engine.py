@@ -478,3 +478,19 @@ def test_ticket_fields_and_finding_search(spark):
     found = spark.createDataFrame([("field_conflict", "high", "K1", "Title", "Lost."), ("x", "high", None, None, "said")], "category string, severity string, key string, field string, message string")
     n = lambda *a, **k: views.matching_findings(found, *a, **k).count()
     assert (n(" lost. k1 TITLE "), n("conflict"), n("  "), n("said  "), n("", severity="high"), n("k1", severity="low")) == (1, 0, 2, 1, 2, 0)
+
+
+def test_evidence_lists_are_bounded_and_tell_their_true_length(spark, monkeypatch):
+    monkeypatch.setattr(qa, "LISTED", 3)
+    side = lambda codes: Snapshot(spark.createDataFrame([(i, json.dumps(c), '"t"') for i, c in enumerate(codes)], "idx long, f0 string, f1 string").repartition(4), ("Code", "Title"))
+    ref, cand = side(["A", "B", "B"]), side(["A"] * 9 + ["C"])
+    m = written(matching.match(ref, cand, POLICY), "m")
+    found = written(qa.findings(ref, cand, POLICY, m), "found")
+    told = {r["id"]: json.loads(r["e"]) for r in qa.evidence(ref, cand, POLICY, m, qa.field_loss(matching.matched(m, ref, cand, POLICY), ref, cand, POLICY)).select("id", F.to_json("evidence").alias("e")).collect()}
+    assert told.keys() <= {r["id"] for r in found.collect()}
+    by = {(x.get("side"), x.get("keyValue"), x.get("status")): x for x in told.values()}
+    assert by["candidate", '["A"]', None]["recordIndexes"] == [0, 1, 2] and by["candidate", '["A"]', None]["recordCount"] == 9
+    a = by["candidate", None, "ambiguous_primary"]["ambiguity"]
+    assert (a["candidateIndexes"], a["candidateCount"], a["referenceIndexes"], a["side"]) == ([0, 1, 2], 9, [0], "candidate")
+    b = by["reference", None, "ambiguous_primary"]["ambiguity"]
+    assert (b["referenceIndexes"], b["candidateCount"]) in (([1, 2], 0), ([0], 9))

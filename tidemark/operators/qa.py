@@ -250,6 +250,62 @@ def with_ids(found: DataFrame) -> DataFrame:
     return found.withColumn("id", V.finding_id(F.col("category"), F.col("key"), F.col("field"), F.col("discriminator")))
 
 
+#: Record numbers that evidence lists; the true number stands beside them.
+LISTED = 100
+
+
+def _listed(rows: DataFrame, by: Sequence[str], name: str) -> DataFrame:
+    """Per group its number of records and the first LISTED of their ordinals, ranked before they are collected."""
+    first = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy("idx"))).where(F.col("nth") <= LISTED)
+    lists = first.groupBy(*by).agg(F.array_sort(F.collect_list("idx")).alias(f"{name}_indexes"))
+    return rows.groupBy(*by).agg(F.count("*").alias(f"{name}_count")).join(lists, list(by))
+
+
+def evidence(reference: Snapshot, candidate: Snapshot, policy: Policy, matches: DataFrame, loss: DataFrame) -> DataFrame:
+    """``id`` and ``evidence`` (VARIANT) of the findings about record counts, the match rate, repeated keys, ambiguous records and total losses.
+
+    Lists of record numbers hold the first LISTED; ``...Count`` tells how many there are.
+    """
+    told = lambda df, category, key, field, discriminator, **facts: df.select(
+        V.finding_id(F.lit(category), *[(c if isinstance(c, Column) else F.lit(c)).cast("string") for c in (key, field, discriminator)]).alias("id"),
+        F.to_variant_object(F.struct(*[(v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in facts.items()])).alias("evidence"),
+    )
+    sizes = reference.df.agg(F.count("*").alias("r")).join(F.broadcast(candidate.df.agg(F.count("*").alias("c")))).where("r <> c")
+    drift = F.when(F.col("r") == 0, F.lit(1.0)).otherwise(F.abs(F.col("c") - F.col("r")) / F.greatest("r", F.lit(1)))
+    known = policy.record_count_tolerance
+    out = told(sizes, "record_count_anomaly", None, None, "", candidateCount=F.col("c"), referenceCount=F.col("r"), delta=F.col("c") - F.col("r"), drift=drift, tolerance=F.lit(known).cast("double"), exceedsTolerance=F.coalesce(drift > F.lit(known).cast("double"), F.lit(False)), toleranceConfigured=known is not None)
+    low = matching.summary(matches, policy).where(~F.col("meets_minimum"))
+    out = out.unionByName(told(low, "identity_match_issue", None, None, "match_rate_below_minimum", matchRate=F.col("match_rate"), minimumMatchRate=policy.minimum_match_rate, counts=F.struct(*matching.STATUSES)))
+    definitions = {"primaryKey": policy.primary_key} | ({"dedupeKey": policy.dedupe_key} if policy.dedupe_key and policy.dedupe_key != policy.primary_key else {})
+    for name, fields in definitions.items():
+        for side, own in (("candidate", candidate), ("reference", reference)):
+            keyed = own.df.select("idx", own.key(fields).alias("key")).where("key is not null")
+            twice = keyed.groupBy("key").count().where("count > 1").select("key")
+            group = _listed(keyed.join(twice, "key", "left_semi"), ["key"], "record")
+            out = out.unionByName(told(group, "duplicate_identity_key", F.col("key"), ",".join(fields), f"{name}:{side}", side=side, keyDefinition=name, keyFields=F.array(*map(F.lit, fields)), keyValue=F.col("key"), recordIndexes=F.col("record_indexes"), recordCount=F.col("record_count")))
+    # ambiguous records: all open candidates of a key are ambiguous together, references are those that hold the key
+    keys = [policy.primary_key, *[k for k in policy.fallback_keys if k]]
+    bad = matches.where(F.col("status").startswith("ambiguous")).withColumn("key", F.coalesce("candidate_key", "reference_key"))
+    cand = _listed(bad.where("candidate_idx is not null").select("pass", "key", F.col("candidate_idx").alias("idx")), ["pass", "key"], "candidate")
+    held = bad.select("pass", "key").distinct()
+    every = reference.df.select("idx", F.explode(F.array(*[F.struct(F.lit(n).alias("pass"), reference.key(k).alias("key")) for n, k in enumerate(keys)])).alias("k")).select("idx", "k.pass", "k.key").where("key is not null")
+    ref = _listed(every.join(held, ["pass", "key"], "left_semi"), ["pass", "key"], "reference")
+    none = lambda c: F.coalesce(c, F.lit(0))
+    side = F.when((none("reference_count") > 1) & (none("candidate_count") > 1), "both").when(none("reference_count") > 1, "reference").otherwise("candidate")
+    empty = F.array().cast("array<bigint>")
+    names = F.array(*[F.array(*map(F.lit, k)) for k in keys])
+    told_of = F.struct(
+        F.get(names, F.col("pass")).alias("keyFields"), F.col("key").alias("keyValue"), F.coalesce("reference_indexes", empty).alias("referenceIndexes"), none("reference_count").alias("referenceCount"),
+        F.coalesce("candidate_indexes", empty).alias("candidateIndexes"), none("candidate_count").alias("candidateCount"), side.alias("side"),
+    )
+    both = bad.join(cand, ["pass", "key"], "left").join(ref, ["pass", "key"], "left")
+    whose = F.when(F.col("candidate_idx").isNotNull(), "candidate").otherwise("reference")
+    out = out.unionByName(told(both, "identity_match_issue", F.col("key"), F.array_join(F.get(names, F.col("pass")), ","), F.concat_ws(":", "status", whose, F.coalesce("candidate_idx", "reference_idx")), status=F.col("status"), side=whose, candidateIndex=F.col("candidate_idx"), referenceIndex=F.col("reference_idx"), ambiguity=told_of))
+    pairs = matches.agg(F.count_if(F.col("method").isNotNull()).alias("pairs"))
+    lost = loss.where("populated > 0 and populated = regressed").join(F.broadcast(pairs))
+    return out.unionByName(told(lost, "systemic_field_regression", None, F.col("field"), "", referencePopulated=F.col("populated"), regressed=F.col("regressed"), lossRate=F.lit(1), matchedPairCount=F.col("pairs"), perRecordFindingCount=F.least("regressed", F.lit(EXEMPLARS))))
+
+
 def counts(found: DataFrame) -> DataFrame:
     """Findings by severity and by category, with zeros, and in total."""
     spark = found.sparkSession

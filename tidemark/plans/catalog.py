@@ -249,6 +249,11 @@ def finding_counts(spark, sf_dir):
     return qa.counts(review(spark, sf_dir).findings)
 
 
+def finding_evidence(spark, sf_dir):
+    r = review(spark, sf_dir)
+    return qa.evidence(r.reference, r.candidate, POLICY, r.matches, r.loss).select("id", F.to_json("evidence").alias("evidence"))
+
+
 def finding_ids(spark, sf_dir):
     return review(spark, sf_dir).findings.select("id", "category", "key", "field", "discriminator")
 
@@ -741,6 +746,17 @@ ORACLES: dict[str, str] = {
     "source_detection": "SELECT CASE WHEN count(*) FILTER (WHERE regexp_matches(lower(url), '^https?://blog[.]')) > 0 THEN 'match' ELSE 'none' END AS state, CASE WHEN count(*) FILTER (WHERE regexp_matches(lower(url), '^https?://blog[.]')) > 0 THEN 'com' ELSE '' END AS policies FROM (SELECT * FROM pages ORDER BY page_id LIMIT 25)",
 }
 
+_ID = lambda category, key, field, discriminator: _FINDING_ID.format(category=f"'{category}'", key=key, field=field, discriminator=discriminator)
+_EVIDENCE = f"""{_MATCH}, loss AS ({_LOST}), bad AS (SELECT m.*, CASE WHEN m.status = 'ambiguous_fallback' THEN concat('["', CAST(l.cust AS STRING), '","', CAST(l.price AS STRING), '"]') ELSE {_KEY.format('coalesce(l.id, b.id)')} END AS key FROM m LEFT JOIN l ON m.candidate_idx = l.idx LEFT JOIN b ON m.reference_idx = b.idx WHERE m.status LIKE 'ambiguous%'),
+cs AS (SELECT status, key, count(*) AS n, list(candidate_idx ORDER BY candidate_idx) AS xs FROM bad WHERE candidate_idx IS NOT NULL GROUP BY status, key),
+rf AS (SELECT 'ambiguous_primary' AS status, {_KEY.format('id')} AS key, idx FROM b UNION ALL SELECT 'ambiguous_fallback', concat('["', CAST(cust AS STRING), '","', CAST(price AS STRING), '"]'), idx FROM b), rs AS (SELECT status, key, count(*) AS n, list(idx ORDER BY idx) AS xs FROM rf GROUP BY status, key),
+dk AS (SELECT {_KEY.format('id')} AS key, count(*) AS n, list(idx ORDER BY idx) AS xs FROM l GROUP BY id HAVING count(*) > 1)"""
+_NUMBERS = "concat('[', array_to_string(coalesce({0}, []), ','), ']')"
+_EVIDENCE_SQL = f"""{_EVIDENCE} SELECT {_ID('record_count_anomaly', 'NULL', 'NULL', "''")} AS id, concat('{{"candidateCount":', c, ',"delta":', c - r, ',"drift":', abs(c - r) / r, ',"exceedsTolerance":', abs(c - r) / r > 0.0001, ',"referenceCount":', r, ',"tolerance":1.0E-4,"toleranceConfigured":true}}') AS evidence FROM (SELECT (SELECT count(*) FROM b) AS r, (SELECT count(*) FROM l) AS c) WHERE r <> c
+UNION ALL SELECT {_ID('duplicate_identity_key', 'key', "'id'", "'primaryKey:candidate'")}, concat('{{"keyDefinition":"primaryKey","keyFields":["id"],"keyValue":', to_json(key), ',"recordCount":', n, ',"recordIndexes":', {_NUMBERS.format('xs')}, ',"side":"candidate"}}') FROM dk
+UNION ALL SELECT {_ID('identity_match_issue', 'key', "CASE WHEN bad.status = 'ambiguous_fallback' THEN 'cust,price' ELSE 'id' END", "concat(bad.status, ':', CASE WHEN candidate_idx IS NULL THEN 'reference' ELSE 'candidate' END, ':', coalesce(candidate_idx, reference_idx))")},
+  concat('{{"ambiguity":{{"candidateCount":', coalesce(cs.n, 0), ',"candidateIndexes":', {_NUMBERS.format('cs.xs')}, ',"keyFields":', CASE WHEN bad.status = 'ambiguous_fallback' THEN '["cust","price"]' ELSE '["id"]' END, ',"keyValue":', to_json(key), ',"referenceCount":', coalesce(rs.n, 0), ',"referenceIndexes":', {_NUMBERS.format('rs.xs')}, ',"side":"', CASE WHEN rs.n > 1 AND cs.n > 1 THEN 'both' WHEN rs.n > 1 THEN 'reference' ELSE 'candidate' END, '"}},"candidateIndex":', coalesce(CAST(candidate_idx AS STRING), 'null'), ',"referenceIndex":', coalesce(CAST(reference_idx AS STRING), 'null'), ',"side":"', CASE WHEN candidate_idx IS NULL THEN 'reference' ELSE 'candidate' END, '","status":"', bad.status, '"}}') FROM bad LEFT JOIN cs USING (status, key) LEFT JOIN rs USING (status, key)
+UNION ALL SELECT {_ID('systemic_field_regression', 'NULL', 'field', "''")}, concat('{{"lossRate":1,"matchedPairCount":', (SELECT count(*) FROM pr), ',"perRecordFindingCount":', least(regressed, 500), ',"referencePopulated":', populated, ',"regressed":', regressed, '}}') FROM loss WHERE populated > 0 AND populated = regressed"""
 _EVENTS = f"""{_FILLS}, us AS (SELECT cm.candidate_idx, {_KEY.format('l.id')} AS key, l.price AS lp, l.status AS ls FROM cm JOIN l ON cm.candidate_idx = l.idx WHERE cm.status NOT LIKE 'ambiguous%'), raw AS (
 SELECT candidate_idx, field, original, output, 'reference_backfill' AS source, rule_id, NULL AS reason, -1 AS ord FROM prov UNION ALL SELECT candidate_idx, field, CASE field WHEN 'price' THEN CAST(lp AS STRING) ELSE {_JSON.format('ls')} END, value, 'manual_override', 'orders@3:manual_override', reason, ord FROM us JOIN ({OVERRIDES.format(orders='orders')}) o USING (key)),
 ev AS (SELECT * REPLACE (coalesce(lag(output) OVER (PARTITION BY candidate_idx, field ORDER BY ord), original) AS original) FROM raw)"""
@@ -758,6 +774,7 @@ ORACLES |= {
       UNION ALL SELECT 2, 'records-excluded', 'Records excluded', CAST(excluded AS STRING), CASE WHEN excluded > 0 THEN 'see exclusions below' ELSE 'none' END, CASE WHEN excluded > 0 THEN 'warn' ELSE 'good' END FROM r
       UNION ALL SELECT 3, 'duplicates-removed', 'Duplicates removed', CAST(removed AS STRING), concat(duplicate_groups, ' duplicate group(s)'), CASE WHEN removed > 0 THEN 'warn' ELSE 'good' END FROM d
       UNION ALL SELECT 4, 'critical-findings', 'Critical findings', CAST(critical AS STRING), concat(total, ' findings in total'), CASE WHEN critical > 0 THEN 'bad' ELSE 'good' END FROM c""",
+    "finding_evidence": _EVIDENCE_SQL,
     "override_events": f"{_EVENTS} SELECT candidate_idx, field, original, output, source, rule_id, reason, CAST(ord AS BIGINT) AS ord FROM ev",
     "cell_outcomes": f"{_EVENTS} SELECT candidate_idx, field, min_by(original, ord) AS original, max_by(output, ord) AS output, max_by(source, ord) AS source, count(*) AS events FROM ev GROUP BY candidate_idx, field",
     "unapplied_overrides": f"{_RECOVERED} SELECT key, field, value FROM ({OVERRIDES.format(orders='orders')}) WHERE key NOT IN (SELECT {_KEY.format('id')} FROM rr WHERE mstatus NOT LIKE 'ambiguous%')",
@@ -775,7 +792,7 @@ _PLAIN = (
     quality_issues, quality_gate, match_results, match_counts, ambiguity_detail, finding_counts, finding_ids, backfill_provenance, recovered_records, recovery_exclusions, recovery_summary, field_provenance,
     dedupe_outcomes, dedupe_summary, lanes, lane_counts, field_summaries, record_summaries, bulk_impact, decision_latest, decision_overrides, decision_summary, pending_queue, field_distribution, backfill_groups,
     exclusion_groups, ticket_groups, evidence_counts, record_filter, record_search, search_candidates, export_gate, findings_csv, conflicts_csv, document_diff, document_summary, document_health, document_states, identity_census, source_detection,
-    override_events, cell_outcomes, unapplied_overrides, tracked_values, summary_tiles, ticket_fields, finding_search, exclusion_findings, exported_records, queue_progress,
+    finding_evidence, override_events, cell_outcomes, unapplied_overrides, tracked_values, summary_tiles, ticket_fields, finding_search, exclusion_findings, exported_records, queue_progress,
     changed_record_counts, nested_changes, nested_status, related_issues, cell_classes, cell_evidence, cell_summaries, record_details, record_inspection,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _PLAIN} | {f"qa_{k}": _category(k) for k in _FINDINGS}
