@@ -494,3 +494,18 @@ def test_evidence_lists_are_bounded_and_tell_their_true_length(spark, monkeypatc
     assert (a["candidateIndexes"], a["candidateCount"], a["referenceIndexes"], a["side"]) == ([0, 1, 2], 9, [0], "candidate")
     b = by["reference", None, "ambiguous_primary"]["ambiguity"]
     assert (b["referenceIndexes"], b["candidateCount"]) in (([1, 2], 0), ([0], 9))
+
+
+def test_levels_of_nested_changes_are_not_copied_into_filters(spark):
+    nest = lambda v: '{"a":{"b":{"c":{"d":' + str(v) + "}}}}"
+    side = lambda v: Snapshot(spark.createDataFrame([(0, '"r"', nest(v))], "idx long, f0 string, f1 string"), ("Code", "F"), nested=True)
+    diff = drift.changes(drift.compared(side(1), side(2), ("Code",), P.Quality()))
+    assert diff.select("path", "before", "after").collect() == [("F.a.b.c.d", "1", "2")]
+    assert diff._jdf.queryExecution().optimizedPlan().toString().count("from_json(MapType") == 2 * 4  # both sides once a level
+
+
+def test_looking_ahead_is_a_running_value(spark):
+    rows = spark.createDataFrame([("a", "1", "k", 1, False)], "id string, label string, key string, pending int, resolved boolean")
+    plan = decisions.next_pending(rows)._jdf.queryExecution().executedPlan().toString()
+    ranged = [p.split("unbounded")[1].split("$")[0] for p in plan.split("windowspecdefinition(part#")[1:] if p.split("RowFrame")[0].count("at#")]
+    assert ranged and all(x.startswith("preceding") for x in ranged)  # a frame up to the end is walked anew for every row
