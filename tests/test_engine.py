@@ -509,3 +509,36 @@ def test_looking_ahead_is_a_running_value(spark):
     plan = decisions.next_pending(rows)._jdf.queryExecution().executedPlan().toString()
     ranged = [p.split("unbounded")[1].split("$")[0] for p in plan.split("windowspecdefinition(part#")[1:] if p.split("RowFrame")[0].count("at#")]
     assert ranged and all(x.startswith("preceding") for x in ranged)  # a frame up to the end is walked anew for every row
+
+
+def test_records_and_not_their_cells_are_joined(spark, sides):
+    ref, cand = sides
+    m = written(matching.match(ref, cand, POLICY), "m")
+    prov = recovery.provenance(m, ref, cand, POLICY)
+    rows = written(cells.records(ref, cand, ("Code",), POLICY, m, prov), "records")
+    own = cells.classified(rows, ref, cand, POLICY, prov)
+    assert "Join" not in own._jdf.queryExecution().optimizedPlan().toString()
+    want = {}
+    for r in own.collect():
+        want.setdefault(r["id"], []).append((r["field"], r["lane"], r["situation"]))
+    sums = cells.record_sums(rows, ref, cand, POLICY, prov)
+    assert "Exchange" not in sums._jdf.queryExecution().executedPlan().toString()
+    lane = lambda i, x: sorted(f for f, l, _ in want[i] if l == x)
+    assert {r["id"]: (r["review_fields"], r["auto_fields"], r["ineligible"], r["unchanged"]) for r in sums.collect()} == {i: (lane(i, "review"), lane(i, "auto"), len(lane(i, "ineligible")), sum(l is None and s == "unchanged" for _, l, s in w)) for i, w in want.items()}
+    told = {(r["id"], r["situation"]): r["cells"] for r in cells.situations(rows, ref, cand, "id").collect()}
+    assert told == {(i, s): sum(x[2] == s for x in w) for i, w in want.items() for s in {x[2] for x in w}}
+
+
+def test_dedupe_joins_only_excluded_records(spark, sides):
+    ref, cand = sides
+    m = written(matching.match(ref, cand, POLICY), "m")
+    plan = recovery.dedupe(written(recovery.recover(m, ref, cand, POLICY), "rec"), cand, POLICY)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1  # each participant meets the best of its key; participants are written once
+
+
+def test_terms_of_long_fields_are_counted_in_their_row(spark):
+    parts = {f: "" for f in search.FIELDS} | {"title": "b a " * 20 + "c"}
+    docs = spark.createDataFrame([("1", "l", *parts.values())], "id string, label string, " + ", ".join(f"{f} string" for f in parts))
+    found = search.postings(docs)
+    assert sorted((r["term"], r["tf"], r["length"]) for r in found.collect()) == [("a", 20, 41), ("b", 20, 41), ("c", 1, 41)]
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
