@@ -542,3 +542,10 @@ def test_terms_of_long_fields_are_counted_in_their_row(spark):
     found = search.postings(docs)
     assert sorted((r["term"], r["tf"], r["length"]) for r in found.collect()) == [("a", 20, 41), ("b", 20, 41), ("c", 1, 41)]
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_each_csv_step_mentions_its_text_once_finished(spark):
+    found = spark.createDataFrame([("=1+1", *["a,b"] * 8)], ", ".join(f"{c} string" for c in export.CSV_COLUMNS.values()))
+    lines = export.csv_lines(found)
+    assert lines.first()["value"] == ",".join(["'=1+1", *['"a,b"'] * 8])
+    assert lines._jdf.queryExecution().optimizedPlan().toString().count("[truncated") == len(export.CSV_COLUMNS)
