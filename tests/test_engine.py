@@ -2,12 +2,14 @@
 
 import json
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import values as V
 from tidemark.operators import cells, decisions, documents, drift, export, matching, qa, recovery, search, views
+from tidemark.plans import catalog
 from tidemark.plans import policy as P
 from tidemark.sources import json_array
 from tidemark.sources import json_export as J
@@ -549,3 +551,61 @@ def test_each_csv_step_mentions_its_text_once_finished(spark):
     lines = export.csv_lines(found)
     assert lines.first()["value"] == ",".join(["'=1+1", *['"a,b"'] * 8])
     assert lines._jdf.queryExecution().optimizedPlan().toString().count("[truncated") == len(export.CSV_COLUMNS)
+
+
+def _coded(spark, rows):
+    """Records of three nullable codes."""
+    return Snapshot(spark.createDataFrame([(i, *[None if v is None else json.dumps(str(v)) for v in r]) for i, r in enumerate(rows)], "idx long, f0 string, f1 string, f2 string").repartition(3), ("x", "y", "z"))
+
+
+def test_pairs_come_out_of_the_groups(spark, monkeypatch):
+    rng = random.Random(13)
+    made = lambda n: [[rng.choice([None, *range(m)]) for m in (60, 3, 20)] for _ in range(n)]
+    ref, cand = made(40), made(40)
+    policy = replace(POLICY, primary_key=("x",), fallback_keys=(("y", "z"), ("z",)))
+    want, open_, claimed = [], list(range(40)), set()
+    key = lambda r, f: None if any(r["xyz".index(c)] is None for c in f) else json.dumps([str(r["xyz".index(c)]) for c in f], separators=(",", ":"))
+    for n, f in enumerate(("x", "yz", "z")):
+        kind, of, left, taken = ("fallback" if n else "primary"), {}, [], set(claimed)
+        for i in open_:
+            of.setdefault(key(cand[i], f), []).append(i)
+        for i in open_:
+            k = key(cand[i], f)
+            refs = [j for j in range(40) if k is not None and key(ref[j], f) == k]
+            if k is None:
+                want.append(("invalid_identity", i, None, None, None, None, n)) if not n else left.append(i)
+            elif len(of[k]) > 1 or len(refs) > 1:
+                want.append((f"ambiguous_{kind}", i, None, k, None, None, n))
+            elif refs and refs[0] not in taken:
+                want.append((f"matched_{kind}", i, refs[0], k, k, kind, n))
+                claimed.add(refs[0])
+            else:
+                left.append(i)
+        open_ = left
+    want += [("candidate_only", i, None, key(cand[i], "x"), None, None, 0) for i in open_]
+    for j in set(range(40)) - claimed:
+        k = key(ref[j], "x")
+        many = k is not None and (sum(key(r, "x") == k for r in ref) > 1 or sum(key(c, "x") == k for c in cand) > 1)
+        want.append(("invalid_identity" if k is None else "ambiguous_primary" if many else "reference_only", None, j, None, k, None, 0))
+    names = []
+    monkeypatch.setattr(matching, "written", lambda df, name: names.append((name, df.columns)) or written(df, name))
+    a, b = _coded(spark, ref), _coded(spark, cand)
+    m = written(matching.match(a, b, policy), "m")
+    assert sorted(map(str, map(tuple, m.collect()))) == sorted(map(str, want)) and {w[0] for w in want} == set(matching.STATUSES)
+    assert ("groups-0", ["k", "ref_n", "ref_at", "cand_n", "cand_at"]) in names  # a row a key, not a row a record
+    monkeypatch.setattr(matching, "WIDE", 4)
+    pairs = matching.matched(m, a, b, policy)
+    assert pairs.rdd.getNumPartitions() == -(-m.count() // 4)  # tasks grow in number, not in size
+    assert {(r["candidate_idx"], r["reference_idx"], r["status"], r["method"], r["reference_key"]) for r in pairs.collect()} == {(w[1], w[2], w[0], w[5], w[4]) for w in want if w[5]}
+
+
+def test_losses_need_no_records_of_pairs(spark):
+    names = tuple(f"n{i:02}" for i in range(65))  # more than one long holds
+    side = lambda seed: Snapshot(spark.createDataFrame([(i, json.dumps(str(i)), *[random.Random(seed * 9 + i * 71 + j).choice(['"v"', '""', None]) for j in range(65)]) for i in range(20)], "idx long, k string, " + ", ".join(f"{n} string" for n in names)).toDF("idx", *[f"f{i}" for i in range(66)]), ("key", *names))
+    policy = replace(POLICY, primary_key=("key",), fallback_keys=(), excluded=("n03",))
+    ref, cand = side(1), side(2)
+    m = written(matching.match(ref, cand, policy), "m")
+    want = {tuple(r) for r in qa.field_loss(matching.matched(m, ref, cand, policy), ref, cand, policy).collect()}
+    assert {tuple(r) for r in qa.field_loss_of(m, ref, cand, policy).collect()} == want and len(want) == 65 and any(l for _, _, l in want)
+    r = catalog.Review(spark, "/root/testdata/sf0.001")
+    assert r.loss.count() == 8 and "matched" not in r.__dict__
