@@ -609,3 +609,19 @@ def test_losses_need_no_records_of_pairs(spark):
     assert {tuple(r) for r in qa.field_loss_of(m, ref, cand, policy).collect()} == want and len(want) == 65 and any(l for _, _, l in want)
     r = catalog.Review(spark, "/root/testdata/sf0.001")
     assert r.loss.count() == 8 and "matched" not in r.__dict__
+
+
+def test_plain_document_lists_are_parsed_once(spark, monkeypatch):
+    texts = [
+        '[{"Title":" a ","URL":"u","Hash":"H"},{"title":"\\u00a0","url":null,"hash":"H\\u3000"},{}]', '[{"title":"b","Title":"a"},{"HASH":"1","Hash":"2","hash":"3"}]', '[{"Title":1.50,"URL":true,"Hash":[1, 2]}]',
+        '[{"Title":"x"},7,"t",null,[{"Title":"y"}]]', '[{"Title":"say \\"q\\": {1}","URL":"http://x/y","Hash":"é"}]', '"[{\\"Title\\":\\"in a text\\",\\"Hash\\":\\"\\"}]"', '{"Title":"x"}', "[]", "nope", "", None,
+    ]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = rows.select(documents.normalised(F.col("t")).alias("d"), documents._plain(documents.decoded(F.col("t"))).isNotNull().alias("plain")).collect()
+    assert [r["plain"] for r in got] == [True, False, False, False, False, True, False, True, False, False, False]
+    monkeypatch.setattr(documents, "_plain", lambda text: F.lit(None).cast(documents.DOCUMENTS))
+    assert [r["d"] for r in got] == [r["d"] for r in rows.select(documents.normalised(F.col("t")).alias("d")).collect()]
+    docs = F.from_json(F.lit('[{"title":"1","hash":"b"},{"title":"2","hash":"a"},{"title":"3"},{"title":"4","hash":"b"}]'), documents.DOCUMENTS)
+    assert {k: v["title"] for k, v in one(spark, documents._by_hash(docs)).items()} == {"b": "4", "a": "2"}
+    plan = catalog._document_rows(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1  # narrow rows move once

@@ -17,18 +17,38 @@ def decoded(json: Column) -> Column:
     return F.when(text.startswith("["), text).otherwise(json)
 
 
+#: A value in JSON that is neither a text nor null (or looks like one inside a text).
+_OTHER_VALUE = r'"\s*:\s*[^"\sn]'
+
+
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often it is mentioned."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _part(text: Column) -> Column:
+    """The trimmed text, NULL if blank. Trimming walks the text; most have no blank at either end."""
+    printed = lambda c: F.ascii(c).between(33, 126)
+    kept = lambda t: F.when(printed(t) & printed(F.substring(t, -1, 1)), t).otherwise(_bound(V.js_trim(t), lambda x: F.when(x != "", x)))
+    return _bound(text, kept)
+
+
+def _plain(text: Column) -> Column:
+    """N2 for lists whose items are objects of texts with no name told twice in any case, by one parsing; NULL for all others, whose values only a variant tells as canonical text."""
+    maps = F.from_json(text, "array<map<string,string>>")
+    items = F.transform(maps, lambda m: F.struct(F.transform(F.map_keys(m), F.lower).alias("k"), F.map_values(m).alias("v")))
+    once = lambda x: F.size(F.array_distinct(x["k"])) == F.size(x["k"])
+    item = lambda x: F.struct(*[_part(F.get(x["v"], (F.array_position(x["k"], name) - 1).cast("int"))).alias(name) for name in ("title", "url", "hash")])
+    return F.when(~text.rlike(_OTHER_VALUE), _bound(items, lambda own: F.when(F.forall(own, once), F.transform(own, item))))
+
+
 def normalised(json: Column) -> Column:
     """Array of (title, url, hash); names in any case, trimmed, blank becomes NULL; other items are dropped."""
     items = F.from_json(decoded(json), "array<variant>")
     maps = F.transform(F.filter(items, lambda v: F.schema_of_variant(v).startswith("OBJECT")), lambda v: F.from_json(F.to_json(v), "map<string,string>"))
-
-    def part(m: Column, name: str) -> Column:
-        found = F.map_values(F.map_filter(m, lambda k, v: F.lower(k) == name))
-        text = V.js_trim(F.get(found, F.lit(0)))
-        return F.when(text != "", text)
-
+    part = lambda m, name: _part(F.get(F.map_values(F.map_filter(m, lambda k, v: F.lower(k) == name)), F.lit(0)))
     out = F.transform(maps, lambda m: F.struct(part(m, "title").alias("title"), part(m, "url").alias("url"), part(m, "hash").alias("hash")))
-    return F.coalesce(out, F.array().cast(DOCUMENTS))
+    return F.coalesce(_plain(decoded(json)), out, F.array().cast(DOCUMENTS))
 
 
 def hash_list(json: Column) -> Column:
@@ -38,14 +58,16 @@ def hash_list(json: Column) -> Column:
 
 
 def _by_hash(docs: Column) -> Column:
-    """Map from hash to document; of equal hashes in one list the last counts."""
-    rows = F.array_sort(F.filter(F.transform(docs, lambda d, i: F.struct(d["hash"].alias("hash"), i.alias("at"), d.alias("d"))), lambda x: x["hash"].isNotNull()))  # equal ones stand side by side, the last of them last
+    """Map from hash to document; of equal hashes in one list the last counts. Only lists that repeat a hash are sorted."""
+    held = F.filter(docs, lambda d: d["hash"].isNotNull())
 
     def last(own: Column) -> Column:
-        kept = F.filter(own, lambda x, i: ~F.coalesce(F.get(own, i + 1)["hash"] == x["hash"], F.lit(False)))
-        return F.map_from_entries(F.transform(kept, lambda x: F.struct(x["hash"], x["d"])))
+        rows = F.array_sort(F.transform(own, lambda d, i: F.struct(d["hash"].alias("hash"), i.alias("at"), d.alias("d"))))  # equal ones stand side by side, the last of them last
+        return _bound(rows, lambda r: F.filter(r, lambda x, i: ~F.coalesce(F.get(r, i + 1)["hash"] == x["hash"], F.lit(False)))["d"])
 
-    return F.get(F.transform(F.array(rows), last), F.lit(0))  # bound, so that it is sorted once
+    once = lambda own: F.size(F.array_distinct(own["hash"])) == F.size(own)
+    kept = _bound(held, lambda own: F.when(once(own), own).otherwise(last(own)))
+    return _bound(kept, lambda own: F.map_from_arrays(own["hash"], own))
 
 
 def changes(before: Column, after: Column) -> Column:
