@@ -625,3 +625,33 @@ def test_plain_document_lists_are_parsed_once(spark, monkeypatch):
     assert {k: v["title"] for k, v in one(spark, documents._by_hash(docs)).items()} == {"b": "4", "a": "2"}
     plan = catalog._document_rows(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1  # narrow rows move once
+
+
+OVERRIDES = [('["A-1"]', "Title", '"T2"', 3), ('["A-1"]', "Title", '"T1"', 1), ('["A-1"]', "Extra", "5", 2), ('["C-3"]', "Status", '"Open"', 4), ('["D-4"]', "Title", '"ambiguous"', 5), ('["Z"]', "Title", '"unknown"', 6)]
+
+
+def test_events_and_outcomes_of_cells(spark, sides):
+    ref, cand = sides
+    m = written(matching.match(ref, cand, POLICY), "m")
+    over = spark.createDataFrame([(k, f, v, "why", n) for k, f, v, n in OVERRIDES], "key string, field string, value string, reason string, ord long")
+    fills = {("Title", '"   "', '"Main"'), ("Status", "null", '"Open"')}
+    told = recovery.events(m, ref, cand, over, POLICY).collect()
+    assert {(r["key"], r["candidate_idx"], r["field"], r["original"], r["output"], r["ord"]) for r in told} == {('["A-1"]', 0, *x, -1) for x in fills} | {
+        ('["A-1"]', 0, "Title", '"Main"', '"T1"', 1), ('["A-1"]', 0, "Title", '"T1"', '"T2"', 3), ('["A-1"]', 0, "Extra", "null", "5", 2), ('["C-3"]', 1, "Status", '"n/a"', '"Open"', 4),
+    }
+    assert len(told) == 6 and {(r["source"], r["actor"], r["reason"]) for r in told} == {("reference_backfill", "auto", None), ("manual_override", "user", "why")}
+    ends = recovery.outcomes(m, ref, cand, over, POLICY).collect()
+    assert sorted((r["candidate_idx"], r["field"], r["original"], r["output"], r["source"], r["events"]) for r in ends) == [
+        (0, "Extra", "null", "5", "manual_override", 1), (0, "Status", "null", '"Open"', "reference_backfill", 1), (0, "Title", '"   "', '"T2"', "manual_override", 3), (1, "Status", '"n/a"', '"Open"', "manual_override", 1),
+    ]
+    strict = replace(POLICY, candidate_only="exclude", safe_backfill=())
+    assert {(r["candidate_idx"], r["field"], r["original"], r["events"]) for r in recovery.outcomes(m, ref, cand, over, strict).collect()} == {(0, "Title", '"   "', 2), (0, "Extra", "null", 1)}
+    assert {(r["candidate_idx"], r["field"]) for r in recovery.events(m, ref, cand, over, strict).collect()} == {(0, "Title"), (0, "Extra")}
+
+
+def test_cell_outcomes_group_and_sort_no_cells(spark):
+    """Neither records nor their cells are grouped; what a record lacks is not worked out, as its match status decides."""
+    plan = lambda name: catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    ends, told = plan("cell_outcomes"), plan("override_events")
+    assert "Window" not in ends and "Aggregate [key" in ends and "candidate_idx" not in "".join(x for x in ends.split("\n") if "Aggregate" in x)
+    assert "windowspecdefinition(key" in told and "windowspecdefinition(candidate_idx" not in told and "ambiguous_identity" not in ends + told
