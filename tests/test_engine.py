@@ -498,6 +498,22 @@ def test_evidence_lists_are_bounded_and_tell_their_true_length(spark, monkeypatc
     assert (b["referenceIndexes"], b["candidateCount"]) in (([1, 2], 0), ([0], 9))
 
 
+def test_evidence_lists_are_whole_and_large_groups_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(qa, "BESIDE", 20)
+    side = lambda codes: Snapshot(spark.createDataFrame([(i, json.dumps(c), f'"{len(codes)} {i}"') for i, c in enumerate(codes)], "idx long, f0 string, f1 string").repartition(4), ("Code", "Title"))
+    ref, cand = side(["A", "B"] + ["C"] * 130), side(["A"] * 120 + ["B", "D"])
+    m = written(matching.match(ref, cand, POLICY), "m")
+    told = [json.loads(r["e"]) for r in qa.evidence(ref, cand, POLICY, m, qa.field_loss_of(m, ref, cand, POLICY)).select(F.to_json("evidence").alias("e")).collect()]
+    twice = {(x["side"], x["keyValue"]): (x["recordIndexes"], x["recordCount"]) for x in told if "keyDefinition" in x}
+    assert twice == {("candidate", '["A"]'): ([*range(120)], 120), ("reference", '["C"]'): ([*range(2, 132)], 130)}
+    bad = {(x["candidateIndex"], x["referenceIndex"]): x["ambiguity"] for x in told if "ambiguity" in x}
+    want = [(r["candidate_idx"], r["reference_idx"]) for r in m.where("status like 'ambiguous%'").collect()]
+    assert sorted(bad, key=str) == sorted(want, key=str) and len(want) >= 120
+    for a in bad.values():
+        held = {'["A"]': ([*range(120)], [0]), '["C"]': ([], [*range(2, 132)])}[a["keyValue"]]
+        assert (a["candidateIndexes"], a["referenceIndexes"], a["candidateCount"], a["referenceCount"]) == (*held, *map(len, held))
+
+
 def test_levels_of_nested_changes_are_not_copied_into_filters(spark):
     nest = lambda v: '{"a":{"b":{"c":{"d":' + str(v) + "}}}}"
     side = lambda v: Snapshot(spark.createDataFrame([(0, '"r"', nest(v))], "idx long, f0 string, f1 string"), ("Code", "F"), nested=True)
