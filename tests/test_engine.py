@@ -562,6 +562,30 @@ def test_terms_of_long_fields_are_counted_in_their_row(spark):
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_lists_of_an_index_are_made_without_a_shuffle(spark, tmp_path):
+    texts = ["a-b\ta\r\nB", "x\u00a0Y\u2014z x", "$1,5 [k] \u0130", "", None] * 9
+    parts = [{f: "" for f in search.FIELDS} | {"title": t, "qualityText": "same text, same"} for t in texts]
+    docs = spark.createDataFrame([(str(i), f"l{i}", *p.values()) for i, p in enumerate(parts)], "id string, label string, " + ", ".join(f"{f} string" for f in parts[0]))
+    assert "Exchange" not in search.lists(search._numbered(docs))._jdf.queryExecution().executedPlan().toString()
+    index = search.build(docs, str(tmp_path / "i"))
+    got = sorted((r["id"], r["field"], r["term"], r["tf"], r["length"]) for r in index.postings.collect())
+    cut = [(r["id"], f, r[f]) for r in docs.select("id", *[search.terms_of(F.col(f)).alias(f) for f in search.FIELDS]).collect() for f in search.FIELDS]
+    assert got == sorted((i, f, t, w.count(t), len(w)) for i, f, w in cut for t in set(w)) and index.lists.agg(F.sum("n")).first()[0] == len(got)
+    assert {r["field"]: (r["records"], r["terms"]) for r in index.fields.collect()} == {f: (45, sum(len(w) for _, x, w in cut if x == f)) for f in search.FIELDS}
+    rows = [r.asDict() for r in search.search(index, "same").collect()]
+    assert [r["id"] for r in rows] == [str(i) for i in range(45)] and len({r["score"] for r in rows}) == 1  # ties in order of the key
+
+
+def test_flags_tell_what_issues_need(spark, sides):
+    b, a = sides
+    fb, fa = (drift.flags(s, ("Code",), POLICY.quality) for s in (b, a))
+    rows = lambda df: sorted(map(str, df.drop("baseline_types", "latest_types").collect()))
+    assert rows(drift.field_stats(b, a, ("Code",), POLICY.quality)) == rows(drift.field_stats(fb, fa, ("Code",), POLICY.quality))
+    assert rows(drift.duplicate_keys(b, a, ("Code",))) == rows(drift.duplicate_keys(fb, fa, ("Code",)))
+    issues = drift.quality_issues(fb, fa, ("Code",), POLICY.quality, written(drift.field_stats(fb, fa, ("Code",), POLICY.quality), "stats"), related=False, repeated=written(drift.duplicate_keys(fb, fa, ("Code",)), "twice"))
+    assert rows(issues) == rows(drift.quality_issues(b, a, ("Code",), POLICY.quality, related=False))
+
+
 def test_each_csv_step_mentions_its_text_once_finished(spark):
     found = spark.createDataFrame([("=1+1", *["a,b"] * 8)], ", ".join(f"{c} string" for c in export.CSV_COLUMNS.values()))
     lines = export.csv_lines(found)
