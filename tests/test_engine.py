@@ -576,6 +576,17 @@ def test_lists_of_an_index_are_made_without_a_shuffle(spark, tmp_path):
     assert [r["id"] for r in rows] == [str(i) for i in range(45)] and len({r["score"] for r in rows}) == 1  # ties in order of the key
 
 
+def test_records_of_an_index_keep_marks_of_their_comparison(spark, sides, tmp_path):
+    b, a = sides
+    issues = written(drift.quality_issues(b, a, ("Code",), POLICY.quality), "issues")
+    diff = drift.promoted(drift.compared(b, a, ("Code",), POLICY.quality, keep=True), issues, drift.duplicate_keys(b, a, ("Code",)))
+    want = {r["id"] for r in views.filtered(diff, fields=("Title",), kinds=("emptied",)).collect()}
+    docs = search.documents(diff.withColumn("lost", views.holds(fields=("Title",), kinds=("emptied",))), None, b, a, ("Code",), {"title": "Title", "status": "Status"}, issues, keep=("lost",))
+    assert [p for p in docs._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join FullOuter" in p].__len__() == 1  # both sides meet once
+    index = search.build(docs, str(tmp_path / "i"))
+    assert {r["id"] for r in index.records.where("lost").collect()} == want and want
+
+
 def test_flags_tell_what_issues_need(spark, sides):
     b, a = sides
     fb, fa = (drift.flags(s, ("Code",), POLICY.quality) for s in (b, a))

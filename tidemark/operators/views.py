@@ -131,20 +131,25 @@ def ticket_fields(groups: DataFrame) -> DataFrame:
     return w.select("field", F.col("main.category").alias("main"), F.col("main.findings").alias("findings"), F.array_join(F.array_sort(F.array_except("all", F.array("main.category"))), ",").alias("others"))
 
 
-def filtered(diff: DataFrame, statuses: Sequence[str] = (), fields: Sequence[str] = (), kinds: Sequence[str] = (), severities: Sequence[str] = ()) -> DataFrame:
-    """Q1, Q2: all given filters hold; no index beyond the columns."""
-    out = diff
+def holds(statuses: Sequence[str] = (), fields: Sequence[str] = (), kinds: Sequence[str] = (), severities: Sequence[str] = ()) -> Column:
+    """Q1, Q2: whether all given filters hold of a compared record; no index beyond the columns."""
+    out = F.lit(True)
     if statuses:
-        out = out.where(F.col("status").isin(*statuses))
+        out = out & F.col("status").isin(*statuses)
     if severities:
-        out = out.where(F.col("severity").isin(*severities))
+        out = out & F.col("severity").isin(*severities)
     if fields:
-        out = out.where(F.exists("changes", lambda c: c["path"].isin(*fields)))
+        out = out & F.exists("changes", lambda c: c["path"].isin(*fields))
     if kinds:
-        out = out.where(F.exists("changes", lambda c: c["kind"].isin(*kinds)))
+        out = out & F.exists("changes", lambda c: c["kind"].isin(*kinds))
     return out
 
 
+def filtered(diff: DataFrame, statuses: Sequence[str] = (), fields: Sequence[str] = (), kinds: Sequence[str] = (), severities: Sequence[str] = ()) -> DataFrame:
+    """The compared records of which :func:`holds` is true."""
+    return diff.where(holds(statuses, fields, kinds, severities))
+
+
 def path_changed(changes: Column, field: str) -> Column:
     """Whether a change is the field's or lies below it."""
     return F.exists(changes, lambda c: (c["path"] == field) | c["path"].startswith(field + "."))
